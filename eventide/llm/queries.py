@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .quality_rules import quality_rules
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate(docs, C.table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(C.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup,)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op7_line_dedup, op10_quality_rules)}
