@@ -11,18 +11,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bounds of a task's memory: characters of a block, and pieces that its dictionary may hold before it starts anew.
-BLOCK_CHARS = 4_000_000
-DICTIONARY = 300_000
+#: Bounds of a task's memory: characters of a block, and pieces of its dictionary beyond which the next block starts anew.
+BLOCK_CHARS = 16_000_000
+DICTIONARY = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -47,18 +49,18 @@ def _vocabulary(path: str) -> tuple[list[int], dict[int, int], list[bytes]]:
     return [ranks[bytes([x])] for x in range(256)], pairs, tokens
 
 
-def replay(words: list[bytes], path: str) -> list[list[int]]:
-    """The ids of each word, as merging the pair of the lowest rank, leftmost first, again and again would give them."""
+def replay(words: list[bytes], path: str) -> list[bytes]:
+    """The packed ids of each word, as merging the pair of the lowest rank, leftmost first, again and again gives them."""
     of_byte, pairs, _ = _vocabulary(path)
-    ids: list[int] = []
-    for word in words:
-        ids.extend(of_byte[x] for x in word)
-        ids.append(-1)  # no pair crosses a word
-    n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-    queue: list[int] = []
-    get = pairs.get
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    corpus = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+    start = np.array(of_byte, np.int64)[corpus]
+    start[ends] = -1  # no pair crosses a word
+    n = len(start)
+    ids, after, before = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    index, get = _first_pairs(start, pairs), pairs.get
+    queue = sorted(index)
 
     def note(rank: int, place: int) -> None:
         places = index.get(rank)
@@ -68,67 +70,74 @@ def replay(words: list[bytes], path: str) -> list[list[int]]:
         else:
             places.append(place)
 
-    for p in range(n - 1):
-        if ids[p] >= 0 and ids[p + 1] >= 0 and (rank := get(ids[p] << 32 | ids[p + 1])) is not None:
-            note(rank, p)
     while queue:
         rank = heappop(queue)
         places = index.pop(rank)
         places.sort()
         for k, p in enumerate(places):
-            a, q = ids[p], after[p]
-            if a < 0 or q >= n or ids[q] < 0 or get(a << 32 | ids[q]) != rank:
+            q = after[p]
+            b = ids[q]
+            if b < 0 or ids[p] < 0 or get(ids[p] << 32 | b) != rank:
                 continue  # a neighbour was merged away meanwhile
             ids[p], ids[q] = rank, -2
-            after[p] = r = after[q]
-            if r < n:
-                before[r] = p
+            after[p] = r = after[q]  # a word's end follows its last byte, so r is a place
+            before[r] = p
             lower = False
-            if r < n and ids[r] >= 0 and (new := get(rank << 32 | ids[r])) is not None:
+            if ids[r] >= 0 and (new := get(rank << 32 | ids[r])) is not None:
                 note(new, p)
                 lower = new < rank
-            l = before[p]
-            if l >= 0 and ids[l] >= 0 and (new := get(ids[l] << 32 | rank)) is not None:
-                note(new, l)
+            o = before[p]
+            if o >= 0 and ids[o] >= 0 and (new := get(ids[o] << 32 | rank)) is not None:
+                note(new, o)
                 lower = lower or new < rank
             if lower:  # a pair of a lower rank came up: it goes first, the rest of this rank waits
-                for rest in places[k + 1:]:
+                for rest in places[k + 1 :]:
                     note(rank, rest)
                 break
-    out, row = [], []
-    for x in ids:
-        if x >= 0:
-            row.append(x)
-        elif x == -1:
-            out.append(row)
-            row = []
-    return out
+    merged = np.array(ids, np.int64)
+    upto = np.cumsum(merged >= 0)[ends] * 4
+    packed = merged[merged >= 0].astype("<u4").tobytes()
+    return [packed[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
+
+
+def _first_pairs(ids: np.ndarray, pairs: dict[int, int]) -> dict[int, list[int]]:
+    """The places of each pair of neighbouring bytes, by rank."""
+    places = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    found, which = np.unique(ids[places] << 32 | ids[places + 1], return_inverse=True)
+    ranks = np.array([pairs.get(x, -1) for x in found.tolist()], np.int64)[which] if len(found) else np.zeros(0, np.int64)
+    places, ranks = places[ranks >= 0], ranks[ranks >= 0]
+    order = np.argsort(ranks, kind="stable")
+    present, starts = np.unique(ranks[order], return_index=True)
+    return {int(r): x.tolist() for r, x in zip(present, np.split(places[order], starts[1:]))}
+
+
+class _Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
 
 
 class Encoder:
-    """Text to packed ids, with a dictionary of the pieces seen so far."""
+    """Texts to packed ids, with a dictionary of the pieces seen so far."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.path, self.split, self.known = path, regex.compile(pattern).findall, {}
-
-    def pieces(self, texts: list[str]) -> list[list[str]]:
-        """Of each text, after the dictionary has learned every piece of them."""
-        found = [self.split(t) for t in texts]
-        new = set().union(*found) - self.known.keys() if found else set()
-        if len(self.known) + len(new) > DICTIONARY:
-            self.known = {}
-            new = set().union(*found)
-        words = sorted(new)
-        self.known.update(zip(words, (np.array(ids, "<u4").tobytes() for ids in replay([w.encode() for w in words], self.path))))
-        return found
+        self.path, self.split, self.ranks = path, regex.compile(pattern).findall, load_ranks(path)
+        self.numbers, self.packed = _Numbers(), []
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        found = self.pieces(texts)
-        packed = self.known.__getitem__
-        return (b"".join(map(packed, pieces)) for pieces in found)
+        """Little-endian unsigned 32-bit ids of each text, after every piece of the texts was learned."""
+        if len(self.packed) > DICTIONARY:
+            self.numbers, self.packed = _Numbers(), []
+        number = self.numbers.__getitem__
+        rows = [array("I", map(number, self.split(t))) for t in texts]
+        new = [piece.encode() for piece in islice(self.numbers, len(self.packed), None)]
+        merged = iter(replay([w for w in new if w not in self.ranks], self.path))
+        self.packed += [next(merged) if w not in self.ranks else self.ranks[w].to_bytes(4, "little") for w in new]
+        return (b"".join(map(self.packed.__getitem__, row)) for row in rows)
 
 
 def decode(ids: bytes, path: str) -> bytes:
