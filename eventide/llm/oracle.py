@@ -1,10 +1,57 @@
 """DuckDB SQL for the queries that SQL can express; written from the contracts, not from the operators."""
 
+from .licenses import PHRASES, TEMPLATES
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_PHRASES = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES.items())
+_TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{words}', ' '))" for i, (label, words) in enumerate(TEMPLATES))
+
 ORACLE = {
+    "op3_license_scan": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+phrases(phrase, n, label) AS (VALUES {_PHRASES}),
+base AS (
+  SELECT doc_id, i - 1 AS i, label
+  FROM d, phrases, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS i)
+  WHERE len(w) >= n AND array_to_string(w[i:i + n - 1], ' ') = phrase
+),
+base_rows AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         list_sort(list(DISTINCT label)) AS ls FROM base GROUP BY doc_id
+),
+templates(tid, label, w) AS (VALUES {_TEMPLATES}),
+template_grams AS (
+  SELECT tid, label, len(w) AS n, i AS t, array_to_string(w[i:i + 2], ' ') AS g
+  FROM templates, LATERAL (SELECT unnest(generate_series(1, len(w) - 2)) AS i)
+),
+doc_grams AS (
+  SELECT doc_id, i AS p, array_to_string(w[i:i + 2], ' ') AS g
+  FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 2)) AS i) WHERE len(w) >= 3
+),
+hits AS (SELECT doc_id, tid, label, n, t, p - t AS diagonal FROM doc_grams JOIN template_grams USING (g)),
+diagonals AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER along > 2 THEN 1 ELSE 0 END AS start
+  FROM (SELECT DISTINCT doc_id, tid, diagonal FROM hits) WINDOW along AS (PARTITION BY doc_id, tid ORDER BY diagonal)
+),
+numbered AS (SELECT *, sum(start) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM diagonals),
+covered AS (
+  SELECT DISTINCT doc_id, tid, label, n, span, t + k AS at
+  FROM hits JOIN numbered USING (doc_id, tid, diagonal), (VALUES (0), (1), (2)) AS v(k)
+),
+scored AS (SELECT doc_id, tid, label, span, count(*) / any_value(n) AS score FROM covered GROUP BY doc_id, tid, label, span),
+best AS (
+  SELECT doc_id, max(score) AS score, coalesce(list(DISTINCT label) FILTER (WHERE score >= 0.8), []) AS ls
+  FROM scored GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(b.ls, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(s.ls, [])))), ',') AS labels,
+       greatest(coalesce(s.score, 0.0), CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN base_rows b USING (doc_id) LEFT JOIN best s USING (doc_id)
+""",
     "op4_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT item_id, {WORDS} AS w FROM benchmark),

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from . import common as C
 from .bpe import bpe
 from .decontaminate import decontaminate
+from .licenses import license_scan
 from .line_dedup import line_dedup
 from .quality_rules import quality_rules
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs).drop("text")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate(docs, C.table(spark, sf_dir, "benchmark"))
@@ -34,4 +40,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op10_quality_rules)}
