@@ -90,5 +90,25 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op8_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS s
+  FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - least(4, len(w)) + 1)) AS i) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT u, v FROM shared JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * i >= 80 * (x.n + y.n - i)
+),
+reach AS (SELECT doc_id AS u, doc_id AS r FROM d UNION SELECT l.u, reach.r FROM reach JOIN links l ON l.v = reach.u),
+least_of AS (SELECT u AS doc_id, min(r) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least_of LEFT JOIN n USING (doc_id)
 """,
 }

@@ -10,6 +10,7 @@ from .bpe import bpe
 from .decontaminate import decontaminate
 from .licenses import license_scan
 from .line_dedup import line_dedup
+from .minhash import near_dedup
 from .quality_rules import quality_rules
 
 
@@ -36,8 +37,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(C.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(C.table(spark, sf_dir, "documents")).drop("key")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op10_quality_rules)}
