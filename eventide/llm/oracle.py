@@ -10,6 +10,14 @@ _PHRASES = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHR
 _TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{words}', ' '))" for i, (label, words) in enumerate(TEMPLATES))
 
 ORACLE = {
+    "op1_warc_normaliser": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS original FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM m
+""",
     "op3_license_scan": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 phrases(phrase, n, label) AS (VALUES {_PHRASES}),

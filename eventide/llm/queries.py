@@ -12,6 +12,11 @@ from .licenses import license_scan
 from .line_dedup import line_dedup
 from .minhash import near_dedup
 from .quality_rules import quality_rules
+from .warc import warc_round_trip
+
+
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(C.table(spark, sf_dir, "pages"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,4 +50,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op10_quality_rules)}
