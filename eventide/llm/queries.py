@@ -10,6 +10,7 @@ from .bpe import bpe
 from .decontaminate import decontaminate
 from .licenses import license_scan
 from .line_dedup import line_dedup
+from .main_text import extract_main_text
 from .minhash import near_dedup
 from .quality_rules import quality_rules
 from .warc import warc_round_trip
@@ -19,6 +20,10 @@ def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(C.table(spark, sf_dir, "pages"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(C.table(spark, sf_dir, "pages"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan(docs).drop("text")
@@ -50,4 +55,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op10_quality_rules)}
