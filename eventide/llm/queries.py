@@ -12,6 +12,7 @@ from .licenses import license_scan
 from .line_dedup import line_dedup
 from .main_text import extract_main_text
 from .minhash import near_dedup
+from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .warc import warc_round_trip
 
@@ -51,8 +52,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(C.table(spark, sf_dir, "documents")).drop("key")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)}
