@@ -14,6 +14,7 @@ from .main_text import extract_main_text
 from .minhash import near_dedup
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .substrings import substring_dedup
 from .warc import warc_round_trip
 
 
@@ -36,6 +37,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return marked.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,4 +66,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op5_substring_dedup, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)}
