@@ -1 +1 @@
-"""Plans of the library."""
+"""Registered queries over the given tables, by section of the operator inventory."""
