@@ -71,8 +71,9 @@ def mirrored(price, side) -> Column:
 
 
 def taker_fee(shares, price, rate, exponent=1.0) -> Column:
+    """shares * rate * (p (1 - p)) ** exponent, to five decimals, halves up."""
     p = _c(price)
-    return F.round(_c(shares) * _c(rate) * F.pow(p * (1 - p), _c(exponent)), 5)
+    return F.floor(_c(shares) * _c(rate) * F.pow(p * (1 - p), _c(exponent)) * 1e5 + 0.5) / 1e5
 
 
 def break_even(price, rate) -> Column:

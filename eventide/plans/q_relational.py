@@ -11,7 +11,9 @@ from ..operators.asof import asof
 from .data import DAY, HOUR, events, fast_feed, fills, micros, other_quotes, quotes, slow_feed, sql, table, trades
 from .registry import query
 
-DAYS = F.floor(F.col("t") / DAY).alias("day")
+
+def days():
+    return F.floor(F.col("t") / DAY).alias("day")
 
 
 @query("SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS qty, CAST(l_extendedprice AS FLOAT) AS px, 'line' AS kind FROM lineitem")
@@ -104,7 +106,7 @@ def a2_two_level_aggregate(spark, sf):
 
 @query(sql("WITH d AS (SELECT event_type, t // {D} AS day, median(value) AS m, count(*) AS n FROM ev GROUP BY 1, 2) SELECT event_type, round(sum(m * n) / sum(n), 6) AS weighted FROM d GROUP BY 1"))
 def a3_weighted_chunk_medians(spark, sf):
-    chunks = events(spark, sf).groupBy("event_type", DAYS).agg(F.median("value").alias("m"), F.count(F.lit(1)).alias("n"))
+    chunks = events(spark, sf).groupBy("event_type", days()).agg(F.median("value").alias("m"), F.count(F.lit(1)).alias("n"))
     return chunks.groupBy("event_type").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("weighted"))
 
 
@@ -117,7 +119,7 @@ def a4_median_quantiles(spark, sf):
 @query(sql("""WITH n AS (SELECT 1 + max(t // {D}) - min(t // {D}) AS days, min(t // {D}) AS d0 FROM ev), train AS (SELECT value FROM ev, n WHERE t // {D} < d0 + 0.6 * days)
 SELECT DISTINCT round(v, 2) AS threshold FROM (SELECT unnest([quantile_cont(value, 0.1), quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75), quantile_cont(value, 0.9)]) AS v FROM train)"""))
 def a5_train_thresholds(spark, sf):
-    rows = events(spark, sf).withColumn("day", DAYS)
+    rows = events(spark, sf).withColumn("day", days())
     span = rows.agg(F.min("day").alias("d0"), (F.max("day") - F.min("day") + 1).alias("days"))
     train = rows.join(F.broadcast(span), F.col("day") < F.col("d0") + 0.6 * F.col("days"))
     return train.agg(F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q")).select(F.explode("q").alias("v")).select(F.round("v", 2).alias("threshold")).distinct()
@@ -125,12 +127,12 @@ def a5_train_thresholds(spark, sf):
 
 @query(sql("SELECT user_id, t // {D} AS day, min_by(price, t) AS open, max_by(price, t) AS close FROM q GROUP BY 1, 2"))
 def a6_first_last_by_time(spark, sf):
-    return quotes(spark, sf).groupBy("user_id", DAYS).agg(F.min_by("price", "t").alias("open"), F.max_by("price", "t").alias("close"))
+    return quotes(spark, sf).groupBy("user_id", days()).agg(F.min_by("price", "t").alias("open"), F.max_by("price", "t").alias("close"))
 
 
 @query(sql("SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT t // {D}) AS days FROM ev GROUP BY 1"))
 def a7_distinct_count(spark, sf):
-    return events(spark, sf).withColumn("day", DAYS).groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("day").alias("days"))
+    return events(spark, sf).withColumn("day", days()).groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("day").alias("days"))
 
 
 @query("SELECT event_type, round(avg(CASE WHEN value > 100 THEN 1.0 ELSE 0 END), 6) AS rate, count(*) FILTER (WHERE value > 100) AS hits FROM events GROUP BY 1")
@@ -140,7 +142,7 @@ def a8_conditional_rate(spark, sf):
 
 @query(sql("SELECT user_id, t // {D} AS day, round(sum(size * price), 4) AS notional, sum(size) AS volume FROM tr GROUP BY 1, 2"))
 def a9_weighted_notional(spark, sf):
-    return trades(spark, sf).groupBy("user_id", DAYS).agg(F.round(F.sum(F.col("size") * F.col("price")), 4).alias("notional"), F.sum("size").alias("volume"))
+    return trades(spark, sf).groupBy("user_id", days()).agg(F.round(F.sum(F.col("size") * F.col("price")), 4).alias("notional"), F.sum("size").alias("volume"))
 
 
 @query(sql("SELECT q.event_id, max(tr.price) AS max_after, min(tr.price) AS min_after FROM q JOIN tr ON q.user_id = tr.user_id AND tr.t > q.t AND tr.t <= (q.t // {D} + 1) * {D} GROUP BY 1"))
@@ -177,7 +179,7 @@ def a14_per_split_metrics(spark, sf):
 
 @query(sql("SELECT user_id, round(avg(m), 6) AS cluster_mean, count(*) AS clusters FROM (SELECT user_id, t // {D} AS day, avg(value) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"))
 def a15_cluster_means(spark, sf):
-    return events(spark, sf).groupBy("user_id", DAYS).agg(F.avg("value").alias("m")).groupBy("user_id").agg(F.round(F.avg("m"), 6).alias("cluster_mean"), F.count(F.lit(1)).alias("clusters"))
+    return events(spark, sf).groupBy("user_id", days()).agg(F.avg("value").alias("m")).groupBy("user_id").agg(F.round(F.avg("m"), 6).alias("cluster_mean"), F.count(F.lit(1)).alias("clusters"))
 
 
 @query("SELECT l_partkey, count(*) AS n, round(avg(l_quantity), 6) AS qty FROM lineitem GROUP BY 1 HAVING count(*) >= 30")
@@ -187,7 +189,7 @@ def a16_minimum_sample(spark, sf):
 
 @query(sql("SELECT event_type, list(m ORDER BY day) AS curve FROM (SELECT event_type, t // {D} AS day, round(avg(value), 4) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"))
 def a17_curve_per_group(spark, sf):
-    daily = events(spark, sf).groupBy("event_type", DAYS).agg(F.round(F.avg("value"), 4).alias("m"))
+    daily = events(spark, sf).groupBy("event_type", days()).agg(F.round(F.avg("value"), 4).alias("m"))
     return daily.groupBy("event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "m"))), lambda x: x["m"]).alias("curve"))
 
 
@@ -197,17 +199,18 @@ def a18_grouping_sets(spark, sf):
     return lines.groupingSets([("l_returnflag", "l_linestatus"), ("l_returnflag",), ()], "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
-BY_USER = Window.partitionBy("user_id").orderBy("t", "event_id")
+def by_user():
+    return Window.partitionBy("user_id").orderBy("t", "event_id")
 
 
 @query(sql("SELECT event_id, round(ln(price) - ln(lag(price) OVER w), 6) AS ret FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)"))
 def w1_log_return(spark, sf):
-    return quotes(spark, sf).select("event_id", F.round(F.ln("price") - F.ln(F.lag("price").over(BY_USER)), 6).alias("ret"))
+    return quotes(spark, sf).select("event_id", F.round(F.ln("price") - F.ln(F.lag("price").over(by_user())), 6).alias("ret"))
 
 
 @query(sql("SELECT event_id, CAST(sum(size) OVER w AS BIGINT) AS cum_size, round(sum(price * size) OVER w, 4) AS cum_notional, count(*) OVER w AS n FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)"))
 def w2_prefix_sums(spark, sf):
-    w = BY_USER.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_user().rowsBetween(Window.unboundedPreceding, 0)
     return trades(spark, sf).select("event_id", F.sum("size").over(w).alias("cum_size"), F.round(F.sum(F.col("price") * F.col("size")).over(w), 4).alias("cum_notional"), F.count(F.lit(1)).over(w).alias("n"))
 
 
@@ -229,7 +232,7 @@ DAILY_UP = """d AS (SELECT user_id, t // {D} AS day, max_by(price, t) >= min_by(
 
 
 def daily_up(spark, sf):
-    return quotes(spark, sf).groupBy("user_id", DAYS).agg((F.max_by("price", "t") >= F.min_by("price", "t")).alias("up"))
+    return quotes(spark, sf).groupBy("user_id", days()).agg((F.max_by("price", "t") >= F.min_by("price", "t")).alias("up"))
 
 
 @query(sql("WITH " + DAILY_UP + " SELECT user_id, day, CASE WHEN lag(day) OVER w + 1 = day THEN lag(up) OVER w END AS prior_up FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)"))
@@ -259,7 +262,7 @@ def w8_runs_count(spark, sf):
 
 @query(sql("SELECT user_id, t // {D} AS day, min_by(event_id, t) AS event_id FROM ev WHERE value > 100 GROUP BY 1, 2"))
 def w9_first_event_per_window(spark, sf):
-    rows = events(spark, sf).where("value > 100").withColumn("day", DAYS)
+    rows = events(spark, sf).where("value > 100").withColumn("day", days())
     return series.first_of(rows, ["user_id", "day"], [F.col("t"), F.col("event_id")]).select("user_id", "day", "event_id")
 
 
@@ -272,27 +275,27 @@ def w10_dedup_keep_last(spark, sf):
 @query(sql("""WITH d AS (SELECT user_id % 10 AS grp, t // {D} AS day, sum(value - 60) AS pnl FROM ev GROUP BY 1, 2)
 SELECT grp, day, round(sum(pnl) OVER w, 4) AS sum7, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) OVER w, 6) AS share7 FROM d WINDOW w AS (PARTITION BY grp ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""))
 def w11_rolling_7_days(spark, sf):
-    daily = events(spark, sf).groupBy((F.col("user_id") % 10).alias("grp"), DAYS).agg(F.sum(F.col("value") - 60).alias("pnl"))
+    daily = events(spark, sf).groupBy((F.col("user_id") % 10).alias("grp"), days()).agg(F.sum(F.col("value") - 60).alias("pnl"))
     w = Window.partitionBy("grp").orderBy("day").rowsBetween(-6, 0)
     return daily.select("grp", "day", F.round(F.sum("pnl").over(w), 4).alias("sum7"), F.round(F.avg((F.col("pnl") > 0).cast("int")).over(w), 6).alias("share7"))
 
 
 @query(sql("SELECT event_id, CASE WHEN count(*) OVER w >= 20 THEN round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END) OVER w, 6) END AS win_rate FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
 def w12_rolling_win_rate(spark, sf):
-    w = BY_USER.rowsBetween(-19, 0)
+    w = by_user().rowsBetween(-19, 0)
     return events(spark, sf).select("event_id", F.when(F.count(F.lit(1)).over(w) >= 20, F.round(F.avg((F.col("value") > 50).cast("int")).over(w), 6)).alias("win_rate"))
 
 
 @query(sql("SELECT event_id, CASE WHEN count(*) OVER w >= 10 THEN round(avg(value - 60) OVER w / (stddev_samp(value - 60) OVER w / sqrt(count(*) OVER w)), 5) END AS t_stat FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)"))
 def w13_rolling_t(spark, sf):
-    w, x = BY_USER.rowsBetween(-39, 0), F.col("value") - 60
+    w, x = by_user().rowsBetween(-39, 0), F.col("value") - 60
     n = F.count(F.lit(1)).over(w)
     return events(spark, sf).select("event_id", F.when(n >= 10, F.round(F.avg(x).over(w) / (F.stddev_samp(x).over(w) / F.sqrt(n)), 5)).alias("t_stat"))
 
 
 @query(sql("SELECT user_id, day, round(sum(pnl) OVER (PARTITION BY user_id ORDER BY day), 4) AS cum FROM (SELECT user_id, t // {D} AS day, sum(value - 60) AS pnl FROM ev GROUP BY 1, 2)"))
 def w14_cumulative_by_day(spark, sf):
-    daily = events(spark, sf).groupBy("user_id", DAYS).agg(F.sum(F.col("value") - 60).alias("pnl"))
+    daily = events(spark, sf).groupBy("user_id", days()).agg(F.sum(F.col("value") - 60).alias("pnl"))
     return series.with_drawdown(daily, ["user_id"], ["day"], "pnl").select("user_id", "day", F.round("cum", 4).alias("cum"))
 
 
