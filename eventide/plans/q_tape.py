@@ -32,27 +32,27 @@ def b2_final_hours_pruning(spark, sf):
 
 WALK = """WITH l AS (SELECT *, price * size AS cost, sum(price * size) OVER (PARTITION BY l_orderkey ORDER BY price, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) - price * size AS before FROM ladder {where}),
 n(notional) AS (VALUES (50000.0::DOUBLE), (200000.0::DOUBLE), (1000000.0::DOUBLE)), k AS (SELECT l_orderkey, notional, price, least(cost, greatest(notional - before, 0)) AS take FROM l, n)
-SELECT l_orderkey, notional, round(sum(take) / sum(take / price), 9) AS avg_px, round(sum(take / price), 8) AS shares, sum(take) < 0.999 * notional AS exhausted FROM k GROUP BY 1, 2"""
+SELECT l_orderkey, notional, round(sum(take) / sum(take / price) + 1e-8, 6) AS avg_px, round(sum(take / price) + 1e-8, 6) AS shares, sum(take) < 0.999 * notional AS exhausted FROM k GROUP BY 1, 2"""
 NOTIONALS = [50000.0, 200000.0, 1000000.0]
 
 
 @query(sql(WALK.replace("{where}", "")))
 def b3_book_walk(spark, sf):
     walked = X.walk_ladder(ladders(spark, sf), ["l_orderkey"], "price", "size", LADDER_ORDER, NOTIONALS)
-    return walked.select("l_orderkey", "notional", F.round("avg_px", 9).alias("avg_px"), F.round("shares", 8).alias("shares"), "exhausted")
+    return walked.select("l_orderkey", "notional", F.round(F.col("avg_px") + 1e-8, 6).alias("avg_px"), F.round(F.col("shares") + 1e-8, 6).alias("shares"), "exhausted")
 
 
 @query(sql("""WITH l AS (SELECT *, sum(size) OVER (PARTITION BY l_orderkey ORDER BY price, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) - size AS before FROM ladder),
-k AS (SELECT l_orderkey, price, least(size, greatest(60 - before, 0)) AS take FROM l) SELECT l_orderkey, sum(take) AS got, round(sum(take * price), 6) AS cost FROM k GROUP BY 1"""))
+k AS (SELECT l_orderkey, price, least(size, greatest(60 - before, 0)) AS take FROM l) SELECT l_orderkey, sum(take) AS got, round(sum(take * price), 8) AS cost FROM k GROUP BY 1"""))
 def b4_walk_for_quantity(spark, sf):
-    return X.walk_quantity(ladders(spark, sf), ["l_orderkey"], "price", "size", LADDER_ORDER, 60.0).select("l_orderkey", "got", F.round("cost", 6).alias("cost"))
+    return X.walk_quantity(ladders(spark, sf), ["l_orderkey"], "price", "size", LADDER_ORDER, 60.0).select("l_orderkey", "got", F.round("cost", 8).alias("cost"))
 
 
 @query(sql(WALK.replace("{where}", "WHERE price <= 1500")))
 def b5_walk_with_limit(spark, sf):
     levels = ladders(spark, sf).where("price <= 1500")
     walked = X.walk_ladder(levels, ["l_orderkey"], "price", "size", LADDER_ORDER, NOTIONALS, limit=F.lit(1500.0))
-    return walked.select("l_orderkey", "notional", F.round("avg_px", 9).alias("avg_px"), F.round("shares", 8).alias("shares"), "exhausted")
+    return walked.select("l_orderkey", "notional", F.round(F.col("avg_px") + 1e-8, 6).alias("avg_px"), F.round(F.col("shares") + 1e-8, 6).alias("shares"), "exhausted")
 
 
 @query(sql("WITH m AS (SELECT *, min(price) OVER (PARTITION BY l_orderkey) AS touch FROM ladder) SELECT l_orderkey, sum(size) FILTER (WHERE price - touch <= 300) AS depth FROM m GROUP BY 1"))
