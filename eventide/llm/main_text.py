@@ -154,6 +154,8 @@ def learn(pages: DataFrame, html: str = "html", labelled: int = 5000, names: int
         for batch in batches:
             for page in batch.column(0).to_pylist():
                 for kind, name, words, _, skipped, mark in tokens(page or ""):
+                    if kind == "text" and skipped:
+                        continue  # never main text, whatever the weight of its element
                     side = main if mark and not skipped else rest
                     side["<" + name if kind == "tag" else name] += 1 if kind == "tag" else words
         keys = sorted({*main, *rest})
