@@ -404,7 +404,7 @@ def f2_slug_decoding(spark, sf):
     months = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
     year, month, day = F.regexp_extract("slug", r"^(\d\d)", 1).cast("int"), F.regexp_extract("slug", r"^\d\d([A-Z]{3})", 1), F.regexp_extract("slug", r"(\d\d)$", 1).cast("int")
     year = F.when(year >= 70, year + 1900).otherwise(year + 2000)
-    opened = F.unix_date(F.make_date(year, ((F.locate("x", F.lit("")) + F.instr(F.lit(months), month) + 2) / 3).cast("int"), day)).cast("long") * DAY + 4 * HOUR
+    opened = F.unix_date(F.make_date(year, ((F.position(month, F.lit(months)) + 2) / 3).cast("int"), day)).cast("long") * DAY + 4 * HOUR
     return table(spark, sf, "orders").select("o_orderkey", slug.alias("slug")).select("o_orderkey", "slug", opened.alias("open_us"))
 
 
