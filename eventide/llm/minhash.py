@@ -6,12 +6,13 @@ i - size, so after at most 2 * size rounds each bin is filled.  Rounds end once
 two.  Two sets agree in a bin with the probability of their Jaccard similarity, and the share of agreeing bins is
 concentrated around it at least as tightly as with independent MinHashes.
 
-Groups.  Rows with equal shingle sets form a class and are represented by one row.  Bands of the sketch propose pairs of
-classes; in each band bucket members are first compared with the bucket's first member, and those that are linked to it
-are done with.  Members that are not go on to the next round, where they meet one member of each other component of
-their bucket, until no bucket holds two classes that are neither connected nor compared.  Links are confirmed on full
-sets.  So a bucket of near copies costs a comparison per member, not per pair, and no link between different components
-is left out.
+Groups.  Rows with equal shingle sets form a class and are represented by one row.  Bands of the sketch put classes into
+buckets.  In the first rounds every member of a bucket is held against one centre of it, another one each round, so a
+bucket of near copies costs a comparison per member, not per pair; whoever is linked joins the centre's component.  Then
+what is still open is compared to the end: every two members of different components of a bucket, by a join where these
+are few, in blocks of members (without a row per pair) where they are many.  A pair of the joins is looked at in full
+only if its parity sketches, a bit per coordinate, differ in few bits; the bound lies eight deviations beyond what a pair
+at the similarity has.  Links are confirmed on full sets, and no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from . import common as C
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _WORD_CACHE = 1_000_000
+#: Buckets with more open pairs than this are compared in blocks of so many members.
+DENSE, CHUNK = 2_000, 500
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,19 +90,22 @@ def _signatures(batches: Iterable[pa.RecordBatch], width: int, bands: int, rows:
     hashes = _WordHashes()
     weights = (np.arange(1, rows + 1, dtype=np.uint64) * _A) | np.uint64(1)
     for batch in batches:
-        nodes, sizes, bucket = [], [], []
+        nodes, sizes, bucket, parity = [], [], [], []
         for text in batch.column("text").to_pylist():
             found = shingles(text, width, hashes)
             sizes.append(len(found))
             nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
             if len(found):
                 with np.errstate(over="ignore"):
-                    mixed = (_mix(sketch(found, bands * rows)).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
+                    coordinates = _mix(sketch(found, bands * rows))
+                    parity.append(np.packbits((coordinates & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                    mixed = (coordinates.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
                     bucket.append(_mix(mixed + np.arange(bands, dtype=np.uint64) * weights[0]).view(np.int64))
             else:
+                parity.append(np.zeros(bands * rows // 64, np.int64))
                 bucket.append(np.zeros(0, np.int64))
         keep = [batch.column(c) for c in ("doc_id", "key")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bucket, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "n", "buckets"])
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(bucket, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "n", "parity", "buckets"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -116,7 +123,6 @@ def components(edges: DataFrame) -> DataFrame:
     path.
     """
     pairs = C.written(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct(), "edges")
-    before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -125,10 +131,12 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(small_least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         pairs = C.written(small, "edges")
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        # done once every node hangs on one other, which hangs on none
+        centres = pairs.select(F.col("v").alias("u"), F.lit(1).alias("centre")).distinct()
+        loose = pairs.join(centres, "u", "left").groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.max("centre").alias("centre")).where("c > 1 OR centre = 1")
+        if loose.isEmpty():
+            # a component's own centre is not among its nodes; callers take a node without a row as its own component
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -139,18 +147,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("u", "v")
 
 
-def _comparable(percent: int, a: str, b: str):
-    """Whether sets of these sizes can reach the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _comparable(percent: int, bits: int, a: str, b: str):
+    """Whether sets of these sizes and parity sketches can reach the similarity; columns are n and parity, n_b and parity_b."""
+    j = percent / 100
+    # bits differ with probability (1 - j) / 2
+    most = bits * (1 - j) / 2 + 8 * (bits * (1 - j) * (1 + j) / 4) ** 0.5
+    differing = F.aggregate(F.zip_with(f"parity{a}", f"parity{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 * F.least(f"n{a}", f"n{b}") >= percent * F.greatest(f"n{a}", f"n{b}")) & (differing <= most)
 
 
-def near_links(docs: DataFrame, text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def _dense(members: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components in buckets with many open pairs, found in blocks without a row per pair.
+
+    Members are cut into chunks; each pair of a chunk of minor members (outside the bucket's largest component) and a
+    chunk of all members is one group, which holds at most two chunks of sets whatever the bucket's size.  A pair is
+    looked at in the first band that it shares.
+    """
+    chunks = F.ceil(F.col("all") / CHUNK)
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    others = F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int")))
+    side = lambda rows, i, j, left: rows.select("bucket", "node", "component", i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    cut = members.withColumn("own", own).withColumn("other", others)
+    blocks = side(cut.where("component <> largest"), F.col("own"), F.col("other"), True).unionByName(side(cut, F.col("other"), F.col("own"), False))
+    bands = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("buckets").alias("buckets"))
+    rows = blocks.join(sets.join(bands, "node"), "node")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["left"]], group[~group["left"]]
+        found: list[tuple[bytes, bytes]] = []
+        if len(left) and len(right):
+            bucket = group["bucket"].iloc[0]
+            sizes = right["shingles"].map(len).to_numpy()
+            values = np.concatenate(right["shingles"].to_list())
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], np.repeat(np.arange(len(right)), sizes)[order]
+            right_bands, right_component, right_node = np.stack(right["buckets"].to_list()), right["component"].to_numpy(), right["node"].to_list()
+            for node, component, mine, my_bands in zip(left["node"], left["component"], left["shingles"], left["buckets"]):
+                shared = right_bands == my_bands
+                here = right_bands[np.arange(len(right)), shared.argmax(axis=1)] == bucket
+                lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+                width = hi - lo
+                places = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lo, width)
+                common = np.bincount(owners[places], minlength=len(right))
+                hit = here & (right_component != component) & (100 * common >= percent * (len(mine) + sizes - common))
+                found += [(min(node, right_node[k]), max(node, right_node[k])) for k in np.flatnonzero(hit)]
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u binary, v binary").distinct()
+
+
+def near_links(docs: DataFrame, text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(signatures, links): node and n of each row of docs; node and component of every node that is linked."""
     source = docs.select("doc_id", C.text_key(C.whole(text)).alias("key"), F.col(text).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = C.written(source.mapInArrow(lambda it: _signatures(it, width, bands, rows), f"doc_id {id_type}, key struct<a:long,b:long>, node binary, n long, buckets array<long>"), "signatures")
+    signed = C.written(source.mapInArrow(lambda it: _signatures(it, width, bands, rows), f"doc_id {id_type}, key struct<a:long,b:long>, node binary, n long, parity array<long>, buckets array<long>"), "signatures")
     # buckets with one class propose nothing
-    dealt = signed.select("node", "n", F.explode("buckets").alias("bucket")).distinct()
+    dealt = signed.select("node", "n", "parity", F.explode("buckets").alias("bucket")).distinct()
     crowded = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     members = C.written(dealt.join(crowded, "bucket"), "members")
     # one row of docs stands for each class that some bucket holds with another
@@ -170,26 +222,32 @@ def near_links(docs: DataFrame, text: str = "text", width: int = 4, percent: int
             open_members = C.written(open_members.join(mixed, "bucket"), "open-members")
         if turn < rounds:
             # one centre a bucket, another one each turn; everything of another component is held against it
-            chosen = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
+            chosen = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("parity_v"), F.col("component").alias("c_v"))
             centres = open_members.groupBy("bucket").agg(F.min(chosen).alias("c")).select("bucket", "c.*")
-            pairs = open_members.join(centres, "bucket").where((F.col("component") != F.col("c_v")) & _comparable(percent, "n", "n_v"))
+            pairs = open_members.join(centres, "bucket").where((F.col("component") != F.col("c_v")) & _comparable(percent, bands * rows, "", "_v"))
             if turn == 0:  # in all of a node's buckets, the first of their centres
                 pairs = pairs.groupBy(F.col("node").alias("u")).agg(F.min(F.struct("o", "v")).alias("c")).select("u", "c.v")
             pairs = pairs.select(F.col("node").alias("u"), "v") if turn else pairs
         else:
             # what is left: every two of different components, all of a bucket against those outside its largest component
-            sizes = open_members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("largest"))
-            minor = open_members.join(largest, "bucket").where("component <> largest").select("bucket", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
-            pairs = open_members.join(minor, "bucket").where((F.col("component") != F.col("c_v")) & _comparable(percent, "n", "n_v")).select(F.col("node").alias("u"), "v")
+            counts = open_members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+            largest = counts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).select("bucket", F.col("m.component").alias("largest"), "all", ((F.col("all") - F.col("m.c")) * F.col("all") > DENSE).alias("dense"))
+            placed = C.written(open_members.join(largest, "bucket"), "placed-members")
+            dense_links = C.written(_dense(placed.where("dense"), signed, sets, percent), "links")
+            sparse = placed.where("NOT dense")
+            minor = sparse.where("component <> largest").select("bucket", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("parity_v"), F.col("component").alias("c_v"))
+            pairs = sparse.join(minor, "bucket").where((F.col("component") != F.col("c_v")) & _comparable(percent, bands * rows, "", "_v")).select(F.col("node").alias("u"), "v")
         pairs = C.written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         found = C.written(_confirmed(pairs, sets, percent), "links")
-        links = found if links is None else C.written(links.unionByName(found).distinct(), "links")
-        state = components(links)
+        if turn == rounds:
+            found = C.written(found.unionByName(dense_links).distinct(), "links")
+        if links is None or not found.isEmpty():
+            links = found if links is None else C.written(links.unionByName(found).distinct(), "links")
+            state = components(links)
     return signed.select("doc_id", "key", "node", "n"), state
 
 
-def near_dedup(docs: DataFrame, text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 2) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, kept) of each row.
 
     component_id is the smallest doc_id that links reach, kept is doc_id = component_id.  A text without words has no
