@@ -71,6 +71,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     runs = _hits(worded, items.where(F.size("w") >= window), window, gram)
     for n in sorted(short):
         runs = runs.unionByName(_hits(worded, items.where(F.size("w") == n), n, n))
+    runs = C.written(runs, "benchmark-runs")  # two aggregations read it
     by_item = runs.groupBy("doc_id", "key", "item_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
     # an item's runs in a document become words once per item, then distinct words count
     spots = by_item.select("doc_id", "key", F.explode("runs").alias("r")).distinct().select("doc_id", "key", F.explode(F.sequence("r.a", "r.b")).alias("p"))
