@@ -75,7 +75,7 @@ def m6_autocorrelation(spark, sf):
     return E.autocorrelation(events(spark, sf), ["event_type"], ["t", "event_id"], "value", (1, 2, 3, 5, 10, 20)).select("event_type", "k", F.round("r", 6).alias("r"))
 
 
-@query(sql("""WITH b AS (SELECT min(t) // {H} AS lo, max(t) // {H} AS hi FROM ev), g AS (SELECT s AS step, s * {H} AS t FROM b, LATERAL (SELECT unnest(generate_series(lo, hi)) AS s)),
+@query(sql("""WITH b AS (SELECT min(t) // {H} AS lo, max(t) // {H} AS hi FROM ev WHERE event_type IN ('click', 'signup')), g AS (SELECT s AS step, s * {H} AS t FROM b, LATERAL (SELECT unnest(generate_series(lo, hi)) AS s)),
 x AS (SELECT g.step, ln(f.price) AS v FROM g ASOF LEFT JOIN fast f ON g.t >= f.t), y AS (SELECT g.step, ln(f.price) AS v FROM g ASOF LEFT JOIN slow f ON g.t >= f.t),
 dx AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM x), dy AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM y), l AS (SELECT generate_series AS lag FROM generate_series(-6, 6))
 SELECT l.lag, count(*) AS n, round(corr(dx.d, dy.d), 6) AS r FROM dx, l JOIN dy ON dy.step = dx.step + l.lag WHERE dx.d IS NOT NULL AND dy.d IS NOT NULL GROUP BY 1"""))

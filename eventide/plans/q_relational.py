@@ -187,9 +187,9 @@ def a16_minimum_sample(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("qty")).where("n >= 30")
 
 
-@query(sql("SELECT event_type, list(m ORDER BY day) AS curve FROM (SELECT event_type, t // {D} AS day, round(avg(value), 4) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"))
+@query(sql("SELECT event_type, list(m ORDER BY day) AS curve FROM (SELECT event_type, t // {D} AS day, round(avg(value) + 1e-9, 4) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"))
 def a17_curve_per_group(spark, sf):
-    daily = events(spark, sf).groupBy("event_type", days()).agg(F.round(F.avg("value"), 4).alias("m"))
+    daily = events(spark, sf).groupBy("event_type", days()).agg(F.round(F.avg("value") + 1e-9, 4).alias("m"))
     return daily.groupBy("event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "m"))), lambda x: x["m"]).alias("curve"))
 
 

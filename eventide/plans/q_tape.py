@@ -161,7 +161,7 @@ def b18_taker_fee(spark, sf):
     return M.with_fee(fills(spark, sf), regimes(spark), "amount", "price", "date").groupBy("taker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("fee"), 5).alias("fee"))
 
 
-@query("SELECT CAST(lo AS DATE) AS lo, CAST(hi AS DATE) AS hi, rate FROM (VALUES ((SELECT min(o_orderdate) FROM orders), DATE '1997-01-01', 0.0::DOUBLE), (DATE '1997-01-01', DATE '1999-06-01', 0.062::DOUBLE), (DATE '1999-06-01', NULL, 0.07::DOUBLE)) v(lo, hi, rate)")
+@query(sql("WITH " + REGIME_SQL + ", f AS (SELECT round(rate, 3) AS rate, min(date) AS lo FROM fills JOIN regimes ON (lo IS NULL OR date >= lo) AND (hi IS NULL OR date < hi) GROUP BY 1) SELECT lo, lead(lo) OVER (ORDER BY lo) AS hi, rate FROM f"))
 def b19_fee_regime_inference(spark, sf):
     """Recovers the regimes from fees that were charged by them."""
     paid = M.with_fee(fills(spark, sf), regimes(spark), "amount", "price", "date")
