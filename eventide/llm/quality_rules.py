@@ -55,19 +55,18 @@ def terms(words: Column, buckets: int = BUCKETS) -> Column:
     )
 
 
-def trusted_ids(labels: DataFrame, limit: int = 20_000) -> DataFrame:
-    """doc_id of labelled rows of quality 1 that are not toxic, at most ``limit`` of them, taken in order of a hash."""
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of every labelled row of quality 1 that is not toxic."""
+    return labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, trusted: int = 20_000) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(bucket, weight): log of the trusted over the raw share of each bucket, one added to every count.
 
-    Counts cover every document; only the trusted side is bounded (``trusted`` labelled rows), which is what makes its
-    id list small enough to broadcast.
+    The raw counts cover every document and the trusted counts every trusted one.  The join is a shuffled one
+    at every size, with the ids as the hashed side: no id list has to fit a broadcast, and no text is sorted.
     """
-    flagged = docs.select("doc_id", C.whole(text).alias("t")).join(F.broadcast(trusted_ids(labels, trusted).withColumn("trust", F.lit(1))), "doc_id", "left")
+    flagged = docs.select("doc_id", C.whole(text).alias("t")).join(trusted_ids(labels).withColumn("trust", F.lit(1)).hint("shuffle_hash"), "doc_id", "left")
     counted = (
         flagged.select(F.coalesce("trust", F.lit(0)).alias("trust"), F.explode(terms(C.space_words(F.col("t")), buckets)).alias("bucket"))
         .groupBy("bucket")
@@ -79,14 +78,14 @@ def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", buckets:
     return counts.select("bucket", F.log((F.col("good") + 1) / F.lit(float(goods + buckets)) / ((F.col("raw") + 1) / F.lit(float(raws + buckets)))).alias("weight"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = -0.1, min_words: int = 20, max_repeat_percent: int = 30, buckets: int = BUCKETS, trusted: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = -0.1, min_words: int = 20, max_repeat_percent: int = 30, buckets: int = BUCKETS) -> DataFrame:
     """doc_id with the counts, base_failed, score (mean log ratio; null without words) and kept.
 
     Every input row gives one row, repeated rows and null ids too; a null or empty text has no words and fails the base
     rule; with no trusted row at all the ratios only say how the corpus is spread, and hardly move; an empty table gives
     an empty one; other columns are ignored.
     """
-    weights = log_ratios(docs, labels, text, buckets, trusted)
+    weights = log_ratios(docs, labels, text, buckets)
     named = docs.select("doc_id", C.whole(text).alias("t")).withColumn("row", F.monotonically_increasing_id())
     # explode() of one array of words stands between the split and its many uses, so the split runs once a row
     split = named.select("doc_id", "row", "t", F.explode(F.array(C.space_words(F.col("t")))).alias("w"))

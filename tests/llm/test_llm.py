@@ -19,7 +19,7 @@ from eventide.llm import substrings as SS
 from eventide.llm import warc as W
 from eventide.llm.decontaminate import decontaminate
 from eventide.llm.licenses import license_scan
-from eventide.llm.quality_rules import quality_rules
+from eventide.llm.quality_rules import log_ratios, quality_rules, trusted_ids
 
 
 def docs(spark, texts, **columns):
@@ -296,6 +296,14 @@ def test_quality_rules_counts(spark):
         assert out[i] == (*want, len(w) < 20 or 100 * len(spots) > 30 * len(w))
 
 
+def test_every_trusted_document_is_counted(spark):
+    df = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7, F.lit(" v"), F.col("id") % 11).alias("text"))
+    labels = df.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    off = F.max(F.abs(F.col("weight")))
+    assert trusted_ids(labels).count() == 25_000
+    assert log_ratios(df, labels.unionByName(labels), buckets=64).agg(off).first()[0] == 0  # all are trusted: both sides agree
+
+
 def test_classifier_on_held_out_labels(spark, sf):
     from eventide.llm.quality_classifier import quality_scores
 
