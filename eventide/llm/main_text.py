@@ -4,7 +4,7 @@ A page is a sequence of tokens: tags score negative, words score by the element
 pages have main text.  One linear scan finds the contiguous run of tokens with the largest sum.  The weights come from
 labelled pages: pages that mark their main text with one <article> or <main> element, of which a bounded sample is read.
 Elements that are never main text (menus, forms, scripts and the like, by tag or by the words of class, id and role) are
-left out within the run, and the run is widened to the ends of the marked element it lies in, if there is one.
+left out within the run, and the run is widened to the ends of every marked element that it holds words of.
 """
 
 from __future__ import annotations
@@ -108,15 +108,10 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     tag, word = weights["<tag>"], weights["<word>"]
     scores = [weights.get("<" + t[1], tag) if t[0] == "tag" else t[2] * (-abs(word) if t[4] else weights.get(t[1], word)) for t in found]
     start, end = best_run(scores)
-    held = Counter()
-    for t in found[start:end]:
-        if t[5] and not t[4]:
-            held[t[5]] += t[2]
-    if held:
-        mark = held.most_common(1)[0][0]
-        chosen = [t for t in found if t[5] == mark or t[5] > mark and t[0] == "text" and _within(found, t[5], mark)]
-    else:
-        chosen = found[start:end]
+    # the ends are widened to those of every marked element whose words the run holds; nothing of the run is dropped
+    held = {t[5] for t in found[start:end] if t[5] and t[2] and not t[4]}
+    places = [i for i, t in enumerate(found) if t[5] in held]
+    chosen = found[min(start, places[0]) : max(end, places[-1] + 1)] if places else found[start:end]
     blocks, now = [], []
     for kind, name, _, text, skipped, _ in chosen:
         if kind == "text":
@@ -132,12 +127,6 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _within(found: list[tuple], inner: int, outer: int) -> bool:
-    """Whether the marked element ``inner`` lies in ``outer``: outer's tokens stand on both sides of it."""
-    first = next(i for i, t in enumerate(found) if t[5] == inner)
-    return any(t[5] == outer for t in found[:first]) and any(t[5] == outer for t in found[first:])
-
-
 def learn(pages: DataFrame, html: str = "html", labelled: int = 5000, names: int = 300) -> dict[str, float]:
     """Weights from at most ``labelled`` pages that mark their main text, taken in order of a hash of page_id.
 

@@ -273,6 +273,16 @@ def test_main_text(spark):
     assert MT.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_marks_only_widen_the_run():
+    weights = {"<tag>": -0.1, "<word>": 1.0, "div": -3.0}
+    text = lambda html: MT.main_text(html, weights)
+    assert text("<main><p>lead words</p><article><p>a longer nested article with more words</p></article><p>tail words</p></main>") == "lead words\na longer nested article with more words\ntail words"
+    assert text("<article><p>part one</p></article><p>between</p><article><p>part two is longer</p></article>") == "part one\nbetween\npart two is longer"
+    assert text("<p>before it</p><article><p>marked words</p></article>") == "before it\nmarked words"
+    far = "<div>one two</div>"  # scores below zero, so the run alone ends before it
+    assert text(f"{far}<article><p>a b c</p>{far}</article>{far}") == "a b c\none two"
+
+
 def test_best_run():
     assert MT.best_run([-1, 2, -1, 3, -5, 4]) == (1, 4) and MT.best_run([-1, 0]) == (0, 0) and MT.best_run([]) == (0, 0)
 
