@@ -62,11 +62,11 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFram
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
-    """(doc_id, key, n_hit, items) of every distinct (doc_id, text) that holds an item's window; see decontaminate()."""
+    """(doc_id, key, n_hit, n_items, items) of every distinct (doc_id, text) that holds an item's window; see decontaminate()."""
     worded = docs.select("doc_id", C.text_key(C.whole(text)).alias("key"), C.whole(text).alias("t"))
     # explode() of one array of words keeps the split from being merged into its many uses
     worded = worded.select("doc_id", "key", F.explode(F.array(C.alnum_words(C.ascii_lower(F.col("t"))))).alias("w"))
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id"), C.alnum_words(C.ascii_lower(C.whole("text"))).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id"), C.alnum_words(C.ascii_lower(C.whole("text"))).alias("w")).where(F.size("w") > 0)
     short = [r[0] for r in items.where(F.size("w") < window).select(F.size("w")).distinct().collect()]  # at most window - 1 numbers
     runs = _hits(worded, items.where(F.size("w") >= window), window, gram)
     for n in sorted(short):
@@ -76,19 +76,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     # an item's runs in a document become words once per item, then distinct words count
     spots = by_item.select("doc_id", "key", F.explode("runs").alias("r")).distinct().select("doc_id", "key", F.explode(F.sequence("r.a", "r.b")).alias("p"))
     words = spots.distinct().groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n_hit"))
-    ids = by_item.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return words.join(ids, ["doc_id", "key"])
+    named = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
+    ids = by_item.groupBy("doc_id", "key").agg(named.alias("items"), (F.size(named) + F.max(F.col("item_id").isNull().cast("int"))).alias("n_items"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("w.key") == F.col("i.key"))
+    return words.alias("w").join(ids.alias("i"), same).select("w.*", "i.n_items", "i.items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted as strings) and contaminated.
 
-    Null and empty texts have no words and no hits; repeated rows give equal results on each; a null item_id or an item
-    without words is left out; an empty benchmark leaves every document clean; extra columns pass through, and those
+    Null and empty texts have no words and no hits; repeated rows give equal results on each; an item
+    without words is left out; items with a null item_id hit like others, count together as one in n_items and have no
+    name in items; an empty benchmark leaves every document clean; extra columns pass through, and those
     called like the new ones are replaced.  A null doc_id is a value like another.
     """
     new = ["n_words", "n_hit", "n_items", "items", "contaminated"]
-    found = C.written(contamination(docs, benchmark, text, window, gram).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "n_hit", "items"), "contamination")
+    found = C.written(contamination(docs, benchmark, text, window, gram).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "n_hit", "n_items", "items"), "contamination")
     kept = [c for c in docs.columns if c not in new]
     n_words = F.regexp_count(C.whole(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     keyed = docs.select(*kept, C.text_key(C.whole(text)).alias("__key"), n_words.alias("n_words"))
@@ -96,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     return joined.select(
         *(F.col(f"d.{c}").alias(c) for c in [*kept, "n_words"]),
         F.coalesce("f.n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("f.items").isNull(), 0).otherwise(F.size("f.items")).cast("long").alias("n_items"),
+        F.coalesce("f.n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("f.items", F.array().cast("array<string>")).alias("items"),
         F.col("f.n_hit").isNotNull().alias("contaminated"),
     )

@@ -106,6 +106,19 @@ def test_decontaminate(spark):
     assert set(clean.values()) == {(0, False)}
 
 
+def test_decontaminate_null_ids(spark):
+    import corpus_pipeline as P
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    df = spark.createDataFrame([(None, "x " + one), (None, "clean"), (1, two), (2, one + " " + two), (3, two + " y " + three), (4, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, one), (None, two), (None, three)], "item_id long, text string")
+    out = Counter((r.doc_id, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated) for r in decontaminate(df, bench).collect())
+    assert out == Counter([(None, 12, 1, ("7",), True), (None, 0, 0, (), False), (1, 12, 1, (), True), (2, 24, 2, ("7",), True), (3, 24, 1, (), True), (4, 0, 0, (), False)])
+    folder = C.new_folder(spark, "null-ids")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    assert [(r.doc_id, r.text) for r in P.drop_contaminated(spark, df, folder).orderBy("doc_id").collect()] == [(None, "clean"), (4, "clean")]
+
+
 # ---- licenses
 
 
