@@ -132,7 +132,7 @@ def _regression(rows: DataFrame, features: str, penalty: float):
 
 
 def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, labelled: int = 20_000, lexicon: int = 256, exchange: int = 1_000, confident: float = 0.98) -> tuple[list[str], View, View, float]:
-    """(lexicon, text view, metadata view, prior log-odds)."""
+    """(lexicon, text view, metadata view, the log-odds that both views hold: the prior's, 0 unless both were fitted)."""
     truth = accepted(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     truth = C.written(truth, "truth")
     small = F.broadcast(truth)  # at most `labelled` rows of two numbers
@@ -158,7 +158,8 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, labelled: int
             # per class the most confident ones; a batch of pseudo-labels is bounded by the parameter, the search is not
             picked = [sure.where(F.col("y") == y).orderBy(F.desc("sure"), F.xxhash64("doc_id")).limit(exchange) for y in (0.0, 1.0)]
             extra[other].append(C.written(picked[0].unionByName(picked[1]).select("y", other), "pseudo-labels"))
-    prior = log((good + 1) / (count - good + 1))
+    fitted = all(view.weights is not None for view in views.values())
+    prior = log((good + 1) / (count - good + 1)) if fitted else 0.0
     return words, views["text_x"], views["meta_x"], prior
 
 
@@ -166,8 +167,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     """docs with text_score, meta_score (calibrated probabilities of acceptance), score (both combined) and kept.
 
     Null and empty texts, and null metadata, are values with features of their own; repeated rows get equal scores;
-    without labels of both classes every score is one half or the prior and all is kept; columns called like the new ones
-    are replaced, others pass through; an empty table stays empty.
+    without labels of both classes every score is one half and, at the threshold of one half, all is kept; columns called
+    like the new ones are replaced, others pass through; an empty table stays empty.
     """
     lexicon, text_view, meta_view, prior = co_train(docs, labels, **training)
     places = {w: i for i, w in enumerate(lexicon)}

@@ -341,6 +341,16 @@ def test_classifier_on_held_out_labels(spark, sf):
     assert clean.kept.mean() > 0.95 and r[r.quality == 0].kept.mean() < 0.3
 
 
+@pytest.mark.parametrize("quality", [1, 0])
+def test_labels_of_one_class_keep_all(spark, sf, quality):
+    from eventide.llm.quality_classifier import quality_scores
+
+    d = C.table(spark, sf, "documents")
+    labels = d.select("doc_id", F.lit(quality).alias("quality"), F.lit(0).alias("toxic")).limit(80)
+    out = quality_scores(d, labels, rounds=1).select("score", "kept").distinct().collect()
+    assert [tuple(r) for r in out] == [(0.5, True)]
+
+
 # ---- pipeline
 
 
