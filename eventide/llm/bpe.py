@@ -1,10 +1,14 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A task takes its documents in blocks.  The distinct pieces of a block (matches of the split pattern) that are not in its
-dictionary yet are laid out as one corpus of bytes, and an inverted index maps each pair's rank to the places where the
-pair stands.  Merges are replayed in rank order over that index: a merge joins two neighbours and touches only the pairs
-left and right of it.  Documents are then a lookup per piece, so each distinct piece is merged once a block however often
-it occurs, no row is shuffled, and a lost task replays its own blocks alone.
+1. The distinct pieces of the whole corpus (matches of the split pattern) are counted by a Spark aggregation.  Those that
+   stand in most places, about ``dictionary`` of them, are dealt to shards.  A shard is laid out as one corpus of bytes,
+   and an inverted index maps each pair's rank to the places where the pair stands.  Merges are replayed in rank order
+   over that index: a merge joins two neighbours and touches only the pairs left and right of it.
+2. Documents are a lookup per piece.  A piece outside the dictionary is rare: it is replayed, by the same index, with the
+   other new pieces of the block of text where it stands.
+
+No text is shuffled, a worker holds the dictionary, one block and a bounded memory of the blocks before it, whatever the
+size of the corpus, and a lost task replays its own blocks alone.
 """
 
 from __future__ import annotations
@@ -20,11 +24,16 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of a task's memory: characters of a block, and pieces of its dictionary beyond which the next block starts anew.
-BLOCK_CHARS = 16_000_000
-DICTIONARY = 500_000
+from . import common as C
+
+#: Bounds of a worker's memory: characters of a block; bytes laid out at once; pieces that a task remembers from block to
+#: block, and their characters; pieces that it gathers before it hands them on to be counted.
+BLOCK_CHARS, LAYOUT, REMEMBERED, REMEMBERED_CHARS, GATHERED = 1_000_000, 1_000_000, 100_000, 8_000_000, 300_000
+#: Characters from which a text is split bit by bit, and a piece is too long for the dictionary.
+STREAMED, LONG = 1_000_000, 64
 
 
 @lru_cache(maxsize=4)
@@ -49,8 +58,19 @@ def _vocabulary(path: str) -> tuple[list[int], dict[int, int], list[bytes]]:
     return [ranks[bytes([x])] for x in range(256)], pairs, tokens
 
 
-def replay(words: list[bytes], path: str) -> list[bytes]:
+def replay(words: list[bytes], path: str) -> Iterator[bytes]:
     """The packed ids of each word, as merging the pair of the lowest rank, leftmost first, again and again gives them."""
+    now, size = [], 0
+    for w in words:
+        now.append(w)
+        size += len(w)
+        if size >= LAYOUT:
+            yield from _replay(now, path)
+            now, size = [], 0
+    yield from _replay(now, path) if now else ()
+
+
+def _replay(words: list[bytes], path: str) -> list[bytes]:
     of_byte, pairs, _ = _vocabulary(path)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -58,7 +78,7 @@ def replay(words: list[bytes], path: str) -> list[bytes]:
     start = np.array(of_byte, np.int64)[corpus]
     start[ends] = -1  # no pair crosses a word
     n = len(start)
-    ids, after, before = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    ids, after, before = array("i", start.astype(np.int32).tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
     index, get = _first_pairs(start, pairs), pairs.get
     queue = sorted(index)
 
@@ -94,7 +114,7 @@ def replay(words: list[bytes], path: str) -> list[bytes]:
                 for rest in places[k + 1 :]:
                     note(rank, rest)
                 break
-    merged = np.array(ids, np.int64)
+    merged = np.frombuffer(ids, np.int32)
     upto = np.cumsum(merged >= 0)[ends] * 4
     packed = merged[merged >= 0].astype("<u4").tobytes()
     return [packed[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
@@ -119,45 +139,109 @@ class _Numbers(dict):
         return number
 
 
+def _splitter(pattern: str):
+    """A function that gives the pieces of a text; those of a very long text are never all held at once."""
+    import regex
+
+    split = regex.compile(pattern)
+    return lambda t: split.findall(t) if len(t) < STREAMED else (m[0] for m in split.finditer(t))
+
+
+@lru_cache(maxsize=1)
+def _dictionary(path: str) -> dict[str, bytes]:
+    import pyarrow.dataset as ds
+
+    fs, folder = C.open_path(path)
+    return {piece: ids for b in ds.dataset(folder, filesystem=fs, format="parquet").to_batches() for piece, ids in zip(b.column("piece").to_pylist(), b.column("ids").to_pylist())}
+
+
 class Encoder:
-    """Texts to packed ids, with a dictionary of the pieces seen so far."""
+    """Texts to packed ids, by the corpus's dictionary and a memory of the pieces outside it."""
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str, pattern: str, dictionary: dict[str, bytes]):
+        self.path, self.split, self.ranks, self.dictionary = path, _splitter(pattern), load_ranks(path), dictionary
+        self.forget()
 
-        self.path, self.split, self.ranks = path, regex.compile(pattern).findall, load_ranks(path)
-        self.numbers, self.packed = _Numbers(), []
+    def forget(self) -> None:
+        self.numbers, self.packed, self.chars = _Numbers(), [], 0
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, after every piece of the texts was learned."""
-        if len(self.packed) > DICTIONARY:
-            self.numbers, self.packed = _Numbers(), []
+        if len(self.packed) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.forget()
         number = self.numbers.__getitem__
         rows = [array("I", map(number, self.split(t))) for t in texts]
-        new = [piece.encode() for piece in islice(self.numbers, len(self.packed), None)]
-        merged = iter(replay([w for w in new if w not in self.ranks], self.path))
-        self.packed += [next(merged) if w not in self.ranks else self.ranks[w].to_bytes(4, "little") for w in new]
+        new = list(islice(self.numbers, len(self.packed), None))
+        known = [self.dictionary.get(piece) or self._single(piece) for piece in new]
+        merged = replay([piece.encode() for piece, ids in zip(new, known) if ids is None], self.path)
+        self.packed += [next(merged) if ids is None else ids for ids in known]
+        self.chars += sum(map(len, new))
         return (b"".join(map(self.packed.__getitem__, row)) for row in rows)
 
+    def _single(self, piece: str) -> bytes | None:
+        rank = self.ranks.get(piece.encode())
+        return None if rank is None else rank.to_bytes(4, "little")
+
 
 def decode(ids: bytes, path: str) -> bytes:
     tokens = _vocabulary(path)[2]
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    block, size = [], 0
-    for t in texts:
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows, of BLOCK_CHARS characters or one text more."""
+    first, block, size = 0, [], 0
+    for i, t in enumerate(texts):
+        t = t.as_py() or ""
         block.append(t)
         size += len(t)
         if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
+            yield first, block
+            first, block, size = i + 1, [], 0
     if block:
-        yield block
+        yield first, block
+
+
+def learn_dictionary(docs: DataFrame, path: str, pattern: str, text: str, dictionary: int) -> str:
+    """Writes (piece, ids) of the corpus's most widespread pieces that are no token themselves, about ``dictionary`` of
+    them, to the shared folder; its path.
+
+    Pieces that stand in one part of the corpus only, or that are very long, gain nothing by it and are left out.
+    """
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, ranks, seen = _splitter(pattern), load_ranks(path), set()
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([x for x in seen if len(x) <= LONG and x.encode() not in ranks], pa.string())], names=["piece"])
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update(split(t.as_py() or ""))
+                if len(seen) >= GATHERED:
+                    yield give()
+                    seen.clear()
+        yield give()
+
+    counted = docs.select(text).mapInArrow(gather, "piece string").groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = C.written(counted.select("piece", "n", F.floor(F.log2("n") * 8).cast("int").alias("level")), "pieces")
+    # whole levels of counts while they have room, and of the next one a share by hash; a level is an eighth of a doubling
+    least, share, room = 0, 0, dictionary
+    for level, n in sorted(counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if n > room:
+            least, share = level + 1, 1000 * room // n
+            break
+        room -= n
+    chosen = counted.where((F.col("level") >= least) | (F.col("level") == least - 1) & (F.pmod(F.xxhash64("piece"), F.lit(1000)) < share))
+
+    def shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = batch.column(0)
+            yield pa.RecordBatch.from_arrays([pieces, pa.array(list(replay([p.encode() for p in pieces.to_pylist()], path)), pa.binary())], names=["piece", "ids"])
+
+    folder = C.new_folder(docs.sparkSession, "dictionary")
+    chosen.select("piece").repartition(16, "piece").mapInArrow(shard, "piece string, ids binary").write.parquet(folder)
+    return folder
 
 
-def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
+def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, dictionary: int = 1 << 18) -> DataFrame:
     """docs with n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256; with
     ``ids`` also token_ids, an array of int.
 
@@ -169,20 +253,21 @@ def bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
     new = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} | ({"token_ids": T.ArrayType(T.IntegerType())} if ids else {})
     source = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
     schema = T.StructType([*source.schema, *(T.StructField(k, v) for k, v in new.items())])
+    learned = learn_dictionary(source, path, pattern, text, dictionary)
+    kinds = {"n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32())}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = Encoder(path, pattern, _dictionary(learned))
         for batch in batches:
-            rows: dict[str, list] = {c: [] for c in new}
-            for block in _blocks([t or "" for t in batch.column(text).to_pylist()]):
+            for first, block in _blocks(batch.column(text)):
+                rows: dict[str, list] = {c: [] for c in new}
                 for packed in encoder.encode(block):
                     rows["n_tokens"].append(len(packed) // 4)
                     rows["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(decode(packed, path)).hexdigest())
                     if ids:
                         rows["token_ids"].append(np.frombuffer(packed, "<u4").astype(np.int32))
-            kinds = {"n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32())}
-            columns = [*batch.columns, *(pa.array(v, kinds.get(c, pa.string())) for c, v in rows.items())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
+                columns = [*batch.slice(first, len(block)).columns, *(pa.array(v, kinds.get(c, pa.string())) for c, v in rows.items())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
 
     return source.mapInArrow(run, schema)

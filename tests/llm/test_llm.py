@@ -190,6 +190,34 @@ def test_bpe_is_tiktoken(spark):
         assert out[i][2] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_dictionary_and_turnover(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    real = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=B.load_ranks(path), special_tokens={})
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefé") for _ in range(rnd.randint(2, 9)))
+    vocab = [word() for _ in range(300)]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 200))) for _ in range(120)] + ["x" * 5000, "", None]
+    # repeated rows over several partitions: the widespread pieces make the dictionary, and only as many as have room
+    many = docs(spark, texts).unionByName(docs(spark, texts)).repartition(6)
+    folder = B.learn_dictionary(many, path, public.PATTERN, "text", 100)
+    learned = B._dictionary(folder)
+    assert 50 < len(learned) < 150 and all(list(np.frombuffer(v, "<u4")) == real.encode_ordinary(k) for k, v in learned.items())
+    out = B.bpe(many, path, public.PATTERN, dictionary=100).select("doc_id", "token_ids").collect()
+    assert len(out) == 2 * len(texts) and all(list(r.token_ids) == real.encode_ordinary(texts[r.doc_id] or "") for r in out)
+    assert B.bpe(many.limit(0), path, public.PATTERN).count() == 0
+    # the same with blocks, layouts and memory so small that each of them turns over
+    for name, value in (("BLOCK_CHARS", 500), ("LAYOUT", 60), ("REMEMBERED", 40), ("STREAMED", 300)):
+        monkeypatch.setattr(B, name, value)
+    import pyarrow as pa
+
+    encoder = B.Encoder(path, public.PATTERN, learned)
+    got = [list(np.frombuffer(x, "<u4")) for _, block in B._blocks(pa.array(texts)) for x in encoder.encode(block)]
+    assert got == [real.encode_ordinary(t or "") for t in texts]
+
+
 # ---- near duplicates
 
 
