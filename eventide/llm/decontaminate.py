@@ -3,11 +3,12 @@
 A window is ``window`` consecutive words of an item.  With k-grams of ``gram`` words, every such window holds
 ``window - gram + 1`` of them, and the smallest hash among those is kept as a fingerprint.  Equal windows keep the same
 fingerprint at the same place, so joining fingerprints misses no shared window; extending a hit to both sides by
-comparing words finds the windows that hold it.  An item shorter than a window is one window: it gets a pass of its own
-length, in which every k-gram of that length is kept.  DataFrame functions only.
+comparing words finds the windows that hold it.  An item shorter than a window is one window: its first ``gram`` words (all
+of them, where it has fewer) are its fingerprint, and documents keep every k-gram of such lengths in the same pass.
+DataFrame functions only.
 
-Words are compared by 64-bit hash, and each fingerprint row carries the hashes of the words around it, so a hit is
-extended where it is found and no text is joined.
+Words are compared by 64-bit hash.  Documents send (hash, place) of their fingerprints to the join; only those that meet a
+benchmark fingerprint fetch the words around them.
 """
 
 from __future__ import annotations
@@ -18,47 +19,80 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def _context(hashes: Column, first: Column, size: int) -> Column:
-    """size hashes from place first (from 0) on, null beyond the ends."""
-    return F.transform(F.sequence(first, first + size - 1), lambda p: F.when(p >= 0, F.get(hashes, p)))
+def _around(hashes: Column, at: Column, window: int, gram: int) -> Column:
+    """The hashes from window - gram words before place at (from 0) to a window behind it, null beyond the ends."""
+    return F.transform(F.sequence(at - (window - gram), at + (window - 1)), lambda p: F.when(p >= 0, F.get(hashes, p)))
 
 
-def fingerprints(words: Column, window: int, gram: int) -> Column:
-    """Array of (h, at, around): selected k-gram hashes, their place, and the hashes from window-gram words before on.
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _grams(hashes: Column, k: int) -> Column:
+    """Of each run of k words, a 32-bit hash packed over its place, so that a minimum is the smallest, leftmost one."""
+    return F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (k - 1), F.lit(0))), lambda x, i: F.shiftleft(F.hash(x, *(F.get(hashes, i + j) for j in range(1, k))).cast("long"), 32) + i)
 
-    A selection packs a 32-bit hash over the place, so that the minimum of a slice is its smallest, leftmost k-gram.
-    """
-    slack, keep = window - gram, window - gram + 1
 
-    def packed(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - gram + 1), lambda i: F.shiftleft(F.hash(F.slice(h, i, F.lit(gram))).cast("long"), 32) + (i - 1))
+def _winnowed(hashes: Column, window: int, gram: int) -> Column:
+    """The distinct smallest k-grams of the windows; empty where there are fewer words than a window."""
+    slack = window - gram
+
+    def least(k: Column) -> Column:
+        count = F.greatest(F.size(k) - slack, F.lit(0))
+        first = F.slice(k, F.lit(1), count)
+        return F.array_distinct(F.transform(first, lambda x, i: F.least(x, *(F.get(k, i + j) for j in range(1, slack + 1)))) if slack else first)
 
-    def chosen(k: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(k) - slack), lambda i: F.array_min(F.slice(k, i, F.lit(keep)))))
+    return C.let(_grams(hashes, gram), least)
 
-    def selected(h: Column) -> Column:
-        kept = C.let(packed(h), chosen) if slack else packed(h)
-        return F.transform(kept, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("h"), x.bitwiseAND(0x7FFFFFFF).cast("int").alias("at"), _context(h, x.bitwiseAND(0x7FFFFFFF).cast("int") - slack, window + slack).alias("around")))
 
-    return F.when(F.size(words) >= window, C.let(F.transform(words, lambda w: F.xxhash64(w)), selected))
+def _unpacked(k, packed: str) -> list[Column]:
+    return [F.lit(k).alias("k") if isinstance(k, int) else k, F.shiftright(packed, 32).cast("int").alias("h"), F.col(packed).bitwiseAND(0x7FFFFFFF).cast("int").alias("at")]
 
 
-def _hits(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key..., item_id, a, b): runs of document words a..b, of at least a window, that stand in an item."""
+def _fingerprints(rows: DataFrame, window: int, gram: int, short: list[int]) -> DataFrame:
+    """rows (..., w) with a row (k, h, at) for each fingerprint in place of w, k-grams of the short lengths included."""
+    kept = [c for c in rows.columns if c != "w"]
+    if not short:
+        return rows.select(*kept, F.explode(C.let(_hashed(F.col("w")), lambda h: _winnowed(h, window, gram))).alias("x")).select(*kept, *_unpacked(gram, "x"))
+    every = lambda h: F.array(
+        *(F.struct(F.lit(n).alias("k"), _grams(h, n).alias("xs")) for n in short),
+        *([] if gram in short else [F.struct(F.lit(gram).alias("k"), _winnowed(h, window, gram).alias("xs"))]),
+    )
+    lists = rows.select(*kept, F.inline(C.let(_hashed(F.col("w")), every)))
+    return lists.select(*kept, "k", F.explode("xs").alias("x")).select(*kept, *_unpacked(F.col("k"), "x"))
+
+
+def _item_marks(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(k, h, item_id, least, item_around): the fingerprints of the items, with the words around and the least run that
+    makes a window."""
+    hashed = items.select("item_id", _hashed(F.col("w")).alias("hs"))
+    size = F.size("hs")
+    long = hashed.where(size >= window).select("item_id", "hs", F.lit(window).alias("least"), F.explode(_winnowed(F.col("hs"), window, gram)).alias("x"))
+    marks = long.select(*_unpacked(gram, "x"), "item_id", "hs", "least")
+    for k in range(1, min(gram, window - 1) + 1):
+        of_size = (size >= k) & (size < window) if k == gram else size == k
+        first = hashed.where(of_size).select("item_id", "hs", size.alias("least"), F.element_at(_grams(F.col("hs"), k), 1).alias("x"))
+        marks = marks.unionByName(first.select(*_unpacked(k, "x"), "item_id", "hs", "least"))
+    return marks.select("k", "h", "item_id", "least", _around(F.col("hs"), F.col("at"), window, gram).alias("item_around")).distinct()
+
+
+def _runs(worded: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(doc_id, key, item_id, a, b): runs a..b of document words that hold a window of an item."""
     slack = window - gram
-    mine = items.select("item_id", F.explode(fingerprints(F.col("w"), window, gram)).alias("f")).select("item_id", "f.h", F.col("f.around").alias("item_around")).distinct()
-    marks = mine.select("h").distinct()
-    found = docs.select("doc_id", "key", F.explode(fingerprints(F.col("w"), window, gram)).alias("f")).select("doc_id", "key", "f.h", "f.at", "f.around")
-    pairs = found.join(marks, "h", "left_semi").join(mine, "h")
+    marks = C.written(_item_marks(items, window, gram), "benchmark-marks")
+    short = [r[0] for r in marks.where(F.col("least") < window).select("k").distinct().collect()]  # at most gram numbers
+    found = _fingerprints(worded, window, gram, sorted(short)).join(marks.select("k", "h").distinct(), ["k", "h"], "left_semi")
+    spots = found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("k", "h", "at")).alias("spots"))
+    spots = C.written(spots, "benchmark-spots")
+    asked = worded.join(spots, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    around = asked.select("doc_id", "key", F.explode(C.let(_hashed(F.col("w")), lambda h: F.transform("spots", lambda s: F.struct(s["k"].alias("k"), s["h"].alias("h"), s["at"].alias("at"), _around(h, s["at"], window, gram).alias("around"))))).alias("s"))
+    pairs = around.select("doc_id", "key", "s.*").join(marks, ["k", "h"])
     same = F.zip_with("around", "item_around", lambda a, b: F.coalesce(a == b, F.lit(False)))
     run = lambda part: C.let(F.array_position(part, F.lit(False)), lambda p: F.when(p == 0, F.size(part).cast("long")).otherwise(p - 1))
-    sized = pairs.select("doc_id", "key", "item_id", "at", same.alias("same"))
-    if slack:
-        left, right = run(F.reverse(F.slice("same", 1, slack))), run(F.slice("same", slack + gram + 1, slack))
-    else:
-        left = right = F.lit(0).cast("long")
-    middle = F.forall(F.slice("same", slack + 1, gram), lambda x: x)
-    return sized.where(middle).select("doc_id", "key", "item_id", (F.col("at") - left).alias("a"), (F.col("at") + gram - 1 + right).alias("b")).where(F.col("b") - F.col("a") + 1 >= window)
+    sized = pairs.select("doc_id", "key", "item_id", "k", "least", "at", same.alias("same"))
+    left = run(F.reverse(F.slice("same", 1, slack))) if slack else F.lit(0).cast("long")
+    sized = sized.withColumn("left", left).withColumn("right", run(F.slice("same", slack + 1, window)))
+    return sized.where((F.col("right") >= F.col("k")) & (F.col("left") + F.col("right") >= F.col("least"))).select("doc_id", "key", "item_id", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + F.col("right") - 1).alias("b"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
@@ -67,11 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     # explode() of one array of words keeps the split from being merged into its many uses
     worded = worded.select("doc_id", "key", F.explode(F.array(C.alnum_words(C.ascii_lower(F.col("t"))))).alias("w"))
     items = benchmark.select(F.col("item_id"), C.alnum_words(C.ascii_lower(C.whole("text"))).alias("w")).where(F.size("w") > 0)
-    short = [r[0] for r in items.where(F.size("w") < window).select(F.size("w")).distinct().collect()]  # at most window - 1 numbers
-    runs = _hits(worded, items.where(F.size("w") >= window), window, gram)
-    for n in sorted(short):
-        runs = runs.unionByName(_hits(worded, items.where(F.size("w") == n), n, n))
-    runs = C.written(runs, "benchmark-runs")  # two aggregations read it
+    runs = C.written(_runs(worded, items, window, gram), "benchmark-runs")  # two aggregations read it
     by_item = runs.groupBy("doc_id", "key", "item_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
     # an item's runs in a document become words once per item, then distinct words count
     spots = by_item.select("doc_id", "key", F.explode("runs").alias("r")).distinct().select("doc_id", "key", F.explode(F.sequence("r.a", "r.b")).alias("p"))
@@ -93,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     new = ["n_words", "n_hit", "n_items", "items", "contaminated"]
     found = C.written(contamination(docs, benchmark, text, window, gram).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "n_hit", "n_items", "items"), "contamination")
     kept = [c for c in docs.columns if c not in new]
-    n_words = F.regexp_count(C.whole(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    n_words = C.n_parts(C.whole(text), C.NOT_ALNUM)
     keyed = docs.select(*kept, C.text_key(C.whole(text)).alias("__key"), n_words.alias("n_words"))
     joined = keyed.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.__id")) & (F.col("d.__key") == F.col("f.__key")), "left")
     return joined.select(
