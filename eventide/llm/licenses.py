@@ -102,7 +102,7 @@ def license_scan(docs: DataFrame, text: str = "text", gram: int = 3, drift: int
         some = some | F.contains(lowered, F.lit(phrase.split()[0])) & F.contains(lowered, F.lit(phrase.split()[-1]))
     words = F.when(some, C.alnum_words(lowered)).otherwise(F.array().cast("array<string>"))
     places = C.let(words, lambda w: F.struct(*(_places(w, p.split()).alias(f"p{i}") for i, p in enumerate(PHRASES))))
-    based = docs.select(*kept, C.text_key(C.whole(text)).alias("__key"), F.regexp_count(C.whole(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.explode(F.array(places)).alias("__p"))
+    based = docs.select(*kept, C.text_key(C.whole(text)).alias("__key"), C.n_parts(C.whole(text), C.NOT_ALNUM).alias("n_words"), F.explode(F.array(places)).alias("__p"))
     lists = [F.col(f"d.__p.p{i}") for i in range(len(PHRASES))]
     joined = based.alias("d").join(best.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.__id")) & (F.col("d.__key") == F.col("s.__key")), "left")
     every = F.concat(*lists)
