@@ -40,6 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str, heavy: int = 1000, ways: int = 256) -> DataFrame:
+    """left joined to right by ``on``, of which right holds each value once, with hot values dealt over many tasks.
+
+    right's ``weight`` says how many rows of left a value meets.  The ``heavy`` largest values are broadcast (so many rows
+    at most): their rows of left are dealt over ``ways`` parts by a hash of the row, and right's row goes to each part.
+    Any value outside them has at most 1 / heavy of the rows.  right is read twice and should be a written table.
+    """
+    top = F.broadcast(right.where(F.col(weight) >= 2 * ways).orderBy(F.desc(weight), *on).limit(heavy).select(*on, F.lit(True).alias("__hot")))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(ways))).otherwise(F.lit(0)).cast("int")
+    parts_ = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(top, on, "left").withColumn("__part", part).drop("__hot")
+    given = right.join(top, on, "left").withColumn("__part", F.explode(parts_)).drop("__hot", weight)
+    return dealt.join(given, [*on, "__part"], how).drop("__part")
+
+
 def whole(col: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

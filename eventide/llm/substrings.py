@@ -132,28 +132,34 @@ def _blocks(batch: pa.RecordBatch, length: int, step: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def repeated(docs: DataFrame, text: str, length: int, steps: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """(single, found): anchors whose run is not repeated as a whole, by text key; and the repeated windows within such
-    runs, as (ka, kb, first, last)."""
-    keyed = docs.select("doc_id", C.text_key(C.whole(text)).alias("k"), C.whole(text).cast("binary").alias("data")).select("doc_id", "k.*", "data").withColumnsRenamed({"a": "ka", "b": "kb"})
-    long_enough = keyed.where(F.octet_length("data") >= length)
+def anchored(docs: DataFrame, text: str, length: int) -> DataFrame:
+    """(ka, kb, a, first, last, gram, span) of every text of ``length`` bytes or more: its key and arrays of its anchors,
+    written once and read by each step that needs them."""
+    data = C.whole(text).cast("binary")
+    keyed = docs.select(C.text_key(C.whole(text)).alias("k"), data.alias("data")).where(F.octet_length("data") >= length).select(F.col("k.a").alias("ka"), F.col("k.b").alias("kb"), "data")
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ka", "kb", "a", "first", "last", "gram", "span"]
         for batch in batches:
-            found = [anchors(x, length) for x in batch.column("data").to_pylist()]
+            found = [anchors(x.as_py(), length) for x in batch.column("data")]
             rows = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-            take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            columns = [batch.column("ka").take(take), batch.column("kb").take(take), *(pa.array(rows[:, i].astype(np.int32)) for i in range(3)), *(pa.array(rows[:, i]) for i in (3, 4))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(rows[:, i].astype(np.int32 if i < 3 else np.int64))) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb"), *lists], names=["ka", "kb", "a", "first", "last", "gram", "span"])
+
+    return C.written(keyed.mapInArrow(emit, "ka long, kb long, a array<int>, first array<int>, last array<int>, gram array<long>, span array<long>"), "anchors")
 
+
+def repeated(docs: DataFrame, rows: DataFrame, text: str, length: int, steps: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(single, found): anchors whose run is not repeated as a whole, by text key; and the repeated windows within such
+    runs, as (ka, kb, first, last).  ``rows`` is anchored() of docs."""
+    keyed = docs.select("doc_id", C.text_key(C.whole(text)).alias("k"), C.whole(text).cast("binary").alias("data")).select("doc_id", "k.*", "data").withColumnsRenamed({"a": "ka", "b": "kb"})
     member = F.struct("ka", "kb", "a", "first", "last")
-    rows = long_enough.select("ka", "kb", "data").mapInArrow(emit, "ka long, kb long, a int, first int, last int, gram long, span long")
-    classes = rows.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("m"))
+    each = rows.select("ka", "kb", F.inline(F.arrays_zip("a", "first", "last", "gram", "span")))
+    classes = C.written(each.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("m")), "anchor-classes")
     # a member alone in its class is single; where its bucket holds other classes, all of them are refined
-    buckets = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
-    told = classes.join(buckets, "gram").where("n = 1 OR classes > 1")
-    told = C.written(told.select("m.*", (F.col("n") == 1).alias("open"), (F.col("classes") > 1).alias("refine")), "anchors")
+    mixed = C.written(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1").select("gram", "classes", F.lit(True).alias("refine")), "mixed-buckets")
+    told = C.spread_join(classes, mixed, ["gram"], "classes", "left").where("n = 1 OR refine")
+    told = C.written(told.select("m.*", (F.col("n") == 1).alias("open"), F.coalesce("refine", F.lit(False)).alias("refine")), "told-anchors")
 
     # one document of each text brings the bytes around the anchors to refine
     asked = told.where("refine").groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "first", "last", "open")).alias("nodes"))
@@ -179,12 +185,12 @@ def repeated(docs: DataFrame, text: str, length: int, steps: tuple[int, ...]) ->
         blocks = nodes.mapInArrow(lambda it, step=step: (_blocks(b, length, step) for b in it if b.num_rows), "ka long, kb long, a int, open boolean, lo int, hi int, core long, span long")
         blocks = C.written(blocks, "blocks")
         classes = C.written(blocks.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open"), F.min(F.struct("ka", "kb", "a", "lo", "hi", "open")).alias("m")), "classes")
-        shared = classes.where("n > 1 AND any_open").select("core", "span")
-        settled = blocks.where("open").join(shared, ["core", "span"], "left_semi").select("ka", "kb", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
+        shared = classes.where("n > 1 AND any_open").select("core", "span", "n")
+        settled = C.spread_join(blocks.where("open"), shared, ["core", "span"], "n", "left_semi").select("ka", "kb", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
         found = settled if found is None else found.unionByName(settled)
         if turn + 1 < len(steps):
-            mixed = classes.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("any_open") & (F.col("n") == 1)).alias("some")).where("c > 1 AND some").select("core")
-            onward = classes.join(mixed, "core", "left_semi").select("m.ka", "m.kb", "m.a", "m.lo", "m.hi", (F.col("m.open") & (F.col("n") == 1)).alias("open"))
+            mixed = C.written(classes.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("any_open") & (F.col("n") == 1)).alias("some")).where("c > 1 AND some").select("core", "c"), "mixed-cores")
+            onward = C.spread_join(classes, mixed, ["core"], "c", "left_semi").select("m.ka", "m.kb", "m.a", "m.lo", "m.hi", (F.col("m.open") & (F.col("n") == 1)).alias("open"))
             nodes = onward.join(segments.select("ka", "kb", "a", "left", "segment"), ["ka", "kb", "a"])
     return told.where("open").select("ka", "kb", "a"), C.written(found, "windows")
 
@@ -197,31 +203,48 @@ def substring_dedup(docs: DataFrame, text: str = "text", length: int = 400, step
     lose everything, whatever their doc_id; extra columns pass through, and those called like the new ones are replaced;
     an empty table stays empty.  ``steps`` are the sizes of blocks; the last must be 1.
     """
-    single, found = repeated(docs.select("doc_id", text), text, length, steps)
+    rows = anchored(docs, text, length)
+    single, found = repeated(docs.select("doc_id", text), rows, text, length, steps)
     lists = single.groupBy("ka", "kb").agg(F.collect_set("a").alias("single")).join(found.groupBy("ka", "kb").agg(F.collect_set(F.struct("first", "last")).alias("found")), ["ka", "kb"], "left")
+    runs = rows.select("ka", "kb", "a", "first", "last").join(lists, ["ka", "kb"], "left")
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[np.ndarray] = []
+            for a, first, last, single_, found_ in zip(*(batch.column(c) for c in ("a", "first", "last", "single", "found"))):
+                whole = ~np.isin(a.values.to_numpy(), single_.values.to_numpy()) if single_.is_valid else np.ones(len(a), bool)
+                parts = found_.values.flatten() if found_.is_valid else [pa.array([], pa.int32())] * 2
+                start, end = np.r_[first.values.to_numpy()[whole], parts[0].to_numpy()], np.r_[last.values.to_numpy()[whole], parts[1].to_numpy()] + length
+                order = np.argsort(start, kind="stable")
+                out.append(_union(start[order], np.maximum.accumulate(end[order])) if len(order) else np.zeros((0, 2), np.int32))
+            ends = pa.array(np.cumsum([0, *(2 * len(x) for x in out)]), pa.int32())
+            spans = pa.array(np.concatenate([x.ravel() for x in out]).astype(np.int32) if out else [], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb"), pa.ListArray.from_arrays(ends, spans)], names=["ka", "kb", "spans"])
+
+    # equal texts have equal spans, so one row of each stands for all
+    gone = C.written(runs.mapInArrow(merge, "ka long, kb long, spans array<int>").where(F.size("spans") > 0).dropDuplicates(["ka", "kb"]), "removed-spans")
     new = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()} | ({"kept": T.BinaryType()} if keep_bytes else {})
     source = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     keyed = source.withColumn("__k", C.text_key(C.whole(text)))
-    joined = keyed.join(lists.select(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("__k"), "single", "found"), "__k", "left").drop("__k")
+    joined = keyed.join(gone.select(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("__k"), F.col("spans").alias("__spans")), "__k", "left").drop("__k")
     kept = [c for c in source.columns if keep_bytes or c != text]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in new}
-            for t, single_, found_ in zip(*(batch.column(c).to_pylist() for c in (text, "single", "found"))):
-                data = (t or "").encode()
-                runs = anchors(data, length)
-                covered = runs[~np.isin(runs[:, 0], np.array(single_ or [], np.int64))][:, 1:3].tolist() + [(x["first"], x["last"]) for x in found_ or []]
-                edge = np.zeros(len(data) + 1, np.int64)
-                for first, last in covered:
-                    edge[first] += 1
-                    edge[last + length] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                left = np.frombuffer(data, np.uint8)[~gone].tobytes() if covered else data
-                values = (len(data), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(data) else 0, hashlib.sha256(left).hexdigest(), left)
-                for c, v in zip(new, values):
+            for t, s in zip(batch.column(text), batch.column("__spans")):
+                data, spans = (t.as_py() or "").encode(), s.as_py() or []
+                edges = [0, *spans, len(data)]
+                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if spans else data
+                for c, v in zip(new, (len(data), len(data) - len(left), len(spans) // 2, hashlib.sha256(left).hexdigest(), left)):
                     rows[c].append(v)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, {"kept_sha256": pa.string(), "kept": pa.binary()}.get(c, pa.int64())) for c, v in rows.items())], names=[*kept, *new])
 
     schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(c, k) for c, k in new.items())])
     return joined.mapInArrow(run, schema)
+
+
+def _union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The union of the intervals, as rows of neighbours joined; starts are in order, ends the largest so far."""
+    first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+    return np.stack([start[first], end[np.r_[first[1:] - 1, len(end) - 1]]], axis=1)
