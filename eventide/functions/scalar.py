@@ -22,6 +22,17 @@ def finite(x) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def ratio(a, b) -> Column:
+    """a / b, null where b is 0 or either is missing."""
+    return F.try_divide(_c(a), _c(b))
+
+
+def log_ratio(a, b) -> Column:
+    """ln(a / b), null unless both are positive."""
+    a, b = _c(a), _c(b)
+    return F.when((a > 0) & (b > 0), F.ln(F.try_divide(a, b)))
+
+
 def bucket(ts, width: int) -> Column:
     return F.floor(_c(ts) / width)
 
@@ -91,15 +102,17 @@ def wilson(wins, n, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def two_proportion_z(w1, n1, w2, n2) -> Column:
-    p = (_c(w1) + _c(w2)) / (_c(n1) + _c(n2))
-    sd = F.sqrt(p * (1 - p) * (1 / _c(n1) + 1 / _c(n2)))
-    return F.when(sd > 0, (_c(w1) / _c(n1) - _c(w2) / _c(n2)) / sd)
+    """z of the difference of two rates; null with an empty arm or without variance."""
+    w1, n1, w2, n2 = _c(w1), F.when(_c(n1) > 0, _c(n1)), _c(w2), F.when(_c(n2) > 0, _c(n2))
+    p = (w1 + w2) / (n1 + n2)
+    return ratio(w1 / n1 - w2 / n2, F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2)))
 
 
 def runs_z(runs, n1, n0) -> Column:
+    """z of the number of runs; null where it has no variance, as with one outcome of each kind or of one kind only."""
     n1, n0 = _c(n1).cast("double"), _c(n0).cast("double")
     n, m = n1 + n0, 2 * n1 * n0
-    return (_c(runs) - (1 + m / n)) / F.sqrt(m * (m - n) / (n * n * (n - 1)))
+    return ratio(_c(runs) - (1 + ratio(m, n)), F.sqrt(ratio(m * (m - n), n * n * (n - 1))))
 
 
 def imbalance(bid, ask) -> Column:
@@ -108,8 +121,8 @@ def imbalance(bid, ask) -> Column:
 
 
 def payoff(stake, price, won, rate) -> Column:
-    """Hold to the end: what the shares pay, less the stake and the fee."""
-    shares = _c(stake) / _c(price)
+    """Hold to the end: what the shares pay, less the stake and the fee; null at a price of 0."""
+    shares = ratio(_c(stake), _c(price))
     return shares * _c(won) - _c(stake) - shares * _c(rate) * _c(price) * (1 - _c(price))
 
 

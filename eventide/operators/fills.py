@@ -71,19 +71,22 @@ def walk_ladder(levels: DataFrame, by: Sequence[str], price: str, size: str, ord
     return spent.select(*by, "notional", F.when(F.col("shares") > 0, F.col("spent") / F.col("shares")).alias("avg_px"), "shares", "spent", (F.col("spent") < 0.999 * F.col("notional")).alias("exhausted"))
 
 
-def walk_quantity(levels: DataFrame, by: Sequence[str], price: str, size: str, order: Sequence[str], quantity: float) -> DataFrame:
-    """Per ladder: got and cost of taking so many units."""
+def walk_quantity(levels: DataFrame, by: Sequence[str], price: str, size: str, order: Sequence[str], quantities: Sequence[float]) -> DataFrame:
+    """Per ladder and quantity: got and cost of taking so many units, in one pass over the levels."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    take = F.least(F.col(size), F.greatest(F.lit(quantity) - (F.sum(size).over(w) - F.col(size)), F.lit(0.0)))
-    return levels.withColumn("__take", take).groupBy(*by).agg(F.sum("__take").alias("got"), F.sum(F.col("__take") * F.col(price)).alias("cost"))
+    asked = levels.withColumn("__before", F.sum(size).over(w) - F.col(size)).withColumn("quantity", F.explode(F.array(*map(F.lit, quantities))))
+    take = F.least(F.col(size), F.greatest(F.col("quantity") - F.col("__before"), F.lit(0.0)))
+    return asked.withColumn("__take", take).groupBy(*by, "quantity").agg(F.sum("__take").alias("got"), F.sum(F.col("__take") * F.col(price)).alias("cost"))
 
 
 def walk_array(levels: Column, notional: float) -> Column:
-    """The same walk over array<struct<price,size>> within a row: struct(spent, shares)."""
+    """The same walk over array<struct<price,size>> within a row: struct(spent, shares); levels without a positive price and
+    size are skipped here too."""
     start = F.struct(F.lit(0.0).alias("spent"), F.lit(0.0).alias("shares"))
 
     def step(acc, level):
-        take = F.least(level["price"] * level["size"], F.lit(float(notional)) - acc["spent"])
-        return F.struct((acc["spent"] + take).alias("spent"), (acc["shares"] + take / level["price"]).alias("shares"))
+        good = (level["price"] > 0) & (level["size"] > 0)
+        take = F.when(good, F.least(level["price"] * level["size"], F.lit(float(notional)) - acc["spent"])).otherwise(0.0)
+        return F.struct((acc["spent"] + take).alias("spent"), (acc["shares"] + F.when(good, take / level["price"]).otherwise(0.0)).alias("shares"))
 
     return F.aggregate(levels, start, step)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from .series import first_of
 
 
@@ -67,7 +68,7 @@ def auc(rows: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame
     steps = rows.groupBy(*by, score).agg(F.count_if(label).alias("n1"), F.count_if(~F.col(label)).alias("n0"))
     below = F.coalesce(F.sum("n0").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = steps.withColumn("__w", F.col("n1") * (below + F.col("n0") / 2))
-    return won.groupBy(*by).agg((F.sum("__w") / (F.sum("n1") * F.sum("n0"))).alias("auc"))
+    return won.groupBy(*by).agg(S.ratio(F.sum("__w"), F.sum("n1") * F.sum("n0")).alias("auc"))
 
 
 def margin_picks(rows: DataFrame, p: str, price: Column, margin: float, by: Sequence[str], ts: str) -> DataFrame:

@@ -80,17 +80,19 @@ def coverage(rows: DataFrame, day: Column, expected: int) -> DataFrame:
     return joined.withColumn("state", F.when(F.col("n") == 0, "missing").when(F.col("n") < expected, "partial").otherwise("full"))
 
 
-def zsignal(probes: DataFrame, feed: DataFrame, ts: str, price: str, lookback_us: int, sigma_window_us: int, step_us: int, lat_us: int, bucket_us: int) -> DataFrame:
+def zsignal(probes: DataFrame, feed: DataFrame, ts: str, price: str, lookback_us: int, sigma_window_us: int, step_us: int, lat_us: int, bucket_us: int, ddof: int = 0) -> DataFrame:
     """probes with g (log return over the look-back, in basis points), sigma of the same step's returns on a grid over the
-    window before, and z = g / sigma; null where either is missing."""
+    window before, and z = g / sigma; null where a price is missing or not positive, or sigma is 0.
+
+    ``ddof`` 1 takes the sample's deviation in place of the population's."""
     ticks = feed.select(F.col(ts).alias("__at"), F.col(price).alias("__px"))
     look = lambda rows, at, name: asof(rows.withColumn("__at", at), ticks, [], "__at", ["__px"], bucket_us=bucket_us, quote_ts="__q").withColumnRenamed("__px", name).drop("__q", "__at")
     now = look(look(probes, F.col(ts) - lat_us, "__now"), F.col(ts) - lat_us - lookback_us, "__then")
-    signal = now.withColumn("g", 1e4 * F.ln(F.col("__now") / F.col("__then"))).drop("__now", "__then")
+    signal = now.withColumn("g", 1e4 * S.log_ratio("__now", "__then")).drop("__now", "__then")
     grid = probes.select("probe", F.posexplode(F.sequence(F.col(ts) - lat_us - sigma_window_us, F.col(ts) - lat_us, F.lit(step_us))).alias("i", "__g"))
     priced = look(grid, F.col("__g"), "__p")
     w = Window.partitionBy("probe").orderBy("i")
-    sigma = priced.withColumn("__r", F.ln(F.col("__p")) - F.ln(F.lag("__p").over(w))).groupBy("probe").agg((F.stddev_pop("__r") * 1e4).alias("sigma"))
+    sigma = priced.withColumn("__r", F.ln(F.col("__p")) - F.ln(F.lag("__p").over(w))).groupBy("probe").agg(((F.stddev_samp if ddof else F.stddev_pop)("__r") * 1e4).alias("sigma"))
     return signal.join(sigma, "probe", "left").withColumn("z", F.when(F.col("sigma") > 0, F.col("g") / F.col("sigma")))
 
 

@@ -28,13 +28,13 @@ def runs_test(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: str)
 
 
 def autocorrelation(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, lags: Sequence[int]) -> DataFrame:
-    """(by…, k, r) with the mean and the sum of squares of the whole series."""
+    """(by…, k, r) with the mean and the sum of squares of the whole series; r is null for a constant series."""
     w = Window.partitionBy(*by).orderBy(*order)
     means = df.groupBy(*by).agg(F.avg(value).alias("__m"))
     x = df.join(means, list(by)).withColumn("__x", F.col(value) - F.col("__m"))
     lagged = x.select(*by, "__x", *(F.lag("__x", k).over(w).alias(f"__l{k}") for k in lags))
     sums = lagged.groupBy(*by).agg(F.sum(F.col("__x") * F.col("__x")).alias("__d"), *(F.sum(F.col("__x") * F.col(f"__l{k}")).alias(f"__s{k}") for k in lags))
-    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"__s{k}") / F.col("__d")).alias("r")) for k in lags)))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), S.ratio(f"__s{k}", "__d").alias("r")) for k in lags)))
     return sums.select(*by, rows.alias("__r")).select(*by, "__r.*")
 
 

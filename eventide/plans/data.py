@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
+
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 
@@ -51,7 +53,7 @@ def slow_feed(spark, sf_dir):
 
 def ladders(spark, sf_dir):
     """A ladder per order: levels by price, with a total order."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", S.ratio("l_extendedprice", "l_quantity").alias("price"), F.col("l_quantity").alias("size"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 LADDER_ORDER = ("price", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import accounts as A
 from ..operators import learn as L
 from ..streaming import live as R
 from .data import DAY, HOUR, events, sql, table, trades
@@ -20,9 +21,10 @@ def stream(spark, sf, kind: str | None = None):
 # Windows that end before the last event less the allowed lateness have been given when the stream has run dry.
 
 
-@query(sql("SELECT event_type, count(*) AS n FROM ev GROUP BY 1"))
+@query(sql("SELECT event_type, t // 400000000 * 400000000 AS start_us, count(*) AS n FROM ev GROUP BY 1, 2 HAVING start_us + 400000000 <= (SELECT max(t) - 400000000 FROM ev)"))
 def r1_tick_ingestion(spark, sf):
-    return R.drain(stream(spark, sf).withWatermark("ts", "400 seconds").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
+    out = R.drain(R.retained_counts(stream(spark, sf), ["event_type"], "ts", "400 seconds"))
+    return out.select("event_type", F.unix_micros("start").alias("start_us"), "n")
 
 
 @query(sql("SELECT user_id, t // (6 * {H}) * 6 * {H} AS start_us, max_by(value, t) AS last FROM ev WHERE event_type = 'view' GROUP BY 1, 2 HAVING start_us + 6 * {H} <= (SELECT max(t) - {H} FROM ev WHERE event_type = 'view')"))
@@ -48,11 +50,21 @@ def r5_change_dedup(spark, sf):
     return R.drain(R.changes_only(views, "user_id", "t", "value", F.floor(F.col("value") / 50)))
 
 
-@query(sql("SELECT count(*) AS n, count(*) FILTER (WHERE t % {H} < 1800000000) AS in_time FROM ev"))
+#: Every twentieth event becomes available two weeks after it happened; arrivals are cut into ten batches of equal spans.
+#: Spark judges lateness by the watermark of the batch before, so a batch's bound comes from what lay two batches back.
+ARRIVED = """a AS (SELECT t, t + CASE WHEN event_id % 20 = 0 THEN 14 * {D} ELSE 0 END AS came FROM ev), g AS (SELECT min(came) AS lo, max(came) AS hi FROM a), b AS (SELECT t, (came - lo) * 10 // (hi - lo + 1) AS batch FROM a, g),
+m AS (SELECT batch, max(t) AS top FROM b GROUP BY 1), l AS (SELECT b.batch, max(m.top) - {D} AS bound FROM (SELECT DISTINCT batch FROM b) b LEFT JOIN m ON m.batch <= b.batch - 2 GROUP BY 1)"""
+
+
+@query(sql("WITH " + ARRIVED + " SELECT t // {D} * {D} AS start_us, count(*) AS n FROM b JOIN l USING (batch) WHERE bound IS NULL OR t // {D} * {D} + {D} > bound GROUP BY 1 HAVING start_us + {D} <= (SELECT max(t) - {D} FROM ev)"))
 def r6_late_rows(spark, sf):
-    """Availability as a column: rows that arrive after the decision clock of their hour are not in time."""
-    late = F.unix_micros("ts") % HOUR >= HOUR // 2
-    return R.drain(stream(spark, sf).groupBy().agg(F.count(F.lit(1)).alias("n"), F.count_if(~late).alias("in_time")), "complete")
+    """Rows that become available after their day was closed are dropped by the watermark."""
+    rows = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows = rows.withColumn("came", F.unix_micros("ts") + F.when(F.col("event_id") % 20 == 0, 14 * DAY).otherwise(0))
+    span = rows.agg(F.min("came").alias("lo"), F.max("came").alias("hi")).first()  # two numbers
+    batch = F.floor((F.col("came") - F.lit(span.lo or 0)) * 10 / F.lit((span.hi or 0) - (span.lo or 0) + 1))
+    out = R.drain(R.counts_in_time(R.arrivals(rows, batch, 10), "ts", "1 day", "1 day"))
+    return out.select(F.unix_micros("start").alias("start_us"), "n")
 
 
 @query(sql("SELECT d.event_id AS d_id, r.event_id AS r_id FROM ev d JOIN ev r ON d.user_id = r.user_id AND d.event_type = 'view' AND r.event_type = 'purchase' AND r.t > d.t AND r.t <= d.t + 6 * {H}"))
@@ -64,16 +76,30 @@ def accounts(rows):
     return rows.select(F.col("user_id").alias("account"), "event_id", "t", F.floor(F.col("t") / DAY).alias("day"), (F.col("value") - 60).alias("pnl"))
 
 
-@query()
-def r8_account_risk_state(spark, sf):
-    risk = R.Risk(1000.0, day_loss=100.0)
-    live = R.drain(R.risk_state(accounts(stream(spark, sf).withColumn("t", F.unix_micros("ts"))), risk))
-    return live.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+RISK = """WITH x AS (SELECT user_id AS account, event_id, t, t // {D} AS day, value - 60 AS pnl, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS place FROM ev),
+e AS (SELECT *, sum(pnl) OVER w AS equity, max(CASE WHEN pnl >= 0 THEN place END) OVER w AS gain, sum(pnl) OVER (PARTITION BY account, day ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS day_pnl, count(*) OVER r AS n, avg(pnl) OVER r AS m, stddev_samp(pnl) OVER r AS sd
+FROM x WINDOW w AS (PARTITION BY account ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY account ORDER BY t, event_id ROWS 39 PRECEDING)),
+d AS (SELECT *, greatest(max(equity) OVER (PARTITION BY account ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 0) - equity AS drawdown, place - coalesce(gain, 0) AS loss_run, CASE WHEN n >= 25 AND sd > 0 THEN m / (sd / sqrt(n)) END AS decay_t FROM e),
+s AS (SELECT *, max(drawdown >= 350 OR loss_run >= 6 OR coalesce(decay_t <= -1.5, false)) OVER (PARTITION BY account ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS halted, min(day_pnl) OVER (PARTITION BY account, day ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) <= -100 AS paused FROM d)
+"""
 
 
-@query()
-def r9_risk_replay(spark, sf):
-    return R.risk_replay(accounts(events(spark, sf)), R.Risk(1000.0, day_loss=100.0)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+@query(sql(RISK + "SELECT account, count(*) AS n, round(sum(pnl), 4) AS equity, round(max(drawdown), 4) AS drawdown, max(loss_run) AS loss_run, round(min(decay_t), 5) AS worst_t, min(CASE WHEN halted THEN t END) AS halted_at, count(*) FILTER (WHERE paused AND NOT halted) AS paused FROM s GROUP BY 1"))
+def r8_account_risk_state(spark, sf):
+    """The stream's trades are appended to a table; an account's state is windows over it, up to any trade."""
+    live = R.drain(accounts(stream(spark, sf).withColumn("t", F.unix_micros("ts"))))
+    path = A.risk_path(live, "account", "day", ["t", "event_id"], "pnl", 350.0, 6, 100.0, recent=40, least=25)
+    halted = F.col("status") == "HALTED"
+    return path.groupBy("account").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("pnl"), 4).alias("equity"), F.round(F.max("drawdown"), 4).alias("drawdown"), F.max("loss_run").cast("long").alias("loss_run"), F.round(F.min("decay_t"), 5).alias("worst_t"),
+        F.min(F.when(halted, F.col("t"))).alias("halted_at"), F.count_if(F.col("status") == "PAUSED").alias("paused"),
+    )
+
+
+@query(sql("WITH x AS (SELECT user_id AS account, event_id, t, t // {D} // 7 AS week, value - 60 AS pnl, avg(CASE WHEN value > 60 THEN 1.0 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS 9 PRECEDING) AS rate FROM ev), w AS (SELECT account, week, count(*) AS n, sum(pnl) AS pnl, max_by(rate, (t, event_id)) AS rate FROM x GROUP BY 1, 2) SELECT account, week, n, round(pnl, 4) AS pnl, round(rate, 6) AS rate, CASE WHEN pnl < 0 THEN 'down' WHEN pnl > 0 AND n >= 3 AND rate >= 0.5 THEN 'up' ELSE 'stay' END AS verdict FROM w"))
+def r9_weekly_review(spark, sf):
+    w = A.weekly_review(accounts(events(spark, sf)), "account", "day", ["t", "event_id"], "pnl", 3, 0.5, recent=10)
+    return w.select("account", "week", "n", F.round("pnl", 4).alias("pnl"), F.round("rate", 6).alias("rate"), "verdict")
 
 
 @query(sql("SELECT user_id, count(*) AS gaps FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM ev) WHERE gap > {D} GROUP BY 1"))

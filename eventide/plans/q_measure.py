@@ -226,7 +226,7 @@ def m23_concentration(spark, sf):
 
     d = pnl(spark, sf).groupBy("day").agg(F.sum("pnl").alias("s")).withColumn("all", F.lit(0))  # a row per calendar day
     x = with_drawdown(d, ["all"], ["day"], "s").withColumn("rk", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("s"), "day")))
-    return x.agg(F.round(F.sum(F.when(F.col("rk") <= 5, F.col("s"))) / F.sum("s"), 6).alias("top5"), F.round(F.max("s"), 4).alias("best"), F.round(F.min("s"), 4).alias("worst"), F.round(F.max("drawdown"), 4).alias("maxdd"))
+    return x.agg(F.round(S.ratio(F.sum(F.when(F.col("rk") <= 5, F.col("s"))), F.sum("s")), 6).alias("top5"), F.round(F.max("s"), 4).alias("best"), F.round(F.min("s"), 4).alias("worst"), F.round(F.max("drawdown"), 4).alias("maxdd"))
 
 
 @query(sql("WITH s(stake) AS (VALUES (10.0::DOUBLE), (100.0::DOUBLE), (1000.0::DOUBLE)) SELECT stake, count(*) AS n, round(avg(least(stake, price * size)), 6) AS used, round(quantile_cont(least(stake, price * size) / stake, 0.5), 6) AS med_share FROM tr, s GROUP BY 1"))

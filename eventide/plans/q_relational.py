@@ -290,7 +290,7 @@ def w12_rolling_win_rate(spark, sf):
 def w13_rolling_t(spark, sf):
     w, x = by_user().rowsBetween(-39, 0), F.col("value") - 60
     n = F.count(F.lit(1)).over(w)
-    return events(spark, sf).select("event_id", F.when(n >= 10, F.round(F.avg(x).over(w) / (F.stddev_samp(x).over(w) / F.sqrt(n)), 5)).alias("t_stat"))
+    return events(spark, sf).select("event_id", F.when(n >= 10, F.round(S.ratio(F.avg(x).over(w), F.stddev_samp(x).over(w) / F.sqrt(n)), 5)).alias("t_stat"))
 
 
 @query(sql("SELECT user_id, day, round(sum(pnl) OVER (PARTITION BY user_id ORDER BY day), 4) AS cum FROM (SELECT user_id, t // {D} AS day, sum(value - 60) AS pnl FROM ev GROUP BY 1, 2)"))

@@ -45,7 +45,7 @@ def b3_book_walk(spark, sf):
 @query(sql("""WITH l AS (SELECT *, sum(size) OVER (PARTITION BY l_orderkey ORDER BY price, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) - size AS before FROM ladder),
 k AS (SELECT l_orderkey, price, least(size, greatest(60 - before, 0)) AS take FROM l) SELECT l_orderkey, sum(take) AS got, round(sum(take * price), 8) AS cost FROM k GROUP BY 1"""))
 def b4_walk_for_quantity(spark, sf):
-    return X.walk_quantity(ladders(spark, sf), ["l_orderkey"], "price", "size", LADDER_ORDER, 60.0).select("l_orderkey", "got", F.round("cost", 8).alias("cost"))
+    return X.walk_quantity(ladders(spark, sf), ["l_orderkey"], "price", "size", LADDER_ORDER, (60.0,)).select("l_orderkey", "got", F.round("cost", 8).alias("cost"))
 
 
 @query(sql(WALK.replace("{where}", "WHERE price <= 1500")))
@@ -165,14 +165,14 @@ def b18_taker_fee(spark, sf):
 def b19_fee_regime_inference(spark, sf):
     """Recovers the regimes from fees that were charged by them."""
     paid = M.with_fee(fills(spark, sf), regimes(spark), "amount", "price", "date")
-    implied = F.col("fee") / (F.col("amount") * F.col("price") * (1 - F.col("price")))
+    implied = S.ratio("fee", F.col("amount") * F.col("price") * (1 - F.col("price")))
     return M.infer_regimes(paid, "date", implied, 1, 1, 3)
 
 
 @query(sql("WITH " + REGIME_SQL + """, p AS (SELECT date, round(amount * rate * (price * (1 - price)), 5) / (amount * price * (1 - price)) AS implied, rate FROM fills JOIN regimes ON (lo IS NULL OR date >= lo) AND (hi IS NULL OR date < hi)),
 d AS (SELECT date, round(median(implied), 3) AS implied, any_value(rate) AS rate FROM p GROUP BY 1) SELECT year(date) AS y, count(*) AS days, count(*) FILTER (WHERE abs(implied - rate) > 0.002) AS off FROM d GROUP BY 1"""))
 def b20_fee_audit(spark, sf):
-    paid = M.with_fee(fills(spark, sf), regimes(spark), "amount", "price", "date").withColumn("implied", F.col("fee") / (F.col("amount") * F.col("price") * (1 - F.col("price"))))
+    paid = M.with_fee(fills(spark, sf), regimes(spark), "amount", "price", "date").withColumn("implied", S.ratio("fee", F.col("amount") * F.col("price") * (1 - F.col("price"))))
     daily = paid.groupBy("date").agg(F.round(F.median("implied"), 3).alias("implied"), F.first("rate").alias("rate"))
     return daily.groupBy(F.year("date").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("days"), F.count_if(F.abs(F.col("implied") - F.col("rate")) > 0.002).alias("off"))
 
@@ -221,7 +221,7 @@ def b26_latency_table(spark, sf):
 @query(sql("""WITH t AS (SELECT l_orderkey, min(price) AS touch, min_by(price * size, (price, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS rest, sum(price * size) / sum(size) AS deep FROM ladder GROUP BY 1), s(stake) AS (VALUES (20000.0::DOUBLE), (100000.0::DOUBLE))
 SELECT l_orderkey, stake, round((least(stake, rest) * touch + greatest(stake - rest, 0) * deep) / stake, 8) AS blended FROM t, s"""))
 def b27_blended_fill(spark, sf):
-    t = ladders(spark, sf).groupBy("l_orderkey").agg(F.min("price").alias("touch"), F.min_by(F.col("price") * F.col("size"), F.struct(*LADDER_ORDER)).alias("rest"), (F.sum(F.col("price") * F.col("size")) / F.sum("size")).alias("deep"))
+    t = ladders(spark, sf).groupBy("l_orderkey").agg(F.min("price").alias("touch"), F.min_by(F.col("price") * F.col("size"), F.struct(*LADDER_ORDER)).alias("rest"), S.ratio(F.sum(F.col("price") * F.col("size")), F.sum("size")).alias("deep"))
     each = t.withColumn("stake", F.explode(F.array(F.lit(20000.0), F.lit(100000.0))))
     return each.select("l_orderkey", "stake", F.round((F.least("stake", "rest") * F.col("touch") + F.greatest(F.col("stake") - F.col("rest"), F.lit(0.0)) * F.col("deep")) / F.col("stake"), 8).alias("blended"))
 
@@ -340,11 +340,8 @@ def b41_resampled_decision_points(spark, sf):
 k AS (SELECT l_orderkey, clip, price, least(size, greatest(clip - before, 0)) AS take FROM l, c), g AS (SELECT l_orderkey, clip, sum(take) AS got, sum(take * price) AS cost FROM k GROUP BY 1, 2)
 SELECT clip, count(*) AS n, round(avg(CASE WHEN got >= clip THEN 1.0 ELSE 0 END), 6) AS fill_rate, round(sum(cost) / sum(got), 4) AS avg_px FROM g GROUP BY 1"""))
 def b42_clip_walk(spark, sf):
-    walked = None
-    for clip in (10.0, 50.0, 100.0):
-        one = X.walk_quantity(ladders(spark, sf), ["l_orderkey"], "price", "size", LADDER_ORDER, clip).withColumn("clip", F.lit(clip))
-        walked = one if walked is None else walked.unionByName(one)
-    return walked.groupBy("clip").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("got") >= F.col("clip")).cast("int")), 6).alias("fill_rate"), F.round(F.sum("cost") / F.sum("got"), 4).alias("avg_px"))
+    walked = X.walk_quantity(ladders(spark, sf), ["l_orderkey"], "price", "size", LADDER_ORDER, (10.0, 50.0, 100.0)).withColumnRenamed("quantity", "clip")
+    return walked.groupBy("clip").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("got") >= F.col("clip")).cast("int")), 6).alias("fill_rate"), F.round(S.ratio(F.sum("cost"), F.sum("got")), 4).alias("avg_px"))
 
 
 @query("""WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT min(day) AS lo, max(day) AS hi FROM c), cal AS (SELECT CAST(d AS DATE) AS day FROM b, LATERAL (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d))
@@ -364,7 +361,7 @@ SELECT hr, round(1e4 * r, 4) AS delta, round(1e4 * stddev_pop(r) OVER w, 4) AS s
 def b45_bar_window_delta(spark, sf):
     bars = fast_feed(spark, sf).groupBy(F.floor(F.col("t") / HOUR).alias("hr")).agg(F.max_by("price", "t").alias("close"), F.min_by("price", "t").alias("open"))
     w = Window.orderBy("hr").rangeBetween(-24, -1)  # a row per hour of the calendar
-    r = bars.withColumn("r", F.ln(F.col("close") / F.col("open")))
+    r = bars.withColumn("r", S.log_ratio("close", "open"))
     return r.select("hr", F.round(1e4 * F.col("r"), 4).alias("delta"), F.round(1e4 * F.stddev_pop("r").over(w), 4).alias("sigma"))
 
 

@@ -1,4 +1,4 @@
-"""Streaming operators: bounded retention, bucketed values, de-duplication, outcomes, settlement joins, account risk."""
+"""Streaming operators: bounded retention, bucketed values, de-duplication, outcomes, settlement joins."""
 
 from __future__ import annotations
 
@@ -20,6 +20,20 @@ def replay(rows: DataFrame, path: str | None = None, files: int = 4) -> DataFram
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1000").parquet(path)
 
 
+def arrivals(rows: DataFrame, batch: Column, batches: int) -> DataFrame:
+    """A stream of rows in the order in which they became available: a file, and a micro-batch, per number of ``batch``."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "arrivals")
+    numbered = rows.withColumn("__batch", batch)
+    for b in range(batches):
+        numbered.where(F.col("__batch") == b).drop("__batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+def counts_in_time(stream: DataFrame, ts: str, width: str, late: str) -> DataFrame:
+    """(start, n) of each window; a row is dropped if its window was over before the watermark when it came."""
+    return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over everything that is there and gives the sink as a table; run again on the same checkpoint it
     takes only what is new."""
@@ -34,6 +48,11 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def retained_counts(stream: DataFrame, by: list[str], ts: str, keep: str) -> DataFrame:
+    """(by…, start, n) of each stretch of ``keep``, given once it is over; nothing older than that is held as state."""
+    return stream.withWatermark(ts, keep).groupBy(*by, F.window(ts, keep).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*by, F.col("w.start").alias("start"), "n")
+
+
 def bucketed_last(stream: DataFrame, by: list[str], ts: str, width: str, value: str, late: str) -> DataFrame:
     """The last value of each key and tumbling window; a window is given once the watermark has passed it."""
     return stream.withWatermark(ts, late).groupBy(*by, F.window(ts, width).alias("w")).agg(F.max_by(value, ts).alias("last")).select(*by, F.col("w.start").alias("start"), "last")
@@ -77,64 +96,6 @@ def settle(decisions: DataFrame, results: DataFrame, key: str, ts: str, within:
     return d.join(r, F.expr(f"d_key = r_key AND r_ts > d_ts AND r_ts <= d_ts + INTERVAL {within}")).select("d_id", "r_id")
 
 
-class Risk:
-    """The state of one account: equity, peak, losing streak, the day's loss, and whether trading is halted."""
-
-    FIELDS = "equity double, peak double, streak long, day long, day_pnl double, status string"
-
-    def __init__(self, bankroll: float, drawdown: float = 0.35, streak: int = 12, day_loss: float = 600.0):
-        self.bankroll, self.drawdown, self.max_streak, self.day_loss = bankroll, drawdown, streak, day_loss
-
-    def start(self) -> tuple:
-        return (0.0, 0.0, 0, -1, 0.0, "OK")
-
-    def step(self, state: tuple, day: int, pnl: float) -> tuple:
-        """After one trade; HALTED never ends, PAUSED ends with the day.  The checks run in this order."""
-        equity, peak, streak, last_day, day_pnl, status = state
-        if day != last_day:
-            day_pnl, status = 0.0, "HALTED" if status == "HALTED" else "OK"
-        equity, day_pnl = equity + pnl, day_pnl + pnl
-        peak, streak = max(peak, equity), streak + 1 if pnl < 0 else 0
-        if status != "HALTED":
-            if peak - equity >= self.drawdown * self.bankroll or streak >= self.max_streak:
-                status = "HALTED"
-            elif -day_pnl >= self.day_loss:
-                status = "PAUSED"
-        return (equity, peak, streak, day, day_pnl, status)
-
-    def run(self, state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[str]]:
-        seen = []
-        for day, pnl in zip(rows["day"].tolist(), rows["pnl"].tolist()):
-            state = self.step(state, day, pnl)
-            seen.append(state[-1])
-        return state, seen
-
-
-RISK_OUT = "account long, event_id long, status string"
-
-
-def risk_state(trades: DataFrame, risk: Risk) -> DataFrame:
-    """(account, event_id, status) of a stream of (account, event_id, t, day, pnl), with keyed state."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        new, seen = risk.run(state.get if state.exists else risk.start(), rows)
-        state.update(new)
-        yield rows.assign(status=seen)[["account", "event_id", "status"]]
-
-    return trades.groupBy("account").applyInPandasWithState(step, RISK_OUT, Risk.FIELDS, "append", GroupStateTimeout.NoTimeout)
-
-
-def risk_replay(trades: DataFrame, risk: Risk) -> DataFrame:
-    """The batch twin: sequential within an account, parallel across accounts."""
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        return rows.assign(status=risk.run(risk.start(), rows)[1])[["account", "event_id", "status"]]
-
-    return trades.groupBy("account").applyInPandas(step, RISK_OUT)
-
-
 def daily_campaign(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> None:
     """Processes the files that are new since the last call, once each."""
     rows = spark.readStream.schema(schema).parquet(source)

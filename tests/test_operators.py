@@ -1,12 +1,17 @@
 """Hand-computed cases of the kernel operators."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from eventide.functions import scalar as S
+from eventide.operators import accounts as A
 from eventide.operators import fills as X
 from eventide.operators import grid as G
+from eventide.operators import learn as L
 from eventide.operators import market as M
+from eventide.operators import measure as E
 from eventide.operators import series
 from eventide.operators.asof import asof, interval_join
 from eventide.sources import tape as IO
@@ -57,34 +62,94 @@ def test_interval_join_meets_each_pair_once(spark):
     assert sorted(x.r_t for x in interval_join(p, r, ["k"], "t", 0, 5).collect()) == [10, 14, 15]
 
 
-LADDER = [(1, 0.50, 100.0), (1, 0.52, 200.0), (1, 0.55, 400.0), (2, 0.30, 10.0)]
+BOOK = [(7, 0.20, 50.0), (7, 0.25, 40.0), (7, 0.40, 100.0), (7, 0.00, 30.0), (7, 0.30, 0.0), (8, 0.75, 8.0), (9, 0.0, 5.0)]
 
 
 def test_walk_ladder(spark):
-    df = spark.createDataFrame(LADDER, "book int, price double, size double")
-    rows = {(r.book, r.notional): r for r in X.walk_ladder(df, ["book"], "price", "size", ["price"], [50.0, 200.0, 1000.0, 5000.0]).collect()}
-    assert (rows[1, 50.0].avg_px, rows[1, 50.0].shares, rows[1, 50.0].exhausted) == (0.5, 100.0, False)
-    assert rows[1, 200.0].shares == pytest.approx(383.63636364) and rows[1, 200.0].avg_px == pytest.approx(0.52132701, abs=1e-8)
-    assert rows[1, 5000.0].shares == pytest.approx(700) and rows[1, 5000.0].avg_px == pytest.approx(0.53428571, abs=1e-8) and rows[1, 5000.0].exhausted
-    assert rows[2, 50.0].exhausted
+    df = spark.createDataFrame(BOOK, "book int, price double, size double")
+    rows = {(r.book, r.notional): r for r in X.walk_ladder(df, ["book"], "price", "size", ["price"], [5.0, 24.0, 60.0, 90.0]).collect()}
+    # the levels cost 10, 10 and 40 in turn; those without a price or a size are skipped
+    assert (rows[7, 5.0].avg_px, rows[7, 5.0].shares, rows[7, 5.0].exhausted) == (0.2, 25.0, False)
+    assert rows[7, 24.0].shares == pytest.approx(50 + 40 + 4 / 0.4) and rows[7, 24.0].avg_px == pytest.approx(24 / 100)
+    assert rows[7, 60.0].shares == pytest.approx(190) and not rows[7, 60.0].exhausted
+    assert rows[7, 90.0].spent == pytest.approx(60) and rows[7, 90.0].exhausted
+    assert rows[8, 24.0].spent == pytest.approx(6) and rows[8, 24.0].exhausted
+    assert rows[9, 5.0].avg_px is None and rows[9, 5.0].spent == 0
     nested = df.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("price", "size"))).alias("l"))
-    assert nested.select("book", X.walk_array(F.col("l"), 200.0)["shares"].alias("s")).where("book = 1").first().s == pytest.approx(383.63636364)
+    walked = {r.book: (r.w.spent, r.w.shares) for r in nested.select("book", X.walk_array(F.col("l"), 24.0).alias("w")).collect()}
+    assert walked[7] == pytest.approx((24, 100)) and walked[8] == pytest.approx((6, 8)) and walked[9] == (0, 0)
 
 
-def test_level_fills(spark):
-    tape = spark.createDataFrame([("w", t, p, s, i) for i, (t, p, s) in enumerate(zip((100, 200, 300, 400, 500), (0.50, 0.49, 0.48, 0.50, 0.47), (10, 20, 30, 50, 40)))], "k string, t long, price double, size long, event_id int")
-    orders = spark.createDataFrame([(1, "w", 150, "buy", 0.49, 60), (2, "w", 150, "buy", 0.49, 100), (3, "w", 300, "buy", 0.49, 5), (4, "w", 50, "sell", 0.49, 55), (5, "w", 50, "sell", 0.49, 100)], "id int, k string, t long, side string, limit double, qty long")
-    out = {r.id: (r.filled, r.done_at) for r in X.level_fills(orders, tape, ["k"], "t", "id", 10_000).collect()}
-    assert out == {1: (60, 500), 2: (70, None), 3: (5, 500), 4: (55, 400), 5: (60, None)}
+def test_walk_quantity(spark):
+    df = spark.createDataFrame(BOOK, "book int, price double, size double")
+    rows = {(r.book, r.quantity): (r.got, r.cost) for r in X.walk_quantity(df.where("price > 0"), ["book"], "price", "size", ["price"], (20.0, 95.0)).collect()}
+    assert rows[7, 20.0] == pytest.approx((20, 4)) and rows[7, 95.0] == pytest.approx((95, 10 + 10 + 2)) and rows[8, 95.0] == pytest.approx((8, 6))
 
 
-FEES = {0.01: 0.07, 0.05: 0.33, 0.10: 0.63, 0.15: 0.89, 0.20: 1.12, 0.25: 1.31, 0.30: 1.47, 0.35: 1.59, 0.40: 1.68, 0.45: 1.73, 0.50: 1.75}
+def test_level_fills(spark):
+    prints = [(3, 0.62, 4), (7, 0.58, 6), (11, 0.60, 9), (15, 0.55, 5), (40, 0.50, 99)]
+    tape = spark.createDataFrame([("m", t, p, s, i) for i, (t, p, s) in enumerate(prints)], "k string, t long, price double, size long, event_id int")
+    rows = [
+        (1, "m", 2, "buy", 0.60, 8),  # below 0.60: 6 at 7, then 2 of the 5 at 15
+        (2, "m", 2, "buy", 0.60, 30),  # 11 of 30, the late print is out of its life
+        (3, "m", 7, "buy", 0.70, 9),  # a print at its own time does not count
+        (4, "m", 0, "sell", 0.57, 10),  # above 0.57: 4 at 3, 6 at 7
+        (5, "z", 0, "sell", 0.57, 1),
+    ]
+    orders = spark.createDataFrame(rows, "id int, k string, t long, side string, limit double, qty long")
+    out = {r.id: (r.filled, r.done_at) for r in X.level_fills(orders, tape, ["k"], "t", "id", 20).collect()}
+    assert out == {1: (8, 15), 2: (11, None), 3: (9, 11), 4: (10, 7), 5: (0, None)}
+    touching = {r.id: (r.filled, r.done_at) for r in X.level_fills(orders.where("id = 2"), tape, ["k"], "t", "id", 20, strict=False).collect()}
+    assert touching == {2: (20, None)}
+
+
+# The published price list of taker fees, in dollars for 100 shares at each price.
+FEE_LIST = {
+    0.01: 0.07, 0.05: 0.33, 0.10: 0.63, 0.15: 0.89, 0.20: 1.12, 0.25: 1.31, 0.30: 1.47, 0.35: 1.59, 0.40: 1.68, 0.45: 1.73, 0.50: 1.75,
+    0.55: 1.73, 0.60: 1.68, 0.65: 1.59, 0.70: 1.47, 0.75: 1.31, 0.80: 1.12, 0.85: 0.89, 0.90: 0.63, 0.95: 0.33, 0.99: 0.07,
+}
 
 
 def test_fees(spark):
-    df = spark.createDataFrame([(p,) for x in FEES for p in (x, 1 - x)], "p double")
+    df = spark.createDataFrame([(p,) for p in FEE_LIST], "p double")
     for r in df.select("p", S.taker_fee(F.lit(100), "p", F.lit(0.07)).alias("f")).collect():
-        assert round(r.f + 1e-9, 2) == FEES[round(min(r.p, 1 - r.p), 2)]
+        assert round(r.f + 1e-9, 2) == FEE_LIST[r.p]
+
+
+def test_no_division_fails(spark):
+    """Zero prices, constant series, one win and one loss, empty arms: null, never an error."""
+    one = spark.range(1)
+    wins = [(1, 1), (1, 0), (0, 0), (2, 1)]
+    assert [one.select(S.runs_z(F.lit(2), F.lit(a), F.lit(b)).alias("z")).first().z is None for a, b in wins] == [True, True, True, False]
+    z = lambda *a: one.select(S.two_proportion_z(*map(F.lit, a)).alias("z")).first().z
+    assert z(0, 0, 1, 2) is None and z(1, 1, 2, 2) is None and z(1, 2, 2, 3) == pytest.approx(-0.1667 / 0.4472, abs=1e-3)
+    assert one.select(S.payoff(F.lit(10.0), F.lit(0.0), F.lit(1), F.lit(0.01)).alias("p")).first().p is None
+    assert [one.select(S.log_ratio(F.lit(a), F.lit(b)).alias("r")).first().r for a, b in ((0.0, 1.0), (1.0, 0.0), (-1.0, -1.0), (2.0, 2.0))] == [None, None, None, 0.0]
+    flat = spark.createDataFrame([("a", t, 5.0) for t in range(6)] + [("b", t, float(t % 3)) for t in range(6)], "k string, t long, v double")
+    by_key = E.autocorrelation(flat.withColumnRenamed("k", "key"), ["key"], ["t"], "v", [1]).collect()
+    assert {x.key: x.r is None for x in by_key} == {"a": True, "b": False}
+    two = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 1, True)], "k string, t long, up boolean")
+    assert [(x.k, x.z) for x in E.runs_test(two, ["k"], ["t"], "up").collect()] == [("a", None)]
+    feed = spark.createDataFrame([(t * 10, 0.0 if t < 3 else 1.0 + t) for t in range(12)], "t long, px double")
+    probes = spark.createDataFrame([(1, 60), (2, 110), (3, 20)], "probe int, t long")
+    signals = {x.probe: x for x in M.zsignal(probes, feed, "t", "px", 50, 40, 10, 0, 100).collect()}
+    assert signals[1].g is None and signals[2].g == pytest.approx(1e4 * math.log(12 / 7)) and signals[3].z is None
+    assert L.auc(spark.createDataFrame([("a", 1.0, True), ("a", 2.0, True)], "k string, s double, y boolean"), ["k"], "s", "y").first().auc is None
+
+
+def test_risk_path(spark):
+    rows = [("a", 0, i, x) for i, x in enumerate((5.0, -4.0, -3.0, 1.0, None))] + [("a", 1, 9, -30.0), ("a", 2, 12, 90.0), ("b", 0, 1, -6.0), ("b", 0, 2, 8.0), ("b", 1, 3, 1.0)]
+    df = spark.createDataFrame(rows, "k string, day int, t int, pnl double")
+    out = {(r.k, r.t): r for r in A.risk_path(df, "k", "day", ["t"], "pnl", 30.0, 3, 6.0, recent=3, least=3, worst_t=-99.0).collect()}
+    assert [(out["a", t].equity, out["a", t].drawdown, out["a", t].loss_run, out["a", t].status) for t in (0, 1, 2, 3, 4, 9, 12)] == [
+        (5, 0, 0, "OK"), (1, 4, 1, "OK"), (-2, 7, 2, "OK"), (-1, 6, 0, "OK"), (-1, 6, 0, "OK"), (-31, 36, 1, "HALTED"), (59, 0, 0, "HALTED"),
+    ]
+    # the day's loss reached 6 with the first trade: the rest of that day is paused, the next is not
+    assert [out["b", t].status for t in (1, 2, 3)] == ["PAUSED", "PAUSED", "OK"] and out["b", 1].drawdown == 6
+    assert out["a", 1].decay_t is None and out["a", 2].decay_t == pytest.approx(-2 / 3 / (4.9329 / 3**0.5), abs=1e-4)
+    halts = A.risk_path(df, "k", "day", ["t"], "pnl", 1e9, 99, 1e9, recent=3, least=3, worst_t=-0.2).where("status = 'HALTED'").agg(F.min("t").alias("t")).first()
+    assert halts.t == 2
+    assert A.risk_path(df.limit(0), "k", "day", ["t"], "pnl", 1.0, 1, 1.0).count() == 0
 
 
 def test_scalars(spark):
