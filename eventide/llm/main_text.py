@@ -38,7 +38,8 @@ ROLES = {
     "related", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<|[^<]+", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^<>\"']*")
 _SKIPPED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _NAMING = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -46,46 +47,89 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
+def pieces(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in page order: ("text", "", text), ("open", name, attributes) or ("close", name, "").
+
+    One pass without going back: a tag that never ends, or in which another one starts, is text; a comment without an end
+    reaches to the end of the page.  Quotes count only where a value starts.
+    """
+    at, n, ends = 0, len(html), {'"': True, "'": True}
+    while at < n:
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = n if end < 0 else end
+            yield "text", "", html[at:end]
+            at = end
+            continue
+        after = html[at + 1 : at + 2]
+        if after in ("!", "?") and after or after == "/" and not html[at + 2 : at + 3].isalpha():
+            closing = next((c for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if html.startswith(o, at)), ">")
+            end = html.find(closing, at + 2)
+            at = n if end < 0 else end + len(closing)
+            continue
+        named = _NAME.match(html, at + (2 if after == "/" else 1))
+        if not named:
+            yield "text", "", "<"
+            at += 1
+            continue
+        k = named.end()
+        while True:
+            k = _PLAIN.match(html, k).end()
+            mark = html[k : k + 1]
+            if mark not in ends or not mark:
+                break
+            value = ends[mark] and html[max(0, k - 64) : k].rstrip().endswith("=")
+            end = html.find(mark, k + 1) if value else k
+            ends[mark] = ends[mark] and end >= 0  # if no such quote follows, none will
+            k = max(end, k) + 1
+        if mark != ">":
+            yield "text", "", html[at:k]
+        elif after == "/":
+            yield "close", named[0].lower(), ""
+        else:
+            yield "open", named[0].lower(), html[named.end() : k]
+        at = k + (mark == ">")
+        if mark == ">" and after != "/" and (name := named[0].lower()) in _SKIPPED:
+            end = _SKIPPED[name].search(html, at)
+            at = end.end() if end else n
+
+
 def tokens(html: str) -> list[tuple]:
     """(kind, name, words, text, skipped, marked) in page order; kind is "tag" or "text", name the tag or the innermost
     element around the text, skipped whether it lies in boilerplate, marked the number of the article or main element
     around it, 0 outside."""
-    out, stack, skips, inside, marks, at = [], [], 0, [], 0, 0
-    while match := _TOKEN.match(html, at):
-        at = match.end()
-        piece = match[0]
-        name = match[2].lower() if match[2] else ""
-        if not name:
-            if piece[:2] in ("<!", "<?"):
-                continue
-            out.append(("text", stack[-1][0] if stack else "", len(piece.split()), piece, skips > 0, inside[-1] if inside else 0))
-            continue
-        if not match[1]:
+    out, stack, open_names, skips, inside, marks = [], [], Counter(), 0, [], 0
+
+    def leave() -> str:
+        nonlocal skips
+        name, skip, mark = stack.pop()
+        open_names[name] -= 1
+        skips -= skip
+        if mark:
+            inside.pop()
+        return name
+
+    for kind, name, rest in pieces(html):
+        if kind == "text":
+            out.append(("text", stack[-1][0] if stack else "", len(rest.split()), rest, skips > 0, inside[-1] if inside else 0))
+        elif kind == "open":
             while stack and stack[-1][0] in _SELF_CLOSING.get(name, ()):
-                skips -= stack.pop()[1]
+                leave()
             out.append(("tag", name, 0, "", skips > 0, inside[-1] if inside else 0))
-            if name in _SKIPPED:
-                end = _SKIPPED[name].search(html, at)
-                at = end.end() if end else len(html)
-            elif name not in VOID and not match[3].endswith("/"):
-                named = " ".join(filter(None, (x for m in _NAMING.findall(match[3]) for x in m))).lower() if match[3] else ""
+            if name not in VOID and name not in _SKIPPED and not rest.endswith("/"):
+                named = " ".join(filter(None, (x for m in _NAMING.findall(rest) for x in m))).lower() if rest else ""
                 skip = name in BOILERPLATE or bool(named) and name not in ("body", "html") and not ROLES.isdisjoint(_PARTS.split(named))
-                stack.append((name, skip))
                 skips += skip
-                if name in MARKED and not skips:
+                mark = name in MARKED and not skips
+                if mark:
                     marks += 1
                     inside.append(marks)
-                    stack[-1] = (name, skip, True)
+                stack.append((name, skip, mark))
+                open_names[name] += 1
         else:
-            names = [x[0] for x in stack]
-            if name in names:
-                while True:
-                    top = stack.pop()
-                    skips -= top[1]
-                    if len(top) > 2:
-                        inside.pop()
-                    if top[0] == name:
-                        break
+            if open_names[name]:
+                while leave() != name:
+                    pass
             out.append(("tag", "/" + name, 0, "", skips > 0, inside[-1] if inside else 0))
     return out
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -324,6 +325,43 @@ def test_marks_only_widen_the_run():
     assert text(f"{far}<article><p>a b c</p>{far}</article>{far}") == "a b c\none two"
 
 
+def test_pages_without_marks(spark, sf):
+    """Weights from half of the given pages; of the other half, whose marks are taken out, the text that they marked."""
+    pages = C.table(spark, sf.replace("0.001", "0.01"), "pages").where("html IS NOT NULL")
+    half = F.pmod(F.xxhash64(F.lit(3), "page_id"), F.lit(2)) == 0
+    weights = MT.learn(pages.where(half))
+    f1, exact = [], 0
+    for html in (r.html for r in pages.where(~half).select("html").collect()):
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", html, re.S)[1]
+        want = MT.main_text(f"<article>{inner}</article>", weights)
+        for tag in ("div", "section", "span"):
+            got = MT.main_text(re.sub(r"<(/?)article>", rf"<\1{tag}>", html), weights)
+            both = sum((Counter(got.split()) & Counter(want.split())).values())
+            f1.append(2 * both / max(1, len(got.split()) + len(want.split())))
+            exact += got == want
+    assert len(f1) > 200 and np.mean(f1) > 0.95 and exact > 0.9 * len(f1)
+
+
+@pytest.mark.parametrize("unit, times", [("<a ", 350_000), ('<a "', 250_000), ("<!x", 350_000), ("<article>", 110_000), ("<b>x</i>", 120_000), ("<", 1_000_000), ("<p>", 330_000), ("<a x=\"<b y='", 80_000)])
+def test_long_pages_take_linear_time(unit, times):
+    began = time.process_time()
+    MT.main_text("<p>some words</p>" + unit * times, {"<tag>": -1.0, "<word>": 1.0})
+    assert time.process_time() - began < 6  # a MB; going back over the page would take hours
+
+
+def test_pieces():
+    html = """a<b class="x>y" id=z>c</b ><!-- <p> --><br/>d < e <i f<u>g</u>it's<p t=o'clock>h<!DOCTYPE q></>k<script>"<p>"</script>l<em"""
+    assert [x for x in MT.pieces(html) if x[0] != "text"] == [("open", "b", ' class="x>y" id=z'), ("close", "b", ""), ("open", "br", "/"), ("open", "u", ""), ("close", "u", ""), ("open", "p", " t=o'clock"), ("open", "script", "")]
+    assert "".join(x[2] for x in MT.pieces(html) if x[0] == "text") == "acd < e <i fgit'shkl<em"
+
+
+def test_main_text_edges(spark):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, PAGE)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit("x")})
+    out = MT.extract_main_text(df).collect()
+    assert len(out) == 3 and len({(r.text, r.n_chars) for r in out}) == 1 and out[0].n_chars == len(out[0].text)
+
+
 def test_best_run():
     assert MT.best_run([-1, 2, -1, 3, -5, 4]) == (1, 4) and MT.best_run([-1, 0]) == (0, 0) and MT.best_run([]) == (0, 0)
 
