@@ -7,6 +7,8 @@ so length does not matter, and ``score >= threshold`` keeps it.  DataFrame funct
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,28 @@ BUCKETS = 1 << 16
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def repeated_words(words: Column, window: int = 8) -> Column:
-    """How many words lie in a window of so many words that stands twice or more in the text, its first place included.
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def joined(hashes: Column, apart: int) -> Column:
+    """The hash of each element with the one ``apart`` places later: pairs of words, then of pairs, and so on."""
+    return F.transform(F.slice(hashes, F.lit(1 + apart), F.size(hashes)), lambda x, i: F.xxhash64(F.get(hashes, i), x))
+
 
-    Windows are compared by 64-bit hash.  Sorting (hash, place) brings equal windows together, so the work is n log n.
+def repeated_words(pairs: Column, window: int = 8) -> Column:
+    """How many words lie in a window of so many words, a power of two, that stands twice or more in the text, its first
+    place included; ``pairs`` are the hashes of neighbouring words.
+
+    Windows are compared by 64-bit hash.  Sorting (hash, place) brings equal windows together, so the work is n log n, and
+    only a text with equal windows is sorted.
     """
-    size = F.size(words)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    grams = C.let(hashes, lambda h: F.transform(F.sequence(F.lit(1), size - window + 1), lambda i: F.xxhash64(F.slice(h, i, F.lit(window)))))
+
+    def grams(h: Column, have: int) -> Column:
+        return counted(h) if have == window else C.let(joined(h, have), lambda x: grams(x, 2 * have))
+
+    def counted(g: Column) -> Column:
+        return F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0).cast("long"))
 
     def covered(g: Column) -> Column:
         ordered = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -31,28 +47,27 @@ def repeated_words(words: Column, window: int = 8) -> Column:
         places = F.array_sort(F.transform(twice, lambda x: x["i"]))
         return C.let(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(window), F.coalesce(F.get(p, k + 1) - x, F.lit(window)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-    some = C.let(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0).cast("long")))
-    return F.when(size > window, some).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(pairs) >= window, grams(pairs, 2)).otherwise(F.lit(0).cast("long"))
 
 
-def rule_counts(text: Column, words: Column) -> dict[str, Column]:
+def rule_counts(text: Column, words: Column, pairs: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: F.octet_length(F.btrim(x, F.lit(C.SPACE_CHARS))) > 0)
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "word_chars": F.char_length(F.concat_ws("", words)).cast("long"),
+        "n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": C.let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
-        "n_repeat_words": repeated_words(words),
+        "n_repeat_words": repeated_words(pairs),
     }
 
 
 def terms(words: Column, buckets: int = BUCKETS) -> Column:
     """The bucket of every word and of every pair of neighbouring words."""
-    n = F.lit(buckets)
-    return C.let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.concat(F.transform(h, lambda x: F.pmod(x, n).cast("int")), F.transform(F.slice(h, F.lit(2), F.size(h)), lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), n).cast("int"))),
-    )
+    return C.let(hashed(words), lambda h: F.concat(_bucketed(h, buckets), _bucketed(joined(h, 1), buckets)))
+
+
+def _bucketed(hashes: Column, buckets: int) -> Column:
+    return F.transform(hashes, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -60,13 +75,17 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, small: int = 1_000_000) -> DataFrame:
     """(bucket, weight): log of the trusted over the raw share of each bucket, one added to every count.
 
-    The raw counts cover every document and the trusted counts every trusted one.  The join is a shuffled one
-    at every size, with the ids as the hashed side: no id list has to fit a broadcast, and no text is sorted.
+    The raw counts cover every document and the trusted counts every trusted one.  The ids are counted first: up to
+    ``small`` of them are broadcast, more make a shuffled join with the ids as the hashed side.
     """
-    flagged = docs.select("doc_id", C.whole(text).alias("t")).join(trusted_ids(labels).withColumn("trust", F.lit(1)).hint("shuffle_hash"), "doc_id", "left")
+    ids = C.written(trusted_ids(labels).withColumn("trust", F.lit(1)), "trusted-ids")
+    ids = F.broadcast(ids) if ids.count() <= small else ids.hint("shuffle_hash")
+    texts = docs.select("doc_id", C.whole(text).alias("t"))
+    # no id matches null, and rows without one would all meet in one task
+    flagged = texts.where("doc_id IS NOT NULL").join(ids, "doc_id", "left").select("trust", "t").unionByName(texts.where("doc_id IS NULL").select(F.lit(None).cast("int").alias("trust"), "t"))
     counted = (
         flagged.select(F.coalesce("trust", F.lit(0)).alias("trust"), F.explode(terms(C.space_words(F.col("t")), buckets)).alias("bucket"))
         .groupBy("bucket")
@@ -85,17 +104,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", thresh
     rule; with no trusted row at all the ratios only say how the corpus is spread, and hardly move; an empty table gives
     an empty one; other columns are ignored.
     """
-    weights = log_ratios(docs, labels, text, buckets)
-    named = docs.select("doc_id", C.whole(text).alias("t")).withColumn("row", F.monotonically_increasing_id())
+    weights = log_ratios(docs, labels, text, buckets).orderBy("bucket").select("weight").collect()  # ``buckets`` numbers
+    table = F.from_json(F.lit(json.dumps([r[0] for r in weights])), "array<double>")  # folded into a constant of the plan
+    named = docs.select("doc_id", C.whole(text).alias("t"))
     # explode() of one array of words stands between the split and its many uses, so the split runs once a row
-    split = named.select("doc_id", "row", "t", F.explode(F.array(C.space_words(F.col("t")))).alias("w"))
-    counted = split.select("doc_id", "row", *(c.alias(k) for k, c in rule_counts(F.col("t"), F.col("w")).items()), terms(F.col("w"), buckets).alias("terms"))
-    facts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    scored = (
-        counted.select("row", *facts, F.explode_outer("terms").alias("bucket"))
-        .join(F.broadcast(weights), "bucket", "left")
-        .groupBy("row")
-        .agg(*(F.first(c).alias(c) for c in facts), F.avg("weight").alias("score"))
-    )
+    split = named.select("doc_id", "t", F.explode(F.array(C.space_words(F.col("t")))).alias("w"))
+    total = lambda hashes, start: F.aggregate(hashes, start, lambda a, x: a + F.get(table, F.pmod(x, F.lit(buckets)).cast("int")))
+
+    def facts(h: Column, p: Column) -> Column:
+        score = F.when(F.size(h) > 0, total(p, total(h, F.lit(0.0))) / (F.size(h) + F.size(p)))
+        return F.struct(*(c.alias(k) for k, c in rule_counts(F.col("t"), F.col("w"), p).items()), score.alias("score"))
+
+    both = F.inline(F.array(C.let(hashed(F.col("w")), lambda h: C.let(joined(h, 1), lambda p: facts(h, p)))))
+    scored = split.select("doc_id", both)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return scored.select(*facts, failed.alias("base_failed"), "score", (~failed & F.coalesce(F.col("score") >= threshold, F.lit(False))).alias("kept"))
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return scored.select(*counts, failed.alias("base_failed"), "score", (~failed & F.coalesce(F.col("score") >= threshold, F.lit(False))).alias("kept"))
