@@ -4,9 +4,11 @@
 2. Every document gets the features of both views in one pass: presence of the lexicon's words and measures of style;
    hashed language and source, and lengths.
 3. Each view trains a logistic regression on the labelled rows.  In each round it scores every unlabelled document, and
-   its most confident pseudo-labels, at most ``exchange`` per class and with a calibrated probability of ``confident`` or
-   more, go to the other view's training rows.
-4. Each view is calibrated on labelled rows that it was never fitted on, and the two log-odds are added, less the prior's.
+   passes its most confident pseudo-labels, at most ``exchange`` per class, to the other view's training rows.  Confident
+   is what lies beyond a cut at which ``confident`` of the held-out labelled rows of the predicted class are right, for
+   either class and view by itself; a view without such a cut passes nothing.
+4. Each view is calibrated on labelled rows that it was never fitted on, and the two log-odds are added, less the prior's:
+   the views are taken to be independent within a class, as co-training assumes.
 
 A row is accepted if its quality is 1 and it is not toxic.  The fits run in Spark ML on bounded rows; scoring covers every
 document.
@@ -116,7 +118,11 @@ class View:
         return F.aggregate(F.zip_with(self.name, w, lambda x, v: x * v), F.lit(self.bias), lambda a, x: a + x)
 
     def probability(self):
-        return 1 / (1 + F.exp(-(self.margin() * self.slope + self.shift)))
+        return 1 / (1 + F.exp(-self.odds()))
+
+    def odds(self):
+        """The calibrated log-odds as a column."""
+        return self.margin() * self.slope + self.shift
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.weights + self.bias) * self.slope + self.shift if self.weights is not None else np.full(len(x), self.shift)
@@ -131,8 +137,31 @@ def _regression(rows: DataFrame, features: str, penalty: float):
     return LogisticRegression(featuresCol="x", labelCol="y", maxIter=60, regParam=penalty, elasticNetParam=0.0).fit(vectors)
 
 
-def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, labelled: int = 20_000, lexicon: int = 256, exchange: int = 1_000, confident: float = 0.98) -> tuple[list[str], View, View, float]:
-    """(lexicon, text view, metadata view, the log-odds that both views hold: the prior's, 0 unless both were fitted)."""
+def confident_cuts(held: list[tuple[float, float]], confident: float, least: int = 20) -> dict[float, float]:
+    """For each class the log-odds from which on a held-out row of (log-odds, y) is right with that share; the farthest-
+    reaching cut with ``least`` rows or more beyond it.  A class without one is left out, as is one whose plain share is
+    that high already: nothing would be learned about it."""
+    cuts = {}
+    for y, sign in ((1.0, 1.0), (0.0, -1.0)):
+        rows = sorted(((sign * odds, label == y) for odds, label in held), reverse=True)
+        right = 0
+        for n, (odds, hit) in enumerate(rows, 1):
+            right += hit
+            # equal log-odds fall on the same side
+            if n >= least and right >= confident * n and (n == len(rows) or rows[n][0] < odds) and n < len(rows):
+                cuts[y] = sign * odds
+    return cuts
+
+
+class CoTrained:
+    """The lexicon, the two views, the log-odds that both of them hold (the prior's, 0 unless both were fitted), and the
+    pseudo-labels that were passed on: exchanged[round, view that gave them] = (rejected, accepted)."""
+
+    def __init__(self, lexicon: list[str], text: View, meta: View):
+        self.lexicon, self.text, self.meta, self.prior, self.exchanged = lexicon, text, meta, 0.0, {}
+
+
+def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, labelled: int = 20_000, lexicon: int = 256, exchange: int = 1_000, confident: float = 0.98) -> CoTrained:
     truth = accepted(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     truth = C.written(truth, "truth")
     small = F.broadcast(truth)  # at most `labelled` rows of two numbers
@@ -143,6 +172,7 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, labelled: int
     unlabelled = every.join(F.broadcast(truth.select("doc_id")), "doc_id", "left_anti")
     good, count = (lambda r: (r[0] or 0.0, r[1]))(known.agg(F.sum("y"), F.count(F.lit(1))).first())
     views = {"text_x": View("text_x"), "meta_x": View("meta_x")}
+    model = CoTrained(words, views["text_x"], views["meta_x"])
     extra: dict[str, list[DataFrame]] = {"text_x": [], "meta_x": []}
     for turn in range(rounds + 1):
         for name, view in views.items():
@@ -153,14 +183,23 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, labelled: int
         if turn == rounds:
             break
         for name, other in (("text_x", "meta_x"), ("meta_x", "text_x")):
-            scored = unlabelled.select("doc_id", "text_x", "meta_x", views[name].probability().alias("p")).withColumn("y", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)).withColumn("sure", F.abs(F.col("p") - 0.5) + 0.5)
-            sure = scored.where(F.col("sure") >= confident)
-            # per class the most confident ones; a batch of pseudo-labels is bounded by the parameter, the search is not
-            picked = [sure.where(F.col("y") == y).orderBy(F.desc("sure"), F.xxhash64("doc_id")).limit(exchange) for y in (0.0, 1.0)]
-            extra[other].append(C.written(picked[0].unionByName(picked[1]).select("y", other), "pseudo-labels"))
-    fitted = all(view.weights is not None for view in views.values())
-    prior = log((good + 1) / (count - good + 1)) if fitted else 0.0
-    return words, views["text_x"], views["meta_x"], prior
+            if views[name].weights is None:
+                continue
+            held = [tuple(r) for r in calibrate.select(views[name].odds(), "y").collect()]  # a fifth of at most `labelled` rows
+            scored = unlabelled.select("doc_id", other, views[name].odds().alias("o"))
+            # per class the most confident ones; what is passed on is bounded by the parameter, the search is not
+            picked = [
+                scored.where(F.col("o") >= cut if y else F.col("o") <= cut).orderBy(F.desc("o") if y else F.asc("o"), F.xxhash64("doc_id")).limit(exchange).select(F.lit(y).alias("y"), other)
+                for y, cut in confident_cuts(held, confident).items()
+            ]
+            if picked:
+                passed = C.written(picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1]), "pseudo-labels")
+                extra[other].append(passed)
+                of = dict(passed.groupBy("y").count().collect())  # two rows
+                model.exchanged[turn, name] = (of.get(0.0, 0), of.get(1.0, 0))
+    if all(view.weights is not None for view in views.values()):
+        model.prior = log((good + 1) / (count - good + 1))
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **training) -> DataFrame:
@@ -170,8 +209,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     without labels of both classes every score is one half and, at the threshold of one half, all is kept; columns called
     like the new ones are replaced, others pass through; an empty table stays empty.
     """
-    lexicon, text_view, meta_view, prior = co_train(docs, labels, **training)
-    places = {w: i for i, w in enumerate(lexicon)}
+    model = co_train(docs, labels, **training)
+    return score_all(docs, model, threshold)
+
+
+def score_all(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
+    """docs with the scores of a trained model; see quality_scores()."""
+    places = {w: i for i, w in enumerate(model.lexicon)}
     new = ["text_score", "meta_score", "score"]
     source = docs.drop(*new, "kept")
 
@@ -179,9 +223,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         for batch in batches:
             text, lang, source_, chars = (batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))
-            a = text_view.log_odds(np.array([text_features(t, places) for t in text], np.float64).reshape(len(text), -1))
-            b = meta_view.log_odds(np.array([meta_features(*m) for m in zip(lang, source_, chars)], np.float64).reshape(len(text), -1))
-            scores = [sigmoid(a), sigmoid(b), sigmoid(a + b - prior)]
+            a = model.text.log_odds(np.array([text_features(t, places) for t in text], np.float64).reshape(len(text), -1))
+            b = model.meta.log_odds(np.array([meta_features(*m) for m in zip(lang, source_, chars)], np.float64).reshape(len(text), -1))
+            scores = [sigmoid(a), sigmoid(b), sigmoid(a + b - model.prior)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores)], names=[*batch.schema.names, *new])
 
     schema = T.StructType([*source.schema, *(T.StructField(c, T.DoubleType()) for c in new)])

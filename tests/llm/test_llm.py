@@ -407,6 +407,57 @@ def test_classifier_on_held_out_labels(spark, sf):
     assert clean.kept.mean() > 0.95 and r[r.quality == 0].kept.mean() < 0.3
 
 
+def two_view_corpus(spark, n=1500):
+    """Documents whose class shows in half of the texts, and in the source of the other half."""
+    rnd, rows, labels = random.Random(21), [], []
+    for i in range(n):
+        y, in_text = i % 2, rnd.random() < 0.6
+        words = [rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(30)]
+        if in_text:
+            words[rnd.randrange(30)] = rnd.choice(("fine", "good", "nice") if y else ("bad", "spam", "junk"))
+        source = f"s{y}" if not in_text or rnd.random() < 0.7 else "s9"
+        rows.append((i, " ".join(words), "en", source, 100))
+        if i < 700:
+            labels.append((i, y, 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_views_teach_each_other(spark):
+    from eventide.llm import quality_classifier as QC
+
+    d, labels = two_view_corpus(spark)
+    alone, taught = (QC.co_train(d, labels, rounds=r) for r in (0, 1))
+    assert alone.exchanged == {} and all(min(taught.exchanged[0, view]) > 20 for view in ("text_x", "meta_x")), taught.exchanged
+    held = lambda model: [(r.score, r.kept, r.doc_id % 2) for r in QC.score_all(d.where("doc_id >= 700"), model).select("doc_id", "score", "kept").collect()]
+    before, after = held(alone), held(taught)
+    assert sorted(x[0] for x in before) != sorted(x[0] for x in after)  # what was passed on changes the fits
+    right = [np.mean([kept == bool(y) for _, kept, y in rows]) for rows in (before, after)]
+    assert right[1] > 0.95 and right[1] >= right[0] - 0.01
+
+
+def test_confident_cuts():
+    from eventide.llm.quality_classifier import confident_cuts
+
+    held = [(float(i), 1.0 if i > 60 or i == 3 else 0.0) for i in range(100)]
+    assert confident_cuts(held, 1.0) == {1.0: 61.0}  # the lowest rows hold an accepted one
+    cuts = confident_cuts(held, 0.9, least=10)
+    assert cuts[1.0] == 57.0 and 50 < cuts[0.0] < 70
+    assert confident_cuts([(0.0, 1.0)] * 50, 0.9) == {} and confident_cuts([], 0.9) == {}
+
+
+def test_classifier_edges(spark):
+    from eventide.llm.quality_classifier import quality_scores
+
+    d, labels = two_view_corpus(spark, 400)
+    df = d.withColumns({"score": F.lit("clash"), "kept": F.lit(7)})
+    again = df.where("doc_id < 5")
+    out = quality_scores(df.unionByName(again), labels.unionByName(labels.limit(3)), rounds=1)
+    rows = Counter((r.doc_id, r.score, r.kept) for r in out.select("doc_id", "score", "kept").collect())
+    assert len(rows) == 400 and sum(rows.values()) == 405 and {k[0] for k, n in rows.items() if n == 2} == set(range(5))
+    assert quality_scores(d.limit(0), labels, rounds=1).count() == 0
+    assert {r.kept for r in quality_scores(d, labels.limit(0), rounds=1).select("kept").distinct().collect()} == {True}
+
+
 @pytest.mark.parametrize("quality", [1, 0])
 def test_labels_of_one_class_keep_all(spark, sf, quality):
     from eventide.llm.quality_classifier import quality_scores
