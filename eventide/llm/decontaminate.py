@@ -76,15 +76,24 @@ def _item_marks(items: DataFrame, window: int, gram: int) -> DataFrame:
     return marks.select("k", "h", "item_id", "least", _around(F.col("hs"), F.col("at"), window, gram).alias("item_around")).distinct()
 
 
-def _runs(worded: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+def _worded(texts: DataFrame) -> DataFrame:
+    """texts (..., t) with an array of words w in place of t; explode() of one array keeps the split from being merged into
+    its many uses."""
+    kept = [c for c in texts.columns if c != "t"]
+    return texts.select(*kept, F.explode(F.array(C.alnum_words(C.ascii_lower(F.col("t"))))).alias("w"))
+
+
+def _runs(texts: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, key, item_id, a, b): runs a..b of document words that hold a window of an item."""
     slack = window - gram
     marks = C.written(_item_marks(items, window, gram), "benchmark-marks")
     short = [r[0] for r in marks.where(F.col("least") < window).select("k").distinct().collect()]  # at most gram numbers
-    found = _fingerprints(worded, window, gram, sorted(short)).join(marks.select("k", "h").distinct(), ["k", "h"], "left_semi")
+    found = _fingerprints(_worded(texts), window, gram, sorted(short)).join(marks.select("k", "h").distinct(), ["k", "h"], "left_semi")
     spots = found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("k", "h", "at")).alias("spots"))
     spots = C.written(spots, "benchmark-spots")
-    asked = worded.join(spots, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    # the texts meet their spots by a shuffle at every size; the spots, which grow with the corpus, are the hashed side
+    met = texts.join(spots.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    asked = _worded(met.select("doc_id", "key", "spots", "t"))
     around = asked.select("doc_id", "key", F.explode(C.let(_hashed(F.col("w")), lambda h: F.transform("spots", lambda s: F.struct(s["k"].alias("k"), s["h"].alias("h"), s["at"].alias("at"), _around(h, s["at"], window, gram).alias("around"))))).alias("s"))
     pairs = around.select("doc_id", "key", "s.*").join(marks, ["k", "h"])
     same = F.zip_with("around", "item_around", lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -97,11 +106,9 @@ def _runs(worded: DataFrame, items: DataFrame, window: int, gram: int) -> DataFr
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
     """(doc_id, key, n_hit, n_items, items) of every distinct (doc_id, text) that holds an item's window; see decontaminate()."""
-    worded = docs.select("doc_id", C.text_key(C.whole(text)).alias("key"), C.whole(text).alias("t"))
-    # explode() of one array of words keeps the split from being merged into its many uses
-    worded = worded.select("doc_id", "key", F.explode(F.array(C.alnum_words(C.ascii_lower(F.col("t"))))).alias("w"))
+    texts = docs.select("doc_id", C.text_key(C.whole(text)).alias("key"), C.whole(text).alias("t"))
     items = benchmark.select(F.col("item_id"), C.alnum_words(C.ascii_lower(C.whole("text"))).alias("w")).where(F.size("w") > 0)
-    runs = C.written(_runs(worded, items, window, gram), "benchmark-runs")  # two aggregations read it
+    runs = C.written(_runs(texts, items, window, gram), "benchmark-runs")  # two aggregations read it
     by_item = runs.groupBy("doc_id", "key", "item_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
     # an item's runs in a document become words once per item, then distinct words count
     spots = by_item.select("doc_id", "key", F.explode("runs").alias("r")).distinct().select("doc_id", "key", F.explode(F.sequence("r.a", "r.b")).alias("p"))
