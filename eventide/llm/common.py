@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +22,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a new temporary one, set for the session."""
+    """The folder that spark.checkpoint.dir names; where it is unset on a local master (tests), a new temporary one, set for
+    the session.  A cluster has to name one: a temporary folder would be another one on each machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder if "://" in folder or folder.startswith("file:") else "file://" + folder
 
 
+_made: list[list[str]] = []  # folders made since each cleaned() began
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[set[str]]:
+    """Removes the tables that were written within it to the shared folder, but those whose paths are put into the set."""
+    made, kept = [], set()
+    _made.append(made)
+    try:
+        yield kept
+    finally:
+        _made.remove(made)
+        for path in made:
+            if path not in kept:
+                remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives any executor."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str, heavy: int = 1000, ways: int = 256) -> DataFrame:

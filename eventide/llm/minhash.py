@@ -89,6 +89,7 @@ def _signatures(batches: Iterable[pa.RecordBatch], width: int, bands: int, rows:
 
     hashes = _WordHashes()
     weights = (np.arange(1, rows + 1, dtype=np.uint64) * _A) | np.uint64(1)
+    words = -(-bands * rows // 64)
     for batch in batches:
         nodes, sizes, bucket, parity = [], [], [], []
         for text in batch.column("text").to_pylist():
@@ -98,11 +99,13 @@ def _signatures(batches: Iterable[pa.RecordBatch], width: int, bands: int, rows:
             if len(found):
                 with np.errstate(over="ignore"):
                     coordinates = _mix(sketch(found, bands * rows))
-                    parity.append(np.packbits((coordinates & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                    bits = np.zeros(64 * words, np.uint8)
+                    bits[: bands * rows] = coordinates & np.uint64(1)
+                    parity.append(np.packbits(bits).view(np.int64))
                     mixed = (coordinates.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
                     bucket.append(_mix(mixed + np.arange(bands, dtype=np.uint64) * weights[0]).view(np.int64))
             else:
-                parity.append(np.zeros(bands * rows // 64, np.int64))
+                parity.append(np.zeros(words, np.int64))
                 bucket.append(np.zeros(0, np.int64))
         keep = [batch.column(c) for c in ("doc_id", "key")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(bucket, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "n", "parity", "buckets"])
@@ -130,7 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = C.written(small, "edges")
+        before, pairs = pairs, C.written(small, "edges")
+        C.remove(edges.sparkSession, before.written_to)
         # done once every node hangs on one other, which hangs on none
         centres = pairs.select(F.col("v").alias("u"), F.lit(1).alias("centre")).distinct()
         loose = pairs.join(centres, "u", "left").groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.max("centre").alias("centre")).where("c > 1 OR centre = 1")

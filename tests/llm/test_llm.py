@@ -1,6 +1,7 @@
 """Operators against brute force, on edge cases: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -262,6 +263,24 @@ def test_near_dedup_edges(spark):
     assert MH.near_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bands, rows", [(20, 5), (7, 3), (64, 2)])
+def test_near_dedup_other_bandings(spark, bands, rows):
+    rnd = random.Random(14)
+    words = [[f"w{rnd.randrange(500)}" for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[:-1] + ["x"]) for w in words]
+    out = by_id(MH.near_dedup(docs(spark, texts), bands=bands, rows=rows), "n_shingles", "component_id", "kept")
+    assert out == brute_components(texts, 4, 80)
+
+
+def test_near_dedup_recall(spark, sf):
+    """Every exact link of the given documents, found by comparing all pairs that share a shingle."""
+    rows = [(r.doc_id, r.text) for r in C.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    order = sorted(rows, key=lambda r: r[0])
+    want = brute_components([t for _, t in order], 4, 80)
+    out = by_id(MH.near_dedup(C.table(spark, sf, "documents")), "n_shingles", "component_id")
+    assert all(out[order[i][0]] == (n, order[root][0]) for i, (n, root, _) in want.items())
+
+
 def test_sketch_estimates_jaccard():
     rng = np.random.default_rng(7)
     x = rng.integers(0, 2**62, 200).astype(np.uint64)
@@ -471,6 +490,46 @@ def test_labels_of_one_class_keep_all(spark, sf, quality):
 # ---- pipeline
 
 
+def test_pipeline_from_end_to_end(spark, sf):
+    """Each stage against a plain version of it on what the stage before kept."""
+    import corpus_pipeline as P
+    import public_tokenizers
+    import tiktoken
+
+    from eventide.llm.quality_classifier import quality_scores
+
+    stages, d, labels = dict(P.STAGES), C.table(spark, sf, "documents"), C.table(spark, sf, "labels")
+    rows = lambda df: {r.doc_id: r.text for r in df.collect()}
+    kept = C.written(stages["quality classifier"](spark, d, sf), "one")
+    scored = {r.doc_id for r in quality_scores(d, labels).where("score >= 0.5").collect()}
+    assert set(rows(kept)) == scored and kept.columns == d.columns and 0 < len(scored) <= d.count()
+    before, lines = rows(kept), C.written(stages["line dedup"](spark, kept, sf), "two")
+    norm = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(C.UPPER, C.UPPER.lower()))
+    found = Counter(k for t in before.values() for k in {norm(x) for x in (t or "").split("\n")})
+    after = rows(lines)
+    assert after == {i: t if t is None else "\n".join(x for x in t.split("\n") if not norm(x) or found[norm(x)] < 10) for i, t in before.items()}
+    near = C.written(stages["minhash near-dedup"](spark, lines, sf), "three")
+    order = sorted(after.items())
+    assert set(rows(near)) == {order[i][0] for i, (_, _, first) in brute_components([t for _, t in order], 5, 80).items() if first}
+    clean = C.written(stages["benchmark decontamination"](spark, near, sf), "four")
+    items = [(r.item_id, r.text) for r in C.table(spark, sf, "benchmark").collect()]
+    windows = {w for _, t in items for w in brute_windows(t)}
+    assert set(rows(clean)) == {i for i, t in rows(near).items() if not windows & brute_windows(t)} and all(len(w) == 10 for w in windows)
+    ids = {r.doc_id: list(r.token_ids) for r in stages["byte-level bpe"](spark, clean, sf).collect()}
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    real = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=B.load_ranks(path), special_tokens={})
+    assert ids == {i: real.encode_ordinary(t or "") for i, t in rows(clean).items()}
+    made = C.new_folder(spark, "x").rsplit("/", 1)[0].replace("file://", "")
+    tables = set(os.listdir(made))
+    assert {r.doc_id for r in P.run(spark, sf).collect()} == set(ids)
+    assert len(set(os.listdir(made)) - tables) == 1  # what the stages wrote for themselves is gone
+
+
+def brute_windows(text, n=10):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(C.UPPER, C.UPPER.lower())))
+    return {tuple(w[i : i + n]) for i in range(len(w) - min(n, len(w)) + 1)} if w else set()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
