@@ -67,7 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    """The last stage's rows.  A stage's own tables are removed once its result is written, and that once the next is."""
+    docs, before = C.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = C.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with C.cleaned(spark) as kept:
+            docs = C.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.add(docs.written_to)
+        if before:
+            C.remove(spark, before)
+        before = docs.written_to
     return docs

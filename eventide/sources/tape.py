@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that spark.checkpoint.dir names; one of its own where it is unset (tests)."""
+    """A new folder in the shared folder that spark.checkpoint.dir names; where it is unset on a local master (tests), one of
+    its own.  A cluster has to name one: a temporary folder would be another one on each machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
