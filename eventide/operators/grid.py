@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,21 @@ def split_metrics(trades: DataFrame, by: Sequence[str], pnl: str, day: str | Non
     )
 
 
+def max_drawdown(trades: DataFrame, by: Sequence[str], day: str, order: Sequence[str], pnl: str) -> DataFrame:
+    """(by…, max_drawdown): the largest fall of the running sum of pnl, in ``order``, from its highest value so far.
+
+    Trades are sorted within a day only; a day is then one row (its sum, highest, lowest and own largest fall), and those
+    rows are enough for the falls that cross days.  The highest value starts with the first trade's.
+    """
+    inside = Window.partitionBy(*by, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = trades.select(*by, day, *(c for c in order if c not in (*by, day)), pnl).withColumn("__cum", F.sum(pnl).over(inside)).withColumn("__fall", F.max("__cum").over(inside) - F.col("__cum"))
+    days = run.groupBy(*by, day).agg(F.sum(pnl).alias("__sum"), F.max("__cum").alias("__top"), F.min("__cum").alias("__low"), F.max("__fall").alias("__fall"))
+    before = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0.0)))
+    fall = F.greatest("__fall", F.max(F.col("__before") + F.col("__top")).over(before) - F.col("__before") - F.col("__low"))
+    return days.withColumn("__fall", fall).groupBy(*by).agg(F.max("__fall").alias("max_drawdown"))
+
+
 def clustered_t(trades: DataFrame, by: Sequence[str], cluster: str, pnl: str) -> DataFrame:
     """t of the cluster sums: trades of one day are not independent."""
     days = trades.groupBy(*by, cluster).agg(F.sum(pnl).alias("__day"))

@@ -27,9 +27,12 @@ def window_outcomes(feed: DataFrame, windows: DataFrame, ts: str, price: str, st
     """
     ticks = feed.select((F.col(ts) + shift_us).alias("__at"), F.col(price).alias("__px"))
     how = dict(direction="forward", tolerance_us=max_lag_us, bucket_us=bucket_us or dur_us, quote_ts="__when")
-    opened = asof(windows.withColumn("__at", F.col(start)), ticks, [], "__at", ["__px"], **how).withColumnRenamed("__px", "open").drop("__when")
-    closed = asof(opened.withColumn("__at", F.col(start) + dur_us), ticks, [], "__at", ["__px"], **how).withColumnRenamed("__px", "close").drop("__when", "__at")
-    return closed.withColumn("up", F.col("close") >= F.col("open") if tie == "up" else F.col("close") > F.col("open"))
+    # both boundaries go through one as-of: the feed is read for one timeline
+    edges = F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col(start).alias("at")), F.struct(F.lit(False).alias("first"), (F.col(start) + dur_us).alias("at"))))
+    near = asof(windows.withColumn("__e", edges).withColumn("__at", F.col("__e.at")), ticks, [], "__at", ["__px"], **how)
+    priced = near.groupBy(*windows.columns).agg(F.max(F.when(F.col("__e.first"), F.col("__px"))).alias("open"), F.max(F.when(~F.col("__e.first"), F.col("__px"))).alias("close"), F.count_if("__e.first").alias("__rows"))
+    both = priced.withColumn("__rows", F.explode(F.sequence(F.lit(1), "__rows"))).drop("__rows")  # repeated windows stay so
+    return both.withColumn("up", F.col("close") >= F.col("open") if tie == "up" else F.col("close") > F.col("open"))
 
 
 def flow_features(probes: DataFrame, prints: DataFrame, by: Sequence[str], ts: str, sign: Column, size: str, price: str, widths_us: dict[str, int], large: float) -> DataFrame:
@@ -49,6 +52,31 @@ def flow_features(probes: DataFrame, prints: DataFrame, by: Sequence[str], ts: s
     return out.drop(*(c for c in out.columns if c.startswith("__")))
 
 
+def tape_features(probes: DataFrame, prints: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], sign: Column, size: str, price: str, width_us: int) -> DataFrame:
+    """probes with what the prints in (T - width, T] say: ofi (net over gross size), intensity (prints a second), vwap_dev (the
+    last price over the size-weighted mean, less 1) and rvol (root of the sum of squared log returns from print to print).
+
+    Null without prints; a print without a positive price counts in ofi and intensity only, and returns skip it.
+    """
+    w = Window.partitionBy(*by).orderBy(ts, *tie)
+    good = F.when(F.col(price) > 0, F.col(price).cast("double"))
+    rows = prints.select(*by, ts, *tie, F.col(size).cast("double").alias("__s"), (sign * F.col(size)).cast("double").alias("__n"), good.alias("__p"))
+    last = F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__r2", F.pow(S.log_ratio("__p", last), F.lit(2.0))).withColumn("__v", F.col("__p") * F.col("__s")).withColumn("__ps", F.when(F.col("__p").isNotNull(), F.col("__s")))
+    at = F.when(F.col("__p").isNotNull(), F.struct(ts, *tie))
+    rows = rows.withColumn("__at", at)
+    sums = {f"__{k}": (F.sum(f"__{c}"), width_us) for k, c in (("net", "n"), ("gross", "s"), ("r2s", "r2"), ("vs", "v"), ("pss", "ps"))}
+    out = trailing_at(probes, rows.drop(*tie), by, ts, sums | {"__c": (F.count("__s"), width_us), "__last": (F.max_by("__p", "__at"), width_us)})
+    return out.withColumns(
+        {
+            "ofi": S.ratio("__net", "__gross"),
+            "intensity": F.when(F.col("__c") > 0, F.col("__c") / (width_us / 1e6)),
+            "vwap_dev": S.ratio("__last", S.ratio("__vs", "__pss")) - 1,
+            "rvol": F.sqrt("__r2s"),
+        }
+    ).drop(*sums, "__c", "__last")
+
+
 def with_fee(trades: DataFrame, regimes: DataFrame, shares: str, price: str, date: str, exponent: float = 1.0) -> DataFrame:
     """trades with rate and fee (taker; a maker pays none) of the regime that the date falls into."""
     rated = range_lookup(trades, regimes, date, "lo", "hi", ["rate"])

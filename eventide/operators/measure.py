@@ -38,10 +38,11 @@ def autocorrelation(df: DataFrame, by: Sequence[str], order: Sequence[str], valu
     return sums.select(*by, rows.alias("__r")).select(*by, "__r.*")
 
 
-def lead_lag(a: DataFrame, b: DataFrame, ts: str, price: str, step_us: int, max_lag: int, bucket_us: int) -> DataFrame:
-    """(lag, n, r): correlation of a's grid returns with b's, ``lag`` steps later; at a positive best lag a leads."""
-    span = a.select(ts).unionByName(b.select(ts)).agg(F.floor(F.min(ts) / step_us).alias("lo"), F.floor(F.max(ts) / step_us).alias("hi"))
-    grid = span.select(F.explode(F.sequence("lo", "hi")).alias("step")).withColumn(ts, F.col("step") * step_us)
+def lead_lag(a: DataFrame, b: DataFrame, ts: str, price: str, step_us: int, max_lag: int, bucket_us: int, min_n: int = 0) -> DataFrame:
+    """(lag, n, r): correlation of a's grid returns with b's, ``lag`` steps later; at a positive best lag a leads.  r is null
+    with fewer than ``min_n`` pairs."""
+    span = a.select(ts).unionByName(b.select(ts)).agg(F.floor(F.min(ts) / step_us).alias("lo"), F.floor(F.max(ts) / step_us).alias("hi")).first()  # two numbers
+    grid = a.sparkSession.range(span.lo or 0, (span.hi if span.hi is not None else -1) + 1).select(F.col("id").alias("step"), (F.col("id") * step_us).alias(ts))
 
     def returns(feed: DataFrame, name: str) -> DataFrame:
         priced = asof(grid, feed.select(ts, price), [], ts, [price], bucket_us=bucket_us).select("step", F.ln(price).alias("v"))
@@ -50,7 +51,7 @@ def lead_lag(a: DataFrame, b: DataFrame, ts: str, price: str, step_us: int, max_
 
     lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)).cast("array<long>"))
     left = returns(a, "x").withColumn("lag", lags).withColumn("step", F.col("step") + F.col("lag"))
-    return left.join(returns(b, "y"), "step").groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    return left.join(returns(b, "y"), "step").groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= min_n, F.corr("x", "y")).alias("r"))
 
 
 def ledger(fills: DataFrame, token: str, side: str, price: str, amount: str, pay: Column) -> DataFrame:

@@ -34,9 +34,11 @@ def rounded(df, *by):
     return df.select(*by, "n", F.round("total", 4).alias("total"), F.round("t", 5).alias("t"), F.round("pf", 5).alias("pf"), F.round("wr", 6).alias("wr"))
 
 
-@query(sql("WITH " + PNL + f" SELECT cfg, split, {METRICS} FROM p GROUP BY 1, 2"))
+@query(sql("WITH " + PNL + f", m AS (SELECT cfg, split, {METRICS} FROM p GROUP BY 1, 2), c AS (SELECT cfg, split, t, event_id, sum(pnl) OVER (PARTITION BY cfg, split ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS cum FROM p), x AS (SELECT cfg, split, max(cum) OVER (PARTITION BY cfg, split ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) - cum AS fall FROM c), f AS (SELECT cfg, split, round(max(fall), 3) AS max_drawdown FROM x GROUP BY 1, 2) SELECT m.*, max_drawdown FROM m JOIN f USING (cfg, split)"))
 def m1_split_metrics(spark, sf):
-    return rounded(G.split_metrics(pnl(spark, sf), ["cfg", "split"], "pnl"), "cfg", "split")
+    rows = pnl(spark, sf)
+    falls = G.max_drawdown(rows, ["cfg", "split"], "day", ["t", "event_id"], "pnl").withColumn("max_drawdown", F.round("max_drawdown", 3))
+    return rounded(G.split_metrics(rows, ["cfg", "split"], "pnl"), "cfg", "split").join(falls, ["cfg", "split"])
 
 
 @query(sql("WITH " + PNL + ", d AS (SELECT cfg, day, sum(pnl) AS s FROM p GROUP BY 1, 2) SELECT cfg, count(*) AS clusters, round(sum(s), 4) AS total, round(avg(s) / (stddev_samp(s) / sqrt(count(*))), 5) AS t FROM d GROUP BY 1"))
@@ -77,10 +79,12 @@ def m6_autocorrelation(spark, sf):
 
 @query(sql("""WITH b AS (SELECT min(t) // {H} AS lo, max(t) // {H} AS hi FROM ev WHERE event_type IN ('click', 'signup')), g AS (SELECT s AS step, s * {H} AS t FROM b, LATERAL (SELECT unnest(generate_series(lo, hi)) AS s)),
 x AS (SELECT g.step, ln(f.price) AS v FROM g ASOF LEFT JOIN fast f ON g.t >= f.t), y AS (SELECT g.step, ln(f.price) AS v FROM g ASOF LEFT JOIN slow f ON g.t >= f.t),
-dx AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM x), dy AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM y), l AS (SELECT generate_series AS lag FROM generate_series(-6, 6))
-SELECT l.lag, count(*) AS n, round(corr(dx.d, dy.d), 6) AS r FROM dx, l JOIN dy ON dy.step = dx.step + l.lag WHERE dx.d IS NOT NULL AND dy.d IS NOT NULL GROUP BY 1"""))
+dx AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM x), dy AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM y), l AS (SELECT generate_series AS lag FROM generate_series(-40, 40)),
+c AS (SELECT l.lag, count(*) AS n, round(corr(dx.d, dy.d), 6) AS r FROM dx, l JOIN dy ON dy.step = dx.step + l.lag WHERE dx.d IS NOT NULL AND dy.d IS NOT NULL GROUP BY 1) SELECT lag, n, r, (SELECT lag FROM c ORDER BY abs(r) DESC, lag LIMIT 1) AS best FROM c"""))
 def m7_lead_lag(spark, sf):
-    return E.lead_lag(fast_feed(spark, sf), slow_feed(spark, sf), "t", "price", HOUR, 6, DAY).select("lag", "n", F.round("r", 6).alias("r"))
+    lags = E.lead_lag(fast_feed(spark, sf), slow_feed(spark, sf), "t", "price", HOUR, 40, DAY).select("lag", "n", F.round("r", 6).alias("r"))
+    every = Window.partitionBy(F.lit(0))  # a row per lag
+    return lags.withColumn("best", F.max_by("lag", F.struct(F.abs("r"), -F.col("lag"))).over(every))
 
 
 CALIBRATION = OUTCOMES + """, d AS (SELECT day, h, day * {D} + h * {H} AS t, up FROM outcomes, (VALUES (1), (6), (12), (18)) v(h) WHERE up IS NOT NULL), dp AS (SELECT d.*, f.price FROM d ASOF LEFT JOIN fast f ON d.t > f.t),

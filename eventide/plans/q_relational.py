@@ -328,11 +328,10 @@ def w18_halves_by_date_rank(spark, sf):
     return orders.join(ranked, "d").select("o_orderkey", F.when(F.col("r") * 2 <= F.col("n"), "train").otherwise("val").alias("half"))
 
 
-@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey LIMIT 500")
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def t1_multi_key_sort(spark, sf):
     order = ["o_custkey", F.col("o_totalprice").desc(), "o_orderkey"]
-    top = table(spark, sf, "orders").orderBy(*order).limit(500)
-    return top.select("o_orderkey", "o_custkey", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return series.with_place(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), order).select("o_orderkey", "o_custkey", "place")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END DESC NULLS LAST, c_custkey LIMIT 20")

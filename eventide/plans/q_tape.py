@@ -87,16 +87,28 @@ def b9_taker_flow(spark, sf):
     return out.select("event_id", *(F.round(c, 6).alias(c) for c in ("imb_6h", "imb_24h", "big_imb_24h", "imb_open")), "prints_6h")
 
 
-@query(sql("""WITH p AS (SELECT event_id, h, t - h * {H} AS t FROM slow, (VALUES (0), (1), (6), (24)) v(h)), a AS (SELECT p.event_id, p.h, f.price FROM p ASOF LEFT JOIN fast f ON p.t >= f.t),
-r AS (SELECT event_id, max(price) FILTER (WHERE h = 0) p0, max(price) FILTER (WHERE h = 1) p1, max(price) FILTER (WHERE h = 6) p6, max(price) FILTER (WHERE h = 24) p24 FROM a GROUP BY 1)
-SELECT event_id, round(ln(p0) - ln(p1), 6) AS ret_1h, round(ln(p0) - ln(p6), 6) AS ret_6h, round(ln(p0) - ln(p24), 6) AS ret_24h FROM r"""))
+HORIZONS = (1, 2, 3, 6, 12, 24, 48)
+
+
+@query(sql("WITH p AS (SELECT event_id, h, t - h * {H} AS t FROM slow, (VALUES (0), " + ", ".join(f"({h})" for h in HORIZONS) + ") v(h)), a AS (SELECT p.event_id, p.h, f.price FROM p ASOF LEFT JOIN fast f ON p.t >= f.t), r AS (SELECT event_id, max(price) FILTER (WHERE h = 0) p0, "
+       + ", ".join(f"max(price) FILTER (WHERE h = {h}) p{h}" for h in HORIZONS) + " FROM a GROUP BY 1) SELECT event_id, " + ", ".join(f"round(CASE WHEN p0 > 0 AND p{h} > 0 THEN ln(p0) - ln(p{h}) END, 6) AS ret_{h}h" for h in HORIZONS) + " FROM r"))
 def b10_spot_features(spark, sf):
-    hours = (0, 1, 6, 24)
+    hours = (0, *HORIZONS)
     long = asof_at(slow_feed(spark, sf).select("event_id", "t"), fast_feed(spark, sf), [], "t", ["price"], {f"h{h}": -h * HOUR for h in hours}, bucket_us=DAY)
     at = {h: F.ln(F.max(F.when(F.col("step") == f"h{h}", F.col("price")))) for h in hours}
     return long.groupBy("event_id").agg(*(F.round(at[0] - at[h], 6).alias(f"ret_{h}h") for h in hours[1:]))
 
 
+@query(sql("""WITH g AS (SELECT *, CASE WHEN price > 0 THEN price END AS p FROM tr), r AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
+x AS (SELECT q.event_id, sum(CASE WHEN r.event_id % 2 = 0 THEN size ELSE -size END) / CAST(nullif(sum(size), 0) AS DOUBLE) AS ofi, count(size) AS c, max_by(p, (r.t, r.event_id)) FILTER (WHERE p IS NOT NULL) AS last, sum(p * size) / nullif(sum(CASE WHEN p IS NOT NULL THEN size END), 0) AS vwap, sqrt(sum(CASE WHEN p > 0 AND before > 0 THEN ln(p / before) * ln(p / before) END)) AS rvol
+FROM q LEFT JOIN r ON q.user_id = r.user_id AND r.t > q.t - 3 * {D} AND r.t <= q.t GROUP BY 1)
+SELECT event_id, round(ofi, 6) AS ofi, CASE WHEN c > 0 THEN round(c / 259200.0::DOUBLE, 9) END AS intensity, round(last / nullif(vwap, 0) - 1, 6) AS vwap_dev, round(rvol, 6) AS rvol FROM x"""))
+def b10_tape_features(spark, sf):
+    sign = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
+    out = M.tape_features(quotes(spark, sf).select("user_id", "t", "event_id"), trades(spark, sf), ["user_id"], "t", ["event_id"], sign, "size", "price", 3 * DAY)
+    return out.select("event_id", F.round("ofi", 6).alias("ofi"), F.round("intensity", 9).alias("intensity"), F.round("vwap_dev", 6).alias("vwap_dev"), F.round("rvol", 6).alias("rvol"))
+
+
 @query(sql("""WITH c AS (SELECT user_id, t // {D} AS day, t, sum(size) OVER (PARTITION BY user_id, t // {D} ORDER BY t) AS v FROM tr), p AS (SELECT event_id, user_id, t // {D} AS day, t FROM q)
 SELECT p.event_id, CAST(coalesce(c.v, 0) AS BIGINT) AS so_far FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.day = c.day AND p.t >= c.t"""))
 def b11_activity_so_far(spark, sf):
