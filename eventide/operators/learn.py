@@ -28,11 +28,13 @@ def logistic(features: Sequence[str], label: str):
 
 
 def boosted(features: Sequence[str], label: str):
+    """Boosted trees; missing features take the fit's mean, as trees do not split on them."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import Imputer, VectorAssembler
 
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__v", handleInvalid="keep"), GBTClassifier(featuresCol="__v", labelCol=label, maxIter=5, maxDepth=3, seed=7)])
+    filled = [f"{f}__f" for f in features]
+    return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__v"), GBTClassifier(featuresCol="__v", labelCol=label, maxIter=20, maxDepth=3, seed=7)])
 
 
 def walk_forward(rows: DataFrame, features: Sequence[str], label: str, day: str, folds: int, embargo_days: int, model: Callable) -> DataFrame:

@@ -1,0 +1,18 @@
+"""Every query of the rest of the library runs on larger tables, where zero prices, empty arms and the like turn up.
+
+Takes minutes, so it runs where EVENTIDE_SF names a folder of tables: EVENTIDE_SF=/root/testdata/sf0.1 pytest tests/test_scale.py
+"""
+
+import os
+
+import pytest
+
+from eventide.plans.all_queries import QUERIES
+
+FOLDER = os.environ.get("EVENTIDE_SF")
+
+
+@pytest.mark.skipif(not FOLDER, reason="EVENTIDE_SF is not set")
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_runs(spark, name):
+    QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
