@@ -75,7 +75,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, small: int = 1_000_000) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS, small: int = 250_000) -> DataFrame:
     """(bucket, weight): log of the trusted over the raw share of each bucket, one added to every count.
 
     The raw counts cover every document and the trusted counts every trusted one.  The ids are counted first: up to
