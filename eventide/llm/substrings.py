@@ -7,13 +7,16 @@ of suffixes that loses nothing:
   anchor at the same place, so only anchors, about one in 190 bytes, need to be sorted into buckets.  An anchor stands
   for a run of neighbouring windows; a window is known by the offset of its anchor.
 * The initial bucket of an anchor is its q-gram.  A bucket with one member is done: none of its windows is repeated.
-* Refinement: offsets are cut into blocks.  The bytes that all windows of a block share (its core) give the next bucket
-  pointer, the bytes that any of them holds (its span) the one below.  A core that no other anchor shares ends a block;
-  two equal spans settle it, since then all its windows are repeated; what is neither goes on with smaller blocks, down
-  to single windows.  Each step sorts on the pointers of the step before, and only the members whose bucket holds
-  different spans are refined further, one member standing for all with equal spans.
-
-Every step is a grouping by a hash with partial aggregation: no bucket is collected.  Spans are compared by 64-bit hash.
+* Refinement: offsets are cut into blocks, and a block's bucket is the string that all its windows share (its core).  Its
+  identifier comes from the bucket before, which covers the middle of that string, and the identifiers of the strings at
+  the offsets to both sides that the new bucket adds.  The update is used again by the next step: buckets grow
+  from the q-gram to the cores of large blocks, then of small ones, then to single windows.
+* A core that no other anchor shares ends a block; two equal spans (all bytes that any window of the block holds) settle it,
+  since then all its windows are repeated; what is neither is refined further.  Only members whose bucket holds different
+  spans go on, one member standing for all with equal spans.
+
+A step groups by bucket identifier, with partial aggregation, where a sort in memory would order a bucket: no bucket is
+collected.  Identifiers are 64-bit fingerprints of the strings, not ranks, so none has to be looked up.
 """
 
 from __future__ import annotations
@@ -108,8 +111,9 @@ def _shape(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * 65536 + right).astype(np.uint64)
 
 
-def _blocks(batch: pa.RecordBatch, length: int, step: int) -> pa.RecordBatch:
-    """Each segment's blocks of ``step`` offsets, with core and span hash; only offsets from lo to hi are of interest."""
+def _blocks(batch: pa.RecordBatch, length: int, step: int, before: int | None) -> pa.RecordBatch:
+    """Each segment's blocks of ``step`` offsets, with their bucket (core) and span hash; only offsets from lo to hi are of
+    interest.  They lie in one block of ``before`` offsets, whose bucket the segment brings; None: the bucket is the q-gram."""
     segments = batch.column("segment").to_pylist()
     lo, hi, left = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi", "left"))
     sizes = np.array([len(s) for s in segments], np.int64)
@@ -122,8 +126,14 @@ def _blocks(batch: pa.RecordBatch, length: int, step: int) -> pa.RecordBatch:
     block = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + (lo // step)[row]
     o0, o1 = block * step, np.minimum(block * step + step - 1, length - GRAM)
     a = left[row]
-    start, end = a - o0, a - o1 + length
-    core = _mix(_hash(prefix[row, start], prefix[row, end], start, end - start) + (block * 1024 + step).astype(np.uint64))
+    # the bucket before covers known bytes: from so many before the anchor to so many behind it
+    known = (lo // before * before)[row] if before else np.zeros(len(row), np.int64)
+    reach = length - np.minimum(known + before - 1, length - GRAM) if before else np.full(len(row), GRAM)
+    earlier = _hash(prefix[row, a - o0], prefix[row, a - known], a - o0, o0 - known)
+    later = _hash(prefix[row, a + reach], prefix[row, a - o1 + length], a + reach, length - o1 - reach)
+    bucket = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)[row]
+    with np.errstate(over="ignore"):
+        core = _mix(_mix(bucket + earlier) * np.uint64(_P) + later + (block * 1024 + step).astype(np.uint64))
     start, end = np.maximum(0, a - o1), np.minimum(sizes[row], a - o0 + length)
     span = _mix(_hash(prefix[row, start], prefix[row, end], start, end - start) + _shape(a - start, end - a))
     take = pa.array(row)
@@ -159,30 +169,30 @@ def repeated(docs: DataFrame, rows: DataFrame, text: str, length: int, steps: tu
     # a member alone in its class is single; where its bucket holds other classes, all of them are refined
     mixed = C.written(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1").select("gram", "classes", F.lit(True).alias("refine")), "mixed-buckets")
     told = C.spread_join(classes, mixed, ["gram"], "classes", "left").where("n = 1 OR refine")
-    told = C.written(told.select("m.*", (F.col("n") == 1).alias("open"), F.coalesce("refine", F.lit(False)).alias("refine")), "told-anchors")
+    told = C.written(told.select("m.*", "gram", (F.col("n") == 1).alias("open"), F.coalesce("refine", F.lit(False)).alias("refine")), "told-anchors")
 
     # one document of each text brings the bytes around the anchors to refine
-    asked = told.where("refine").groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "first", "last", "open")).alias("nodes"))
+    asked = told.where("refine").groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "first", "last", "open", "gram")).alias("nodes"))
     holder = keyed.groupBy("ka", "kb").agg(F.min("doc_id").alias("holder"))
     asked = asked.join(holder, ["ka", "kb"])
     texts = keyed.alias("d").join(asked.alias("n"), (F.col("d.ka") == F.col("n.ka")) & (F.col("d.kb") == F.col("n.kb")) & F.col("d.doc_id").eqNullSafe(F.col("n.holder"))).select("d.ka", "d.kb", "d.data", "n.nodes")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "a", "lo", "hi", "left", "open", "segment")}
+            out: dict[str, list] = {c: [] for c in ("row", "a", "lo", "hi", "left", "open", "bucket", "segment")}
             for i, (data, nodes) in enumerate(zip(batch.column("data").to_pylist(), batch.column("nodes").to_pylist())):
                 for node in nodes:
                     a, start = node["a"], max(0, node["a"] - (length - GRAM))
-                    for c, v in zip(out, (i, a, a - node["last"], a - node["first"], a - start, node["open"], data[start : a + length])):
+                    for c, v in zip(out, (i, a, a - node["last"], a - node["first"], a - start, node["open"], node["gram"], data[start : a + length])):
                         out[c].append(v)
             take = pa.array(out.pop("row"), pa.int64())
-            kinds = [pa.int32()] * 4 + [pa.bool_(), pa.binary()]
+            kinds = [pa.int32()] * 4 + [pa.bool_(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("ka").take(take), batch.column("kb").take(take), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=["ka", "kb", *out])
 
-    segments = C.written(texts.mapInArrow(cut, "ka long, kb long, a int, lo int, hi int, left int, open boolean, segment binary"), "segments")
+    segments = C.written(texts.mapInArrow(cut, "ka long, kb long, a int, lo int, hi int, left int, open boolean, bucket long, segment binary"), "segments")
     found, nodes = None, segments
     for turn, step in enumerate(steps):
-        blocks = nodes.mapInArrow(lambda it, step=step: (_blocks(b, length, step) for b in it if b.num_rows), "ka long, kb long, a int, open boolean, lo int, hi int, core long, span long")
+        blocks = nodes.mapInArrow(lambda it, step=step, before=steps[turn - 1] if turn else None: (_blocks(b, length, step, before) for b in it if b.num_rows), "ka long, kb long, a int, open boolean, lo int, hi int, core long, span long")
         blocks = C.written(blocks, "blocks")
         classes = C.written(blocks.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open"), F.min(F.struct("ka", "kb", "a", "lo", "hi", "open")).alias("m")), "classes")
         shared = classes.where("n > 1 AND any_open").select("core", "span", "n")
@@ -190,7 +200,7 @@ def repeated(docs: DataFrame, rows: DataFrame, text: str, length: int, steps: tu
         found = settled if found is None else found.unionByName(settled)
         if turn + 1 < len(steps):
             mixed = C.written(classes.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("any_open") & (F.col("n") == 1)).alias("some")).where("c > 1 AND some").select("core", "c"), "mixed-cores")
-            onward = C.spread_join(classes, mixed, ["core"], "c", "left_semi").select("m.ka", "m.kb", "m.a", "m.lo", "m.hi", (F.col("m.open") & (F.col("n") == 1)).alias("open"))
+            onward = C.spread_join(classes, mixed, ["core"], "c", "left_semi").select("m.ka", "m.kb", "m.a", "m.lo", "m.hi", F.col("core").alias("bucket"), (F.col("m.open") & (F.col("n") == 1)).alias("open"))
             nodes = onward.join(segments.select("ka", "kb", "a", "left", "segment"), ["ka", "kb", "a"])
     return told.where("open").select("ka", "kb", "a"), C.written(found, "windows")
 
@@ -201,8 +211,10 @@ def substring_dedup(docs: DataFrame, text: str = "text", length: int = 400, step
     Texts are taken as UTF-8, matches do not cross rows, and whether a string repeats is judged on the input alone.  Null
     and empty texts, and texts shorter than ``length``, keep everything; rows with equal texts of ``length`` bytes or more
     lose everything, whatever their doc_id; extra columns pass through, and those called like the new ones are replaced;
-    an empty table stays empty.  ``steps`` are the sizes of blocks; the last must be 1.
+    an empty table stays empty.  ``steps`` are the sizes of blocks; each divides the one before, and the last is 1.
     """
+    if steps[-1] != 1 or any(a % b for a, b in zip(steps, steps[1:])):
+        raise ValueError("each step has to divide the one before, and the last has to be 1")
     rows = anchored(docs, text, length)
     single, found = repeated(docs.select("doc_id", text), rows, text, length, steps)
     lists = single.groupBy("ka", "kb").agg(F.collect_set("a").alias("single")).join(found.groupBy("ka", "kb").agg(F.collect_set(F.struct("first", "last")).alias("found")), ["ka", "kb"], "left")

@@ -202,7 +202,8 @@ def brute_substrings(texts, n):
     return {i: (len(b), int(g.sum()), int((g & ~np.r_[False, g[:-1]]).sum()) if len(b) else 0, hashlib.sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest()) for i, (b, g) in enumerate(zip(data, gone))}
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("steps", [(24, 1), (64, 16, 4, 1), (1,)])
+def test_substrings(spark, steps):
     rnd = random.Random(3)
     text = lambda n: "".join(rnd.choice("abcdefghij é") for _ in range(n))
     base = [text(3000) for _ in range(3)]
@@ -213,7 +214,7 @@ def test_substrings(spark):
             s, i = rnd.choice(base), rnd.randint(0, 2500)
             t += s[i : i + rnd.randint(10, 900)] + text(rnd.randint(0, 30))
         texts.append(t)
-    out = by_id(SS.substring_dedup(docs(spark, texts, n_spans=F.lit("x")), keep_bytes=False), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = by_id(SS.substring_dedup(docs(spark, texts, n_spans=F.lit("x")), keep_bytes=False, steps=steps), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert out == brute_substrings(texts, 400)
 
 
