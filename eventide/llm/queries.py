@@ -12,6 +12,7 @@ from .licenses import license_scan
 from .line_dedup import line_dedup
 from .main_text import extract_main_text
 from .minhash import near_dedup
+from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .substrings import substring_dedup
@@ -66,4 +67,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op5_substring_dedup, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)}
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op5_substring_dedup, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules, op13_best_fit_packing)}
