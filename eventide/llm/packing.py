@@ -123,13 +123,6 @@ def _parts(w: str) -> Iterator[str]:
     yield w[first:]
 
 
-def byte_characters() -> dict[str, int]:
-    """The characters by which byte-level vocabularies write bytes: printable bytes as themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def _merges(path: str):
     """A function from a piece's bytes and END to its ids, or None if ids do not follow the order of merges."""
     import json
@@ -138,7 +131,7 @@ def _merges(path: str):
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
-    vocab, of_char = model["vocab"], byte_characters()
+    vocab, of_char = model["vocab"], C.byte_characters()
     raw = lambda token: bytes(of_char[c] for c in token.removesuffix("</w>")) + (END if token.endswith("</w>") else b"")
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     ordered = [vocab.get(a + b) for a, b in pairs]

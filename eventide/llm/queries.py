@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .align import align
 from .bpe import bpe
 from .decontaminate import decontaminate
 from .licenses import license_scan
@@ -67,10 +68,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups=False)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op5_substring_dedup, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules, op13_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op5_substring_dedup, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules, op12_token_alignment, op13_best_fit_packing)}
