@@ -9,6 +9,7 @@ from . import common as C
 from .align import align
 from .bpe import bpe
 from .decontaminate import decontaminate
+from .hard_negatives import hard_negatives, quantised, usable
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .main_text import extract_main_text
@@ -68,6 +69,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usable(C.table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    shaped = rows.select("vec_id", label.alias("label"), quantised("embedding", 256).alias("vector"))
+    return hard_negatives(shaped, F.col("vec_id") % 100 == 0)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,4 +88,4 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op5_substring_dedup, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules, op12_token_alignment, op13_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_normaliser, op2_main_text, op3_license_scan, op4_benchmark_decontamination, op5_substring_dedup, op6_byte_bpe, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_quality_rules, op11_hard_negatives, op12_token_alignment, op13_best_fit_packing)}
