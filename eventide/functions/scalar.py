@@ -33,6 +33,20 @@ def log_ratio(a, b) -> Column:
     return F.when((a > 0) & (b > 0), F.ln(F.try_divide(a, b)))
 
 
+#: Part of a unit of the last digit by which rounded() moves its border.
+OFF_GRID = 0.0031
+
+
+def rounded(x, digits: int) -> Column:
+    """x to so many decimals, for reports.  The border lies at 0.4969 of a unit instead of a half: means and quantiles of
+    values with few decimals often lie on a half exactly, where the order of a sum's terms would decide."""
+    return F.round(_c(x) + off_grid(digits), digits)
+
+
+def off_grid(digits: int) -> float:
+    return float(f"{OFF_GRID * 10.0**-digits:.3g}")
+
+
 def bucket(ts, width: int) -> Column:
     return F.floor(_c(ts) / width)
 

@@ -91,7 +91,7 @@ def infer_regimes(fills: DataFrame, date: str, implied: Column, min_paid: int, m
     spans fewer than ``min_days`` days joins the run before it.  The windows below run over one row per day.
     """
     daily = fills.withColumn("__i", implied).groupBy(F.col(date).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__i") > 0).alias("paid"), F.median(F.when(F.col("__i") > 0, F.col("__i"))).alias("m")).where(F.col("n") >= min_all)
-    rated = daily.select("day", F.when((F.col("paid") >= min_paid) & (F.col("paid") / F.col("n") > 0.5), F.round("m", 3)).otherwise(0.0).alias("rate"))
+    rated = daily.select("day", F.when((F.col("paid") >= min_paid) & (F.col("paid") / F.col("n") > 0.5), S.rounded("m", 3)).otherwise(0.0).alias("rate"))
     w = Window.orderBy("day")
     runs = rated.withColumn("new", (~F.col("rate").eqNullSafe(F.lag("rate").over(w))).cast("int")).withColumn("run", F.sum("new").over(w)).groupBy("run").agg(F.min("day").alias("lo"), F.max("day").alias("last"), F.first("rate").alias("rate"))
     r = Window.orderBy("run")

@@ -76,7 +76,7 @@ def train_thresholds(train: DataFrame, features: Sequence[str], quantiles: Seque
     wide = train.agg(*(F.percentile(f, q).alias(f) for f in features))
     rows = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("thrs")) for f in features)))
     each = wide.select(rows.alias("r")).select("r.feature", F.explode("r.thrs").alias("thr"))
-    return each.select("feature", F.round("thr", 2).alias("thr")).distinct()
+    return each.select("feature", S.rounded("thr", 2).alias("thr")).distinct()
 
 
 def checked_small(df: DataFrame, most: int = 100_000) -> DataFrame:

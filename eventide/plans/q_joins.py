@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators.asof import asof, asof_at, interval_join, range_lookup
 from .data import DAY, HOUR, events, fast_feed, fills, other_quotes, quotes, slow_feed, sql, table, trades
 from .registry import query
@@ -27,7 +28,7 @@ def j3_asof_forward_tolerance(spark, sf):
 
 @query(sql("SELECT q2.event_id, q.event_id AS q_event_id, round(abs(q2.price - q.price), 6) AS gap FROM q2 ASOF LEFT JOIN q ON q2.user_id = q.user_id AND q2.t >= q.t"))
 def j4_join_asof_frames(spark, sf):
-    return asof(other_quotes(spark, sf), quotes(spark, sf), ["user_id"], "t", ["event_id", "price"], prefix="q_").select("event_id", "q_event_id", F.round(F.abs(F.col("price") - F.col("q_price")), 6).alias("gap"))
+    return asof(other_quotes(spark, sf), quotes(spark, sf), ["user_id"], "t", ["event_id", "price"], prefix="q_").select("event_id", "q_event_id", S.rounded(F.abs(F.col("price") - F.col("q_price")), 6).alias("gap"))
 
 
 LATENCIES = {"l1h": HOUR, "l6h": 6 * HOUR, "l24h": 24 * HOUR}
@@ -55,7 +56,7 @@ SELECT event_id, round(p0 - p1, 6) AS vel_1h, round(p0 - p6, 6) AS vel_6h, round
 def j7_lagged_difference(spark, sf):
     long = asof_at(trades(spark, sf), quotes(spark, sf), ["user_id"], "t", ["price"], {f"h{h}": -h * HOUR for h in (0, 1, 6, 24)}, prefix="q_")
     at = {h: F.max(F.when(F.col("step") == f"h{h}", F.col("q_price"))) for h in (0, 1, 6, 24)}
-    return long.groupBy("event_id").agg(*(F.round(at[0] - at[h], 6).alias(f"vel_{h}h") for h in (1, 6, 24)))
+    return long.groupBy("event_id").agg(*(S.rounded(at[0] - at[h], 6).alias(f"vel_{h}h") for h in (1, 6, 24)))
 
 
 @query(sql("""WITH p AS (SELECT event_id, user_id, t, t // {D} - 1 AS day FROM tr), d AS (SELECT user_id, t, price, t // {D} AS day FROM q)
@@ -69,14 +70,14 @@ def j8_asof_previous_window(spark, sf):
 a AS (SELECT p.event_id, p.t, s.src, s.price AS anchor FROM p ASOF LEFT JOIN s ON p.t >= s.avail),
 b AS (SELECT a.*, f.price AS at_anchor FROM a ASOF LEFT JOIN fast f ON a.src >= f.t),
 c AS (SELECT b.*, f.price AS at_now FROM b ASOF LEFT JOIN fast f ON b.t - {H} >= f.t)
-SELECT event_id, anchor, round(ln(anchor) + ln(at_now) - ln(at_anchor), 6) AS nowcast FROM c"""))
+SELECT event_id, anchor, round(CASE WHEN anchor > 0 AND at_now > 0 AND at_anchor > 0 THEN ln(anchor) + ln(at_now) - ln(at_anchor) END, 6) AS nowcast FROM c"""))
 def j9_bitemporal_asof(spark, sf):
     slow = slow_feed(spark, sf).withColumn("src", F.col("t"))
     fast = fast_feed(spark, sf).select("t", "price")
     a = asof(trades(spark, sf).select("event_id", "t"), slow, [], "t", ["src", "price"], lag_us=HOUR, bucket_us=DAY, prefix="a_").drop("quote_t")
     b = asof(a.withColumnsRenamed({"t": "now", "a_src": "t"}), fast, [], "t", ["price"], bucket_us=DAY, prefix="anchor_").drop("quote_t", "t")
     c = asof(b.withColumn("t", F.col("now") - HOUR), fast, [], "t", ["price"], bucket_us=DAY, prefix="now_")
-    return c.select("event_id", F.col("a_price").alias("anchor"), F.round(F.ln("a_price") + F.ln("now_price") - F.ln("anchor_price"), 6).alias("nowcast"))
+    return c.select("event_id", F.col("a_price").alias("anchor"), S.rounded(F.ln("a_price") + F.ln("now_price") - F.ln("anchor_price"), 6).alias("nowcast"))
 
 
 @query(sql("SELECT tr.event_id, f.t AS quote_t, f.price AS f_price FROM tr ASOF LEFT JOIN fast f ON tr.t >= f.t"))
@@ -95,7 +96,7 @@ def j11_left_equi_join(spark, sf):
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
 def j12_inner_equi_join(spark, sf):
     orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    return orders.join(customers, orders.o_custkey == customers.c_custkey).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return orders.join(customers, orders.o_custkey == customers.c_custkey).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(sql("""WITH days AS (SELECT user_id, t // {D} AS day, count(DISTINCT event_type) AS kinds FROM ev GROUP BY 1, 2)
@@ -169,7 +170,7 @@ def j21_exact_offset_lookup(spark, sf):
     hourly = fast_feed(spark, sf).groupBy(F.floor(F.col("t") / HOUR).alias("hour")).agg(F.max_by("price", "t").alias("px"))
     asked = slow_feed(spark, sf).select("event_id", F.floor(F.col("t") / HOUR).alias("hour"), F.explode(F.array(*map(F.lit, (1, 2, 3, 6)))).alias("w"))
     a, b = hourly.select((F.col("hour") + 1).alias("hour"), F.col("px").alias("a")), hourly.select(F.col("hour").alias("then"), F.col("px").alias("b"))
-    return asked.join(a, "hour", "left").withColumn("then", F.col("hour") - 1 - F.col("w")).join(b, "then", "left").select("event_id", "w", F.round(F.col("a") - F.col("b"), 6).alias("move"))
+    return asked.join(a, "hour", "left").withColumn("then", F.col("hour") - 1 - F.col("w")).join(b, "then", "left").select("event_id", "w", S.rounded(F.col("a") - F.col("b"), 6).alias("move"))
 
 
 @query(sql("""WITH c(cid, thr) AS (VALUES (1, 50.0), (2, 100.0), (3, 200.0)) SELECT cid, count(*) AS n, count(*) FILTER (WHERE price > thr) AS hits FROM tr, c GROUP BY cid"""))
@@ -192,8 +193,8 @@ def j23_dense_scaffold(spark, sf):
 c AS (SELECT user_id, t // {D} AS day, sum(size) AS vol FROM tr GROUP BY 1, 2) SELECT user_id, day, vol, q_avg, e_avg FROM c LEFT JOIN a USING (user_id, day) LEFT JOIN b USING (user_id, day)"""))
 def j24_feature_stacking(spark, sf):
     day = F.floor(F.col("t") / DAY).alias("day")
-    a = quotes(spark, sf).groupBy("user_id", day).agg(F.round(F.avg("price"), 6).alias("q_avg"))
-    b = other_quotes(spark, sf).groupBy("user_id", day).agg(F.round(F.avg("price"), 6).alias("e_avg"))
+    a = quotes(spark, sf).groupBy("user_id", day).agg(S.rounded(F.avg("price"), 6).alias("q_avg"))
+    b = other_quotes(spark, sf).groupBy("user_id", day).agg(S.rounded(F.avg("price"), 6).alias("e_avg"))
     return trades(spark, sf).groupBy("user_id", day).agg(F.sum("size").alias("vol")).join(a, ["user_id", "day"], "left").join(b, ["user_id", "day"], "left")
 
 

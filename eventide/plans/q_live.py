@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import accounts as A
 from ..operators import learn as L
 from ..streaming import live as R
@@ -36,7 +37,7 @@ def r2_bucketed_last(spark, sf):
 @query(sql("WITH w AS (SELECT t // (6 * {H}) * 6 * {H} + j * 6 * {H} + 6 * {H} AS end_us, value FROM ev, (VALUES (0), (1), (2), (3)) v(j) WHERE event_type = 'click') SELECT end_us, count(*) AS n, round(stddev_pop(value), 5) AS sigma FROM w GROUP BY 1 HAVING end_us <= (SELECT max(t) - {H} FROM ev WHERE event_type = 'click')"))
 def r3_rolling_sigma(spark, sf):
     out = R.drain(R.rolling_sigma(stream(spark, sf, "click"), "ts", "24 hours", "6 hours", "value", "1 hour"))
-    return out.select(F.unix_micros("end").alias("end_us"), "n", F.round("sigma", 5).alias("sigma"))
+    return out.select(F.unix_micros("end").alias("end_us"), "n", S.rounded("sigma", 5).alias("sigma"))
 
 
 @query(sql("SELECT t // {D} * {D} AS start_us, min_by(value, t) AS open, max_by(value, t) AS close, max_by(value, t) >= min_by(value, t) AS up FROM ev WHERE event_type = 'signup' GROUP BY 1 HAVING start_us + {D} <= (SELECT max(t) - {H} FROM ev WHERE event_type = 'signup')"))
@@ -91,7 +92,7 @@ def r8_account_risk_state(spark, sf):
     path = A.risk_path(live, "account", "day", ["t", "event_id"], "pnl", 350.0, 6, 100.0, recent=40, least=25)
     halted = F.col("status") == "HALTED"
     return path.groupBy("account").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("pnl"), 4).alias("equity"), F.round(F.max("drawdown"), 4).alias("drawdown"), F.max("loss_run").cast("long").alias("loss_run"), F.round(F.min("decay_t"), 5).alias("worst_t"),
+        F.count(F.lit(1)).alias("n"), S.rounded(F.sum("pnl"), 4).alias("equity"), S.rounded(F.max("drawdown"), 4).alias("drawdown"), F.max("loss_run").cast("long").alias("loss_run"), S.rounded(F.min("decay_t"), 5).alias("worst_t"),
         F.min(F.when(halted, F.col("t"))).alias("halted_at"), F.count_if(F.col("status") == "PAUSED").alias("paused"),
     )
 
@@ -99,7 +100,7 @@ def r8_account_risk_state(spark, sf):
 @query(sql("WITH x AS (SELECT user_id AS account, event_id, t, t // {D} // 7 AS week, value - 60 AS pnl, avg(CASE WHEN value > 60 THEN 1.0 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS 9 PRECEDING) AS rate FROM ev), w AS (SELECT account, week, count(*) AS n, sum(pnl) AS pnl, max_by(rate, (t, event_id)) AS rate FROM x GROUP BY 1, 2) SELECT account, week, n, round(pnl, 4) AS pnl, round(rate, 6) AS rate, CASE WHEN pnl < 0 THEN 'down' WHEN pnl > 0 AND n >= 3 AND rate >= 0.5 THEN 'up' ELSE 'stay' END AS verdict FROM w"))
 def r9_weekly_review(spark, sf):
     w = A.weekly_review(accounts(events(spark, sf)), "account", "day", ["t", "event_id"], "pnl", 3, 0.5, recent=10)
-    return w.select("account", "week", "n", F.round("pnl", 4).alias("pnl"), F.round("rate", 6).alias("rate"), "verdict")
+    return w.select("account", "week", "n", S.rounded("pnl", 4).alias("pnl"), S.rounded("rate", 6).alias("rate"), "verdict")
 
 
 @query(sql("SELECT user_id, count(*) AS gaps FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM ev) WHERE gap > {D} GROUP BY 1"))
@@ -111,7 +112,7 @@ def r10_inactivity_report(spark, sf):
 
 @query(sql("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY 1"))
 def r11_running_status(spark, sf):
-    return R.drain(stream(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")), "complete")
+    return R.drain(stream(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.sum("value"), 4).alias("total")), "complete")
 
 
 @query(sql("SELECT event_type, count(*) AS n FROM ev GROUP BY 1"))
@@ -156,7 +157,7 @@ def l5_isotonic_out_of_fold(spark, sf):
 
 @query(sql("WITH r AS (SELECT event_type, value > 60 AS y, rank() OVER (PARTITION BY event_type ORDER BY k) AS lo, count(*) OVER (PARTITION BY event_type, k) AS ties FROM ev), s AS (SELECT event_type, sum(lo + (ties - 1) / 2.0) FILTER (WHERE y) AS ranks, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE NOT y) AS DOUBLE) AS n0 FROM r GROUP BY 1) SELECT event_type, round((ranks - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc FROM s"))
 def l6_roc_auc(spark, sf):
-    return L.auc(events(spark, sf).withColumn("y", F.col("value") > 60), ["event_type"], "k", "y").select("event_type", F.round("auc", 6).alias("auc"))
+    return L.auc(events(spark, sf).withColumn("y", F.col("value") > 60), ["event_type"], "k", "y").select("event_type", S.rounded("auc", 6).alias("auc"))
 
 
 @query(sql("SELECT user_id, t // {D} AS day, min_by(event_id, t) AS event_id FROM ev WHERE value / 500 - 0.1 >= 0.04 GROUP BY 1, 2"))
@@ -167,7 +168,7 @@ def l7_margin_rule(spark, sf):
 @query(sql("WITH c AS (SELECT unnest([0.5, 0.8, 0.9]) AS q), t AS (SELECT q, quantile_cont(value, CASE q WHEN 0.5 THEN 0.5 WHEN 0.8 THEN 0.8 ELSE 0.9 END) AS thr FROM ev, c GROUP BY q) SELECT CAST(q AS DOUBLE) AS q, count(*) AS n, round(avg(CASE WHEN k > 50 THEN 1.0 ELSE 0 END), 6) AS rate FROM ev JOIN t ON value >= thr GROUP BY 1")
        .replace("quantile_cont(value, CASE q WHEN 0.5 THEN 0.5 WHEN 0.8 THEN 0.8 ELSE 0.9 END)", "CASE q WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.8 THEN quantile_cont(value, 0.8) ELSE quantile_cont(value, 0.9) END"))
 def l8_confidence_slices(spark, sf):
-    return L.slices(events(spark, sf), "value", [0.5, 0.8, 0.9], (F.col("k") > 50).cast("int")).select("q", "n", F.round("rate", 6).alias("rate"))
+    return L.slices(events(spark, sf), "value", [0.5, 0.8, 0.9], (F.col("k") > 50).cast("int")).select("q", "n", S.rounded("rate", 6).alias("rate"))
 
 
 @query(sql("WITH " + CALIBRATION + ", tr0 AS (SELECT band, avg(CASE WHEN up THEN 1.0 ELSE 0 END) AS wr FROM pr WHERE h <= 6 GROUP BY 1), va AS (SELECT band, count(*) AS n, avg(CASE WHEN up THEN 1.0 ELSE 0 END) AS wr FROM pr WHERE h > 6 GROUP BY 1) SELECT band, va.n, round(tr0.wr, 6) AS frozen, round(va.wr, 6) AS realised FROM va JOIN tr0 USING (band)"))
@@ -177,17 +178,17 @@ def l9_frozen_calibration_transfer(spark, sf):
     d = decisions(spark, sf).withColumn("band", cut("prob", [0.05, 0.1, 0.2], ["a", "b", "c", "d"]))
     wr = F.avg(F.col("up").cast("int"))
     frozen = d.where("h <= 6").groupBy("band").agg(wr.alias("f"))
-    return d.where("h > 6").groupBy("band").agg(F.count(F.lit(1)).alias("n"), wr.alias("r")).join(frozen, "band").select("band", "n", F.round("f", 6).alias("frozen"), F.round("r", 6).alias("realised"))
+    return d.where("h > 6").groupBy("band").agg(F.count(F.lit(1)).alias("n"), wr.alias("r")).join(frozen, "band").select("band", "n", S.rounded("f", 6).alias("frozen"), S.rounded("r", 6).alias("realised"))
 
 
 @query(sql("WITH " + PNL + """, d AS (SELECT day, sum(pnl) AS s FROM p GROUP BY 1), i AS (SELECT s, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM d), z AS (SELECT rep, k, CAST('0x' || substr(md5(rep || ',' || k), 1, 8) AS BIGINT) % any_value(n) AS i FROM i, generate_series(1, 5) r(rep), generate_series(0, 29) g(k) GROUP BY 1, 2),
 b AS (SELECT rep, k, s FROM z JOIN i USING (i)), c AS (SELECT rep, k, sum(s) OVER (PARTITION BY rep ORDER BY k) AS cum FROM b), m AS (SELECT rep, max(cum) OVER (PARTITION BY rep ORDER BY k) - cum AS dd FROM c) SELECT rep, round(max(dd), 4) AS max_drawdown FROM m GROUP BY 1"""))
 def l10_bootstrap_drawdown(spark, sf):
-    return L.bootstrap_drawdown(pnl(spark, sf).groupBy("day").agg(F.sum("pnl").alias("s")), "day", "s", 5, 30).select("rep", F.round("max_drawdown", 4).alias("max_drawdown"))
+    return L.bootstrap_drawdown(pnl(spark, sf).groupBy("day").agg(F.sum("pnl").alias("s")), "day", "s", 5, 30).select("rep", S.rounded("max_drawdown", 4).alias("max_drawdown"))
 
 
 @query(sql("SELECT event_type, CASE WHEN value < 30 THEN 'a' WHEN value < 90 THEN 'b' ELSE 'c' END AS stratum, count(*) AS n, round(avg(k), 6) AS expectancy FROM ev GROUP BY 1, 2"))
 def l11_stratified_expectancy(spark, sf):
     from ..functions.scalar import cut
 
-    return events(spark, sf).groupBy("event_type", cut("value", [30, 90], ["a", "b", "c"]).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("k"), 6).alias("expectancy"))
+    return events(spark, sf).groupBy("event_type", cut("value", [30, 90], ["a", "b", "c"]).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("k"), 6).alias("expectancy"))

@@ -31,19 +31,19 @@ def pnl(spark, sf):
 
 
 def rounded(df, *by):
-    return df.select(*by, "n", F.round("total", 4).alias("total"), F.round("t", 5).alias("t"), F.round("pf", 5).alias("pf"), F.round("wr", 6).alias("wr"))
+    return df.select(*by, "n", S.rounded("total", 4).alias("total"), S.rounded("t", 5).alias("t"), S.rounded("pf", 5).alias("pf"), S.rounded("wr", 6).alias("wr"))
 
 
 @query(sql("WITH " + PNL + f", m AS (SELECT cfg, split, {METRICS} FROM p GROUP BY 1, 2), c AS (SELECT cfg, split, t, event_id, sum(pnl) OVER (PARTITION BY cfg, split ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS cum FROM p), x AS (SELECT cfg, split, max(cum) OVER (PARTITION BY cfg, split ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) - cum AS fall FROM c), f AS (SELECT cfg, split, round(max(fall), 3) AS max_drawdown FROM x GROUP BY 1, 2) SELECT m.*, max_drawdown FROM m JOIN f USING (cfg, split)"))
 def m1_split_metrics(spark, sf):
     rows = pnl(spark, sf)
-    falls = G.max_drawdown(rows, ["cfg", "split"], "day", ["t", "event_id"], "pnl").withColumn("max_drawdown", F.round("max_drawdown", 3))
+    falls = G.max_drawdown(rows, ["cfg", "split"], "day", ["t", "event_id"], "pnl").withColumn("max_drawdown", S.rounded("max_drawdown", 3))
     return rounded(G.split_metrics(rows, ["cfg", "split"], "pnl"), "cfg", "split").join(falls, ["cfg", "split"])
 
 
 @query(sql("WITH " + PNL + ", d AS (SELECT cfg, day, sum(pnl) AS s FROM p GROUP BY 1, 2) SELECT cfg, count(*) AS clusters, round(sum(s), 4) AS total, round(avg(s) / (stddev_samp(s) / sqrt(count(*))), 5) AS t FROM d GROUP BY 1"))
 def m2_clustered_t(spark, sf):
-    return G.clustered_t(pnl(spark, sf), ["cfg"], "day", "pnl").select("cfg", "clusters", F.round("total", 4).alias("total"), F.round("t", 5).alias("t"))
+    return G.clustered_t(pnl(spark, sf), ["cfg"], "day", "pnl").select("cfg", "clusters", S.rounded("total", 4).alias("total"), S.rounded("t", 5).alias("t"))
 
 
 WILSON = "round(({p} + 3.8416::DOUBLE / (2 * n)) / (1 + 3.8416::DOUBLE / n) {s} 1.96::DOUBLE * sqrt({p} * (1 - {p}) / n + 3.8416::DOUBLE / (4.0 * n * n)) / (1 + 3.8416::DOUBLE / n), 6)".replace("{p}", "(w / n)")
@@ -53,7 +53,7 @@ WILSON = "round(({p} + 3.8416::DOUBLE / (2 * n)) / (1 + 3.8416::DOUBLE / n) {s}
 def m3_wilson_interval(spark, sf):
     c = table(spark, sf, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 60).alias("w"), F.count(F.lit(1)).alias("n"))
     lo, hi = S.wilson("w", "n")
-    return c.select("event_type", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+    return c.select("event_type", S.rounded(lo, 6).alias("lo"), S.rounded(hi, 6).alias("hi"))
 
 
 @query("""WITH c AS (SELECT count(*) FILTER (WHERE event_type = 'view' AND value > 60)::DOUBLE w1, count(*) FILTER (WHERE event_type = 'view')::DOUBLE n1, count(*) FILTER (WHERE event_type = 'click' AND value > 60)::DOUBLE w2, count(*) FILTER (WHERE event_type = 'click')::DOUBLE n2 FROM events)
@@ -61,28 +61,28 @@ SELECT round((w1 / n1 - w2 / n2) / sqrt((w1 + w2) / (n1 + n2) * (1 - (w1 + w2) /
 def m4_two_proportion_z(spark, sf):
     count = lambda kind, won: F.count_if((F.col("event_type") == kind) & ((F.col("value") > 60) if won else F.lit(True)))
     c = table(spark, sf, "events").agg(count("view", True).alias("w1"), count("view", False).alias("n1"), count("click", True).alias("w2"), count("click", False).alias("n2"))
-    return c.select(F.round(S.two_proportion_z("w1", "n1", "w2", "n2"), 6).alias("z"))
+    return c.select(S.rounded(S.two_proportion_z("w1", "n1", "w2", "n2"), 6).alias("z"))
 
 
 @query(sql("""WITH r AS (SELECT user_id, value > 60 AS up, CASE WHEN value > 60 IS DISTINCT FROM lag(value > 60) OVER (PARTITION BY user_id ORDER BY t, event_id) THEN 1 ELSE 0 END AS new FROM ev),
 c AS (SELECT user_id, sum(new)::DOUBLE AS runs, count(*) FILTER (WHERE up)::DOUBLE AS n1, count(*) FILTER (WHERE NOT up)::DOUBLE AS n0 FROM r GROUP BY 1)
 SELECT user_id, round((runs - (1 + 2 * n1 * n0 / (n1 + n0))) / sqrt(2 * n1 * n0 * (2 * n1 * n0 - n1 - n0) / ((n1 + n0) * (n1 + n0) * (n1 + n0 - 1))), 5) AS z FROM c WHERE n1 > 0 AND n0 > 0"""))
 def m5_runs_test(spark, sf):
-    return E.runs_test(events(spark, sf).withColumn("up", F.col("value") > 60), ["user_id"], ["t", "event_id"], "up").select("user_id", F.round("z", 5).alias("z"))
+    return E.runs_test(events(spark, sf).withColumn("up", F.col("value") > 60), ["user_id"], ["t", "event_id"], "up").select("user_id", S.rounded("z", 5).alias("z"))
 
 
 @query(sql("""WITH s AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS x, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS i FROM ev), v AS (SELECT event_type, sum(x * x) AS d FROM s GROUP BY 1),
 l(k) AS (VALUES (1), (2), (3), (5), (10), (20)) SELECT a.event_type, k, round(sum(a.x * b.x) / any_value(d), 6) AS r FROM s a, l JOIN s b ON a.event_type = b.event_type AND b.i = a.i - k JOIN v ON v.event_type = a.event_type GROUP BY 1, 2"""))
 def m6_autocorrelation(spark, sf):
-    return E.autocorrelation(events(spark, sf), ["event_type"], ["t", "event_id"], "value", (1, 2, 3, 5, 10, 20)).select("event_type", "k", F.round("r", 6).alias("r"))
+    return E.autocorrelation(events(spark, sf), ["event_type"], ["t", "event_id"], "value", (1, 2, 3, 5, 10, 20)).select("event_type", "k", S.rounded("r", 6).alias("r"))
 
 
 @query(sql("""WITH b AS (SELECT min(t) // {H} AS lo, max(t) // {H} AS hi FROM ev WHERE event_type IN ('click', 'signup')), g AS (SELECT s AS step, s * {H} AS t FROM b, LATERAL (SELECT unnest(generate_series(lo, hi)) AS s)),
-x AS (SELECT g.step, ln(f.price) AS v FROM g ASOF LEFT JOIN fast f ON g.t >= f.t), y AS (SELECT g.step, ln(f.price) AS v FROM g ASOF LEFT JOIN slow f ON g.t >= f.t),
+x AS (SELECT g.step, CASE WHEN f.price > 0 THEN ln(f.price) END AS v FROM g ASOF LEFT JOIN fast f ON g.t >= f.t), y AS (SELECT g.step, CASE WHEN f.price > 0 THEN ln(f.price) END AS v FROM g ASOF LEFT JOIN slow f ON g.t >= f.t),
 dx AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM x), dy AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM y), l AS (SELECT generate_series AS lag FROM generate_series(-40, 40)),
 c AS (SELECT l.lag, count(*) AS n, round(corr(dx.d, dy.d), 6) AS r FROM dx, l JOIN dy ON dy.step = dx.step + l.lag WHERE dx.d IS NOT NULL AND dy.d IS NOT NULL GROUP BY 1) SELECT lag, n, r, (SELECT lag FROM c ORDER BY abs(r) DESC, lag LIMIT 1) AS best FROM c"""))
 def m7_lead_lag(spark, sf):
-    lags = E.lead_lag(fast_feed(spark, sf), slow_feed(spark, sf), "t", "price", HOUR, 40, DAY).select("lag", "n", F.round("r", 6).alias("r"))
+    lags = E.lead_lag(fast_feed(spark, sf), slow_feed(spark, sf), "t", "price", HOUR, 40, DAY).select("lag", "n", S.rounded("r", 6).alias("r"))
     every = Window.partitionBy(F.lit(0))  # a row per lag
     return lags.withColumn("best", F.max_by("lag", F.struct(F.abs("r"), -F.col("lag"))).over(every))
 
@@ -102,12 +102,12 @@ def decisions(spark, sf):
 @query(sql("WITH " + CALIBRATION + " SELECT h, band, count(*) AS n, round(avg(prob), 6) AS implied, round(avg(CASE WHEN up THEN 1.0 ELSE 0 END), 6) AS realised, round(avg(CASE WHEN up THEN 1.0 ELSE 0 END) - avg(prob), 6) AS gap, round(sqrt(avg(CASE WHEN up THEN 1.0 ELSE 0 END) * (1 - avg(CASE WHEN up THEN 1.0 ELSE 0 END)) / count(*)), 6) AS se FROM pr GROUP BY 1, 2 HAVING count(*) >= 3"))
 def m8_calibration(spark, sf):
     table_ = E.calibration(decisions(spark, sf), "prob", "up", ["h"], [0.05, 0.1, 0.2], ["a", "b", "c", "d"], 3)
-    return table_.select("h", "band", "n", *(F.round(c, 6).alias(c) for c in ("implied", "realised", "gap", "se")))
+    return table_.select("h", "band", "n", *(S.rounded(c, 6).alias(c) for c in ("implied", "realised", "gap", "se")))
 
 
 @query(sql("SELECT (t % {D}) // (6 * {H}) AS bin, event_type, count(*) AS n, round(median(value), 6) AS med, round(quantile_cont(value, 0.9), 6) AS p90 FROM ev GROUP BY 1, 2"))
 def m9_cost_profile(spark, sf):
-    return events(spark, sf).groupBy(F.floor(F.col("t") % DAY / (6 * HOUR)).alias("bin"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("value"), 6).alias("med"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90"))
+    return events(spark, sf).groupBy(F.floor(F.col("t") % DAY / (6 * HOUR)).alias("bin"), "event_type").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.median("value"), 6).alias("med"), S.rounded(F.percentile("value", F.lit(0.9)), 6).alias("p90"))
 
 
 LEDGER = REGIME_SQL + """, lg AS (SELECT taker, maker, date, market, amount, CASE WHEN token = 'Up' THEN price ELSE 1 - price END AS p_up, CASE WHEN (side = 'buy') = (token = 'Up') THEN 1 ELSE -1 END AS dir, market % 2 AS pay,
@@ -123,13 +123,13 @@ def ledger(spark, sf):
 @query(sql("WITH " + LEDGER + " SELECT year(date) AS y, count(*) AS n, round(sum(gross - fee), 5) AS taker_pnl, round(sum(-gross), 5) AS maker_pnl, round(sum(gross - fee) + sum(-gross) + sum(fee), 3) + 0.0 AS identity FROM l GROUP BY 1"))
 def m10_taker_maker_pnl(spark, sf):
     l = ledger(spark, sf).groupBy(F.year("date").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("gross") - F.col("fee")).alias("a"), F.sum(-F.col("gross")).alias("b"), F.sum("fee").alias("f"))
-    return l.select("y", "n", F.round("a", 5).alias("taker_pnl"), F.round("b", 5).alias("maker_pnl"), (F.round(F.col("a") + F.col("b") + F.col("f"), 3) + 0.0).alias("identity"))
+    return l.select("y", "n", S.rounded("a", 5).alias("taker_pnl"), S.rounded("b", 5).alias("maker_pnl"), (S.rounded(F.col("a") + F.col("b") + F.col("f"), 3) + 0.0).alias("identity"))
 
 
 @query(sql("WITH " + REGIME_SQL + " SELECT rate, round(price, 4) AS price, round(price + rate * price * (1 - price), 6) AS needed FROM (SELECT DISTINCT price FROM fills), regimes"))
 def m11_break_even(spark, sf):
     grid = fills(spark, sf).select("price").distinct().join(F.broadcast(regimes(spark).select("rate")), F.lit(True))
-    return grid.select("rate", F.round("price", 4).alias("price"), F.round(S.break_even("price", "rate"), 6).alias("needed"))
+    return grid.select("rate", S.rounded("price", 4).alias("price"), S.rounded(S.break_even("price", "rate"), 6).alias("needed"))
 
 
 WALLET = LEDGER + ", d AS (SELECT taker, date, sum(gross - fee) AS pnl, count(*) AS fills FROM l GROUP BY 1, 2), w AS (SELECT taker, CAST(sum(fills) AS BIGINT) AS fills, count(*) AS days, sum(pnl) AS pnl, avg(pnl) / nullif(stddev_pop(pnl), 0) AS sharpe, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS pos FROM d GROUP BY 1 HAVING count(*) >= 5)"
@@ -138,7 +138,7 @@ WALLET = LEDGER + ", d AS (SELECT taker, date, sum(gross - fee) AS pnl, count(*)
 @query(sql("WITH " + WALLET + " SELECT taker, fills, days, round(pnl, 5) AS pnl, round(sharpe, 5) AS sharpe, round(pos, 6) AS pos FROM w"))
 def m12_wallet_pnl(spark, sf):
     w = E.wallets(ledger(spark, sf), "taker", "date", F.col("gross") - F.col("fee"), 5)
-    return w.select("taker", "fills", "days", F.round("pnl", 5).alias("pnl"), F.round("sharpe", 5).alias("sharpe"), F.round("pos", 6).alias("pos"))
+    return w.select("taker", "fills", "days", S.rounded("pnl", 5).alias("pnl"), S.rounded("sharpe", 5).alias("sharpe"), S.rounded("pos", 6).alias("pos"))
 
 
 @query(sql("WITH " + WALLET + " SELECT count(*) AS wallets, count(*) FILTER (WHERE pnl > 0 AND pos >= 0.55 AND sharpe >= 0.1) AS consistent FROM w"))
@@ -154,7 +154,7 @@ def m14_sign_randomised_null(spark, sf):
     reps = daily.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))))
     coin = F.md5(F.concat_ws(",", F.col("taker").cast("string"), F.date_format("date", "yyyy-MM-dd"), F.col("rep").cast("string"))) < "8"
     w = reps.withColumn("pnl", F.when(coin, F.col("pnl")).otherwise(-F.col("pnl"))).groupBy("rep", "taker").agg(F.count(F.lit(1)).alias("days"), F.sum("pnl").alias("pnl"), F.avg((F.col("pnl") > 0).cast("int")).alias("pos")).where("days >= 5")
-    return w.groupBy("rep").agg(F.count_if((F.col("pnl") > 0) & (F.col("pos") >= 0.55)).alias("winners"), F.round(F.sqrt(2 * F.ln(F.count(F.lit(1)))), 6).alias("bar"))
+    return w.groupBy("rep").agg(F.count_if((F.col("pnl") > 0) & (F.col("pos") >= 0.55)).alias("winners"), S.rounded(F.sqrt(2 * F.ln(F.count(F.lit(1)))), 6).alias("bar"))
 
 
 @query(sql("""WITH p AS (SELECT event_id, user_id, price, (t % {D}) // {H} AS hour, h, t + h * {H} AS t FROM tr, (VALUES (0), (6)) v(h)), a AS (SELECT p.*, f.price AS ref FROM p ASOF LEFT JOIN fast f ON p.t >= f.t),
@@ -164,7 +164,7 @@ def m15_wallet_profile(spark, sf):
     a = asof_at(trades(spark, sf).withColumn("hour", F.floor(F.col("t") % DAY / HOUR)).select("event_id", "user_id", F.col("price").alias("entry"), "hour", "t"), fast_feed(spark, sf), [], "t", ["price"], {"h0": 0, "h6": 6 * HOUR}, bucket_us=DAY)
     at = lambda h: F.max(F.when(F.col("step") == h, F.col("price")))
     r = a.groupBy("event_id", "user_id", "entry", "hour").agg((at("h6") - at("h0")).alias("move"))
-    return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("entry"), 6).alias("entry"), F.round(F.avg("hour"), 6).alias("hour"), F.round(F.avg("move"), 6).alias("lead"))
+    return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("entry"), 6).alias("entry"), S.rounded(F.avg("hour"), 6).alias("hour"), S.rounded(F.avg("move"), 6).alias("lead"))
 
 
 @query(sql(ZSIG + f""", nx AS (SELECT z.probe, z.z, z.g, f.price AS later, n.now FROM (SELECT probe, t + 6 * {{H}} AS t2, z, g FROM z) z ASOF LEFT JOIN fast f ON z.t2 >= f.t JOIN n ON n.probe = z.probe),
@@ -177,7 +177,7 @@ def m16_response_curve(spark, sf):
     hit = (F.col("later_price") > F.col("now_price")) == (F.col("g") > 0)
     c = later.groupBy(S.cut(F.abs("z"), [0.5, 1, 2], ["a", "b", "c", "d"]).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("w"))
     lo, hi = S.wilson("w", "n")
-    return c.select("band", "n", F.round(F.col("w") / F.col("n"), 6).alias("hit"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+    return c.select("band", "n", S.rounded(F.col("w") / F.col("n"), 6).alias("hit"), S.rounded(lo, 6).alias("lo"), S.rounded(hi, 6).alias("hi"))
 
 
 @query(sql("""WITH p AS (SELECT s.event_id, s.price, h, s.t - h * {H} AS t FROM slow s, (VALUES (0), (1), (2), (4)) v(h)), a AS (SELECT p.h, abs(f.price - p.price) AS err FROM p ASOF LEFT JOIN fast f ON p.t >= f.t)
@@ -185,7 +185,7 @@ SELECT h, count(err) AS n, round(median(err), 6) AS med FROM a GROUP BY 1"""))
 def m17_lag_finder(spark, sf):
     p = slow_feed(spark, sf).select("event_id", F.col("price").alias("strike"), "t").withColumn("h", F.explode(F.array(*map(F.lit, (0, 1, 2, 4))))).withColumn("t", F.col("t") - F.col("h") * F.lit(HOUR))
     a = asof(p, fast_feed(spark, sf), [], "t", ["price"], bucket_us=DAY).withColumn("err", F.abs(F.col("price") - F.col("strike")))
-    return a.groupBy("h").agg(F.count("err").alias("n"), F.round(F.median("err"), 6).alias("med"))
+    return a.groupBy("h").agg(F.count("err").alias("n"), S.rounded(F.median("err"), 6).alias("med"))
 
 
 @query(sql("""WITH h AS (SELECT t // {H} AS hr, max_by(price, t) AS px FROM fast GROUP BY 1), c AS (SELECT w, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE (a.px > b.px) = (c.px > a.px)) AS DOUBLE) AS hits FROM h a, (VALUES (1), (2), (3), (6)) v(w) JOIN h b ON b.hr = a.hr - w JOIN h c ON c.hr = a.hr + 1 GROUP BY 1)
@@ -195,13 +195,13 @@ def m18_lookback_sweep(spark, sf):
     a = h.withColumn("w", F.explode(F.array(*map(F.lit, (1, 2, 3, 6))))).withColumn("then", F.col("hr") - F.col("w"))
     j = a.join(h.select(F.col("hr").alias("then"), F.col("px").alias("old")), "then").join(h.select((F.col("hr") - 1).alias("hr"), F.col("px").alias("new")), "hr")
     c = j.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("px") > F.col("old")) == (F.col("new") > F.col("px"))).alias("hits"))
-    return c.select("w", "n", F.round(F.col("hits") / F.col("n"), 6).alias("hit"), F.round((F.col("hits") - F.col("n") / 2) / F.sqrt(F.col("n") / 4), 5).alias("z"))
+    return c.select("w", "n", S.rounded(F.col("hits") / F.col("n"), 6).alias("hit"), S.rounded((F.col("hits") - F.col("n") / 2) / F.sqrt(F.col("n") / 4), 5).alias("z"))
 
 
 @query(sql("SELECT user_id % 5 AS grp, count(*) AS n, count(*) FILTER (WHERE price < 50) AS cheap, round(avg(price), 6) AS mean_all, round(avg(price) FILTER (WHERE price < 50), 6) AS mean_cheap FROM tr GROUP BY 1"))
 def m19_filter_retention(spark, sf):
     cheap = F.col("price") < 50
-    return trades(spark, sf).groupBy((F.col("user_id") % 5).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(cheap).alias("cheap"), F.round(F.avg("price"), 6).alias("mean_all"), F.round(F.avg(F.when(cheap, F.col("price"))), 6).alias("mean_cheap"))
+    return trades(spark, sf).groupBy((F.col("user_id") % 5).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(cheap).alias("cheap"), S.rounded(F.avg("price"), 6).alias("mean_all"), S.rounded(F.avg(F.when(cheap, F.col("price"))), 6).alias("mean_cheap"))
 
 
 @query(sql("WITH " + PNL + ", b AS (SELECT *, CAST(least((row_number() OVER (PARTITION BY cfg ORDER BY t, event_id) - 1) * 4 // count(*) OVER (PARTITION BY cfg), 3) AS BIGINT) AS bucket FROM p) " + f"SELECT cfg, bucket, {METRICS} FROM b GROUP BY 1, 2"))
@@ -215,13 +215,13 @@ def m20_quality_by_bucket(spark, sf):
 @query(sql("WITH " + PNL + " SELECT cfg, CASE WHEN day < 19740 THEN 'before' ELSE 'after' END AS phase, count(*) AS n, count(DISTINCT day) AS days, round(sum(pnl) / count(DISTINCT day), 5) AS per_day, round(count(*) / sum(count(*)) OVER (PARTITION BY CASE WHEN day < 19740 THEN 'before' ELSE 'after' END), 6) AS mix FROM p GROUP BY 1, 2"))
 def m21_before_after(spark, sf):
     g = pnl(spark, sf).groupBy("cfg", F.when(F.col("day") < 19740, "before").otherwise("after").alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"), F.sum("pnl").alias("s"))
-    return g.select("cfg", "phase", "n", "days", F.round(F.col("s") / F.col("days"), 5).alias("per_day"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy("phase")), 6).alias("mix"))
+    return g.select("cfg", "phase", "n", "days", S.rounded(F.col("s") / F.col("days"), 5).alias("per_day"), S.rounded(F.col("n") / F.sum("n").over(Window.partitionBy("phase")), 6).alias("mix"))
 
 
 @query(sql("WITH " + LEDGER + " SELECT strftime(date, '%Y-%m') AS month, conv, round(sum(CASE conv WHEN 'gross' THEN gross WHEN 'net' THEN gross - fee ELSE gross - 0.8::DOUBLE * fee END), 6) AS pnl FROM l, (VALUES ('gross'), ('net'), ('rebate')) v(conv) GROUP BY 1, 2"))
 def m22_monthly_conventions(spark, sf):
     l = ledger(spark, sf).select(F.date_format("date", "yyyy-MM").alias("month"), F.col("gross"), (F.col("gross") - F.col("fee")).alias("net"), (F.col("gross") - 0.8 * F.col("fee")).alias("rebate"))
-    return l.unpivot("month", ["gross", "net", "rebate"], "conv", "v").groupBy("month", "conv").agg(F.round(F.sum("v"), 6).alias("pnl"))
+    return l.unpivot("month", ["gross", "net", "rebate"], "conv", "v").groupBy("month", "conv").agg(S.rounded(F.sum("v"), 6).alias("pnl"))
 
 
 @query(sql("WITH " + PNL + ", d AS (SELECT day, sum(pnl) AS s FROM p GROUP BY 1), c AS (SELECT *, sum(s) OVER (ORDER BY day) AS cum, row_number() OVER (ORDER BY s DESC, day) AS rk FROM d), x AS (SELECT *, max(cum) OVER (ORDER BY day) - cum AS dd FROM c) SELECT round(sum(s) FILTER (WHERE rk <= 5) / sum(s), 6) AS top5, round(max(s), 4) AS best, round(min(s), 4) AS worst, round(max(dd), 4) AS maxdd FROM x"))
@@ -230,27 +230,27 @@ def m23_concentration(spark, sf):
 
     d = pnl(spark, sf).groupBy("day").agg(F.sum("pnl").alias("s")).withColumn("all", F.lit(0))  # a row per calendar day
     x = with_drawdown(d, ["all"], ["day"], "s").withColumn("rk", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("s"), "day")))
-    return x.agg(F.round(S.ratio(F.sum(F.when(F.col("rk") <= 5, F.col("s"))), F.sum("s")), 6).alias("top5"), F.round(F.max("s"), 4).alias("best"), F.round(F.min("s"), 4).alias("worst"), F.round(F.max("drawdown"), 4).alias("maxdd"))
+    return x.agg(S.rounded(S.ratio(F.sum(F.when(F.col("rk") <= 5, F.col("s"))), F.sum("s")), 6).alias("top5"), S.rounded(F.max("s"), 4).alias("best"), S.rounded(F.min("s"), 4).alias("worst"), S.rounded(F.max("drawdown"), 4).alias("maxdd"))
 
 
 @query(sql("WITH s(stake) AS (VALUES (10.0::DOUBLE), (100.0::DOUBLE), (1000.0::DOUBLE)) SELECT stake, count(*) AS n, round(avg(least(stake, price * size)), 6) AS used, round(quantile_cont(least(stake, price * size) / stake, 0.5), 6) AS med_share FROM tr, s GROUP BY 1"))
 def m24_capacity_curve(spark, sf):
     each = trades(spark, sf).withColumn("stake", F.explode(F.array(*map(F.lit, (10.0, 100.0, 1000.0)))))
     used = F.least("stake", F.col("price") * F.col("size"))
-    return each.groupBy("stake").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(used), 6).alias("used"), F.round(F.median(used / F.col("stake")), 6).alias("med_share"))
+    return each.groupBy("stake").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg(used), 6).alias("used"), S.rounded(F.median(used / F.col("stake")), 6).alias("med_share"))
 
 
 @query(sql("WITH " + LEDGER.replace("AS fee FROM fills", "AS fee, rate FROM fills") + f", c AS (SELECT rate, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE gross > 0) AS DOUBLE) AS w, median(p_up) AS med FROM l GROUP BY 1) SELECT rate, CAST(n AS BIGINT) AS n, round(med, 6) AS med, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM c"))
 def m25_fee_epochs(spark, sf):
     c = ledger(spark, sf).groupBy("rate").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gross") > 0).alias("w"), F.median("p_up").alias("med"))
     lo, hi = S.wilson("w", "n")
-    return c.select("rate", "n", F.round("med", 6).alias("med"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+    return c.select("rate", "n", S.rounded("med", 6).alias("med"), S.rounded(lo, 6).alias("lo"), S.rounded(hi, 6).alias("hi"))
 
 
 @query(sql("WITH " + CALIBRATION + " SELECT h, round(quantile_cont(prob, 0.1), 6) AS p10, round(quantile_cont(prob, 0.9), 6) AS p90, round(avg(CASE WHEN prob <= 0.2 THEN 1.0 ELSE 0 END), 6) AS open_share FROM pr GROUP BY 1"))
 def m26_gate_openness(spark, sf):
-    d = decisions(spark, sf).groupBy("h").agg(F.percentile("prob", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.round(F.avg((F.col("prob") <= 0.2).cast("int")), 6).alias("open_share"))
-    return d.select("h", F.round(F.col("q")[0], 6).alias("p10"), F.round(F.col("q")[1], 6).alias("p90"), "open_share")
+    d = decisions(spark, sf).groupBy("h").agg(F.percentile("prob", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), S.rounded(F.avg((F.col("prob") <= 0.2).cast("int")), 6).alias("open_share"))
+    return d.select("h", S.rounded(F.col("q")[0], 6).alias("p10"), S.rounded(F.col("q")[1], 6).alias("p90"), "open_share")
 
 
 @query(sql("SELECT kinds, count(*) AS windows FROM (SELECT t // {H} AS hr, count(DISTINCT event_type) AS kinds FROM ev GROUP BY 1) WHERE kinds >= 2 GROUP BY 1"))
@@ -262,13 +262,13 @@ def m27_simultaneity(spark, sf):
 def m28_coverage_bias(spark, sf):
     seen = quotes(spark, sf).select("user_id", day_of().alias("day")).distinct().withColumn("kept", F.lit(True))
     rows = trades(spark, sf).withColumn("day", day_of()).join(seen, ["user_id", "day"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    return rows.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 6).alias("mean_px"), F.round(F.median("size"), 6).alias("med_size"))
+    return rows.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("price"), 6).alias("mean_px"), S.rounded(F.median("size"), 6).alias("med_size"))
 
 
 @query(sql("SELECT user_id % 5 AS grp, count(*) AS n, round(avg(price), 6) AS mean_px, count(*) FILTER (WHERE size >= 20) AS n_full, round(avg(price) FILTER (WHERE size >= 20), 6) AS mean_full FROM tr GROUP BY 1"))
 def m29_executable_subset(spark, sf):
     full = F.col("size") >= 20
-    return trades(spark, sf).groupBy((F.col("user_id") % 5).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 6).alias("mean_px"), F.count_if(full).alias("n_full"), F.round(F.avg(F.when(full, F.col("price"))), 6).alias("mean_full"))
+    return trades(spark, sf).groupBy((F.col("user_id") % 5).alias("grp")).agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("price"), 6).alias("mean_px"), F.count_if(full).alias("n_full"), S.rounded(F.avg(F.when(full, F.col("price"))), 6).alias("mean_full"))
 
 
 @query(sql("WITH " + PNL + ", d AS (SELECT cfg, day, sum(pnl) AS s FROM p GROUP BY 1, 2) SELECT cfg, sum(s) > 0 AS gains, coalesce(avg(s) / (stddev_samp(s) / sqrt(count(*))) >= 2, false) AS significant, count(*) >= 20 AS enough FROM d GROUP BY 1"))
@@ -323,7 +323,7 @@ def u11_exit_alternatives(spark, sf):
     s = asof(quotes(spark, sf).withColumn("t", F.col("t") + DAY), quotes(spark, sf), ["user_id"], "t", ["price"], prefix="later_").withColumn("kind", F.explode(F.array(*map(F.lit, ("hold", "timed", "level")))))
     p, l = F.col("price"), F.col("later_price")
     pay = F.when(F.col("kind") == "hold", 100 - p).when(F.col("kind") == "timed", l - p).otherwise(F.when(l > 1.2 * p, 0.2 * p).otherwise(100 - p))
-    return s.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(pay), 6).alias("mean"))
+    return s.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg(pay), 6).alias("mean"))
 
 
 @query(sql("""WITH x AS (SELECT q.event_id, q.price, min(tr.price) AS lo FROM q LEFT JOIN tr ON q.user_id = tr.user_id AND tr.t > q.t AND tr.t <= q.t + {D} GROUP BY 1, 2), m(mode, f) AS (VALUES ('join', 1.0::DOUBLE), ('behind', 0.9::DOUBLE), ('mid', 1.05::DOUBLE))
@@ -333,7 +333,7 @@ def u12_resting_entries(spark, sf):
     modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(f).alias("f")) for m, f in (("join", 1.0), ("behind", 0.9), ("mid", 1.05)))))
     x = quotes(spark, sf).join(low, "event_id", "left").withColumn("m", modes).select("m.mode", "lo", (F.col("price") * F.col("m.f")).alias("level"))
     hit = F.coalesce(F.col("lo") < F.col("level"), F.lit(False))
-    return x.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("filled"), F.round(F.avg(F.when(hit, 100 - F.col("level"))), 6).alias("mean"))
+    return x.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("filled"), S.rounded(F.avg(F.when(hit, 100 - F.col("level"))), 6).alias("mean"))
 
 
 @query(sql("WITH " + GRID + " SELECT cid, feature, op, thr, side FROM c"))
@@ -360,7 +360,7 @@ def u14_validation_funnel(spark, sf):
 def u15_deflated_bar(spark, sf):
     b = board(spark, sf)
     tried = b.agg(F.count(F.lit(1)).alias("tried"), F.sqrt(2 * F.ln(F.count(F.lit(1)))).alias("bar"))
-    return b.join(F.broadcast(tried), F.lit(True)).groupBy("tried", F.round("bar", 6).alias("bar")).agg(F.count_if(F.col("val_t") >= F.col("bar")).alias("above"))
+    return b.join(F.broadcast(tried), F.lit(True)).groupBy("tried", S.rounded("bar", 6).alias("bar")).agg(F.count_if(F.col("val_t") >= F.col("bar")).alias("above"))
 
 
 @query(sql("WITH " + BOARD + ", r AS (SELECT *, row_number() OVER (ORDER BY train_mean DESC, cid) AS rk, count(*) OVER () AS n FROM bd) SELECT round(corr(train_mean, val_mean), 6) AS r, round(avg(val_mean) FILTER (WHERE rk <= greatest(n // 10, 1)), 6) AS top_decile FROM r"))
@@ -368,20 +368,20 @@ def u16_in_vs_out_of_sample(spark, sf):
     w = Window.partitionBy(F.lit(0))  # a row per configuration
     r = board(spark, sf).withColumns({"rk": F.row_number().over(w.orderBy(F.desc("train_mean"), "cid")), "n": F.count(F.lit(1)).over(w)})
     top = F.col("rk") <= F.greatest(F.floor(F.col("n") / 10), F.lit(1))
-    return r.agg(F.round(F.corr("train_mean", "val_mean"), 6).alias("r"), F.round(F.avg(F.when(top, F.col("val_mean"))), 6).alias("top_decile"))
+    return r.agg(S.rounded(F.corr("train_mean", "val_mean"), 6).alias("r"), S.rounded(F.avg(F.when(top, F.col("val_mean"))), 6).alias("top_decile"))
 
 
 @query(sql("WITH " + SCORED + ", m AS (SELECT split_part(cid, '|', 1) AS feature, cid, split, avg(pnl) AS mean FROM e GROUP BY 1, 2, 3), pick AS (SELECT feature, min_by(cid, (-mean, cid)) AS cid FROM m WHERE split = 'train' GROUP BY 1) SELECT feature, pick.cid, round(mean, 6) AS val_mean FROM pick JOIN m USING (feature, cid) WHERE split = 'val'"))
 def u17_pick_on_train(spark, sf):
     m = G.split_metrics(scored(spark, sf), ["cid", "split"], "pnl").withColumn("feature", F.split("cid", r"\|")[0])
     pick = m.where("split = 'train'").groupBy("feature").agg(F.min_by("cid", F.struct(-F.col("mean"), "cid")).alias("cid"))
-    return pick.join(m.where("split = 'val'").select("feature", "cid", "mean"), ["feature", "cid"]).select("feature", "cid", F.round("mean", 6).alias("val_mean"))
+    return pick.join(m.where("split = 'val'").select("feature", "cid", "mean"), ["feature", "cid"]).select("feature", "cid", S.rounded("mean", 6).alias("val_mean"))
 
 
 @query(sql("WITH " + BOARD + " SELECT split_part(cid, '|', 1) AS family, count(*) AS n, count(*) FILTER (WHERE val_mean > 0) AS alive, round(avg(CASE WHEN val_mean > 0 THEN 1.0 ELSE 0 END), 6) AS share FROM bd GROUP BY 1"))
 def u18_survival_by_family(spark, sf):
     alive = F.col("val_mean") > 0
-    return board(spark, sf).groupBy(F.split("cid", r"\|")[0].alias("family")).agg(F.count(F.lit(1)).alias("n"), F.count_if(alive).alias("alive"), F.round(F.avg(alive.cast("int")), 6).alias("share"))
+    return board(spark, sf).groupBy(F.split("cid", r"\|")[0].alias("family")).agg(F.count(F.lit(1)).alias("n"), F.count_if(alive).alias("alive"), S.rounded(F.avg(alive.cast("int")), 6).alias("share"))
 
 
 @query(sql("WITH " + OUTCOMES + ", sh AS (SELECT day, lag(open) OVER (ORDER BY day) AS open, lag(up) OVER (ORDER BY day) AS up FROM outcomes) SELECT count(*) AS n, round(avg(CASE WHEN o.up <> sh.up THEN 1.0 ELSE 0 END), 6) AS flipped FROM outcomes o JOIN sh USING (day) WHERE o.up IS NOT NULL AND sh.up IS NOT NULL"))
@@ -389,7 +389,7 @@ def u19_look_ahead_control(spark, sf):
     """Shifts the feed by one window: outcomes must change, or they did not depend on their window."""
     shifted = outcomes(spark, sf, shift_us=DAY).select("day", F.col("up").alias("up_s"))
     both = outcomes(spark, sf).join(shifted, "day").where("up IS NOT NULL AND up_s IS NOT NULL")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("up") != F.col("up_s")).cast("int")), 6).alias("flipped"))
+    return both.agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg((F.col("up") != F.col("up_s")).cast("int")), 6).alias("flipped"))
 
 
 @query(sql("SELECT count(*) AS audited, count(*) FILTER (WHERE q1 IS DISTINCT FROM q2) AS mismatches FROM (SELECT tr.event_id, q.price AS q1, (SELECT max_by(price, t) FROM q x WHERE x.user_id = tr.user_id AND x.t <= tr.t) AS q2 FROM (SELECT * FROM tr ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 200) tr ASOF LEFT JOIN q ON tr.user_id = q.user_id AND tr.t >= q.t)"))
@@ -476,7 +476,7 @@ def s10_jsonl_log_scan(spark, sf):
 def s11_late_materialised_nested(spark, sf):
     vectors = table(spark, sf, "embeddings")
     keys = vectors.where("label = 3").select("vec_id")
-    return vectors.select("vec_id", "embedding").join(keys, "vec_id", "left_semi").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
+    return vectors.select("vec_id", "embedding").join(keys, "vec_id", "left_semi").select("vec_id", S.rounded(F.col("embedding")[0].cast("double"), 6).alias("x"))
 
 
 @query("SELECT 'nation' AS src, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
@@ -494,7 +494,7 @@ def s13_config_dimension(spark, sf):
 @query(sql("SELECT event_type, t // {D} AS date, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY 1, 2"))
 def s14_sorted_parquet_sink(spark, sf):
     root = IO.write_tape(events(spark, sf), "event_type", day_of(), ["user_id", "t"])
-    return spark.read.parquet(root).groupBy(F.col("channel").alias("event_type"), F.col("date").cast("long").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return spark.read.parquet(root).groupBy(F.col("channel").alias("event_type"), F.col("date").cast("long").alias("date")).agg(F.count(F.lit(1)).alias("n"), S.rounded(F.sum("value"), 4).alias("total"))
 
 
 @query(sql("SELECT t // {D} AS date, count(*) AS n FROM ev GROUP BY 1"))
@@ -525,7 +525,7 @@ def s17_explicit_schema_sink(spark, sf):
 @query("SELECT count(*) AS n, round(avg(value), 6) AS mean FROM events")
 def s18_scalar_json_sink(spark, sf):
     path = IO.scratch(spark, "scalars")
-    table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean")).write.json(path)
+    table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("value"), 6).alias("mean")).write.json(path)
     return spark.read.schema("n long, mean double").json(path)
 
 

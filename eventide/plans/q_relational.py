@@ -24,7 +24,7 @@ def p1_select_cast_literal(spark, sf):
 @query(sql("""SELECT q2.event_id, round((q2.price + q.price) / 2, 6) AS mid, round(q2.price - q.price, 6) AS spread FROM q2 ASOF JOIN q ON q2.user_id = q.user_id AND q2.t >= q.t"""))
 def p2_derived_columns(spark, sf):
     both = asof(other_quotes(spark, sf), quotes(spark, sf), ["user_id"], "t", ["price"], prefix="q_").where("q_price IS NOT NULL")
-    return both.select("event_id", F.round((F.col("price") + F.col("q_price")) / 2, 6).alias("mid"), F.round(F.col("price") - F.col("q_price"), 6).alias("spread"))
+    return both.select("event_id", S.rounded((F.col("price") + F.col("q_price")) / 2, 6).alias("mid"), S.rounded(F.col("price") - F.col("q_price"), 6).alias("spread"))
 
 
 @query("SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL AND value BETWEEN 20 AND 120 AND user_id > 10")
@@ -47,7 +47,7 @@ def p5_price_change_dedup(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(l_tax / l_discount, 6) END AS ratio FROM lineitem")
 def p6_finite_guard(spark, sf):
     ratio = F.when(F.col("l_discount") > 0, F.col("l_tax") / F.col("l_discount"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.finite(ratio), 6).alias("ratio"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.rounded(S.finite(ratio), 6).alias("ratio"))
 
 
 RULES = [("value", ">", 60.0), ("k", "<=", 70.0), ("user_id", ">=", 20.0)]
@@ -78,7 +78,7 @@ def p10_dropna_drop_rename(spark, sf):
 @query(sql("SELECT side, round(CAST(sum(CASE WHEN side = 'buy' THEN price ELSE 1 - price END * amount) AS DOUBLE), 2) AS cost, count(*) AS n FROM fills GROUP BY side"))
 def p11_mirror_transform(spark, sf):
     side = F.when(F.col("side") == "buy", "up").otherwise("down")
-    return fills(spark, sf).groupBy("side").agg(F.round(F.sum(S.mirrored("price", side) * F.col("amount")), 2).alias("cost"), F.count(F.lit(1)).alias("n"))
+    return fills(spark, sf).groupBy("side").agg(S.rounded(F.sum(S.mirrored("price", side) * F.col("amount")), 2).alias("cost"), F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("SELECT event_id, side, sgn * k AS flow, CASE WHEN side = 'up' THEN price ELSE 500 - price END AS px FROM (SELECT event_id, price, size AS k FROM tr), (VALUES ('up', 1), ('down', -1)) v(side, sgn)"))
@@ -95,24 +95,24 @@ def p13_band_filter(spark, sf):
 
 @query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS avg_px, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag")
 def a1_hash_group_by(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_px"), F.min("l_tax").alias("lo"), F.max("l_tax").alias("hi"))
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.sum("l_quantity"), 2).alias("qty"), S.rounded(F.avg("l_extendedprice"), 4).alias("avg_px"), F.min("l_tax").alias("lo"), F.max("l_tax").alias("hi"))
 
 
 @query("WITH d AS (SELECT o_custkey, o_orderstatus, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1, 2) SELECT o_orderstatus, round(sum(s), 2) AS total, CAST(sum(n) AS BIGINT) AS n, count(*) AS customers FROM d GROUP BY 1")
 def a2_two_level_aggregate(spark, sf):
     inner = table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.sum("o_totalprice").alias("s"), F.count(F.lit(1)).alias("n"))
-    return inner.groupBy("o_orderstatus").agg(F.round(F.sum("s"), 2).alias("total"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("customers"))
+    return inner.groupBy("o_orderstatus").agg(S.rounded(F.sum("s"), 2).alias("total"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("customers"))
 
 
 @query(sql("WITH d AS (SELECT event_type, t // {D} AS day, median(value) AS m, count(*) AS n FROM ev GROUP BY 1, 2) SELECT event_type, round(sum(m * n) / sum(n), 6) AS weighted FROM d GROUP BY 1"))
 def a3_weighted_chunk_medians(spark, sf):
     chunks = events(spark, sf).groupBy("event_type", days()).agg(F.median("value").alias("m"), F.count(F.lit(1)).alias("n"))
-    return chunks.groupBy("event_type").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("weighted"))
+    return chunks.groupBy("event_type").agg(S.rounded(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("weighted"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS q50, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1")
 def a4_median_quantiles(spark, sf):
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
+    q = lambda p: S.rounded(F.percentile("value", F.lit(p)), 6)
     return table(spark, sf, "events").groupBy("event_type").agg(q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.9).alias("q90"))
 
 
@@ -122,7 +122,7 @@ def a5_train_thresholds(spark, sf):
     rows = events(spark, sf).withColumn("day", days())
     span = rows.agg(F.min("day").alias("d0"), (F.max("day") - F.min("day") + 1).alias("days"))
     train = rows.join(F.broadcast(span), F.col("day") < F.col("d0") + 0.6 * F.col("days"))
-    return train.agg(F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q")).select(F.explode("q").alias("v")).select(F.round("v", 2).alias("threshold")).distinct()
+    return train.agg(F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q")).select(F.explode("q").alias("v")).select(S.rounded("v", 2).alias("threshold")).distinct()
 
 
 @query(sql("SELECT user_id, t // {D} AS day, min_by(price, t) AS open, max_by(price, t) AS close FROM q GROUP BY 1, 2"))
@@ -137,12 +137,12 @@ def a7_distinct_count(spark, sf):
 
 @query("SELECT event_type, round(avg(CASE WHEN value > 100 THEN 1.0 ELSE 0 END), 6) AS rate, count(*) FILTER (WHERE value > 100) AS hits FROM events GROUP BY 1")
 def a8_conditional_rate(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg((F.col("value") > 100).cast("int")), 6).alias("rate"), F.count_if(F.col("value") > 100).alias("hits"))
+    return table(spark, sf, "events").groupBy("event_type").agg(S.rounded(F.avg((F.col("value") > 100).cast("int")), 6).alias("rate"), F.count_if(F.col("value") > 100).alias("hits"))
 
 
 @query(sql("SELECT user_id, t // {D} AS day, round(sum(size * price), 4) AS notional, sum(size) AS volume FROM tr GROUP BY 1, 2"))
 def a9_weighted_notional(spark, sf):
-    return trades(spark, sf).groupBy("user_id", days()).agg(F.round(F.sum(F.col("size") * F.col("price")), 4).alias("notional"), F.sum("size").alias("volume"))
+    return trades(spark, sf).groupBy("user_id", days()).agg(S.rounded(F.sum(F.col("size") * F.col("price")), 4).alias("notional"), F.sum("size").alias("volume"))
 
 
 @query(sql("SELECT q.event_id, max(tr.price) AS max_after, min(tr.price) AS min_after FROM q JOIN tr ON q.user_id = tr.user_id AND tr.t > q.t AND tr.t <= (q.t // {D} + 1) * {D} GROUP BY 1"))
@@ -154,64 +154,64 @@ def a10_path_extremes_after(spark, sf):
 
 @query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
 def a11_pearson(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(S.rounded(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(CASE WHEN value >= 75 THEN 1.0 ELSE 0 END), 6) AS share FROM events GROUP BY 1")
 def a12_distribution_summary(spark, sf):
-    ps = table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("p"), F.round(F.avg((F.col("value") >= 75).cast("int")), 6).alias("share"))
-    return ps.select("event_type", F.round(F.col("p")[0], 6).alias("p5"), F.round(F.col("p")[1], 6).alias("p95"), "share")
+    ps = table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("p"), S.rounded(F.avg((F.col("value") >= 75).cast("int")), 6).alias("share"))
+    return ps.select("event_type", S.rounded(F.col("p")[0], 6).alias("p5"), S.rounded(F.col("p")[1], 6).alias("p95"), "share")
 
 
 @query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
 def a13_value_counts(spark, sf):
     counts = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    return counts.withColumn("share", S.rounded(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
 @query(sql("""SELECT event_type, user_id % 5 AS grp, count(*) FILTER (WHERE t // {D} < 19741) AS train_n, round(avg(value) FILTER (WHERE t // {D} < 19741), 6) AS train_avg, count(*) FILTER (WHERE t // {D} >= 19741) AS val_n,
 round(avg(value) FILTER (WHERE t // {D} >= 19741), 6) AS val_avg FROM ev GROUP BY 1, 2"""))
 def a14_per_split_metrics(spark, sf):
     train = F.floor(F.col("t") / DAY) < 19741
-    cols = [c for name, keep in (("train", train), ("val", ~train)) for c in (F.count_if(keep).alias(f"{name}_n"), F.round(F.avg(F.when(keep, F.col("value"))), 6).alias(f"{name}_avg"))]
+    cols = [c for name, keep in (("train", train), ("val", ~train)) for c in (F.count_if(keep).alias(f"{name}_n"), S.rounded(F.avg(F.when(keep, F.col("value"))), 6).alias(f"{name}_avg"))]
     return events(spark, sf).groupBy("event_type", (F.col("user_id") % 5).alias("grp")).agg(*cols)
 
 
 @query(sql("SELECT user_id, round(avg(m), 6) AS cluster_mean, count(*) AS clusters FROM (SELECT user_id, t // {D} AS day, avg(value) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"))
 def a15_cluster_means(spark, sf):
-    return events(spark, sf).groupBy("user_id", days()).agg(F.avg("value").alias("m")).groupBy("user_id").agg(F.round(F.avg("m"), 6).alias("cluster_mean"), F.count(F.lit(1)).alias("clusters"))
+    return events(spark, sf).groupBy("user_id", days()).agg(F.avg("value").alias("m")).groupBy("user_id").agg(S.rounded(F.avg("m"), 6).alias("cluster_mean"), F.count(F.lit(1)).alias("clusters"))
 
 
 @query("SELECT l_partkey, count(*) AS n, round(avg(l_quantity), 6) AS qty FROM lineitem GROUP BY 1 HAVING count(*) >= 30")
 def a16_minimum_sample(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("qty")).where("n >= 30")
+    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("l_quantity"), 6).alias("qty")).where("n >= 30")
 
 
-@query(sql("SELECT event_type, list(m ORDER BY day) AS curve FROM (SELECT event_type, t // {D} AS day, round(avg(value) + 1e-9, 4) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"))
+@query(sql("SELECT event_type, list(m ORDER BY day) AS curve FROM (SELECT event_type, t // {D} AS day, round(avg(value), 4) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"))
 def a17_curve_per_group(spark, sf):
-    daily = events(spark, sf).groupBy("event_type", days()).agg(F.round(F.avg("value") + 1e-9, 4).alias("m"))
+    daily = events(spark, sf).groupBy("event_type", days()).agg(S.rounded(F.avg("value"), 4).alias("m"))
     return daily.groupBy("event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "m"))), lambda x: x["m"]).alias("curve"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 def a18_grouping_sets(spark, sf):
     lines = table(spark, sf, "lineitem")
-    return lines.groupingSets([("l_returnflag", "l_linestatus"), ("l_returnflag",), ()], "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    return lines.groupingSets([("l_returnflag", "l_linestatus"), ("l_returnflag",), ()], "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.sum("l_quantity"), 2).alias("qty"))
 
 
 def by_user():
     return Window.partitionBy("user_id").orderBy("t", "event_id")
 
 
-@query(sql("SELECT event_id, round(ln(price) - ln(lag(price) OVER w), 6) AS ret FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)"))
+@query(sql("SELECT event_id, round(CASE WHEN price > 0 AND lag(price) OVER w > 0 THEN ln(price) - ln(lag(price) OVER w) END, 6) AS ret FROM q WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)"))
 def w1_log_return(spark, sf):
-    return quotes(spark, sf).select("event_id", F.round(F.ln("price") - F.ln(F.lag("price").over(by_user())), 6).alias("ret"))
+    return quotes(spark, sf).select("event_id", S.rounded(F.ln("price") - F.ln(F.lag("price").over(by_user())), 6).alias("ret"))
 
 
 @query(sql("SELECT event_id, CAST(sum(size) OVER w AS BIGINT) AS cum_size, round(sum(price * size) OVER w, 4) AS cum_notional, count(*) OVER w AS n FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)"))
 def w2_prefix_sums(spark, sf):
     w = by_user().rowsBetween(Window.unboundedPreceding, 0)
-    return trades(spark, sf).select("event_id", F.sum("size").over(w).alias("cum_size"), F.round(F.sum(F.col("price") * F.col("size")).over(w), 4).alias("cum_notional"), F.count(F.lit(1)).over(w).alias("n"))
+    return trades(spark, sf).select("event_id", F.sum("size").over(w).alias("cum_size"), S.rounded(F.sum(F.col("price") * F.col("size")).over(w), 4).alias("cum_notional"), F.count(F.lit(1)).over(w).alias("n"))
 
 
 @query(sql("SELECT event_id, CAST(sum(size) OVER w AS BIGINT) AS flow_12h, count(*) OVER w AS n_12h FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW)"))
@@ -225,7 +225,7 @@ def w3_trailing_range(spark, sf):
 d AS (SELECT user_id, max(cum) OVER (PARTITION BY user_id ORDER BY t, event_id) - cum AS dd FROM c) SELECT user_id, round(max(dd), 4) AS max_drawdown FROM d GROUP BY 1"""))
 def w4_max_drawdown(spark, sf):
     rows = events(spark, sf).withColumn("pnl", F.col("value") - 60)
-    return series.with_drawdown(rows, ["user_id"], ["t", "event_id"], "pnl").groupBy("user_id").agg(F.round(F.max("drawdown"), 4).alias("max_drawdown"))
+    return series.with_drawdown(rows, ["user_id"], ["t", "event_id"], "pnl").groupBy("user_id").agg(S.rounded(F.max("drawdown"), 4).alias("max_drawdown"))
 
 
 DAILY_UP = """d AS (SELECT user_id, t // {D} AS day, max_by(price, t) >= min_by(price, t) AS up FROM q GROUP BY 1, 2)"""
@@ -277,26 +277,26 @@ SELECT grp, day, round(sum(pnl) OVER w, 4) AS sum7, round(avg(CASE WHEN pnl > 0
 def w11_rolling_7_days(spark, sf):
     daily = events(spark, sf).groupBy((F.col("user_id") % 10).alias("grp"), days()).agg(F.sum(F.col("value") - 60).alias("pnl"))
     w = Window.partitionBy("grp").orderBy("day").rowsBetween(-6, 0)
-    return daily.select("grp", "day", F.round(F.sum("pnl").over(w), 4).alias("sum7"), F.round(F.avg((F.col("pnl") > 0).cast("int")).over(w), 6).alias("share7"))
+    return daily.select("grp", "day", S.rounded(F.sum("pnl").over(w), 4).alias("sum7"), S.rounded(F.avg((F.col("pnl") > 0).cast("int")).over(w), 6).alias("share7"))
 
 
 @query(sql("SELECT event_id, CASE WHEN count(*) OVER w >= 20 THEN round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END) OVER w, 6) END AS win_rate FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
 def w12_rolling_win_rate(spark, sf):
     w = by_user().rowsBetween(-19, 0)
-    return events(spark, sf).select("event_id", F.when(F.count(F.lit(1)).over(w) >= 20, F.round(F.avg((F.col("value") > 50).cast("int")).over(w), 6)).alias("win_rate"))
+    return events(spark, sf).select("event_id", F.when(F.count(F.lit(1)).over(w) >= 20, S.rounded(F.avg((F.col("value") > 50).cast("int")).over(w), 6)).alias("win_rate"))
 
 
 @query(sql("SELECT event_id, CASE WHEN count(*) OVER w >= 10 THEN round(avg(value - 60) OVER w / (stddev_samp(value - 60) OVER w / sqrt(count(*) OVER w)), 5) END AS t_stat FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)"))
 def w13_rolling_t(spark, sf):
     w, x = by_user().rowsBetween(-39, 0), F.col("value") - 60
     n = F.count(F.lit(1)).over(w)
-    return events(spark, sf).select("event_id", F.when(n >= 10, F.round(S.ratio(F.avg(x).over(w), F.stddev_samp(x).over(w) / F.sqrt(n)), 5)).alias("t_stat"))
+    return events(spark, sf).select("event_id", F.when(n >= 10, S.rounded(S.ratio(F.avg(x).over(w), F.stddev_samp(x).over(w) / F.sqrt(n)), 5)).alias("t_stat"))
 
 
 @query(sql("SELECT user_id, day, round(sum(pnl) OVER (PARTITION BY user_id ORDER BY day), 4) AS cum FROM (SELECT user_id, t // {D} AS day, sum(value - 60) AS pnl FROM ev GROUP BY 1, 2)"))
 def w14_cumulative_by_day(spark, sf):
     daily = events(spark, sf).groupBy("user_id", days()).agg(F.sum(F.col("value") - 60).alias("pnl"))
-    return series.with_drawdown(daily, ["user_id"], ["day"], "pnl").select("user_id", "day", F.round("cum", 4).alias("cum"))
+    return series.with_drawdown(daily, ["user_id"], ["day"], "pnl").select("user_id", "day", S.rounded("cum", 4).alias("cum"))
 
 
 @query(sql("SELECT event_id, CAST(least((rn - 1) * 4 // n, 3) AS BIGINT) AS quartile FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM ev)"))
@@ -349,7 +349,7 @@ def t3_top_decile(spark, sf):
 @query(sql("SELECT tr.event_id, round(abs(tr.price - q.price), 6) AS gap FROM tr ASOF JOIN q ON tr.user_id = q.user_id AND tr.t >= q.t ORDER BY gap DESC, event_id LIMIT 10"))
 def t4_worst_k(spark, sf):
     both = asof(trades(spark, sf), quotes(spark, sf), ["user_id"], "t", ["price"], prefix="q_").where("q_price IS NOT NULL")
-    return both.select("event_id", F.round(F.abs(F.col("price") - F.col("q_price")), 6).alias("gap")).orderBy(F.desc("gap"), "event_id").limit(10)
+    return both.select("event_id", S.rounded(F.abs(F.col("price") - F.col("q_price")), 6).alias("gap")).orderBy(F.desc("gap"), "event_id").limit(10)
 
 
 @query("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5(CAST(user_id AS VARCHAR) || '-7'), user_id LIMIT 25")
@@ -424,15 +424,15 @@ def f5_bucket_floor(spark, sf):
     return events(spark, sf).select("event_id", S.bucket("t", 250_000).alias("tick"), (S.bucket("t", 900_000_000) * 900).alias("quarter"), S.next_boundary("t", HOUR).alias("next_hour"))
 
 
-@query("SELECT event_id, round(ln(value), 6) AS ln_v, round(sqrt(value), 6) AS sqrt_v, round(exp(-value / 100), 6) AS exp_v, CAST(sign(value - 50) AS DOUBLE) AS sgn, least(greatest(value, 20), 100) AS clipped, user_id % 7 AS m FROM events")
+@query("SELECT event_id, round(CASE WHEN value > 0 THEN ln(value) END, 6) AS ln_v, round(sqrt(value), 6) AS sqrt_v, round(exp(-value / 100), 6) AS exp_v, CAST(sign(value - 50) AS DOUBLE) AS sgn, least(greatest(value, 20), 100) AS clipped, user_id % 7 AS m FROM events")
 def f6_math(spark, sf):
     v = F.col("value")
-    return table(spark, sf, "events").select("event_id", F.round(F.ln(v), 6).alias("ln_v"), F.round(F.sqrt(v), 6).alias("sqrt_v"), F.round(F.exp(-v / 100), 6).alias("exp_v"), F.signum(v - 50).alias("sgn"), F.least(F.greatest(v, F.lit(20.0)), F.lit(100.0)).alias("clipped"), (F.col("user_id") % 7).alias("m"))
+    return table(spark, sf, "events").select("event_id", S.rounded(F.ln(v), 6).alias("ln_v"), S.rounded(F.sqrt(v), 6).alias("sqrt_v"), S.rounded(F.exp(-v / 100), 6).alias("exp_v"), F.signum(v - 50).alias("sgn"), F.least(F.greatest(v, F.lit(20.0)), F.lit(100.0)).alias("clipped"), (F.col("user_id") % 7).alias("m"))
 
 
 @query(f"SELECT event_id, round({S.normal_cdf_sql('((value - 60) / 40)')}, 6) AS phi FROM events")
 def f7_normal_cdf(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.round(S.normal_cdf((F.col("value") - 60) / 40), 6).alias("phi"))
+    return table(spark, sf, "events").select("event_id", S.rounded(S.normal_cdf((F.col("value") - 60) / 40), 6).alias("phi"))
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_discount > 0.05 THEN l_discount END, -1.0) AS d FROM lineitem")
@@ -445,13 +445,13 @@ def f8_null_handling(spark, sf):
 def f9_array_functions(spark, sf):
     e = F.col("embedding")
     s8 = F.aggregate(F.transform(F.slice(e, 1, 8), lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return table(spark, sf, "embeddings").select("vec_id", F.round(s8, 5).alias("s8"), F.array_position(e, F.array_max(e)).alias("arg"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("pos"))
+    return table(spark, sf, "embeddings").select("vec_id", S.rounded(s8, 5).alias("s8"), F.array_position(e, F.array_max(e)).alias("arg"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("pos"))
 
 
 @query("SELECT l_orderkey, list(l_quantity ORDER BY l_quantity, l_partkey)[1] AS least, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
 def f10_nested_sort_walk(spark, sf):
     nested = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_quantity", "l_partkey"))).alias("levels"))
-    return nested.select("l_orderkey", F.col("levels")[0]["l_quantity"].alias("least"), F.round(F.aggregate("levels", F.lit(0.0), lambda a, x: a + x["l_quantity"]), 2).alias("total"))
+    return nested.select("l_orderkey", F.col("levels")[0]["l_quantity"].alias("least"), S.rounded(F.aggregate("levels", F.lit(0.0), lambda a, x: a + x["l_quantity"]), 2).alias("total"))
 
 
 @query(sql("SELECT event_id, '{\"k\":' || k || ',\"op\":\">\"}' AS rule, k AS back FROM ev"))
@@ -479,7 +479,7 @@ def f14_linear_interpolation(spark, sf):
     from ..operators.asof import range_lookup
 
     points = spark.createDataFrame(list(zip(CURVE, CURVE[1:])), "a struct<x:double,y:double>, b struct<x:double,y:double>").select(F.col("a.x").alias("lo"), F.col("b.x").alias("hi"), F.struct("a.x", "a.y", (F.col("b.x") - F.col("a.x")).alias("dx"), (F.col("b.y") - F.col("a.y")).alias("dy")).alias("p"))
-    return range_lookup(trades(spark, sf), points, "price", "lo", "hi", ["p"]).select("event_id", F.round(F.col("p.y") + (F.col("price") - F.col("p.x")) / F.col("p.dx") * F.col("p.dy"), 6).alias("y"))
+    return range_lookup(trades(spark, sf), points, "price", "lo", "hi", ["p"]).select("event_id", S.rounded(F.col("p.y") + (F.col("price") - F.col("p.x")) / F.col("p.dx") * F.col("p.dy"), 6).alias("y"))
 
 
 @query("SELECT page_id, TRY_CAST(regexp_extract(url, '([^/?#]*)[?#]?[^/]*$', 1) AS INTEGER) AS n FROM pages")
