@@ -37,73 +37,65 @@ BLOCK_CHARS, REMEMBERED, LONG_WORD, LONG_CHUNK = 1_000_000, 300_000, 64, 100_000
 # ---- token ids
 
 
-class WordTokenizer:
+class WordTokenizer(dict):
     """Ids of texts as the tokenizer file gives them, without the special tokens that it would add.
 
     Its pieces never hold a space or a line feed, so a text's ids are those of the stretches between these, one after the
-    other, and each stretch is encoded once per worker as long as it is remembered.  Stretches of Latin letters (no character
-    from U+0250 on, where NFC and lower case are the same in every version of Unicode) go through the file's merges
-    directly, if the file's ids are in the order of its merges; all others go through the tokenizer itself.
+    other.  The dictionary holds the packed ids of stretches; one that is missing is made of known ones (its lower case; a
+    word and the mark behind it), or goes through the file's merges, if the file's ids are in their order and all its
+    characters lie below U+0250, where NFC and lower case are the same in every version of Unicode; or else through the
+    tokenizer itself.  When the dictionary is full, what was not asked for since it was last full is forgotten.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.full, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
-        special = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
-        self.separator, self.mark = max(special.items(), key=lambda x: x[1], default=(None, None))
-        # what the direct way leaves to the tokenizer: special tokens, separators that versions of \s differ in, other scripts
-        self.apart = re.compile("|".join([*map(re.escape, special), "[\x1c-\x1f\x85]", "[^\0-\u024f]"]))
-        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        super().__init__()
+        self.full, self.old = Tokenizer.from_file(path), {}
+        special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        # what is left to the tokenizer: special tokens, separators that versions of \s differ in, other scripts
+        self.apart = re.compile("|".join([*map(re.escape, special), "[\x1c-\x1f\x85]", "[^\0-\u024f]"])).search
         self.merges = _merges(path)
-        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
-        self.latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {"": b""}, self.young
-        known, before = self.young, self.old
-        words: set[str] = set()
-        words.update(*rows)
-        new = words.difference(known)
-        known.update((w, before[w]) for w in new.intersection(before))
-        new.difference_update(before)
-        slow = []
-        for w in new:
-            if self.merges is None or self.apart.search(w):
-                slow.append(w)
-            else:
-                known[w] = self._merged(w)
-        known.update(zip(slow, self._asked(slow)))
-        packed = [b"".join(map(known.__getitem__, row)) for row in rows]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del known[w]
-        return iter(packed)
-
-    def _merged(self, w: str) -> bytes:
+        for t in texts:
+            words, found = t.replace("\n", " ").split(" "), []
+            for k in range(0, len(words), REMEMBERED):
+                if len(self) > REMEMBERED:
+                    self.old = dict(self)
+                    self.clear()
+                found.append(b"".join(map(self.__getitem__, words[k : k + REMEMBERED] if len(words) > REMEMBERED else words)))
+            yield b"".join(found)
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            ids = self._made(w)
+        if len(w) <= LONG_WORD:
+            self[w] = ids
+        return ids
+
+    def _made(self, w: str) -> bytes:
+        if self.merges is None or self.apart(w):
+            return b"".join(np.array(self.full.encode(part, add_special_tokens=False).ids, "<u4").tobytes() for part in _parts(w))
+        low = w.lower()
+        if low != w:
+            return self[low]
+        if w.isalpha():
+            return array("I", self.merges(w.encode() + END)).tobytes()
+        if w[-1:] in CLOSING and w[:-1].isalpha():
+            return self[w[:-1]] + array("I", self.merges(w[-1:].encode() + END)).tobytes()
         ids = array("I")
-        for piece in (self.ascii if w.isascii() else self.latin)(w.lower()):
+        for piece in self.pieces(w):
             ids.extend(self.merges(piece.encode() + END))
         return ids.tobytes()
 
-    def _asked(self, words: list[str]) -> Iterator[bytes]:
-        """Many words in one call, with a special token between them; words that hold one, or that are long, alone."""
-        together = [w for w in words if self.separator and len(w) <= 1000 and not self.special.search(w)]
-        found: dict[str, bytes] = {}
-        for i in range(0, len(together), 4096):
-            some = together[i : i + 4096]
-            ids = np.array(self.full.encode(self.separator.join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            packed = ids.tobytes()
-            found.update(zip(some, (packed[a:b] for a, b in zip([0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(packed)]))))
-        for w in words:
-            yield found[w] if w in found else b"".join(np.array(self.full.encode(part, add_special_tokens=False).ids, "<u4").tobytes() for part in _parts(w))
-
 
+#: Marks that are a piece of their own behind letters, whatever follows.
+CLOSING = frozenset(".,;:!?")
 #: Stands for the end of a word; no UTF-8 text holds this byte.
 END = b"\xff"
 

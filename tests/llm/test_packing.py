@@ -38,6 +38,13 @@ def test_ids_are_the_tokenizers(spark, sf, direct):
         assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts)] == reference_ids(texts)
 
 
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(K, "REMEMBERED", 20)
+    w, texts = K.WordTokenizer(PATH), [" ".join(f"w{i * k % 97}x, Y{i}." for i in range(60)) for k in range(1, 6)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts)] == reference_ids(texts)
+    assert len(w) + len(w.old) < 300
+
+
 def test_long_stretch_is_cut_where_the_tokenizer_cuts(monkeypatch):
     monkeypatch.setattr(K, "LONG_CHUNK", 40)
     text = "日本語のテキスト。次の文、é!" * 30
