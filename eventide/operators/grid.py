@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tape import scratch
+
 
 def conjunction(rules: Sequence[tuple[str, str, float]]) -> Column:
     """(feature, op, threshold) rules joined by AND; nulls and NaN fail every rule."""
@@ -47,6 +51,82 @@ def split_metrics(trades: DataFrame, by: Sequence[str], pnl: str, day: str | Non
     )
 
 
+SUMS = ("n", "total", "squares", "gain", "loss", "wins")
+
+
+def score_configs(decisions: DataFrame, configs: DataFrame, split: Sequence[str], pay: dict[str, Column], most: int = 1_000_000) -> DataFrame:
+    """(cid, split…, n, total, mean, t, pf, wr): what each rule of ``configs`` (cid, feature, op, thr, side) makes of the decisions
+    on which ``feature op thr`` holds; op is one of > >= < <=, ``pay`` gives the result of a decision per side.
+
+    A decision is placed once per feature among the feature's thresholds: 2i between the thresholds i-1 and i, 2i+1 on
+    threshold i.  Results are summed per place, split and side, and a rule is a sum over the places on one side of its
+    threshold, that is a running sum.  So the cost is decisions plus rules; no decision meets a rule.  Null and NaN fail
+    every rule, a null result is no trade, rules without trades give no row; pf is null without losses, t is 0 without
+    spread.  Thresholds are sent to the tasks, ``most`` at once; more of them take as many passes over the decisions.
+    """
+    spark, path = decisions.sparkSession, scratch(decisions.sparkSession, "rules")
+    configs.select("cid", "feature", "op", F.col("thr").cast("double").alias("thr"), "side").write.parquet(path)
+    rules = spark.read.parquet(path)
+    distinct = rules.select("feature", "thr").distinct()
+    passes = -(-distinct.count() // most)
+    out = None
+    for i in range(passes):
+        mine = F.pmod(F.xxhash64("feature", "thr"), F.lit(passes)) == i
+        part = _scored(decisions, rules.where(mine), distinct.where(mine).toPandas(), split, pay)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else _metrics(decisions.sparkSession.createDataFrame([], rules.schema).join(decisions.select(*split), F.lit(False)), split, {s: F.lit(0.0) for s in SUMS})
+
+
+def _scored(decisions: DataFrame, rules: DataFrame, thresholds: pd.DataFrame, split: Sequence[str], pay: dict[str, Column]) -> DataFrame:
+    cuts = {f: np.sort(g["thr"].to_numpy()) for f, g in thresholds.groupby("feature")}
+    unknown = sorted(set(cuts) - set(decisions.columns))
+    if unknown:
+        raise ValueError(f"rules on features that the decisions lack: {unknown[:5]}")
+
+    def place(feature: str) -> Column:
+        at = cuts[feature]
+
+        @F.pandas_udf("int")
+        def among(x: pd.Series) -> pd.Series:
+            found = pd.Series(np.searchsorted(at, x.to_numpy(), "left") + np.searchsorted(at, x.to_numpy(), "right"), index=x.index)
+            return found.where(x.notna()).astype("Int32")
+
+        return among(F.col(feature).cast("double"))
+
+    placed = decisions.select(*split, *(c.cast("double").alias(f"__pay_{s}") for s, c in pay.items()), F.array(*(F.struct(F.lit(f).alias("feature"), place(f).alias("place")) for f in cuts)).alias("__at"))
+    long = placed.withColumn("__at", F.explode("__at")).select("*", "__at.feature", "__at.place").where("place IS NOT NULL")
+    sums = []
+    for side in pay:
+        p = F.col(f"__pay_{side}")
+        each = (F.count(p), F.sum(p), F.sum(p * p), F.sum(F.when(p > 0, p).otherwise(0.0)), F.sum(F.when(p < 0, -p).otherwise(0.0)), F.count_if(p > 0))
+        sums.append(F.struct(F.lit(side).alias("side"), *(F.coalesce(c, F.lit(0)).alias(name) for c, name in zip(each, SUMS))))
+    cube = long.groupBy("feature", "place", *split).agg(F.array(*sums).alias("__s")).select("feature", "place", *split, F.explode("__s").alias("__s")).select("feature", "place", *split, "__s.*")
+    path = scratch(decisions.sparkSession, "cube")
+    cube.write.parquet(path)
+    cube = decisions.sparkSession.read.parquet(path)
+    ranked = Window.partitionBy("feature").orderBy("thr")  # a row per threshold
+    order = rules.select("feature", "thr").distinct().withColumn("__i", F.row_number().over(ranked) - 1)
+    edge = F.when(F.col("op") == ">", 2 * F.col("__i") + 2).when(F.col("op") == ">=", 2 * F.col("__i") + 1).when(F.col("op") == "<", 2 * F.col("__i")).when(F.col("op") == "<=", 2 * F.col("__i") + 1)
+    edges = rules.join(order, ["feature", "thr"]).select("cid", "feature", "side", edge.alias("place"), F.col("op").startswith(">").alias("__above"))
+    # a rule stands at its edge in each of its feature's splits
+    asked = edges.join(cube.select("feature", *split).distinct(), "feature")
+    line = cube.unionByName(asked, allowMissingColumns=True)
+    key = Window.partitionBy("feature", "side", *split)  # a row per place and per rule
+    upto, from_ = (key.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("place"), F.desc("place")))
+    summed = line.withColumns({f"__{s}": F.when(F.col("__above"), F.sum(s).over(from_)).otherwise(F.sum(s).over(upto)) for s in SUMS}).where("cid IS NOT NULL")
+    return _metrics(summed, split, {s: F.col(f"__{s}") for s in SUMS})
+
+
+def _metrics(rows: DataFrame, split: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    n, total, squares, gain, loss, wins = (F.coalesce(sums[s], F.lit(0)) for s in SUMS)
+    mean = total / n
+    spread = (squares - total * mean) / (n - 1)
+    flat = (n < 2) | (spread <= 1e-12 * squares / n)  # what rounding leaves of no spread at all
+    return rows.where(n > 0).select(
+        "cid", *split, n.cast("long").alias("n"), total.alias("total"), mean.alias("mean"), F.when(flat, 0.0).otherwise(mean / F.sqrt(spread / n)).alias("t"), F.when(loss > 0, gain / loss).alias("pf"), (wins / n).alias("wr")
+    )
+
+
 def max_drawdown(trades: DataFrame, by: Sequence[str], day: str, order: Sequence[str], pnl: str) -> DataFrame:
     """(by…, max_drawdown): the largest fall of the running sum of pnl, in ``order``, from its highest value so far.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .ranks import exact_quantiles
 from .series import first_of
 
 
@@ -80,7 +81,7 @@ def margin_picks(rows: DataFrame, p: str, price: Column, margin: float, by: Sequ
 
 def slices(rows: DataFrame, score: str, quantiles: Sequence[float], outcome: Column) -> DataFrame:
     """(q, n, rate) of the rows at or above each quantile of the score."""
-    cuts = rows.agg(F.percentile(score, F.array(*map(F.lit, quantiles))).alias("t")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("q"), F.col("t"))).alias("c")).select("c.q", F.col("c.t").alias("__t"))
+    cuts = exact_quantiles(rows, [], score, quantiles).withColumnRenamed("v", "__t")
     hit = rows.join(F.broadcast(cuts), F.col(score) >= F.col("__t"))  # a row per quantile asked for
     return hit.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("rate"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .asof import asof
+from .ranks import exact_quantiles, join_by, with_rank
 from .series import with_islands
 
 
@@ -27,12 +28,21 @@ def runs_test(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: str)
     return counted.where("n1 > 0 AND n0 > 0").withColumn("z", S.runs_z("runs", "n1", "n0"))
 
 
-def autocorrelation(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, lags: Sequence[int]) -> DataFrame:
-    """(by…, k, r) with the mean and the sum of squares of the whole series; r is null for a constant series."""
-    w = Window.partitionBy(*by).orderBy(*order)
+def autocorrelation(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, lags: Sequence[int], stretch: int = 100_000, ranges: int | None = None) -> DataFrame:
+    """(by…, k, r) with the mean and the sum of squares of the whole series; r is null for a constant series.
+
+    A series is cut into stretches of ``stretch`` places (more than the longest lag).  Each stretch also gets the last rows of
+    the one before it, as many as the longest lag, so every lagged pair meets in one stretch and no task holds a series."""
+    longest = max(lags)
+    length = max(stretch, longest)
     means = df.groupBy(*by).agg(F.avg(value).alias("__m"))
-    x = df.join(means, list(by)).withColumn("__x", F.col(value) - F.col("__m"))
-    lagged = x.select(*by, "__x", *(F.lag("__x", k).over(w).alias(f"__l{k}") for k in lags))
+    x = join_by(df.select(*by, *order, value), means, by).withColumn("__x", F.col(value) - F.col("__m"))
+    placed = with_rank(x.drop("__m", value), by, order, "__i", ranges=ranges).withColumn("__i", F.col("__i") - 1)
+    own = F.floor(F.col("__i") / length)
+    into = F.when((F.col("__i") + longest) >= (own + 1) * length, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = placed.withColumn("__own", own).withColumn("__cut", F.explode(into))
+    w = Window.partitionBy(*by, "__cut").orderBy("__i")
+    lagged = spread.select(*by, "__x", "__own", "__cut", *(F.lag("__x", k).over(w).alias(f"__l{k}") for k in lags)).where("__own = __cut")
     sums = lagged.groupBy(*by).agg(F.sum(F.col("__x") * F.col("__x")).alias("__d"), *(F.sum(F.col("__x") * F.col(f"__l{k}")).alias(f"__s{k}") for k in lags))
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), S.ratio(f"__s{k}", "__d").alias("r")) for k in lags)))
     return sums.select(*by, rows.alias("__r")).select(*by, "__r.*")
@@ -72,15 +82,5 @@ def wallets(rows: DataFrame, wallet: str, day: str, pnl: Column, min_days: int)
 
 def train_thresholds(train: DataFrame, features: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
     """(feature, thr): the distinct rounded quantiles of each feature."""
-    q = F.array(*map(F.lit, quantiles))
-    wide = train.agg(*(F.percentile(f, q).alias(f) for f in features))
-    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("thrs")) for f in features)))
-    each = wide.select(rows.alias("r")).select("r.feature", F.explode("r.thrs").alias("thr"))
-    return each.select("feature", S.rounded("thr", 2).alias("thr")).distinct()
-
-
-def checked_small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df, if it is small enough to be broadcast."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows: not a dimension to broadcast")
-    return df
+    long = train.select(*(F.col(f).cast("double").alias(f) for f in features)).unpivot([], list(features), "feature", "x")
+    return exact_quantiles(long, ["feature"], "x", quantiles).select("feature", S.rounded("v", 2).alias("thr")).distinct()

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tape import scratch
-
 
 def changes_only(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Rows in which any of cols differs from the row before; the first row of a key stays."""
@@ -17,22 +15,6 @@ def changes_only(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: S
     return before.where(F.col("__before").isNull() | ~F.struct(*cols).eqNullSafe(F.col("__before"))).drop("__before")
 
 
-def with_place(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
-    """df with the place of each row in the order of the whole table, from 1, and no task that holds more than a range.
-
-    Rows are dealt by ranges of the order and written once; a place is the row's place in its range after the rows of the
-    ranges before, of which there is one count each.  Rows of equal rank fall into one range.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, "ranges")
-    df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
-    ranged = spark.read.parquet(path)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranged.withColumn("__inside", inside).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__offset") + F.col("__inside")).select(*df.columns, name)
-
-
 def first_of(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")

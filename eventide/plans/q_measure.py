@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import grid as G
 from ..operators import market as M
 from ..operators import measure as E
+from ..operators import ranks as R
 from ..operators.asof import asof, asof_at, interval_join
 from ..sources import tape as IO
 from .data import DAY, HOUR, events, fast_feed, fills, quotes, slow_feed, sql, table, trades
@@ -107,7 +108,10 @@ def m8_calibration(spark, sf):
 
 @query(sql("SELECT (t % {D}) // (6 * {H}) AS bin, event_type, count(*) AS n, round(median(value), 6) AS med, round(quantile_cont(value, 0.9), 6) AS p90 FROM ev GROUP BY 1, 2"))
 def m9_cost_profile(spark, sf):
-    return events(spark, sf).groupBy(F.floor(F.col("t") % DAY / (6 * HOUR)).alias("bin"), "event_type").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.median("value"), 6).alias("med"), S.rounded(F.percentile("value", F.lit(0.9)), 6).alias("p90"))
+    rows = events(spark, sf).select(F.floor(F.col("t") % DAY / (6 * HOUR)).alias("bin"), "event_type", "value")
+    cells = rows.groupBy("bin", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    both = R.join_by(cells, R.quantile_columns(rows, ["bin", "event_type"], "value", {"med": 0.5, "p90": 0.9}), ["bin", "event_type"])
+    return both.select("bin", "event_type", "n", S.rounded("med", 6).alias("med"), S.rounded("p90", 6).alias("p90"))
 
 
 LEDGER = REGIME_SQL + """, lg AS (SELECT taker, maker, date, market, amount, CASE WHEN token = 'Up' THEN price ELSE 1 - price END AS p_up, CASE WHEN (side = 'buy') = (token = 'Up') THEN 1 ELSE -1 END AS dir, market % 2 AS pay,
@@ -185,7 +189,7 @@ SELECT h, count(err) AS n, round(median(err), 6) AS med FROM a GROUP BY 1"""))
 def m17_lag_finder(spark, sf):
     p = slow_feed(spark, sf).select("event_id", F.col("price").alias("strike"), "t").withColumn("h", F.explode(F.array(*map(F.lit, (0, 1, 2, 4))))).withColumn("t", F.col("t") - F.col("h") * F.lit(HOUR))
     a = asof(p, fast_feed(spark, sf), [], "t", ["price"], bucket_us=DAY).withColumn("err", F.abs(F.col("price") - F.col("strike")))
-    return a.groupBy("h").agg(F.count("err").alias("n"), S.rounded(F.median("err"), 6).alias("med"))
+    return R.join_by(a.groupBy("h").agg(F.count("err").alias("n")), R.quantile_columns(a, ["h"], "err", {"med": 0.5}), ["h"], "left").select("h", "n", S.rounded("med", 6).alias("med"))
 
 
 @query(sql("""WITH h AS (SELECT t // {H} AS hr, max_by(price, t) AS px FROM fast GROUP BY 1), c AS (SELECT w, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE (a.px > b.px) = (c.px > a.px)) AS DOUBLE) AS hits FROM h a, (VALUES (1), (2), (3), (6)) v(w) JOIN h b ON b.hr = a.hr - w JOIN h c ON c.hr = a.hr + 1 GROUP BY 1)
@@ -206,9 +210,8 @@ def m19_filter_retention(spark, sf):
 
 @query(sql("WITH " + PNL + ", b AS (SELECT *, CAST(least((row_number() OVER (PARTITION BY cfg ORDER BY t, event_id) - 1) * 4 // count(*) OVER (PARTITION BY cfg), 3) AS BIGINT) AS bucket FROM p) " + f"SELECT cfg, bucket, {METRICS} FROM b GROUP BY 1, 2"))
 def m20_quality_by_bucket(spark, sf):
-    w = Window.partitionBy("cfg")
-    place = (F.row_number().over(w.orderBy("t", "event_id")) - 1) * 4
-    b = pnl(spark, sf).withColumn("bucket", F.least(F.floor(place / F.count(F.lit(1)).over(w)), F.lit(3)).cast("long"))
+    ranked = R.with_rank(pnl(spark, sf).select("cfg", "t", "event_id", "pnl"), ["cfg"], ["t", "event_id"], "place", "size")
+    b = ranked.withColumn("bucket", F.least(F.floor((F.col("place") - 1) * 4 / F.col("size")), F.lit(3)).cast("long"))
     return rounded(G.split_metrics(b, ["cfg", "bucket"], "pnl"), "cfg", "bucket")
 
 
@@ -236,21 +239,25 @@ def m23_concentration(spark, sf):
 @query(sql("WITH s(stake) AS (VALUES (10.0::DOUBLE), (100.0::DOUBLE), (1000.0::DOUBLE)) SELECT stake, count(*) AS n, round(avg(least(stake, price * size)), 6) AS used, round(quantile_cont(least(stake, price * size) / stake, 0.5), 6) AS med_share FROM tr, s GROUP BY 1"))
 def m24_capacity_curve(spark, sf):
     each = trades(spark, sf).withColumn("stake", F.explode(F.array(*map(F.lit, (10.0, 100.0, 1000.0)))))
-    used = F.least("stake", F.col("price") * F.col("size"))
-    return each.groupBy("stake").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg(used), 6).alias("used"), S.rounded(F.median(used / F.col("stake")), 6).alias("med_share"))
+    each = each.withColumn("used", F.least("stake", F.col("price") * F.col("size"))).withColumn("share", F.col("used") / F.col("stake"))
+    means = each.groupBy("stake").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("used"), 6).alias("used"))
+    return R.join_by(means, R.quantile_columns(each, ["stake"], "share", {"med": 0.5}), ["stake"]).select("stake", "n", "used", S.rounded("med", 6).alias("med_share"))
 
 
 @query(sql("WITH " + LEDGER.replace("AS fee FROM fills", "AS fee, rate FROM fills") + f", c AS (SELECT rate, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE gross > 0) AS DOUBLE) AS w, median(p_up) AS med FROM l GROUP BY 1) SELECT rate, CAST(n AS BIGINT) AS n, round(med, 6) AS med, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM c"))
 def m25_fee_epochs(spark, sf):
-    c = ledger(spark, sf).groupBy("rate").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gross") > 0).alias("w"), F.median("p_up").alias("med"))
+    l = ledger(spark, sf)
+    c = R.join_by(l.groupBy("rate").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gross") > 0).alias("w")), R.quantile_columns(l, ["rate"], "p_up", {"med": 0.5}), ["rate"])
     lo, hi = S.wilson("w", "n")
     return c.select("rate", "n", S.rounded("med", 6).alias("med"), S.rounded(lo, 6).alias("lo"), S.rounded(hi, 6).alias("hi"))
 
 
 @query(sql("WITH " + CALIBRATION + " SELECT h, round(quantile_cont(prob, 0.1), 6) AS p10, round(quantile_cont(prob, 0.9), 6) AS p90, round(avg(CASE WHEN prob <= 0.2 THEN 1.0 ELSE 0 END), 6) AS open_share FROM pr GROUP BY 1"))
 def m26_gate_openness(spark, sf):
-    d = decisions(spark, sf).groupBy("h").agg(F.percentile("prob", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), S.rounded(F.avg((F.col("prob") <= 0.2).cast("int")), 6).alias("open_share"))
-    return d.select("h", S.rounded(F.col("q")[0], 6).alias("p10"), S.rounded(F.col("q")[1], 6).alias("p90"), "open_share")
+    d = decisions(spark, sf)
+    share = d.groupBy("h").agg(S.rounded(F.avg((F.col("prob") <= 0.2).cast("int")), 6).alias("open_share"))
+    ends = R.quantile_columns(d, ["h"], "prob", {"p10": 0.1, "p90": 0.9})
+    return R.join_by(share, ends, ["h"]).select("h", S.rounded("p10", 6).alias("p10"), S.rounded("p90", 6).alias("p90"), "open_share")
 
 
 @query(sql("SELECT kinds, count(*) AS windows FROM (SELECT t // {H} AS hr, count(DISTINCT event_type) AS kinds FROM ev GROUP BY 1) WHERE kinds >= 2 GROUP BY 1"))
@@ -262,7 +269,8 @@ def m27_simultaneity(spark, sf):
 def m28_coverage_bias(spark, sf):
     seen = quotes(spark, sf).select("user_id", day_of().alias("day")).distinct().withColumn("kept", F.lit(True))
     rows = trades(spark, sf).withColumn("day", day_of()).join(seen, ["user_id", "day"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    return rows.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("price"), 6).alias("mean_px"), S.rounded(F.median("size"), 6).alias("med_size"))
+    means = rows.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("price"), 6).alias("mean_px"))
+    return R.join_by(means, R.quantile_columns(rows, ["kept"], "size", {"med": 0.5}), ["kept"]).select("kept", "n", "mean_px", S.rounded("med", 6).alias("med_size"))
 
 
 @query(sql("SELECT user_id % 5 AS grp, count(*) AS n, round(avg(price), 6) AS mean_px, count(*) FILTER (WHERE size >= 20) AS n_full, round(avg(price) FILTER (WHERE size >= 20), 6) AS mean_full FROM tr GROUP BY 1"))
@@ -305,16 +313,14 @@ SCORED = GRID + ", e AS (SELECT c.cid, CASE WHEN f.day < 19741 THEN 'train' ELSE
 
 
 def scored(spark, sf):
-    """One pass over decisions: each decision meets the configurations of its features and pays per side."""
-    f = features(spark, sf)
-    long = f.select("event_id", "day", F.col("k").alias("pay"), F.explode(F.map_from_arrays(F.array(*map(F.lit, ("value", "k", "u"))), F.array("value", "k", "u"))).alias("feature", "x"))
-    hit = long.join(F.broadcast(E.checked_small(configs(spark, sf))), "feature").where(F.when(F.col("op") == ">", F.col("x") > F.col("thr")).otherwise(F.col("x") < F.col("thr")))
-    return hit.select("cid", F.when(F.col("day") < 19741, "train").otherwise("val").alias("split"), (F.when(F.col("side") == "up", 1).otherwise(-1) * (F.col("pay") - 50) - 1).alias("pnl"))
+    """Every rule's metrics on each split: a decision pays its k against 50, per side, less 1."""
+    f = features(spark, sf).withColumn("split", F.when(F.col("day") < 19741, "train").otherwise("val"))
+    return G.score_configs(f, configs(spark, sf), ["split"], {"up": F.col("k") - 50 - 1, "down": 50 - F.col("k") - 1})
 
 
 @query(sql("WITH " + SCORED + f" SELECT cid, split, {METRICS} FROM e GROUP BY 1, 2"))
 def u10_rule_evaluation(spark, sf):
-    return rounded(G.split_metrics(scored(spark, sf), ["cid", "split"], "pnl"), "cid", "split")
+    return rounded(scored(spark, sf), "cid", "split")
 
 
 @query(sql("""WITH s AS (SELECT p.event_id, p.price, q.price AS later FROM (SELECT event_id, user_id, price, t + {D} AS t FROM q) p ASOF LEFT JOIN q ON p.user_id = q.user_id AND p.t >= q.t)
@@ -345,7 +351,7 @@ BOARD = SCORED + ", m AS (SELECT cid, split, count(*) AS n, avg(pnl) AS mean, av
 
 
 def board(spark, sf):
-    m = G.split_metrics(scored(spark, sf), ["cid", "split"], "pnl")
+    m = scored(spark, sf)
     at = lambda c, s: F.max(F.when(F.col("split") == s, F.col(c)))
     return m.groupBy("cid").agg(at("n", "val").alias("val_n"), at("mean", "train").alias("train_mean"), at("mean", "val").alias("val_mean"), at("t", "val").alias("val_t"))
 
@@ -373,7 +379,7 @@ def u16_in_vs_out_of_sample(spark, sf):
 
 @query(sql("WITH " + SCORED + ", m AS (SELECT split_part(cid, '|', 1) AS feature, cid, split, avg(pnl) AS mean FROM e GROUP BY 1, 2, 3), pick AS (SELECT feature, min_by(cid, (-mean, cid)) AS cid FROM m WHERE split = 'train' GROUP BY 1) SELECT feature, pick.cid, round(mean, 6) AS val_mean FROM pick JOIN m USING (feature, cid) WHERE split = 'val'"))
 def u17_pick_on_train(spark, sf):
-    m = G.split_metrics(scored(spark, sf), ["cid", "split"], "pnl").withColumn("feature", F.split("cid", r"\|")[0])
+    m = scored(spark, sf).withColumn("feature", F.split("cid", r"\|")[0])
     pick = m.where("split = 'train'").groupBy("feature").agg(F.min_by("cid", F.struct(-F.col("mean"), "cid")).alias("cid"))
     return pick.join(m.where("split = 'val'").select("feature", "cid", "mean"), ["feature", "cid"]).select("feature", "cid", S.rounded("mean", 6).alias("val_mean"))
 

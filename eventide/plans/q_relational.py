@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import series
+from ..operators import ranks, series
 from ..operators.asof import asof
 from .data import DAY, HOUR, events, fast_feed, fills, micros, other_quotes, quotes, slow_feed, sql, table, trades
 from .registry import query
@@ -112,8 +112,8 @@ def a3_weighted_chunk_medians(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS q50, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1")
 def a4_median_quantiles(spark, sf):
-    q = lambda p: S.rounded(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf, "events").groupBy("event_type").agg(q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.9).alias("q90"))
+    wide = ranks.quantile_columns(table(spark, sf, "events"), ["event_type"], "value", {"q25": 0.25, "q50": 0.5, "q90": 0.9})
+    return wide.select("event_type", *(S.rounded(c, 6).alias(c) for c in ("q25", "q50", "q90")))
 
 
 @query(sql("""WITH n AS (SELECT 1 + max(t // {D}) - min(t // {D}) AS days, min(t // {D}) AS d0 FROM ev), train AS (SELECT value FROM ev, n WHERE t // {D} < d0 + 0.6 * days)
@@ -122,7 +122,7 @@ def a5_train_thresholds(spark, sf):
     rows = events(spark, sf).withColumn("day", days())
     span = rows.agg(F.min("day").alias("d0"), (F.max("day") - F.min("day") + 1).alias("days"))
     train = rows.join(F.broadcast(span), F.col("day") < F.col("d0") + 0.6 * F.col("days"))
-    return train.agg(F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q")).select(F.explode("q").alias("v")).select(S.rounded("v", 2).alias("threshold")).distinct()
+    return ranks.exact_quantiles(train, [], "value", (0.1, 0.25, 0.5, 0.75, 0.9)).select(S.rounded("v", 2).alias("threshold")).distinct()
 
 
 @query(sql("SELECT user_id, t // {D} AS day, min_by(price, t) AS open, max_by(price, t) AS close FROM q GROUP BY 1, 2"))
@@ -159,8 +159,10 @@ def a11_pearson(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(CASE WHEN value >= 75 THEN 1.0 ELSE 0 END), 6) AS share FROM events GROUP BY 1")
 def a12_distribution_summary(spark, sf):
-    ps = table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("p"), S.rounded(F.avg((F.col("value") >= 75).cast("int")), 6).alias("share"))
-    return ps.select("event_type", S.rounded(F.col("p")[0], 6).alias("p5"), S.rounded(F.col("p")[1], 6).alias("p95"), "share")
+    rows = table(spark, sf, "events")
+    share = rows.groupBy("event_type").agg(S.rounded(F.avg((F.col("value") >= 75).cast("int")), 6).alias("share"))
+    ends = ranks.quantile_columns(rows, ["event_type"], "value", {"p5": 0.05, "p95": 0.95})
+    return ranks.join_by(share, ends, ["event_type"]).select("event_type", S.rounded("p5", 6).alias("p5"), S.rounded("p95", 6).alias("p95"), "share")
 
 
 @query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
@@ -301,9 +303,8 @@ def w14_cumulative_by_day(spark, sf):
 
 @query(sql("SELECT event_id, CAST(least((rn - 1) * 4 // n, 3) AS BIGINT) AS quartile FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM ev)"))
 def w15_quartile_by_rank(spark, sf):
-    w = Window.partitionBy("event_type")
-    rn, n = F.row_number().over(w.orderBy("value", "event_id")), F.count(F.lit(1)).over(w)
-    return events(spark, sf).select("event_id", F.least(F.floor((rn - 1) * 4 / n), F.lit(3)).cast("long").alias("quartile"))
+    ranked = ranks.with_rank(events(spark, sf).select("event_id", "event_type", "value"), ["event_type"], ["value", "event_id"], "rn", "n")
+    return ranked.select("event_id", F.least(F.floor((F.col("rn") - 1) * 4 / F.col("n")), F.lit(3)).cast("long").alias("quartile"))
 
 
 @query(sql("WITH " + DAILY_UP + " SELECT user_id, day, up, coalesce(lag(up) OVER w, last_value(up) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS shifted FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)"))
@@ -331,7 +332,7 @@ def w18_halves_by_date_rank(spark, sf):
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def t1_multi_key_sort(spark, sf):
     order = ["o_custkey", F.col("o_totalprice").desc(), "o_orderkey"]
-    return series.with_place(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), order).select("o_orderkey", "o_custkey", "place")
+    return ranks.with_rank(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), [], order, "place").select("o_orderkey", "o_custkey", "place")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END DESC NULLS LAST, c_custkey LIMIT 20")
@@ -341,8 +342,7 @@ def t2_top_k_nulls_last(spark, sf):
 
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE rn <= greatest(n // 10, 1)")
 def t3_top_decile(spark, sf):
-    w = Window.partitionBy("c_mktsegment")
-    ranked = table(spark, sf, "customer").withColumns({"rn": F.row_number().over(w.orderBy(F.desc("c_acctbal"), "c_custkey")), "n": F.count(F.lit(1)).over(w)})
+    ranked = ranks.with_rank(table(spark, sf, "customer").select("c_mktsegment", "c_acctbal", "c_custkey"), ["c_mktsegment"], [F.desc("c_acctbal"), "c_custkey"], "rn", "n")
     return ranked.where(F.col("rn") <= F.greatest(F.floor(F.col("n") / 10), F.lit(1))).select("c_custkey")
 
 

@@ -224,12 +224,6 @@ def test_isotonic_steps(spark):
     assert L.isotonic(df.limit(0), "p", "y").count() == 0
 
 
-def test_with_place(spark):
-    df = spark.createDataFrame([(k, v) for k, v in zip([3, 1, 2, None, 1, 3, 2, 2], "abcdefgh")], "k int, v string")
-    got_ = {r.v: r.place for r in series.with_place(df, ["k", F.col("v").desc()]).collect()}
-    assert got_ == {"d": 1, "e": 2, "b": 3, "h": 4, "g": 5, "c": 6, "f": 7, "a": 8} and series.with_place(df.limit(0), ["k"]).count() == 0
-
-
 def test_max_drawdown(spark):
     rnd = random.Random(5)
     rows = [(k, d, t, rnd.uniform(-3, 3)) for k in "ab" for d in range(6) for t in range(rnd.randint(1, 9))]
