@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tape import scratch
 
@@ -54,7 +55,7 @@ def split_metrics(trades: DataFrame, by: Sequence[str], pnl: str, day: str | Non
 SUMS = ("n", "total", "squares", "gain", "loss", "wins")
 
 
-def score_configs(decisions: DataFrame, configs: DataFrame, split: Sequence[str], pay: dict[str, Column], most: int = 1_000_000) -> DataFrame:
+def score_configs(decisions: DataFrame, configs: DataFrame, split: Sequence[str], pay: dict[str, Column], most: int = 250_000) -> DataFrame:
     """(cid, split…, n, total, mean, t, pf, wr): what each rule of ``configs`` (cid, feature, op, thr, side) makes of the decisions
     on which ``feature op thr`` holds; op is one of > >= < <=, ``pay`` gives the result of a decision per side.
 
@@ -62,26 +63,36 @@ def score_configs(decisions: DataFrame, configs: DataFrame, split: Sequence[str]
     threshold i.  Results are summed per place, split and side, and a rule is a sum over the places on one side of its
     threshold, that is a running sum.  So the cost is decisions plus rules; no decision meets a rule.  Null and NaN fail
     every rule, a null result is no trade, rules without trades give no row; pf is null without losses, t is 0 without
-    spread.  Thresholds are sent to the tasks, ``most`` at once; more of them take as many passes over the decisions.
+    spread.  Up to ``most`` rules at once are a dimension that is sent to the tasks; more of them take passes over the decisions.
     """
-    spark, path = decisions.sparkSession, scratch(decisions.sparkSession, "rules")
-    configs.select("cid", "feature", "op", F.col("thr").cast("double").alias("thr"), "side").write.parquet(path)
-    rules = spark.read.parquet(path)
-    distinct = rules.select("feature", "thr").distinct()
-    passes = -(-distinct.count() // most)
-    out = None
-    for i in range(passes):
-        mine = F.pmod(F.xxhash64("feature", "thr"), F.lit(passes)) == i
-        part = _scored(decisions, rules.where(mine), distinct.where(mine).toPandas(), split, pay)
+    spark = decisions.sparkSession
+    shaped = configs.select("cid", "feature", "op", F.col("thr").cast("double").alias("thr"), "side")
+    first = shaped.limit(most + 1).toPandas()
+    if len(first) <= most:
+        return _scored(decisions, first, split, pay, shaped.schema)
+    path = scratch(spark, "rules")
+    shaped.write.parquet(path)
+    rules, out = spark.read.parquet(path), None
+    passes = -(-rules.count() // most) * 2
+    for i in range(passes):  # half full on average, so that the hash's spread still fits
+        part = _scored(decisions, rules.where(F.pmod(F.xxhash64("feature", "thr", "cid"), F.lit(passes)) == i).toPandas(), split, pay, shaped.schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else _metrics(decisions.sparkSession.createDataFrame([], rules.schema).join(decisions.select(*split), F.lit(False)), split, {s: F.lit(0.0) for s in SUMS})
+    return out
 
 
-def _scored(decisions: DataFrame, rules: DataFrame, thresholds: pd.DataFrame, split: Sequence[str], pay: dict[str, Column]) -> DataFrame:
-    cuts = {f: np.sort(g["thr"].to_numpy()) for f, g in thresholds.groupby("feature")}
+def _scored(decisions: DataFrame, rules: pd.DataFrame, split: Sequence[str], pay: dict[str, Column], schema) -> DataFrame:
+    cuts = {f: np.unique(g["thr"].dropna().to_numpy()) for f, g in rules.groupby("feature")}
     unknown = sorted(set(cuts) - set(decisions.columns))
     if unknown:
         raise ValueError(f"rules on features that the decisions lack: {unknown[:5]}")
+    spark = decisions.sparkSession
+    if not cuts:
+        return _metrics(spark.createDataFrame([], schema).join(decisions.select(*split), F.lit(False)), split, {s: F.lit(0.0) for s in SUMS})
+    rules = rules[rules["thr"].notna() & rules["op"].isin([">", ">=", "<", "<="])]
+    among = [int(np.searchsorted(cuts[f], t)) for f, t in zip(rules["feature"], rules["thr"])]
+    # the place from which, or up to which, a rule holds
+    edges = rules.assign(place=[2 * i + {">": 2, ">=": 1, "<": 0, "<=": 1}[op] for i, op in zip(among, rules["op"])], __above=rules["op"].str.startswith(">"))
+    edges = spark.createDataFrame(edges[["cid", "feature", "side", "place", "__above"]], T.StructType([schema["cid"], schema["feature"], schema["side"], T.StructField("place", T.IntegerType()), T.StructField("__above", T.BooleanType())]))
 
     def place(feature: str) -> Column:
         at = cuts[feature]
@@ -101,13 +112,9 @@ def _scored(decisions: DataFrame, rules: DataFrame, thresholds: pd.DataFrame, sp
         each = (F.count(p), F.sum(p), F.sum(p * p), F.sum(F.when(p > 0, p).otherwise(0.0)), F.sum(F.when(p < 0, -p).otherwise(0.0)), F.count_if(p > 0))
         sums.append(F.struct(F.lit(side).alias("side"), *(F.coalesce(c, F.lit(0)).alias(name) for c, name in zip(each, SUMS))))
     cube = long.groupBy("feature", "place", *split).agg(F.array(*sums).alias("__s")).select("feature", "place", *split, F.explode("__s").alias("__s")).select("feature", "place", *split, "__s.*")
-    path = scratch(decisions.sparkSession, "cube")
+    path = scratch(spark, "cube")
     cube.write.parquet(path)
-    cube = decisions.sparkSession.read.parquet(path)
-    ranked = Window.partitionBy("feature").orderBy("thr")  # a row per threshold
-    order = rules.select("feature", "thr").distinct().withColumn("__i", F.row_number().over(ranked) - 1)
-    edge = F.when(F.col("op") == ">", 2 * F.col("__i") + 2).when(F.col("op") == ">=", 2 * F.col("__i") + 1).when(F.col("op") == "<", 2 * F.col("__i")).when(F.col("op") == "<=", 2 * F.col("__i") + 1)
-    edges = rules.join(order, ["feature", "thr"]).select("cid", "feature", "side", edge.alias("place"), F.col("op").startswith(">").alias("__above"))
+    cube = spark.read.parquet(path)
     # a rule stands at its edge in each of its feature's splits
     asked = edges.join(cube.select("feature", *split).distinct(), "feature")
     line = cube.unionByName(asked, allowMissingColumns=True)
