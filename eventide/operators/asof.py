@@ -1,27 +1,36 @@
 """As-of and interval joins: one shuffle by key, one sort, one window.
 
 Both sides are laid on one timeline and the last (or next) quote is carried to each probe, so no probe is compared with
-more than its neighbour.  With ``bucket_us`` the timeline of a key is cut into buckets and the last quote before each
-bucket is carried in; then a key that holds a third of all rows, or a feed without any key, is spread over many tasks.
+more than its neighbour.  A timeline that is too long for one task is cut into cells: the last quote of each cell is carried
+over the cells of its key, a row per cell, and then into the cells.  Which keys are that long, and where their timelines are
+cut, is measured; a feed without a key is one long timeline.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tape import scratch
+from .ranks import in_ranges, join_by
+
+#: Rows of one key that a task may sort.
+MOST_ROWS = 8_000_000
+#: Cells of a feed without a key that is too small to be measured: a day, if its time is in microseconds.
+CELL = 86_400_000_000
+
 
 def asof(
     probes: DataFrame, quotes: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str], direction: str = "backward", allow_exact: bool = True,
-    tolerance_us: int | None = None, lag_us: int = 0, bucket_us: int | None = None, tie: Sequence[str] = (), prefix: str = "", quote_ts: str = "quote_t",
+    tolerance_us: int | None = None, lag_us: int = 0, tie: Sequence[str] = (), prefix: str = "", quote_ts: str = "quote_t", most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """probes with the columns ``cols`` of the nearest quote, and its time as ``quote_ts``; null where there is none.
 
     backward: last quote with ts <= probe (``<`` without ``allow_exact``); forward: first with ts >= probe.  ``lag_us`` is
-    added to quote times first (availability).  Among quotes of one time the last by ``tie`` wins.  A quote further away
-    than ``tolerance_us`` counts as none.  Null keys meet null keys.
+    added to quote times first (availability).  Among quotes of one time, backward takes the last by
+    ``tie``, forward the first.  A quote further away than ``tolerance_us`` counts as none.  Null keys meet null keys.  A key with more than ``most_rows`` rows is cut.
     """
     forward = direction == "forward"
     found = F.struct((F.col(ts) + lag_us).alias(quote_ts), *(F.col(c).alias(prefix + c) for c in cols))
@@ -31,33 +40,52 @@ def asof(
     left = quotes.select(*by, at.alias("__t"), F.lit(0 if allow_exact else 2).alias("__side"), order.alias("__tie"), found.alias("__found"))
     none, no_tie = F.lit(None).cast(left.schema["__found"].dataType), F.lit(None).cast(left.schema["__tie"].dataType)
     right = probes.select(*by, F.col(ts).alias("__t"), F.lit(1).alias("__side"), no_tie.alias("__tie"), none.alias("__found"), F.struct(*probes.columns).alias("__probe"))
-    if bucket_us:
-        left, right = (x.withColumn("__b", F.floor(F.col("__t") / bucket_us)) for x in (left, right))
-        left = left.unionByName(_carried(left, right, by, forward, bucket_us, found_type=none, tie_type=no_tie))
-        by = [*by, "__b"]
     line = left.unionByName(right, allowMissingColumns=True)
-    order_by = [F.col("__t").desc() if forward else F.col("__t").asc(), F.col("__side").asc(), F.col("__tie").desc() if forward else F.col("__tie").asc()]
-    window = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    cut = in_cells(line, by, most_rows)
+    key = list(by)
+    if cut is not None:
+        key = [*by, "__cell"]
+        line = cut.withColumn("__carried", F.lit(1)).unionByName(carried(cut, by, forward), allowMissingColumns=True)
+    flow = lambda c: F.col(c).desc() if forward else F.col(c).asc()
+    first = [F.col("__carried").asc()] if cut is not None else []
+    window = Window.partitionBy(*key).orderBy(*first, flow("__t"), F.col("__side").asc(), flow("__tie")).rowsBetween(Window.unboundedPreceding, 0)
     near = line.withColumn("__near", F.last("__found", ignorenulls=True).over(window)).where("__probe IS NOT NULL")
     if tolerance_us is not None:
         near = near.withColumn("__near", F.when(F.abs(F.col("__near")[quote_ts] - F.col("__t")) <= tolerance_us, F.col("__near")))
     return near.select("__probe.*", *(F.col("__near")[c].alias(c) for c in [quote_ts, *(prefix + c for c in cols)]))
 
 
-def _carried(left: DataFrame, right: DataFrame, by: Sequence[str], forward: bool, bucket_us: int, found_type: Column, tie_type: Column) -> DataFrame:
-    """For each bucket with probes, the quote that the bucket before it ends with, at the bucket's edge."""
-    key = F.struct("__t", "__tie")
+def in_cells(line: DataFrame, by: Sequence[str], most_rows: int) -> DataFrame | None:
+    """line with __cell, numbers that ascend with __t within a key, if any key needs to be cut; else None.
+
+    Rows of keys with more than ``most_rows`` rows are dealt by ranges of key and time, about two for each ``most_rows`` of them,
+    and written; a range is a cell.  Bursts are cut like quiet times, only rows of one time stay together.  Where the
+    optimiser's estimate says that all rows together are few, nothing is measured: keys stay whole, and a feed without a key
+    is cut by the day."""
+    short = None if by else line.withColumn("__cell", F.floor(F.col("__t") / CELL))
+    if int(str(line._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= 4 * most_rows:
+        return short
+    spark, path = line.sparkSession, scratch(line.sparkSession, "long-keys")
+    line.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most_rows).write.parquet(path)
+    long = spark.read.parquet(path)
+    rows = long.agg(F.sum("__n")).first()[0]
+    if not rows:
+        return short
+    keys = long.select(*by)
+    cut = in_ranges(join_by(line, keys, by), by, ["__t"], 2 * rows // most_rows + 1).withColumnRenamed("__range", "__cell")
+    return cut.unionByName(join_by(line, keys, by, "left_anti").withColumn("__cell", F.lit(0))) if by else cut
+
+
+def carried(cut: DataFrame, by: Sequence[str], forward: bool) -> DataFrame:
+    """For each cell with probes, the quote that the cells before it (``forward``: behind it) end with, as a row that comes
+    first in the cell."""
+    key = F.when(F.col("__found").isNotNull(), F.struct("__t", "__tie"))
     edge = (F.min_by if forward else F.max_by)("__found", key)
-    last = left.groupBy(*by, "__b").agg(edge.alias("__found"))
-    asked = right.select(*by, "__b").distinct()
-    # a row per key and bucket: small beside the feed, also where there is no key
-    both = last.withColumn("__ask", F.lit(False)).unionByName(asked.withColumn("__found", found_type).withColumn("__ask", F.lit(True)))
-    steps = both.groupBy(*by, "__b").agg(F.max("__ask").alias("__ask"), F.first("__found", ignorenulls=True).alias("__found"))
-    order = F.col("__b").desc() if forward else F.col("__b").asc()
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = steps.withColumn("__found", F.last("__found", ignorenulls=True).over(before)).where("__ask AND __found IS NOT NULL")
-    at = (F.col("__b") + 1) * bucket_us if forward else F.col("__b") * bucket_us - 1
-    return carried.select(*by, at.cast("long").alias("__t"), F.lit(0).alias("__side"), tie_type.alias("__tie"), "__found", "__b")
+    steps = cut.groupBy(*by, "__cell").agg(edge.alias("__found"), F.count_if(F.col("__found").isNull()).alias("__asked"))
+    order = F.col("__cell").desc() if forward else F.col("__cell").asc()
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # a row per cell
+    given = steps.withColumn("__found", F.last("__found", ignorenulls=True).over(before)).where("__asked > 0 AND __found IS NOT NULL")
+    return given.select(*by, "__cell", "__found", F.lit(0).alias("__carried"))
 
 
 def asof_at(probes: DataFrame, quotes: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str], offsets_us: dict[str, int], **how) -> DataFrame:
@@ -84,10 +112,43 @@ def interval_join(probes: DataFrame, rows: DataFrame, by: Sequence[str], ts: str
     return probes.join(pairs, keys, "left")
 
 
-def range_lookup(rows: DataFrame, bands: DataFrame, value: str, lo: str, hi: str, cols: Sequence[str]) -> DataFrame:
-    """rows with the columns of the band lo <= value < hi; a null end is open.  Bands are a checked, small dimension."""
-    small = bands.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), *cols)
-    if small.count() > 10_000:
-        raise ValueError("bands are looked up by broadcasting them; these are too many")
+def range_lookup(rows: DataFrame, bands: DataFrame, value: str, lo: str, hi: str, cols: Sequence[str], most: int = 64) -> DataFrame:
+    """rows with the columns of each band lo <= value < hi, nulls where there is none; a null end is open, bands may overlap.
+
+    Up to ``most`` bands are broadcast and tried one by one.  More are indexed: the values' span is cut into a grid of some
+    cells per band, a band's cells are the union of few dyadic nodes (two a level at most), and a value looks up the nodes
+    that hold its cell, one a level.  That is an equi-join, in which a band and a value meet once; the ends are compared then."""
+    named = bands.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), *cols)
     inside = (F.col("__lo").isNull() | (F.col(value) >= F.col("__lo"))) & (F.col("__hi").isNull() | (F.col(value) < F.col("__hi")))
-    return rows.join(F.broadcast(small), inside, "left").drop("__lo", "__hi")
+    n = named.count()
+    if n <= most:
+        return rows.join(F.broadcast(named), inside, "left").drop("__lo", "__hi")
+    spark = rows.sparkSession
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    number = lambda c, kind: (F.unix_date(c) if kind == "date" else F.unix_micros(c) if kind == "timestamp" else F.col(c)).cast("double")
+    of, at = dict(named.dtypes), dict(rows.dtypes)[value]
+    ends = named.agg(F.min(number("__lo", of["__lo"])).alias("a"), F.max(number("__lo", of["__lo"])).alias("b"), F.min(number("__hi", of["__hi"])).alias("c"), F.max(number("__hi", of["__hi"])).alias("d")).first()
+    known = [x for x in ends if x is not None] or [0.0]
+    low, span = min(known), (max(known) - min(known)) or 1.0
+    levels = min(30, n.bit_length() + 2)
+    # rises with the value, so a value inside a band has its cell inside the band's; beyond the ends are the outermost cells
+    cell = lambda x: F.when(x.isNotNull(), F.least(F.greatest(F.floor((x - low) / span * 2.0**levels), F.lit(0)), F.lit(2**levels - 1)))
+    nodes = f"""explode(flatten(transform(sequence(0, {levels}), k -> filter(array(
+        if(shiftright(__p + shiftleft(1L, k) - 1, k) < shiftright(__q + 1, k) AND shiftright(__p + shiftleft(1L, k) - 1, k) % 2 = 1, named_struct('k', k, 'node', shiftright(__p + shiftleft(1L, k) - 1, k)), NULL),
+        if(shiftright(__p + shiftleft(1L, k) - 1, k) < shiftright(__q + 1, k) AND shiftright(__q + 1, k) % 2 = 1, named_struct('k', k, 'node', shiftright(__q + 1, k) - 1), NULL)), x -> x IS NOT NULL))))"""
+    placed = named.withColumns({"__p": F.coalesce(cell(number("__lo", of["__lo"])), F.lit(0)), "__q": F.coalesce(cell(number("__hi", of["__hi"])), F.lit(2**levels - 1))})
+    index = keep("bands", placed.withColumn("__n", F.expr(nodes)).select("__lo", "__hi", *cols, "__n.k", "__n.node"))
+    used = sorted(r.k for r in index.select("k").distinct().collect())  # levels
+    # a node high up holds the cells of many values: it is dealt over parts, all of which get its bands
+    parts = F.greatest(F.lit(1), F.shiftleft(F.lit(1), 8) / F.pow(F.lit(2.0), levels - F.col("k"))).cast("int")
+    index = index.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    kept = keep("valued", rows.withColumn("__row", F.monotonically_increasing_id()))  # numbered once, then read
+    probes = kept.select("__row", value, F.explode(F.array(*map(F.lit, used))).alias("k")).withColumn("node", F.floor(cell(number(value, at)) / F.pow(F.lit(2.0), F.col("k"))))
+    probes = probes.withColumn("__part", F.pmod(F.xxhash64("__row"), parts).cast("int"))
+    met = keep("met", probes.join(index, ["k", "node", "__part"]).where(inside).select("__row", *cols))
+    return kept.join(met, "__row", "left").drop("__row")

@@ -19,14 +19,14 @@ def downsample_last(df: DataFrame, by: Sequence[str], ts: str, grid_us: int, col
     return df.groupBy(*by, F.floor(F.col(ts) / grid_us).alias("cell")).agg(F.max_by(F.struct(ts, *cols), ts).alias("__r")).select(*by, "cell", "__r.*")
 
 
-def window_outcomes(feed: DataFrame, windows: DataFrame, ts: str, price: str, start: str, dur_us: int, max_lag_us: int, tie: str = "up", shift_us: int = 0, bucket_us: int | None = None) -> DataFrame:
+def window_outcomes(feed: DataFrame, windows: DataFrame, ts: str, price: str, start: str, dur_us: int, max_lag_us: int, tie: str = "up", shift_us: int = 0) -> DataFrame:
     """windows with open, close and up: the first tick at or after each boundary, at most ``max_lag_us`` later.
 
     up is null where either is missing; equal prices are up (``tie='down'``: down).  ``shift_us`` moves the feed, for
     look-ahead controls.
     """
     ticks = feed.select((F.col(ts) + shift_us).alias("__at"), F.col(price).alias("__px"))
-    how = dict(direction="forward", tolerance_us=max_lag_us, bucket_us=bucket_us or dur_us, quote_ts="__when")
+    how = dict(direction="forward", tolerance_us=max_lag_us, quote_ts="__when")
     # both boundaries go through one as-of: the feed is read for one timeline
     edges = F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col(start).alias("at")), F.struct(F.lit(False).alias("first"), (F.col(start) + dur_us).alias("at"))))
     near = asof(windows.withColumn("__e", edges).withColumn("__at", F.col("__e.at")), ticks, [], "__at", ["__px"], **how)
@@ -108,13 +108,13 @@ def coverage(rows: DataFrame, day: Column, expected: int) -> DataFrame:
     return joined.withColumn("state", F.when(F.col("n") == 0, "missing").when(F.col("n") < expected, "partial").otherwise("full"))
 
 
-def zsignal(probes: DataFrame, feed: DataFrame, ts: str, price: str, lookback_us: int, sigma_window_us: int, step_us: int, lat_us: int, bucket_us: int, ddof: int = 0) -> DataFrame:
+def zsignal(probes: DataFrame, feed: DataFrame, ts: str, price: str, lookback_us: int, sigma_window_us: int, step_us: int, lat_us: int, ddof: int = 0) -> DataFrame:
     """probes with g (log return over the look-back, in basis points), sigma of the same step's returns on a grid over the
     window before, and z = g / sigma; null where a price is missing or not positive, or sigma is 0.
 
     ``ddof`` 1 takes the sample's deviation in place of the population's."""
     ticks = feed.select(F.col(ts).alias("__at"), F.col(price).alias("__px"))
-    look = lambda rows, at, name: asof(rows.withColumn("__at", at), ticks, [], "__at", ["__px"], bucket_us=bucket_us, quote_ts="__q").withColumnRenamed("__px", name).drop("__q", "__at")
+    look = lambda rows, at, name: asof(rows.withColumn("__at", at), ticks, [], "__at", ["__px"], quote_ts="__q").withColumnRenamed("__px", name).drop("__q", "__at")
     now = look(look(probes, F.col(ts) - lat_us, "__now"), F.col(ts) - lat_us - lookback_us, "__then")
     signal = now.withColumn("g", 1e4 * S.log_ratio("__now", "__then")).drop("__now", "__then")
     grid = probes.select("probe", F.posexplode(F.sequence(F.col(ts) - lat_us - sigma_window_us, F.col(ts) - lat_us, F.lit(step_us))).alias("i", "__g"))

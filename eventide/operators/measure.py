@@ -48,14 +48,14 @@ def autocorrelation(df: DataFrame, by: Sequence[str], order: Sequence[str], valu
     return sums.select(*by, rows.alias("__r")).select(*by, "__r.*")
 
 
-def lead_lag(a: DataFrame, b: DataFrame, ts: str, price: str, step_us: int, max_lag: int, bucket_us: int, min_n: int = 0) -> DataFrame:
+def lead_lag(a: DataFrame, b: DataFrame, ts: str, price: str, step_us: int, max_lag: int, min_n: int = 0) -> DataFrame:
     """(lag, n, r): correlation of a's grid returns with b's, ``lag`` steps later; at a positive best lag a leads.  r is null
     with fewer than ``min_n`` pairs."""
     span = a.select(ts).unionByName(b.select(ts)).agg(F.floor(F.min(ts) / step_us).alias("lo"), F.floor(F.max(ts) / step_us).alias("hi")).first()  # two numbers
     grid = a.sparkSession.range(span.lo or 0, (span.hi if span.hi is not None else -1) + 1).select(F.col("id").alias("step"), (F.col("id") * step_us).alias(ts))
 
     def returns(feed: DataFrame, name: str) -> DataFrame:
-        priced = asof(grid, feed.select(ts, price), [], ts, [price], bucket_us=bucket_us).select("step", F.ln(price).alias("v"))
+        priced = asof(grid, feed.select(ts, price), [], ts, [price]).select("step", F.ln(price).alias("v"))
         before = priced.select((F.col("step") + 1).alias("step"), F.col("v").alias("u"))  # a join by step: no window over a feed without keys
         return priced.join(before, "step").select("step", (F.col("v") - F.col("u")).alias(name)).where(F.col(name).isNotNull())
 

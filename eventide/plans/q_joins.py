@@ -46,7 +46,7 @@ def j5_multi_latency_asof(spark, sf):
 SELECT p.event_id, p.cohort, c.price AS q_price FROM p ASOF LEFT JOIN c ON p.cohort = c.cohort AND p.t >= c.t"""))
 def j6_asof_other_key_space(spark, sf):
     cohort = (F.col("user_id") % 10).alias("cohort")
-    return asof(trades(spark, sf).select("event_id", "t", cohort), quotes(spark, sf).select("t", "price", cohort), ["cohort"], "t", ["price"], prefix="q_", bucket_us=DAY).select("event_id", "cohort", "q_price")
+    return asof(trades(spark, sf).select("event_id", "t", cohort), quotes(spark, sf).select("t", "price", cohort), ["cohort"], "t", ["price"], prefix="q_").select("event_id", "cohort", "q_price")
 
 
 @query(sql("""WITH p AS (SELECT event_id, user_id, h, t - h * {H} AS t FROM tr, (VALUES (0), (1), (6), (24)) v(h)),
@@ -74,15 +74,15 @@ SELECT event_id, anchor, round(CASE WHEN anchor > 0 AND at_now > 0 AND at_anchor
 def j9_bitemporal_asof(spark, sf):
     slow = slow_feed(spark, sf).withColumn("src", F.col("t"))
     fast = fast_feed(spark, sf).select("t", "price")
-    a = asof(trades(spark, sf).select("event_id", "t"), slow, [], "t", ["src", "price"], lag_us=HOUR, bucket_us=DAY, prefix="a_").drop("quote_t")
-    b = asof(a.withColumnsRenamed({"t": "now", "a_src": "t"}), fast, [], "t", ["price"], bucket_us=DAY, prefix="anchor_").drop("quote_t", "t")
-    c = asof(b.withColumn("t", F.col("now") - HOUR), fast, [], "t", ["price"], bucket_us=DAY, prefix="now_")
+    a = asof(trades(spark, sf).select("event_id", "t"), slow, [], "t", ["src", "price"], lag_us=HOUR, prefix="a_").drop("quote_t")
+    b = asof(a.withColumnsRenamed({"t": "now", "a_src": "t"}), fast, [], "t", ["price"], prefix="anchor_").drop("quote_t", "t")
+    c = asof(b.withColumn("t", F.col("now") - HOUR), fast, [], "t", ["price"], prefix="now_")
     return c.select("event_id", F.col("a_price").alias("anchor"), S.rounded(F.ln("a_price") + F.ln("now_price") - F.ln("anchor_price"), 6).alias("nowcast"))
 
 
 @query(sql("SELECT tr.event_id, f.t AS quote_t, f.price AS f_price FROM tr ASOF LEFT JOIN fast f ON tr.t >= f.t"))
 def j10_unkeyed_bucketed_asof(spark, sf):
-    return asof(trades(spark, sf).select("event_id", "t"), fast_feed(spark, sf), [], "t", ["price"], bucket_us=6 * HOUR, prefix="f_").select("event_id", "quote_t", "f_price")
+    return asof(trades(spark, sf).select("event_id", "t"), fast_feed(spark, sf), [], "t", ["price"], prefix="f_").select("event_id", "quote_t", "f_price")
 
 
 @query(sql("""SELECT l.user_id, l.event_id, r.event_id AS same_day_event FROM tr l LEFT JOIN (SELECT user_id, t // {D} AS day, min(event_id) AS event_id FROM q GROUP BY ALL) r

@@ -83,7 +83,7 @@ x AS (SELECT g.step, CASE WHEN f.price > 0 THEN ln(f.price) END AS v FROM g ASOF
 dx AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM x), dy AS (SELECT step, v - lag(v) OVER (ORDER BY step) AS d FROM y), l AS (SELECT generate_series AS lag FROM generate_series(-40, 40)),
 c AS (SELECT l.lag, count(*) AS n, round(corr(dx.d, dy.d), 6) AS r FROM dx, l JOIN dy ON dy.step = dx.step + l.lag WHERE dx.d IS NOT NULL AND dy.d IS NOT NULL GROUP BY 1) SELECT lag, n, r, (SELECT lag FROM c ORDER BY abs(r) DESC, lag LIMIT 1) AS best FROM c"""))
 def m7_lead_lag(spark, sf):
-    lags = E.lead_lag(fast_feed(spark, sf), slow_feed(spark, sf), "t", "price", HOUR, 40, DAY).select("lag", "n", S.rounded("r", 6).alias("r"))
+    lags = E.lead_lag(fast_feed(spark, sf), slow_feed(spark, sf), "t", "price", HOUR, 40).select("lag", "n", S.rounded("r", 6).alias("r"))
     every = Window.partitionBy(F.lit(0))  # a row per lag
     return lags.withColumn("best", F.max_by("lag", F.struct(F.abs("r"), -F.col("lag"))).over(every))
 
@@ -96,7 +96,7 @@ def decisions(spark, sf):
     """Day windows at several offsets, with the fast feed just before as the implied probability, and the outcome."""
     windows = outcomes(spark, sf).where("up IS NOT NULL").withColumn("h", F.explode(F.array(*map(F.lit, (1, 6, 12, 18)))))
     at = windows.withColumn("t", F.col("start") + F.col("h") * F.lit(HOUR))
-    seen = asof(at.select("day", "h", "t", "up"), fast_feed(spark, sf), [], "t", ["price"], allow_exact=False, bucket_us=DAY).where("price IS NOT NULL")
+    seen = asof(at.select("day", "h", "t", "up"), fast_feed(spark, sf), [], "t", ["price"], allow_exact=False).where("price IS NOT NULL")
     return seen.withColumn("prob", F.col("price") / 500)
 
 
@@ -165,7 +165,7 @@ def m14_sign_randomised_null(spark, sf):
 r AS (SELECT event_id, any_value(user_id) AS user_id, any_value(price) AS price, any_value(hour) AS hour, max(ref) FILTER (WHERE h = 6) - max(ref) FILTER (WHERE h = 0) AS move FROM a GROUP BY 1)
 SELECT user_id, count(*) AS n, round(avg(price), 6) AS entry, round(avg(hour), 6) AS hour, round(avg(move), 6) AS lead FROM r GROUP BY 1"""))
 def m15_wallet_profile(spark, sf):
-    a = asof_at(trades(spark, sf).withColumn("hour", F.floor(F.col("t") % DAY / HOUR)).select("event_id", "user_id", F.col("price").alias("entry"), "hour", "t"), fast_feed(spark, sf), [], "t", ["price"], {"h0": 0, "h6": 6 * HOUR}, bucket_us=DAY)
+    a = asof_at(trades(spark, sf).withColumn("hour", F.floor(F.col("t") % DAY / HOUR)).select("event_id", "user_id", F.col("price").alias("entry"), "hour", "t"), fast_feed(spark, sf), [], "t", ["price"], {"h0": 0, "h6": 6 * HOUR})
     at = lambda h: F.max(F.when(F.col("step") == h, F.col("price")))
     r = a.groupBy("event_id", "user_id", "entry", "hour").agg((at("h6") - at("h0")).alias("move"))
     return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.avg("entry"), 6).alias("entry"), S.rounded(F.avg("hour"), 6).alias("hour"), S.rounded(F.avg("move"), 6).alias("lead"))
@@ -176,8 +176,8 @@ c AS (SELECT CASE WHEN abs(z) < 0.5 THEN 'a' WHEN abs(z) < 1 THEN 'b' WHEN abs(z
 SELECT band, CAST(n AS BIGINT) AS n, round(w / n, 6) AS hit, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM c"""))
 def m16_response_curve(spark, sf):
     ticks = fast_feed(spark, sf)
-    now = asof(zsignals(spark, sf).where("z IS NOT NULL"), ticks, [], "t", ["price"], bucket_us=DAY, prefix="now_").drop("quote_t")
-    later = asof(now.withColumn("t", F.col("t") + 6 * HOUR), ticks, [], "t", ["price"], bucket_us=DAY, prefix="later_").where("later_price IS NOT NULL")
+    now = asof(zsignals(spark, sf).where("z IS NOT NULL"), ticks, [], "t", ["price"], prefix="now_").drop("quote_t")
+    later = asof(now.withColumn("t", F.col("t") + 6 * HOUR), ticks, [], "t", ["price"], prefix="later_").where("later_price IS NOT NULL")
     hit = (F.col("later_price") > F.col("now_price")) == (F.col("g") > 0)
     c = later.groupBy(S.cut(F.abs("z"), [0.5, 1, 2], ["a", "b", "c", "d"]).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("w"))
     lo, hi = S.wilson("w", "n")
@@ -188,7 +188,7 @@ def m16_response_curve(spark, sf):
 SELECT h, count(err) AS n, round(median(err), 6) AS med FROM a GROUP BY 1"""))
 def m17_lag_finder(spark, sf):
     p = slow_feed(spark, sf).select("event_id", F.col("price").alias("strike"), "t").withColumn("h", F.explode(F.array(*map(F.lit, (0, 1, 2, 4))))).withColumn("t", F.col("t") - F.col("h") * F.lit(HOUR))
-    a = asof(p, fast_feed(spark, sf), [], "t", ["price"], bucket_us=DAY).withColumn("err", F.abs(F.col("price") - F.col("strike")))
+    a = asof(p, fast_feed(spark, sf), [], "t", ["price"]).withColumn("err", F.abs(F.col("price") - F.col("strike")))
     return R.join_by(a.groupBy("h").agg(F.count("err").alias("n")), R.quantile_columns(a, ["h"], "err", {"med": 0.5}), ["h"], "left").select("h", "n", S.rounded("med", 6).alias("med"))
 
 

@@ -94,7 +94,7 @@ HORIZONS = (1, 2, 3, 6, 12, 24, 48)
        + ", ".join(f"max(price) FILTER (WHERE h = {h}) p{h}" for h in HORIZONS) + " FROM a GROUP BY 1) SELECT event_id, " + ", ".join(f"round(CASE WHEN p0 > 0 AND p{h} > 0 THEN ln(p0) - ln(p{h}) END, 6) AS ret_{h}h" for h in HORIZONS) + " FROM r"))
 def b10_spot_features(spark, sf):
     hours = (0, *HORIZONS)
-    long = asof_at(slow_feed(spark, sf).select("event_id", "t"), fast_feed(spark, sf), [], "t", ["price"], {f"h{h}": -h * HOUR for h in hours}, bucket_us=DAY)
+    long = asof_at(slow_feed(spark, sf).select("event_id", "t"), fast_feed(spark, sf), [], "t", ["price"], {f"h{h}": -h * HOUR for h in hours})
     at = {h: F.ln(F.max(F.when(F.col("step") == f"h{h}", F.col("price")))) for h in hours}
     return long.groupBy("event_id").agg(*(S.rounded(at[0] - at[h], 6).alias(f"ret_{h}h") for h in hours[1:]))
 
@@ -128,7 +128,7 @@ def b12_change_rate(spark, sf):
 
 @query(sql("SELECT tr.event_id, tr.t - f.t AS stale_us, round(tr.price - f.price, 6) AS basis FROM tr ASOF LEFT JOIN fast f ON tr.t >= f.t"))
 def b13_staleness_and_basis(spark, sf):
-    both = asof(trades(spark, sf), fast_feed(spark, sf), [], "t", ["price"], bucket_us=DAY, prefix="f_")
+    both = asof(trades(spark, sf), fast_feed(spark, sf), [], "t", ["price"], prefix="f_")
     return both.select("event_id", (F.col("t") - F.col("quote_t")).alias("stale_us"), S.rounded(F.col("price") - F.col("f_price"), 6).alias("basis"))
 
 
@@ -245,7 +245,7 @@ z0 AS (SELECT n.probe, n.t, CASE WHEN now > 0 AND thn > 0 THEN 1e4 * ln(now / th
 
 
 def zsignals(spark, sf):
-    return M.zsignal(slow_feed(spark, sf).select(F.col("event_id").alias("probe"), "t"), fast_feed(spark, sf), "t", "price", HOUR, DAY, HOUR, 0, DAY)
+    return M.zsignal(slow_feed(spark, sf).select(F.col("event_id").alias("probe"), "t"), fast_feed(spark, sf), "t", "price", HOUR, DAY, HOUR, 0)
 
 
 @query(sql(ZSIG + " SELECT probe, round(g, 4) AS g, round(sigma, 4) AS sigma, round(z, 4) AS z FROM z"))
@@ -269,9 +269,9 @@ b AS (SELECT a.*, f.price AS fa FROM a ASOF LEFT JOIN fast f ON a.src >= f.t), c
 SELECT event_id, round({S.normal_cdf_sql('z')}, 6) AS fair FROM z"""))
 def b31_hybrid_nowcast(spark, sf):
     fast = fast_feed(spark, sf).select("t", "price")
-    a = asof(trades(spark, sf).select("event_id", "t"), slow_feed(spark, sf).withColumn("src", F.col("t")), [], "t", ["src", "price"], lag_us=HOUR, bucket_us=DAY, prefix="a_").drop("quote_t")
-    b = asof(a.withColumnsRenamed({"t": "now", "a_src": "t"}), fast, [], "t", ["price"], bucket_us=DAY, prefix="fa_").drop("quote_t", "t")
-    c = asof(b.withColumnRenamed("now", "t"), fast, [], "t", ["price"], bucket_us=DAY, prefix="fn_")
+    a = asof(trades(spark, sf).select("event_id", "t"), slow_feed(spark, sf).withColumn("src", F.col("t")), [], "t", ["src", "price"], lag_us=HOUR, prefix="a_").drop("quote_t")
+    b = asof(a.withColumnsRenamed({"t": "now", "a_src": "t"}), fast, [], "t", ["price"], prefix="fa_").drop("quote_t", "t")
+    c = asof(b.withColumnRenamed("now", "t"), fast, [], "t", ["price"], prefix="fn_")
     z = (F.ln(F.col("a_price") / 100) + F.ln("fn_price") - F.ln("fa_price")) / 2.0
     return c.withColumn("z", z).select("event_id", S.rounded(S.normal_cdf("z"), 6).alias("fair"))
 
@@ -284,7 +284,7 @@ def b32_gate_monitor(spark, sf):
 
 @query(sql("SELECT tr.event_id, abs(tr.price - f.price) <= 50 AS within_basis FROM tr ASOF LEFT JOIN fast f ON tr.t >= f.t"))
 def b33_basis_guard(spark, sf):
-    both = asof(trades(spark, sf), fast_feed(spark, sf), [], "t", ["price"], bucket_us=DAY, prefix="f_")
+    both = asof(trades(spark, sf), fast_feed(spark, sf), [], "t", ["price"], prefix="f_")
     return both.select("event_id", (F.abs(F.col("price") - F.col("f_price")) <= 50).alias("within_basis"))
 
 

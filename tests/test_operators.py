@@ -25,14 +25,22 @@ def frames(spark):
     return spark.createDataFrame(PROBES, "id int, k string, t long"), spark.createDataFrame(QUOTES, "k string, t long, px double")
 
 
+def written(df):
+    from eventide.sources.tape import scratch
+
+    path = scratch(df.sparkSession, "given")
+    df.write.parquet(path)
+    return path
+
+
 def got(df, *cols):
     return {r[0]: tuple(r[1:]) if len(r) > 2 else r[1] for r in df.select("id", *cols).collect()}
 
 
-@pytest.mark.parametrize("bucket", [None, 7, 1000])
-def test_asof_backward(spark, bucket):
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_asof_backward(spark, most):
     p, q = frames(spark)
-    out = got(asof(p, q, ["k"], "t", ["px"], bucket_us=bucket), "quote_t", "px")
+    out = got(asof(p, q, ["k"], "t", ["px"], most_rows=most), "quote_t", "px")
     # a matched quote with a null price stays matched; a null key meets a null key
     assert out == {1: (10, 1.0), 2: (20, 2.0), 3: (None, None), 4: (30, None), 5: (15, 9.0), 6: (5, 7.0), 7: (None, None)}
 
@@ -42,11 +50,12 @@ def test_asof_strict_forward_and_tolerance(spark):
     assert got(asof(p, q, ["k"], "t", ["px"], allow_exact=False), "px")[1] is None
     assert got(asof(p, q, ["k"], "t", ["px"], direction="forward"), "quote_t")[2] == 30
     assert got(asof(p, q, ["k"], "t", ["px"], tolerance_us=4), "quote_t") == {1: 10, 2: None, 3: None, 4: None, 5: None, 6: 5, 7: None}
-    assert got(asof(p, q, ["k"], "t", ["px"], direction="forward", bucket_us=3), "quote_t")[3] == 10
+    assert got(asof(p, q, ["k"], "t", ["px"], direction="forward", most_rows=1), "quote_t")[3] == 10
 
 
 def test_asof_is_one_shuffle(spark):
     p, q = frames(spark)
+    p, q = (spark.read.schema(x.schema).parquet(written(x)) for x in (p, q))
     plan = asof(p, q, ["k"], "t", ["px"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
@@ -133,7 +142,7 @@ def test_no_division_fails(spark):
     assert [(x.k, x.z) for x in E.runs_test(two, ["k"], ["t"], "up").collect()] == [("a", None)]
     feed = spark.createDataFrame([(t * 10, 0.0 if t < 3 else 1.0 + t) for t in range(12)], "t long, px double")
     probes = spark.createDataFrame([(1, 60), (2, 110), (3, 20)], "probe int, t long")
-    signals = {x.probe: x for x in M.zsignal(probes, feed, "t", "px", 50, 40, 10, 0, 100).collect()}
+    signals = {x.probe: x for x in M.zsignal(probes, feed, "t", "px", 50, 40, 10, 0).collect()}
     assert signals[1].g is None and signals[2].g == pytest.approx(1e4 * math.log(12 / 7)) and signals[3].z is None
     assert L.auc(spark.createDataFrame([("a", 1.0, True), ("a", 2.0, True)], "k string, s double, y boolean"), ["k"], "s", "y").first().auc is None
 
