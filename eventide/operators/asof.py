@@ -142,13 +142,13 @@ def range_lookup(rows: DataFrame, bands: DataFrame, value: str, lo: str, hi: str
         if(shiftright(__p + shiftleft(1L, k) - 1, k) < shiftright(__q + 1, k) AND shiftright(__p + shiftleft(1L, k) - 1, k) % 2 = 1, named_struct('k', k, 'node', shiftright(__p + shiftleft(1L, k) - 1, k)), NULL),
         if(shiftright(__p + shiftleft(1L, k) - 1, k) < shiftright(__q + 1, k) AND shiftright(__q + 1, k) % 2 = 1, named_struct('k', k, 'node', shiftright(__q + 1, k) - 1), NULL)), x -> x IS NOT NULL))))"""
     placed = named.withColumns({"__p": F.coalesce(cell(number("__lo", of["__lo"])), F.lit(0)), "__q": F.coalesce(cell(number("__hi", of["__hi"])), F.lit(2**levels - 1))})
-    index = keep("bands", placed.withColumn("__n", F.expr(nodes)).select("__lo", "__hi", *cols, "__n.k", "__n.node"))
-    used = sorted(r.k for r in index.select("k").distinct().collect())  # levels
+    index = keep("bands", placed.withColumn("__n", F.expr(nodes)).select("__lo", "__hi", *cols, F.col("__n.k").alias("__k"), F.col("__n.node").alias("__node")))
+    used = sorted(r["__k"] for r in index.select("__k").distinct().collect())  # levels
     # a node high up holds the cells of many values: it is dealt over parts, all of which get its bands
-    parts = F.greatest(F.lit(1), F.shiftleft(F.lit(1), 8) / F.pow(F.lit(2.0), levels - F.col("k"))).cast("int")
+    parts = F.greatest(F.lit(1), F.shiftleft(F.lit(1), 8) / F.pow(F.lit(2.0), levels - F.col("__k"))).cast("int")
     index = index.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
     kept = keep("valued", rows.withColumn("__row", F.monotonically_increasing_id()))  # numbered once, then read
-    probes = kept.select("__row", value, F.explode(F.array(*map(F.lit, used))).alias("k")).withColumn("node", F.floor(cell(number(value, at)) / F.pow(F.lit(2.0), F.col("k"))))
+    probes = kept.select("__row", value, F.explode(F.array(*map(F.lit, used))).alias("__k")).withColumn("__node", F.floor(cell(number(value, at)) / F.pow(F.lit(2.0), F.col("__k"))))
     probes = probes.withColumn("__part", F.pmod(F.xxhash64("__row"), parts).cast("int"))
-    met = keep("met", probes.join(index, ["k", "node", "__part"]).where(inside).select("__row", *cols))
+    met = keep("met", probes.join(index, ["__k", "__node", "__part"]).where(inside).select("__row", *cols))
     return kept.join(met, "__row", "left").drop("__row")

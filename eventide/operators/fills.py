@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import interval_join
+from .dyadic import FEW, completions, pairs_are_few
 
 
 def path_extremes(probes: DataFrame, prints: DataFrame, by: Sequence[str], ts: str, until: str, price: str) -> DataFrame:
@@ -30,28 +31,35 @@ def path_extremes(probes: DataFrame, prints: DataFrame, by: Sequence[str], ts: s
     return out.where("__probe IS NOT NULL").select("__probe.*", "max_after", "min_after")
 
 
-def level_fills(orders: DataFrame, prints: DataFrame, by: Sequence[str], ts: str, order_id: str, life_us: int, strict: bool = True) -> DataFrame:
+def level_fills(orders: DataFrame, prints: DataFrame, by: Sequence[str], ts: str, order_id: str, life_us: int, strict: bool = True, tie: str = "event_id", few: int = FEW) -> DataFrame:
     """orders (…, side, limit, qty) with filled and done_at: qualifying volume in ``(placed, placed + life]`` up to qty.
 
-    A buy fills from prints below its limit, a sell from prints above (at it too if not strict); done_at is the print
-    that completes the quantity, null for a partial fill.
+    A buy fills from prints below its limit, a sell from prints above (at it too if not strict); done_at is the time of the
+    print that completes the quantity, null for a partial fill.  order_id names an order.  Where orders and prints are so dense
+    that there would be more than ``few`` pairs for each of them, volumes by price level are asked instead.
     """
+    if not pairs_are_few(orders, prints, by, ts, 1, life_us, few):
+        done = completions(orders, prints, by, ts, order_id, tie, life_us, strict)
+        return orders.join(done, order_id, "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
     pairs = interval_join(orders, prints, by, ts, 1, life_us)
     low, high = F.col("r_price") < F.col("limit"), F.col("r_price") > F.col("limit")
     if not strict:
         low, high = F.col("r_price") <= F.col("limit"), F.col("r_price") >= F.col("limit")
     hit = pairs.where(F.when(F.col("side") == "buy", low).otherwise(high))
-    w = Window.partitionBy(order_id).orderBy(f"r_{ts}", "r_event_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(order_id).orderBy(f"r_{ts}", f"r_{tie}").rowsBetween(Window.unboundedPreceding, 0)
     run = hit.withColumn("__cum", F.sum("r_size").over(w))
     done = run.groupBy(order_id).agg(F.least(F.max("__cum"), F.first("qty")).alias("filled"), F.min(F.when(F.col("__cum") >= F.col("qty"), F.col(f"r_{ts}"))).alias("done_at"))
     return orders.join(done, order_id, "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
 
 
-def first_touch(probes: DataFrame, prints: DataFrame, by: Sequence[str], ts: str, probe_id: str, level: Column, life_us: int) -> DataFrame:
-    """probes with tau: microseconds until the first later print above the level, null if there is none in time."""
-    pairs = interval_join(probes, prints, by, ts, 1, life_us).where(F.col("r_price") > level)
-    tau = pairs.groupBy(probe_id).agg(F.min(F.col(f"r_{ts}") - F.col(ts)).alias("tau"))
-    return probes.join(tau, probe_id, "left")
+def first_touch(probes: DataFrame, prints: DataFrame, by: Sequence[str], ts: str, probe_id: str, level: Column, life_us: int, tie: str = "event_id", few: int = FEW) -> DataFrame:
+    """probes with tau: microseconds until the first later print above the level, null if there is none in time.
+
+    It is the print that completes a sell of one unit at the level, if every print has one unit."""
+    one = probes.select(probe_id, *by, ts, F.lit("sell").alias("side"), level.alias("limit"), F.lit(1).cast("long").alias("qty"))
+    units = prints.select(*by, ts, tie, "price", F.lit(1).cast("long").alias("size"))
+    done = level_fills(one, units, by, ts, probe_id, life_us, True, tie, few).select(F.col(probe_id).alias("__id"), F.col("done_at").alias("__done"))
+    return probes.join(done, F.col(probe_id) == F.col("__id"), "left").withColumn("tau", F.col("__done") - F.col(ts)).drop("__id", "__done")
 
 
 def walk_ladder(levels: DataFrame, by: Sequence[str], price: str, size: str, order: Sequence[str], notionals: Sequence[float], limit: Column | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from ..operators import grid as G
 from ..operators import market as M
 from ..operators import measure as E
 from ..operators import ranks as R
-from ..operators.asof import asof, asof_at, interval_join
+from ..operators.asof import asof, asof_at
+from ..operators.dyadic import extremes
 from ..sources import tape as IO
 from .data import DAY, HOUR, events, fast_feed, fills, quotes, slow_feed, sql, table, trades
 from .q_joins import REGIME_SQL, regimes
@@ -335,7 +336,7 @@ def u11_exit_alternatives(spark, sf):
 @query(sql("""WITH x AS (SELECT q.event_id, q.price, min(tr.price) AS lo FROM q LEFT JOIN tr ON q.user_id = tr.user_id AND tr.t > q.t AND tr.t <= q.t + {D} GROUP BY 1, 2), m(mode, f) AS (VALUES ('join', 1.0::DOUBLE), ('behind', 0.9::DOUBLE), ('mid', 1.05::DOUBLE))
 SELECT mode, count(*) AS n, count(*) FILTER (WHERE lo < price * f) AS filled, round(avg(100 - price * f) FILTER (WHERE lo < price * f), 6) AS mean FROM x, m GROUP BY 1"""))
 def u12_resting_entries(spark, sf):
-    low = interval_join(quotes(spark, sf), trades(spark, sf), ["user_id"], "t", 1, DAY).groupBy("event_id").agg(F.min("r_price").alias("lo"))
+    low = extremes(quotes(spark, sf), trades(spark, sf), ["user_id"], "t", "price", 1, DAY, "event_id").select("event_id", F.col("low").alias("lo"))
     modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(f).alias("f")) for m, f in (("join", 1.0), ("behind", 0.9), ("mid", 1.05)))))
     x = quotes(spark, sf).join(low, "event_id", "left").withColumn("m", modes).select("m.mode", "lo", (F.col("price") * F.col("m.f")).alias("level"))
     hit = F.coalesce(F.col("lo") < F.col("level"), F.lit(False))

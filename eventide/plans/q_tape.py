@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import fills as X
 from ..operators import market as M
 from ..operators.asof import asof, asof_at, interval_join
+from ..operators.dyadic import extremes
 from ..operators.grid import conjunction
 from .data import DAY, HOUR, LADDER_ORDER, events, fast_feed, fills, ladders, other_quotes, quotes, slow_feed, sql, table, trades
 from .q_joins import REGIME_SQL, regimes
@@ -211,13 +212,14 @@ def b23_first_touch(spark, sf):
 
 @query(sql("""SELECT q.event_id, min(tr.price) AS lowest, greatest(q.price, min(tr.price)) AS fill FROM q JOIN tr ON q.user_id = tr.user_id AND tr.t BETWEEN q.t + {H} AND q.t + {D} AND tr.price <= q.price + 20 GROUP BY q.event_id, q.price"""))
 def b24_tape_validated_fill(spark, sf):
-    pairs = interval_join(quotes(spark, sf), trades(spark, sf), ["user_id"], "t", HOUR, DAY).where(F.col("r_price") <= F.col("price") + 20)
-    return pairs.groupBy("event_id").agg(F.min("r_price").alias("lowest"), F.greatest(F.first("price"), F.min("r_price")).alias("fill"))
+    low = extremes(quotes(spark, sf), trades(spark, sf), ["user_id"], "t", "price", HOUR, DAY, "event_id")
+    both = quotes(spark, sf).select("event_id", "price").join(low, "event_id").where(F.col("low") <= F.col("price") + 20)
+    return both.select("event_id", F.col("low").alias("lowest"), F.greatest("price", "low").alias("fill"))
 
 
 @query(sql("SELECT q.event_id, min(tr.price) AS low, max(tr.price) AS high FROM q JOIN tr ON q.user_id = tr.user_id AND tr.t BETWEEN q.t + 1000000 AND q.t + {D} GROUP BY 1"))
 def b25_tape_bracket(spark, sf):
-    return interval_join(quotes(spark, sf), trades(spark, sf), ["user_id"], "t", 1_000_000, DAY).groupBy("event_id").agg(F.min("r_price").alias("low"), F.max("r_price").alias("high"))
+    return extremes(quotes(spark, sf), trades(spark, sf), ["user_id"], "t", "price", 1_000_000, DAY, "event_id")
 
 
 @query(sql("""WITH p AS (SELECT event_id, user_id, price, step, t + h * {H} AS t FROM tr, (VALUES ('0h', 0), ('6h', 6), ('24h', 24)) v(step, h)), a AS (SELECT p.event_id, p.step, q.price AS px FROM p ASOF LEFT JOIN q ON p.user_id = q.user_id AND p.t >= q.t),
