@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
-from .ranks import exact_quantiles
+from .asof import asof
+from .ranks import exact_quantiles, in_ranges
 from .series import first_of
 
 
@@ -56,14 +59,49 @@ def walk_forward(rows: DataFrame, features: Sequence[str], label: str, day: str,
     return out if out is not None else placed.select("event_id", "fold", F.col(label).alias("y"), F.lit(None).cast("double").alias("p")).limit(0)
 
 
-def isotonic(scored: DataFrame, p: str, y: str) -> DataFrame:
-    """scored with calibrated: an isotonic fit of outcome on score, made on out-of-fold scores only."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    if scored.isEmpty():
-        return scored.withColumn("calibrated", F.lit(None).cast("double"))
-    model = IsotonicRegression(featuresCol=p, labelCol=y, predictionCol="calibrated").fit(scored)
-    return model.transform(scored)
+def pool(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Blocks (lo, hi, n, total) in order of score, with neighbours whose means do not rise pooled into one.
+
+    Pooled blocks can be pooled again: blocks of parts that follow each other, pooled together, are the blocks of the whole."""
+    out: list[list[float]] = []
+    for lo, hi, n, total in blocks[["lo", "hi", "n", "total"]].itertuples(index=False):
+        out.append([lo, hi, n, total])
+        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+            _, hi, n, total = out.pop()
+            out[-1] = [out[-1][0], hi, out[-1][2] + n, out[-1][3] + total]
+    return pd.DataFrame(out, columns=["lo", "hi", "n", "total"])
+
+
+def isotonic_steps(scored: DataFrame, by: Sequence[str], p: str, y: str, ranges: int | None = None) -> DataFrame:
+    """(by…, lo, hi, n, v): the isotonic fit of y on p, a row per step, for every value of ``by`` in one job.
+
+    Equal scores are summed first; ranges of (by, score) are pooled apart, then the blocks of a key's ranges together, so what a
+    task gathers per key is blocks, not rows.  Rows without a score or an outcome take no part."""
+    rows = scored.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("lo")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("total"))
+    ranged = in_ranges(rows, by, ["lo"], ranges).withColumn("hi", F.col("lo"))
+    schema = T.StructType([*(ranged.schema[c] for c in by), *(T.StructField(c, T.DoubleType()) for c in ("lo", "hi", "n", "total"))])
+
+    def pooled(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        out = pool(part.sort_values("lo"))
+        for i, c in enumerate(by):
+            out.insert(i, c, pd.Series([keys[i]] * len(out), dtype=part[c].dtype))
+        return out
+
+    first = ranged.groupBy(*by, "__range").applyInPandas(pooled, schema)
+    steps = first.groupBy(*by).applyInPandas(pooled, schema) if by else first.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lambda keys, part: pooled((), part), schema)
+    return steps.select(*by, "lo", "hi", F.col("n").cast("long").alias("n"), (F.col("total") / F.col("n")).alias("v"))
+
+
+def isotonic(scored: DataFrame, p: str, y: str, by: Sequence[str] = (), fit: DataFrame | None = None) -> DataFrame:
+    """scored with calibrated: the isotonic fit of outcome on score per value of ``by``, made on ``fit`` (scored itself, if not
+    given), which should hold out-of-fold scores only.  Between two steps it runs straight from one to the other; beyond the
+    outermost it stays; null without a score or without a fit."""
+    steps = isotonic_steps(scored if fit is None else fit, by, p, y)
+    below = asof(scored, steps.withColumn(p, F.col("lo")), by, p, ["hi", "v"], prefix="__a_", quote_ts="__a_lo")
+    both = asof(below, steps.withColumn(p, F.col("lo")), by, p, ["v"], direction="forward", prefix="__b_", quote_ts="__b_lo")
+    x, hi, a, b = F.col(p).cast("double"), F.col("__a_hi"), F.col("__a_v"), F.col("__b_v")
+    value = F.when(x.isNull(), None).when(a.isNull(), b).when((x <= hi) | b.isNull(), a).otherwise(a + (b - a) * (x - hi) / (F.col("__b_lo") - hi))
+    return both.withColumn("calibrated", value).select(*scored.columns, "calibrated")
 
 
 def auc(rows: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:

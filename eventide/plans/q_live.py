@@ -45,10 +45,9 @@ def r4_window_outcomes(spark, sf):
     return R.drain(R.outcomes(stream(spark, sf, "signup"), "ts", "1 day", "value", "1 hour")).select(F.unix_micros("start").alias("start_us"), "open", "close", "up")
 
 
-@query(sql("WITH l AS (SELECT user_id AS key, t, floor(value / 50) AS level, lag(floor(value / 50)) OVER (PARTITION BY user_id ORDER BY t) AS before FROM ev WHERE event_type = 'view') SELECT key, t, level FROM l WHERE before IS NULL OR level <> before"))
+@query(sql("WITH l AS (SELECT user_id AS key, t, floor(value / 50) AS level, lag(floor(value / 50)) OVER w AS before, t - lag(t) OVER w AS gap FROM ev WHERE event_type = 'view' WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT key, t, level FROM l WHERE before IS NULL OR level <> before OR gap > 3 * {D}"))
 def r5_change_dedup(spark, sf):
-    views = stream(spark, sf, "view").withColumn("t", F.unix_micros("ts"))
-    return R.drain(R.changes_only(views, "user_id", "t", "value", F.floor(F.col("value") / 50)))
+    return R.drain(R.changes_only(stream(spark, sf, "view"), "user_id", "ts", F.floor(F.col("value") / 50), 3 * DAY))
 
 
 #: Every twentieth event becomes available two weeks after it happened; arrivals are cut into ten batches of equal spans.
@@ -110,6 +109,12 @@ def r10_inactivity_report(spark, sf):
     return sessions.groupBy("user_id").agg((F.count(F.lit(1)) - 1).alias("gaps")).where("gaps > 0")
 
 
+@query(sql("WITH g AS (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS next FROM ev) SELECT user_id, t AS silent_since FROM g WHERE CASE WHEN next IS NULL THEN t + {D} < (SELECT max(t) - {H} - 1000 FROM ev) ELSE next - t > {D} AND t + {D} < (SELECT max(t) - {H} - 1000 FROM ev) END"))
+def r10_watchdog(spark, sf):
+    """Alerts on the stream when an account has been silent for a day."""
+    return R.drain(R.silences(stream(spark, sf), "user_id", "ts", DAY, "1 hour")).withColumnRenamed("key", "user_id")
+
+
 @query(sql("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY 1"))
 def r11_running_status(spark, sf):
     return R.drain(stream(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.sum("value"), 4).alias("total")), "complete")
@@ -123,6 +128,7 @@ def r12_daily_campaign(spark, sf):
     for part in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")):
         part.write.mode("append").parquet(source)
         R.daily_campaign(spark, source, rows.schema, sink, check)
+        R.daily_campaign(spark, source, rows.schema, sink, check)  # nothing is new
     return spark.read.parquet(sink).groupBy("event_type").agg(F.sum("count").alias("n"))
 
 
@@ -155,6 +161,16 @@ def l5_isotonic_out_of_fold(spark, sf):
     return L.isotonic(L.walk_forward(labelled(spark, sf), ["x1", "x2", "x3"], "y", "day", 3, 1, L.logistic), "p", "y")
 
 
+#: The isotonic value at a score is the largest, over starts at or before it, of the smallest mean up to an end at or after it.
+@query(sql("""WITH s AS (SELECT event_type, k, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE value > 60) AS DOUBLE) AS y FROM ev WHERE k IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM s WINDOW w AS (PARTITION BY event_type ORDER BY k)),
+m AS (SELECT i.event_type, i.k, a.k AS start, min((b.cy - a.cy + a.y) / (b.cn - a.cn + a.n)) AS least FROM c i JOIN c a ON a.event_type = i.event_type AND a.k <= i.k JOIN c b ON b.event_type = i.event_type AND b.k >= i.k GROUP BY 1, 2, 3), f AS (SELECT event_type, k, max(least) AS v FROM m GROUP BY 1, 2)
+SELECT event_id, round(v, 6) AS calibrated FROM ev LEFT JOIN f USING (event_type, k)"""))
+def l5_isotonic_by_bucket(spark, sf):
+    """One fit per kind of event, all in one job: how often the value is above 60, by k."""
+    rows = events(spark, sf).withColumn("y", (F.col("value") > 60).cast("double"))
+    return L.isotonic(rows, "k", "y", ["event_type"]).select("event_id", S.rounded("calibrated", 6).alias("calibrated"))
+
+
 @query(sql("WITH r AS (SELECT event_type, value > 60 AS y, rank() OVER (PARTITION BY event_type ORDER BY k) AS lo, count(*) OVER (PARTITION BY event_type, k) AS ties FROM ev), s AS (SELECT event_type, sum(lo + (ties - 1) / 2.0) FILTER (WHERE y) AS ranks, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE NOT y) AS DOUBLE) AS n0 FROM r GROUP BY 1) SELECT event_type, round((ranks - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc FROM s"))
 def l6_roc_auc(spark, sf):
     return L.auc(events(spark, sf).withColumn("y", F.col("value") > 60), ["event_type"], "k", "y").select("event_type", S.rounded("auc", 6).alias("auc"))

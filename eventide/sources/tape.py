@@ -68,17 +68,52 @@ def read_many(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def build_missing(rows: DataFrame, path: str, date: str) -> None:
-    """Appends the partitions that are not there yet; run again, it does nothing for those that are."""
+def finished(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The partitions that a build has finished: its manifest, empty before the first."""
+    manifest = f"{path}/_finished"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    return spark.read.schema(schema).parquet(manifest) if there else spark.createDataFrame([], schema)
+
+
+def build_missing(rows: DataFrame, path: str, date: str, per_commit: int | None = None) -> None:
+    """Writes the partitions of ``date`` that the manifest beside them does not name; run again, it does nothing for those.
+
+    A commit writes some partitions whole (all, or ``per_commit`` of them) in place of what a broken run may have left of them,
+    and then names them in the manifest.  So a run that ends anywhere is taken up by the next one, with the same result.
+    """
     spark = rows.sparkSession
-    try:
-        done = spark.read.parquet(path).select(F.col(date).cast(rows.schema[date].dataType).alias(date)).distinct()
-    except Exception as e:  # nothing has been built
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows.write.partitionBy(date).parquet(path)
-        return
-    rows.join(done, date, "left_anti").write.mode("append").partitionBy(date).parquet(path)
+    schema = T.StructType([rows.schema[date]])
+    todo = rows.join(finished(spark, path, schema), date, "left_anti")
+    days = [r[0] for r in todo.select(date).distinct().orderBy(date).collect()]  # a row per partition
+    for i in range(0, len(days), per_commit or max(1, len(days))):
+        some = days[i : i + (per_commit or len(days))]
+        rows.where(F.col(date).isin(some)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+        finish(spark, path, schema, some)
+
+
+def finish(spark: SparkSession, path: str, schema: T.StructType, days: Sequence) -> None:
+    spark.createDataFrame([(d,) for d in days], schema).coalesce(1).write.mode("append").parquet(f"{path}/_finished")
+
+
+def late_materialised(spark: SparkSession, path: str, key: str, wanted: Column, columns: Sequence[str]) -> DataFrame:
+    """(key, columns…) of the rows for which ``wanted`` holds, where ``columns`` are wide and ``wanted`` is told by narrow ones.
+
+    The first pass reads the narrow columns only and writes the keys with the file each row is in.  The second opens just those
+    files, and of them, by the keys' range, just row groups and pages that can hold one.  ``key`` names a row.
+    """
+    rows = spark.read.parquet(path)
+    chosen = rows.where(wanted).select(key, F.col("_metadata.file_path").alias("__file"))
+    kept = scratch(spark, "keys")
+    chosen.write.parquet(kept)
+    keys = spark.read.parquet(kept)
+    files = keys.groupBy("__file").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("__file").collect()  # a row per file of the table
+    known = [r for r in files if r.lo is not None]
+    if not known:
+        return rows.select(key, *columns).limit(0)
+    held = spark.read.schema(rows.schema).parquet(*(r["__file"] for r in known))
+    near = held.where(F.col(key).between(min(r.lo for r in known), max(r.hi for r in known)))
+    return near.select(key, *columns).join(keys.select(key), key, "left_semi")
 
 
 def with_split(rows: DataFrame, day: str, train: float, val: float) -> DataFrame:

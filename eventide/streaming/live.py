@@ -7,17 +7,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.tape import scratch
 
 
-def replay(rows: DataFrame, path: str | None = None, files: int = 4) -> DataFrame:
-    """A stream of a table's rows: the table is written as files in time order, and the files are the source."""
-    spark = rows.sparkSession
-    path = path or scratch(spark, "replay")
-    rows.repartitionByRange(files, "ts").write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1000").parquet(path)
+def replay(rows: DataFrame, batches: int = 4) -> DataFrame:
+    """A stream of a table's rows in micro-batches of equal spans of time, in time order, so that state is carried over."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = rows.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()  # two numbers
+    lo, hi = span.lo or 0, span.hi or 0
+    return arrivals(rows, F.floor((micros - lo) / (hi - lo + 1) * batches), batches)
 
 
 def arrivals(rows: DataFrame, batch: Column, batches: int) -> DataFrame:
@@ -68,25 +68,115 @@ def outcomes(stream: DataFrame, ts: str, width: str, value: str, late: str) -> D
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(o.alias("open"), c.alias("close")).select(F.col("w.start").alias("start"), "open", "close", (F.col("close") >= F.col("open")).alias("up"))
 
 
-def changes_only(stream: DataFrame, key: str, ts: str, value: str, level: Column) -> DataFrame:
-    """Rows whose level differs from the row before of their key; state is one level per key.
+def state_store(spark: SparkSession) -> None:
+    """State of one key is read and written by itself, and timers are kept, by the store that keeps state on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    Rows of a micro-batch are put in time order first; a row that comes in a later batch than a newer one is compared with
-    what its key held last.
-    """
-    schema = "key long, t long, level double"
 
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("t")
-        last = state.get[0] if state.exists else None
-        before = rows["level"].shift()
-        if last is not None:
-            before.iloc[0] = last
-        state.update((float(rows["level"].iloc[-1]),))
-        yield rows[before.isna() | (rows["level"] != before)][["key", "t", "level"]]
+def in_time(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values("t", kind="stable")
+
+
+class Levels(StatefulProcessor):
+    """Gives the rows whose level differs from the one before of their key; a level is forgotten ``keep_us`` after it was last
+    seen, by the row's own time if the next row comes later than that, and by a timer where none comes."""
 
-    shaped = stream.select(F.col(key).cast("long").alias("key"), F.col(ts).alias("t"), level.cast("double").alias("level"))
-    return shaped.groupBy("key").applyInPandasWithState(step, schema, "level double", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, keep_us: int):
+        self.keep = keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "level double, t long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # a micro-batch's rows of one key: what a key brings between two triggers
+        new = in_time(rows)
+        level, t = self.last.get() if self.last.exists() else (None, None)
+        before, seen = new["level"].shift(), new["t"].shift()
+        if level is not None:
+            before.iloc[0], seen.iloc[0] = level, t
+        changed = before.isna() | (new["level"] != before) | (new["t"] - seen > self.keep)
+        last = int(new["t"].iloc[-1])
+        if t is None or last >= t:
+            if t is not None:
+                self.handle.deleteTimer(self._over(t))
+            self.last.update((float(new["level"].iloc[-1]), last))
+            self.handle.registerTimer(self._over(last))
+        yield new[changed][["key", "t", "level"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self._over(self.last.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield pd.DataFrame({"key": [], "t": [], "level": []}).astype({"key": "int64", "t": "int64", "level": "float64"})
+
+    def _over(self, t: int) -> int:
+        return (t + self.keep) // 1000 + 1
+
+    def close(self) -> None:
+        pass
+
+
+def changes_only(stream: DataFrame, key: str, ts: str, value: Column, keep_us: int, late: str = "0 seconds") -> DataFrame:
+    """(key, t, level) of rows whose ``value`` differs from the row before of their key, or that come more than ``keep_us`` after
+    it.  State is one level per key seen within ``keep_us`` of the watermark, however many keys there ever were; a row
+    that comes in a later batch than a newer one is compared with what its key held last."""
+    state_store(stream.sparkSession)
+    shaped = stream.withWatermark(ts, late).select(F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("t"), value.cast("double").alias("level"), F.col(ts).alias("__ts"))
+    return shaped.groupBy("key").transformWithStateInPandas(Levels(keep_us), "key long, t long, level double", "append", "EventTime")
+
+
+class Silence(StatefulProcessor):
+    """Tells when a key has been silent for longer than ``keep_us``, when the watermark says so, without any new row of it.
+
+    State is the key's runs of rows no further apart than that, of which the silence behind has not been told: rows that come
+    late, but before the watermark, lengthen or join runs, and so call a pending alert off."""
+
+    def __init__(self, keep_us: int):
+        self.keep = keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.runs = handle, handle.getListState("runs", "first long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.runs.get()) if self.runs.exists() else []
+        runs: list[list[int]] = []
+        for first, last in sorted([*((int(a), int(b)) for a, b in held), *((int(t), int(t)) for t in in_time(rows)["t"])]):
+            if runs and first - runs[-1][1] <= self.keep:
+                runs[-1][1] = max(runs[-1][1], last)
+            else:
+                runs.append([first, last])
+        for _, last in held:
+            self.handle.deleteTimer(self._over(int(last)))
+        for _, last in runs:
+            self.handle.registerTimer(self._over(last))
+        self.runs.put([(a, b) for a, b in runs])
+        yield self._alerts([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = [(int(a), int(b)) for a, b in self.runs.get()] if self.runs.exists() else []
+        told, open_ = [r for r in held if self._over(r[1]) <= now], [r for r in held if self._over(r[1]) > now]
+        if open_:
+            self.runs.put(open_)
+        else:
+            self.runs.clear()
+        yield self._alerts([(key[0], last) for _, last in told])
+
+    def _alerts(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "silent_since"]).astype("int64")
+
+    def _over(self, t: int) -> int:
+        return (t + self.keep) // 1000 + 1
+
+    def close(self) -> None:
+        pass
+
+
+def silences(stream: DataFrame, key: str, ts: str, keep_us: int, late: str) -> DataFrame:
+    """(key, silent_since): an alert, on the stream, for every row after which its key gives none for longer than ``keep_us``; it
+    comes once the watermark (``late`` behind the newest row of any key) has passed that time."""
+    state_store(stream.sparkSession)
+    shaped = stream.withWatermark(ts, late).select(F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("t"), F.col(ts).alias("__ts"))
+    return shaped.groupBy("key").transformWithStateInPandas(Silence(keep_us), "key long, silent_since long", "append", "EventTime")
 
 
 def settle(decisions: DataFrame, results: DataFrame, key: str, ts: str, within: str, late: str) -> DataFrame:
@@ -96,8 +186,15 @@ def settle(decisions: DataFrame, results: DataFrame, key: str, ts: str, within:
     return d.join(r, F.expr(f"d_key = r_key AND r_ts > d_ts AND r_ts <= d_ts + INTERVAL {within}")).select("d_id", "r_id")
 
 
+def count_batch(batch: DataFrame, number: int, sink: str) -> None:
+    """A batch's counts by event type, in the partition of its number: written again, they replace themselves."""
+    counted = batch.groupBy("event_type").count().withColumn("batch", F.lit(number))
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
+
+
 def daily_campaign(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> None:
-    """Processes the files that are new since the last call, once each."""
+    """Processes the files that are new since the last call.  A batch that is run again, as after a crash between its write
+    and its commit, leaves the sink as it was."""
     rows = spark.readStream.schema(schema).parquet(source)
-    done = rows.writeStream.foreachBatch(lambda batch, _: batch.groupBy("event_type").count().write.mode("append").parquet(sink))
+    done = rows.writeStream.foreachBatch(lambda batch, number: count_batch(batch, number, sink))
     done.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
