@@ -426,6 +426,20 @@ def test_pieces():
     assert "".join(x[2] for x in MT.pieces(html) if x[0] == "text") == "acd < e <i fgit'shkl<em"
 
 
+def test_main_text_loses_no_tail_and_no_name_decides_alone(spark):
+    weights = MT.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert MT.main_text("<div>Hello<b>bold</b> world&amp;co</div>", weights) == "Helloboldworld&co".replace("world", " world")
+    words = "A history of clubs and unions, told by those who were there. "
+    assert MT.main_text(f'<article><p>{words}</p><p class="social-history">{words}</p></article>', weights) == f"{words.strip()}\n{words.strip()}"
+    assert MT.main_text(f'<body><p>{words * 3}</p><kbd>x</kbd> tail<unseen>y</unseen> end</body>', weights).endswith("x taily end")
+    # what names weigh is learned: this one stands outside of main text only
+    pages = spark.createDataFrame([(i, f'<body><div class="zzq-7">{words}</div><article><p class="lead">{words}</p></article></body>') for i in range(40)], "page_id long, html string")
+    learned = MT.learn(pages)
+    assert learned[".zzq"] < -2 and learned[".lead"] > 2
+    assert MT.main_text(f'<article><p>{words}</p><div class="zzq-7">{words}</div><p class="lead">{words}</p></article>', learned) == f"{words.strip()}\n{words.strip()}"
+    assert "club" not in MT.main_text(f'<article><p>main words here</p><div class="comments">{words}</div></article>', weights)
+
+
 def test_main_text_edges(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, PAGE)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit("x")})
