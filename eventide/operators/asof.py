@@ -95,13 +95,13 @@ def asof_at(probes: DataFrame, quotes: DataFrame, by: Sequence[str], ts: str, co
     return asof(spread, quotes, by, ts, cols, **how)
 
 
-def interval_join(probes: DataFrame, rows: DataFrame, by: Sequence[str], ts: str, lo_us: int, hi_us: int, how: str = "inner") -> DataFrame:
+def interval_join(probes: DataFrame, rows: DataFrame, by: Sequence[str], ts: str, lo_us: int, hi_us: int, how: str = "inner", bucket_us: int | None = None) -> DataFrame:
     """Pairs with ``probe.ts + lo_us <= row.ts <= probe.ts + hi_us``; rows' columns other than ``by`` get the prefix r_.
 
     The join is an equi-join on key and time bucket: probes are repeated for the buckets that their interval touches (two
-    where a bucket is as long as the interval), rows are not, so a pair appears once.
+    where a bucket is as long as the interval, as it is without ``bucket_us``), rows are not, so a pair appears once.
     """
-    bucket = max(1, hi_us - lo_us)
+    bucket = bucket_us or max(1, hi_us - lo_us)
     first, last = F.floor((F.col(ts) + lo_us) / bucket), F.floor((F.col(ts) + hi_us) / bucket)
     left = probes.withColumn("__b", F.explode(F.sequence(first, last)))
     right = rows.select(*by, *(F.col(c).alias(f"r_{c}") for c in rows.columns if c not in by), F.floor(F.col(ts) / bucket).alias("__b"))

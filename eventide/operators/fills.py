@@ -62,12 +62,15 @@ def first_touch(probes: DataFrame, prints: DataFrame, by: Sequence[str], ts: str
     return probes.join(done, F.col(probe_id) == F.col("__id"), "left").withColumn("tau", F.col("__done") - F.col(ts)).drop("__id", "__done")
 
 
-def walk_ladder(levels: DataFrame, by: Sequence[str], price: str, size: str, order: Sequence[str], notionals: Sequence[float], limit: Column | None = None) -> DataFrame:
+def walk_ladder(levels: DataFrame, by: Sequence[str], price: str, size: str, order: Sequence[str], notionals: Sequence[float], limit: Column | None = None, complement: bool = False) -> DataFrame:
     """A row per ladder and notional: avg_px, shares, spent and exhausted, taking levels in order until it is spent.
 
     Levels without a positive price and size are skipped, with ``limit`` also those beyond it.  exhausted: less than
-    99.9 % could be spent; avg_px is null where nothing could.
+    99.9 % could be spent; avg_px is null where nothing could.  ``complement`` buys the other side: a level's price is what is
+    missing to 1, so the levels that were the dearest come first (``limit`` and avg_px are prices of the side that is bought).
     """
+    if complement:
+        levels = levels.withColumn(price, 1 - F.col(price))
     good = (F.col(price) > 0) & (F.col(size) > 0)
     if limit is not None:
         good = good & (F.col(price) <= limit)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from .asof import asof
+from .dyadic import kept
 from .ranks import exact_quantiles, in_ranges
 from .series import first_of
 
@@ -96,6 +97,7 @@ def isotonic(scored: DataFrame, p: str, y: str, by: Sequence[str] = (), fit: Dat
     """scored with calibrated: the isotonic fit of outcome on score per value of ``by``, made on ``fit`` (scored itself, if not
     given), which should hold out-of-fold scores only.  Between two steps it runs straight from one to the other; beyond the
     outermost it stays; null without a score or without a fit."""
+    scored = kept(scored, "scored")  # read for the fit and for two look-ups
     steps = isotonic_steps(scored if fit is None else fit, by, p, y)
     below = asof(scored, steps.withColumn(p, F.col("lo")), by, p, ["hi", "v"], prefix="__a_", quote_ts="__a_lo")
     both = asof(below, steps.withColumn(p, F.col("lo")), by, p, ["v"], direction="forward", prefix="__b_", quote_ts="__b_lo")

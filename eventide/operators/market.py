@@ -112,21 +112,26 @@ def zsignal(probes: DataFrame, feed: DataFrame, ts: str, price: str, lookback_us
     """probes with g (log return over the look-back, in basis points), sigma of the same step's returns on a grid over the
     window before, and z = g / sigma; null where a price is missing or not positive, or sigma is 0.
 
-    ``ddof`` 1 takes the sample's deviation in place of the population's."""
+    A price that is missing or not positive takes out the two returns of the grid that it is part of.  ``ddof`` 1 takes the
+    sample's deviation in place of the population's.  Each row of probes stands for itself by all its columns."""
     ticks = feed.select(F.col(ts).alias("__at"), F.col(price).alias("__px"))
-    look = lambda rows, at, name: asof(rows.withColumn("__at", at), ticks, [], "__at", ["__px"], quote_ts="__q").withColumnRenamed("__px", name).drop("__q", "__at")
-    now = look(look(probes, F.col(ts) - lat_us, "__now"), F.col(ts) - lat_us - lookback_us, "__then")
-    signal = now.withColumn("g", 1e4 * S.log_ratio("__now", "__then")).drop("__now", "__then")
-    grid = probes.select("probe", F.posexplode(F.sequence(F.col(ts) - lat_us - sigma_window_us, F.col(ts) - lat_us, F.lit(step_us))).alias("i", "__g"))
-    priced = look(grid, F.col("__g"), "__p")
-    w = Window.partitionBy("probe").orderBy("i")
-    sigma = priced.withColumn("__r", F.ln(F.col("__p")) - F.ln(F.lag("__p").over(w))).groupBy("probe").agg(((F.stddev_samp if ddof else F.stddev_pop)("__r") * 1e4).alias("sigma"))
-    return signal.join(sigma, "probe", "left").withColumn("z", F.when(F.col("sigma") > 0, F.col("g") / F.col("sigma")))
+    now = F.col(ts) - lat_us
+    grid = F.transform(F.sequence(now - sigma_window_us, now, F.lit(step_us)), lambda at, i: F.struct(i.alias("i"), at.alias("at")))
+    ends = F.array(F.struct(F.lit(-1).alias("i"), now.alias("at")), F.struct(F.lit(-2).alias("i"), (now - lookback_us).alias("at")))
+    # both ends and the grid are asked of the feed on one timeline
+    asked = probes.withColumn("__g", F.explode(F.concat(ends, grid))).withColumn("__at", F.col("__g.at"))
+    seen = asof(asked, ticks, [], "__at", ["__px"], quote_ts="__q")
+    along = Window.partitionBy(*probes.columns).orderBy("__g.i")
+    step = F.when(F.col("__g.i") > 0, F.ln(F.col("__px")) - F.ln(F.lag("__px").over(along)))
+    at = lambda i: F.max(F.when(F.col("__g.i") == i, F.col("__px")))
+    signal = seen.withColumn("__r", step).groupBy(*probes.columns).agg(at(-1).alias("__now"), at(-2).alias("__then"), ((F.stddev_samp if ddof else F.stddev_pop)("__r") * 1e4).alias("sigma"))
+    signal = signal.select(*probes.columns, (1e4 * S.log_ratio("__now", "__then")).alias("g"), "sigma")
+    return signal.withColumn("z", F.when(F.col("sigma") > 0, F.col("g") / F.col("sigma")))
 
 
 def irregular_sigma(probes: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, price: str, width_us: int, least: int) -> DataFrame:
     """probes with sigma: the population deviation of return / sqrt(seconds) over ticks in (T - width, T], null with fewer
-    than ``least`` of them."""
+    than ``least`` of them; the two returns around a price that is not positive are left out."""
     w = Window.partitionBy(*by).orderBy(ts)
     dt = (F.col(ts) - F.lag(ts).over(w)) / 1e6
     rows = ticks.withColumn("__r", F.when(dt > 0, (F.ln(price) - F.ln(F.lag(price).over(w))) / F.sqrt(dt))).select(*by, ts, "__r")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +50,40 @@ def autocorrelation(df: DataFrame, by: Sequence[str], order: Sequence[str], valu
     return sums.select(*by, rows.alias("__r")).select(*by, "__r.*")
 
 
-def lead_lag(a: DataFrame, b: DataFrame, ts: str, price: str, step_us: int, max_lag: int, min_n: int = 0) -> DataFrame:
+def lead_lag(a: DataFrame, b: DataFrame, ts: str, price: str, step_us: int, max_lag: int, min_n: int = 0, block: int = 4096) -> DataFrame:
     """(lag, n, r): correlation of a's grid returns with b's, ``lag`` steps later; at a positive best lag a leads.  r is null
-    with fewer than ``min_n`` pairs."""
+    with fewer than ``min_n`` pairs.
+
+    The grid is cut into blocks of steps, with the steps that lags reach into on both sides.  A block gives its sums for every
+    lag, so what is shuffled is the grid once, and a row per block and lag."""
     span = a.select(ts).unionByName(b.select(ts)).agg(F.floor(F.min(ts) / step_us).alias("lo"), F.floor(F.max(ts) / step_us).alias("hi")).first()  # two numbers
     grid = a.sparkSession.range(span.lo or 0, (span.hi if span.hi is not None else -1) + 1).select(F.col("id").alias("step"), (F.col("id") * step_us).alias(ts))
-
-    def returns(feed: DataFrame, name: str) -> DataFrame:
-        priced = asof(grid, feed.select(ts, price), [], ts, [price]).select("step", F.ln(price).alias("v"))
-        before = priced.select((F.col("step") + 1).alias("step"), F.col("v").alias("u"))  # a join by step: no window over a feed without keys
-        return priced.join(before, "step").select("step", (F.col("v") - F.col("u")).alias(name)).where(F.col(name).isNotNull())
-
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)).cast("array<long>"))
-    left = returns(a, "x").withColumn("lag", lags).withColumn("step", F.col("step") + F.col("lag"))
-    return left.join(returns(b, "y"), "step").groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= min_n, F.corr("x", "y")).alias("r"))
+    first = asof(grid, a.select(ts, price), [], ts, [price], prefix="__a_").drop("quote_t")
+    both = asof(first, b.select(ts, price), [], ts, [price], prefix="__b_")
+    size = max(block, max_lag + 1)
+    near = F.array_distinct(F.array(*(F.floor((F.col("step") + d) / size) for d in (-max_lag, 0, max_lag + 1))))
+    spread = both.select("step", F.ln(f"__a_{price}").alias("u"), F.ln(f"__b_{price}").alias("v"), F.explode(near).alias("block"))
+
+    def sums(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        start = key[0] * size - max_lag - 1
+        u, v = np.full((2, size + 2 * max_lag + 2), np.nan)
+        at = part["step"].to_numpy() - start
+        inside = (at >= 0) & (at < len(u))
+        u[at[inside]], v[at[inside]] = part["u"].to_numpy(float)[inside], part["v"].to_numpy(float)[inside]
+        dx, dy = (np.diff(c, prepend=np.nan) for c in (u, v))
+        x, rows = dx[max_lag + 1 : max_lag + 1 + size], []
+        for lag in range(-max_lag, max_lag + 1):
+            y = dy[max_lag + 1 + lag : max_lag + 1 + lag + size]
+            good = ~(np.isnan(x) | np.isnan(y))
+            p, q = x[good], y[good]
+            rows.append((lag, good.sum(), p.sum(), q.sum(), (p * p).sum(), (q * q).sum(), (p * q).sum()))
+        return pd.DataFrame(rows, columns=["lag", "n", "x", "y", "xx", "yy", "xy"])
+
+    each = spread.groupBy("block").applyInPandas(sums, "lag long, n long, x double, y double, xx double, yy double, xy double")
+    total = each.groupBy("lag").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy"))).where("n > 0")
+    n, (x, y, xx, yy, xy) = F.col("n"), map(F.col, ("x", "y", "xx", "yy", "xy"))
+    r = S.ratio(n * xy - x * y, F.sqrt((n * xx - x * x) * (n * yy - y * y)))
+    return total.select("lag", "n", F.when(n >= min_n, r).alias("r"))
 
 
 def ledger(fills: DataFrame, token: str, side: str, price: str, amount: str, pay: Column) -> DataFrame:

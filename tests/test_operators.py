@@ -244,3 +244,29 @@ def test_max_drawdown(spark):
             peak = max(peak, cum)
             most = max(most, peak - cum)
         assert fall == pytest.approx(most)
+
+
+def test_walk_of_the_other_side(spark):
+    bids = spark.createDataFrame([(1, 0.6, 10.0), (1, 0.7, 5.0), (1, 0.2, 100.0), (1, 1.0, 9.0)], "k int, px double, size double")
+    out = X.walk_ladder(bids, ["k"], "px", "size", ["px"], [1.5, 3.5], limit=F.lit(0.5), complement=True).orderBy("notional").collect()
+    # the other side stands at 0.3 for 5 and at 0.4 for 10; at 0.8 it is beyond the limit, and a price of 0 is none
+    assert [r.shares for r in out] == pytest.approx([5.0, 10.0]) and [r.avg_px for r in out] == pytest.approx([0.3, 0.35])
+
+
+@pytest.mark.parametrize("bucket", [None, 1, 7, 1000])
+def test_interval_join_buckets(spark, bucket):
+    p = spark.createDataFrame([(i, i * 13 % 50) for i in range(20)], "id int, t long")
+    q = spark.createDataFrame([(i, i * 7 % 60) for i in range(30)], "n int, t long")
+    got_ = sorted((r.id, r.r_n) for r in interval_join(p, q, [], "t", -3, 6, bucket_us=bucket).collect())
+    assert got_ == sorted((i, j) for i in range(20) for j in range(30) if -3 <= j * 7 % 60 - i * 13 % 50 <= 6)
+
+
+def test_lead_lag_over_blocks(spark):
+    rnd = random.Random(2)
+    walk = [rnd.uniform(1, 9) for _ in range(300)]
+    a = spark.createDataFrame([(10 * i, p) for i, p in enumerate(walk) if i % 17], "t long, px double")
+    b = spark.createDataFrame([(10 * i + 30, p) for i, p in enumerate(walk)], "t long, px double")
+    wide = {r.lag: (r.n, r.r) for r in E.lead_lag(a, b, "t", "px", 10, 5, block=100_000).collect()}
+    cut = {r.lag: (r.n, r.r) for r in E.lead_lag(a, b, "t", "px", 10, 5, min_n=10, block=7).collect()}
+    assert set(cut) == set(range(-5, 6)) and max(cut, key=lambda k: cut[k][1]) == 3
+    assert all(cut[k][0] == wide[k][0] and cut[k][1] == pytest.approx(wide[k][1], abs=1e-9) for k in cut)
