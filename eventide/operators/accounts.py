@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 
 
-def risk_path(trades: DataFrame, account: str, day: str, order: Sequence[str], pnl: str, most_drawdown: float, most_losses: int, day_loss: float, recent: int = 400, least: int = 250, worst_t: float = -1.5) -> DataFrame:
+# Trades over which decay is judged, the fewest of them, and the t from which on down an account is halted.
+DECAY_TRADES, DECAY_LEAST, DECAY_T = 400, 250, -1.5
+
+
+def risk_path(trades: DataFrame, account: str, day: str, order: Sequence[str], pnl: str, most_drawdown: float, most_losses: int, day_loss: float, recent: int = DECAY_TRADES, least: int = DECAY_LEAST, worst_t: float = DECAY_T) -> DataFrame:
     """trades with equity, drawdown (from the highest equity so far, 0 at the start), loss_run (losses in a row), day_pnl,
     decay_t (t of the mean of the last ``recent`` trades, null with fewer than ``least``) and status.
 

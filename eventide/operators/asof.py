@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tape import scratch
-from .ranks import in_ranges, join_by
+from .ranks import in_ranges, join_by, kept
 
 #: Rows of one key that a task may sort.
 MOST_ROWS = 8_000_000
@@ -65,9 +64,7 @@ def in_cells(line: DataFrame, by: Sequence[str], most_rows: int) -> DataFrame |
     short = None if by else line.withColumn("__cell", F.floor(F.col("__t") / CELL))
     if int(str(line._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= 4 * most_rows:
         return short
-    spark, path = line.sparkSession, scratch(line.sparkSession, "long-keys")
-    line.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most_rows).write.parquet(path)
-    long = spark.read.parquet(path)
+    long = kept(line.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most_rows), "long-keys")
     rows = long.agg(F.sum("__n")).first()[0]
     if not rows:
         return short
@@ -123,13 +120,6 @@ def range_lookup(rows: DataFrame, bands: DataFrame, value: str, lo: str, hi: str
     n = named.count()
     if n <= most:
         return rows.join(F.broadcast(named), inside, "left").drop("__lo", "__hi")
-    spark = rows.sparkSession
-
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        path = scratch(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     number = lambda c, kind: (F.unix_date(c) if kind == "date" else F.unix_micros(c) if kind == "timestamp" else F.col(c)).cast("double")
     of, at = dict(named.dtypes), dict(rows.dtypes)[value]
     ends = named.agg(F.min(number("__lo", of["__lo"])).alias("a"), F.max(number("__lo", of["__lo"])).alias("b"), F.min(number("__hi", of["__hi"])).alias("c"), F.max(number("__hi", of["__hi"])).alias("d")).first()
@@ -142,13 +132,13 @@ def range_lookup(rows: DataFrame, bands: DataFrame, value: str, lo: str, hi: str
         if(shiftright(__p + shiftleft(1L, k) - 1, k) < shiftright(__q + 1, k) AND shiftright(__p + shiftleft(1L, k) - 1, k) % 2 = 1, named_struct('k', k, 'node', shiftright(__p + shiftleft(1L, k) - 1, k)), NULL),
         if(shiftright(__p + shiftleft(1L, k) - 1, k) < shiftright(__q + 1, k) AND shiftright(__q + 1, k) % 2 = 1, named_struct('k', k, 'node', shiftright(__q + 1, k) - 1), NULL)), x -> x IS NOT NULL))))"""
     placed = named.withColumns({"__p": F.coalesce(cell(number("__lo", of["__lo"])), F.lit(0)), "__q": F.coalesce(cell(number("__hi", of["__hi"])), F.lit(2**levels - 1))})
-    index = keep("bands", placed.withColumn("__n", F.expr(nodes)).select("__lo", "__hi", *cols, F.col("__n.k").alias("__k"), F.col("__n.node").alias("__node")))
+    index = kept(placed.withColumn("__n", F.expr(nodes)).select("__lo", "__hi", *cols, F.col("__n.k").alias("__k"), F.col("__n.node").alias("__node")), "bands")
     used = sorted(r["__k"] for r in index.select("__k").distinct().collect())  # levels
     # a node high up holds the cells of many values: it is dealt over parts, all of which get its bands
     parts = F.greatest(F.lit(1), F.shiftleft(F.lit(1), 8) / F.pow(F.lit(2.0), levels - F.col("__k"))).cast("int")
     index = index.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    kept = keep("valued", rows.withColumn("__row", F.monotonically_increasing_id()))  # numbered once, then read
-    probes = kept.select("__row", value, F.explode(F.array(*map(F.lit, used))).alias("__k")).withColumn("__node", F.floor(cell(number(value, at)) / F.pow(F.lit(2.0), F.col("__k"))))
+    valued = kept(rows.withColumn("__row", F.monotonically_increasing_id()), "valued")  # numbered once, then read
+    probes = valued.select("__row", value, F.explode(F.array(*map(F.lit, used))).alias("__k")).withColumn("__node", F.floor(cell(number(value, at)) / F.pow(F.lit(2.0), F.col("__k"))))
     probes = probes.withColumn("__part", F.pmod(F.xxhash64("__row"), parts).cast("int"))
-    met = keep("met", probes.join(index, ["__k", "__node", "__part"]).where(inside).select("__row", *cols))
-    return kept.join(met, "__row", "left").drop("__row")
+    met = probes.join(index, ["__k", "__node", "__part"]).where(inside).select("__row", *cols)
+    return valued.join(met, "__row", "left").drop("__row")

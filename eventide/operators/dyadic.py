@@ -12,9 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tape import scratch
 from .asof import asof, interval_join
-from .ranks import join_by, with_rank
+from .ranks import join_by, kept, with_rank
 
 #: The top level: a node of it holds 65,536 rows.  Levels that one step of a descent passes; rows that are then paired.
 TOP, STEP = 16, 6
@@ -22,12 +21,6 @@ TOP, STEP = 16, 6
 FEW = 32
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def nodes_of(first: str, last: str, top: int = TOP) -> Column:
     """array<struct<k, node>> of the places first <= p < last, both columns of long."""
     lo, hi = f"shiftright({first} + shiftleft(1L, k) - 1, k)", f"shiftright({last}, k)"

@@ -11,8 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from .asof import asof
-from .dyadic import kept
-from .ranks import exact_quantiles, in_ranges
+from .ranks import exact_quantiles, in_ranges, kept
 from .series import first_of
 
 

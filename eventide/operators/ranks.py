@@ -27,6 +27,13 @@ def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], r
     return spark.read.schema(ranged.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, for what is read more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_by(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """left joined to right on equal columns, nulls meeting nulls; the columns appear once."""
     named = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
@@ -59,7 +66,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Seq
     Equal values are counted before anything is shuffled by range.  The two values on which a quantile lies are the ones
     whose ranks reach over its position, so two rows per key and quantile are all that is gathered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("__n"))
-    ranged = in_ranges(counts, by, ["v"], ranges)
+    ranged = in_ranges(kept(counts, "counts"), by, ["v"], ranges)  # ranges are found by a look at the rows before they are dealt
     upto = F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     placed = join_by(ranged.withColumn("__upto", upto), starts(ranged, by, F.col("__n")), [*by, "__range"])
     last = F.col("__before") + F.col("__upto") - 1  # places from 0
