@@ -63,8 +63,8 @@ def _fingerprints(rows: DataFrame, window: int, gram: int, short: list[int]) ->
 
 
 def _item_marks(items: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k, h, item_id, least, item_around): the fingerprints of the items, with the words around and the least run that
-    makes a window."""
+    """(k, h, item_id, least, item_around, mark): the fingerprints of the items, with the words around and the least run that
+    makes a window; mark names what a document is held against, whichever items have it."""
     hashed = items.select("item_id", _hashed(F.col("w")).alias("hs"))
     size = F.size("hs")
     long = hashed.where(size >= window).select("item_id", "hs", F.lit(window).alias("least"), F.explode(_winnowed(F.col("hs"), window, gram)).alias("x"))
@@ -73,7 +73,8 @@ def _item_marks(items: DataFrame, window: int, gram: int) -> DataFrame:
         of_size = (size >= k) & (size < window) if k == gram else size == k
         first = hashed.where(of_size).select("item_id", "hs", size.alias("least"), F.element_at(_grams(F.col("hs"), k), 1).alias("x"))
         marks = marks.unionByName(first.select(*_unpacked(k, "x"), "item_id", "hs", "least"))
-    return marks.select("k", "h", "item_id", "least", _around(F.col("hs"), F.col("at"), window, gram).alias("item_around")).distinct()
+    found = marks.select("k", "h", "item_id", "least", _around(F.col("hs"), F.col("at"), window, gram).alias("item_around")).distinct()
+    return found.withColumn("mark", C.text_key(F.col("k"), F.col("h"), F.col("least"), F.transform("item_around", lambda x: F.coalesce(x, F.lit(0)))))  # a hash passes over nulls
 
 
 def _worded(texts: DataFrame) -> DataFrame:
@@ -95,13 +96,15 @@ def _runs(texts: DataFrame, items: DataFrame, window: int, gram: int) -> DataFra
     met = texts.join(spots.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
     asked = _worded(met.select("doc_id", "key", "spots", "t"))
     around = asked.select("doc_id", "key", F.explode(C.let(_hashed(F.col("w")), lambda h: F.transform("spots", lambda s: F.struct(s["k"].alias("k"), s["h"].alias("h"), s["at"].alias("at"), _around(h, s["at"], window, gram).alias("around"))))).alias("s"))
-    pairs = around.select("doc_id", "key", "s.*").join(marks, ["k", "h"])
+    # items of one template share fingerprints and what lies around them: a document is held against that once, not per item
+    pairs = around.select("doc_id", "key", "s.*").join(marks.select("k", "h", "least", "item_around", "mark").distinct(), ["k", "h"])
     same = F.zip_with("around", "item_around", lambda a, b: F.coalesce(a == b, F.lit(False)))
     run = lambda part: C.let(F.array_position(part, F.lit(False)), lambda p: F.when(p == 0, F.size(part).cast("long")).otherwise(p - 1))
-    sized = pairs.select("doc_id", "key", "item_id", "k", "least", "at", same.alias("same"))
+    sized = pairs.select("doc_id", "key", "mark", "k", "least", "at", same.alias("same"))
     left = run(F.reverse(F.slice("same", 1, slack))) if slack else F.lit(0).cast("long")
     sized = sized.withColumn("left", left).withColumn("right", run(F.slice("same", slack + 1, window)))
-    return sized.where((F.col("right") >= F.col("k")) & (F.col("left") + F.col("right") >= F.col("least"))).select("doc_id", "key", "item_id", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + F.col("right") - 1).alias("b"))
+    held = sized.where((F.col("right") >= F.col("k")) & (F.col("left") + F.col("right") >= F.col("least"))).select("doc_id", "key", "mark", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + F.col("right") - 1).alias("b"))
+    return held.join(marks.select("mark", "item_id").distinct(), "mark").drop("mark")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, gram: int = 5) -> DataFrame:

@@ -109,6 +109,22 @@ def test_decontaminate(spark):
     assert set(clean.values()) == {(0, False)}
 
 
+def test_decontaminate_templated_items(spark):
+    """Items that share a template share fingerprints; a document that holds it is held against each surrounding once."""
+    from eventide.llm import decontaminate as D
+
+    lead = " ".join(f"t{i}" for i in range(24))
+    items = [(i, f"{lead} {i % 4} q{i % 7} end of the question") for i in range(60)] + [(100, "a a a a a a a a a a a b"), (101, "b a a a a a a a a a a a")]
+    texts = [lead, f"x {lead} 2 q5 end of the question", f"{lead} 9", " ".join(lead.split()[:9]), "c a a a a a a a a a a a c", "b " + "a " * 11 + "b"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = by_id(decontaminate(docs(spark, texts), bench), "n_words", "n_hit", "n_items", "items", "contaminated")
+    for i, t in enumerate(texts):
+        assert out[i] == brute_hits(t, items), t
+    marks = D._item_marks(bench.select("item_id", C.alnum_words(C.ascii_lower(C.whole("text"))).alias("w")), 10, 5)
+    assert marks.select("mark").distinct().count() < marks.count() / 2
+    assert marks.select("mark").distinct().count() == marks.select("k", "h", "least", "item_around").distinct().count()
+
+
 def test_decontaminate_null_ids(spark):
     import corpus_pipeline as P
 
