@@ -43,8 +43,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def _vocabulary(path: str) -> tuple[list[int], dict[int, int], list[bytes]]:
-    """The id of each byte; of each mergeable pair of ids (packed) the rank of what it gives; the bytes of each id."""
+def _vocabulary(path: str) -> tuple[np.ndarray, dict[int, int], list[bytes], np.ndarray, np.ndarray]:
+    """The id of each byte; of each mergeable pair of ids (packed) the rank of what it gives; the bytes of each id; and by
+    two bytes (the first one times 256 plus the second) the rank of what they give, and whether any token holds them."""
     ranks = load_ranks(path)
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
@@ -55,13 +56,26 @@ def _vocabulary(path: str) -> tuple[list[int], dict[int, int], list[bytes]]:
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
                 pairs[a << 32 | b] = rank
-    return [ranks[bytes([x])] for x in range(256)], pairs, tokens
+    of_byte = [ranks[bytes([x])] for x in range(256)]
+    first = np.array([pairs.get(x << 32 | y, -1) for x in of_byte for y in of_byte], np.int32)
+    inside = np.zeros(1 << 16, bool)
+    inside[[x << 8 | y for token in tokens for x, y in zip(token, token[1:])]] = True
+    return np.array(of_byte, np.int32), pairs, tokens, first, inside
 
 
 def replay(words: list[bytes], path: str) -> Iterator[bytes]:
-    """The packed ids of each word, as merging the pair of the lowest rank, leftmost first, again and again gives them."""
+    """The packed ids of each word, as merging the pair of the lowest rank, leftmost first, again and again gives them.
+
+    A word longer than a layout is cut between bytes that no token holds side by side: no merge crosses such a place.  What
+    has none, say a run of one letter, is laid out whole, in some 40 bytes of arrays per byte.
+    """
     now, size = [], 0
     for w in words:
+        if len(w) > LAYOUT:
+            yield from _replay(now, path) if now else ()
+            now, size = [], 0
+            yield b"".join(ids for part in _parts(w, path) for ids in _replay([part], path))
+            continue
         now.append(w)
         size += len(w)
         if size >= LAYOUT:
@@ -70,31 +84,43 @@ def replay(words: list[bytes], path: str) -> Iterator[bytes]:
     yield from _replay(now, path) if now else ()
 
 
+def _parts(word: bytes, path: str) -> Iterator[bytes]:
+    """The word in parts of at most LAYOUT bytes where it can be cut so, else of as few more as it allows."""
+    inside, data, start = _vocabulary(path)[4], np.frombuffer(word, np.uint8), 0
+    cuts = np.append(np.flatnonzero(~inside[data[:-1].astype(np.uint16) << 8 | data[1:]]) + 1, len(word))
+    while start < len(word):
+        k = np.searchsorted(cuts, start + LAYOUT, "right") - 1
+        end = int(cuts[k] if k >= 0 and cuts[k] > start else cuts[k + 1])
+        yield word[start:end]
+        start = end
+
+
 def _replay(words: list[bytes], path: str) -> list[bytes]:
-    of_byte, pairs, _ = _vocabulary(path)
+    of_byte, pairs, _, first, _ = _vocabulary(path)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     corpus = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
-    start = np.array(of_byte, np.int64)[corpus]
+    start = of_byte[corpus]
     start[ends] = -1  # no pair crosses a word
     n = len(start)
-    ids, after, before = array("i", start.astype(np.int32).tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
-    index, get = _first_pairs(start, pairs), pairs.get
+    ids, after, before = array("i"), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    ids.frombytes(start.view(np.uint8))
+    del start
+    index, get = _first_pairs(corpus, ends, first), pairs.get
     queue = sorted(index)
 
     def note(rank: int, place: int) -> None:
         places = index.get(rank)
         if places is None:
-            index[rank] = [place]
+            index[rank] = array("i", (place,))
             heappush(queue, rank)
         else:
             places.append(place)
 
     while queue:
         rank = heappop(queue)
-        places = index.pop(rank)
-        places.sort()
-        for k, p in enumerate(places):
+        places = _in_order(index.pop(rank))
+        for p in places:
             q = after[p]
             b = ids[q]
             if b < 0 or ids[p] < 0 or get(ids[p] << 32 | b) != rank:
@@ -111,7 +137,7 @@ def _replay(words: list[bytes], path: str) -> list[bytes]:
                 note(new, o)
                 lower = lower or new < rank
             if lower:  # a pair of a lower rank came up: it goes first, the rest of this rank waits
-                for rest in places[k + 1 :]:
+                for rest in places:
                     note(rank, rest)
                 break
     merged = np.frombuffer(ids, np.int32)
@@ -120,15 +146,24 @@ def _replay(words: list[bytes], path: str) -> list[bytes]:
     return [packed[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
 
 
-def _first_pairs(ids: np.ndarray, pairs: dict[int, int]) -> dict[int, list[int]]:
-    """The places of each pair of neighbouring bytes, by rank."""
-    places = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    found, which = np.unique(ids[places] << 32 | ids[places + 1], return_inverse=True)
-    ranks = np.array([pairs.get(x, -1) for x in found.tolist()], np.int64)[which] if len(found) else np.zeros(0, np.int64)
-    places, ranks = places[ranks >= 0], ranks[ranks >= 0]
+def _first_pairs(corpus: np.ndarray, ends: np.ndarray, first: np.ndarray) -> dict[int, array]:
+    """The places of each pair of neighbouring bytes, by rank; none that holds a word's end."""
+    ranks = first[corpus[:-1].astype(np.uint16) << 8 | corpus[1:]]
+    ranks[ends[:-1]] = -1
+    ranks[ends[ends > 0] - 1] = -1
+    places = np.flatnonzero(ranks >= 0).astype(np.int32)
+    ranks = ranks[places]
     order = np.argsort(ranks, kind="stable")
     present, starts = np.unique(ranks[order], return_index=True)
-    return {int(r): x.tolist() for r, x in zip(present, np.split(places[order], starts[1:]))}
+    return {r: array("i", x.tobytes()) for r, x in zip(present.tolist(), np.split(places[order], starts[1:]))}
+
+
+def _in_order(places: array) -> Iterator[int]:
+    """The places from the smallest on; many are never all held as numbers of their own."""
+    if len(places) < GATHERED:
+        return iter(sorted(places))
+    whole = np.sort(np.frombuffer(places, np.int32))
+    return (p for a in range(0, len(whole), GATHERED) for p in whole[a : a + GATHERED].tolist())
 
 
 class _Numbers(dict):
@@ -185,7 +220,8 @@ class Encoder:
 
 def decode(ids: bytes, path: str) -> bytes:
     tokens = _vocabulary(path)[2]
-    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    numbers = np.frombuffer(ids, "<u4")
+    return b"".join(b"".join(map(tokens.__getitem__, numbers[a : a + GATHERED].tolist())) for a in range(0, len(numbers), GATHERED))
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -237,7 +273,7 @@ def learn_dictionary(docs: DataFrame, path: str, pattern: str, text: str, dictio
             yield pa.RecordBatch.from_arrays([pieces, pa.array(list(replay([p.encode() for p in pieces.to_pylist()], path)), pa.binary())], names=["piece", "ids"])
 
     folder = C.new_folder(docs.sparkSession, "dictionary")
-    chosen.select("piece").repartition(16, "piece").mapInArrow(shard, "piece string, ids binary").write.parquet(folder)
+    chosen.select("piece").repartition(1 + (dictionary >> 14), "piece").mapInArrow(shard, "piece string, ids binary").write.parquet(folder)
     return folder
 
 

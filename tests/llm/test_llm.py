@@ -288,6 +288,30 @@ def test_bpe_dictionary_and_turnover(spark, monkeypatch):
     assert got == [real.encode_ordinary(t or "") for t in texts]
 
 
+@pytest.mark.parametrize("layout", [40, 300, 1_000_000])
+def test_bpe_of_very_long_pieces(monkeypatch, layout):
+    """One piece without a break: cut where no token can stand, and laid out whole where there is no such place."""
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    real = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=B.load_ranks(path), special_tokens={})
+    rnd = random.Random(layout)
+    pieces = ["".join(rnd.choice(letters) for _ in range(4000)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "zqxjkv", "日本語漢字éß", "aé日")]
+    pieces += ["a" * 4000, "ab" * 2000, "\x00" * 4000, " " * 4000, "=" * 3999, "qj" * 2000, "the" * 1000, "b"]
+    monkeypatch.setattr(B, "LAYOUT", layout)
+    monkeypatch.setattr(B, "GATHERED", 100)
+    got = list(B.replay([x.encode() for x in pieces], path))
+    assert len(got) == len(pieces)
+    for piece, packed in zip(pieces, got):
+        assert real.encode_ordinary(piece) == list(np.frombuffer(packed, "<u4")) and B.decode(packed, path) == piece.encode()
+    for piece in pieces:
+        parts = list(B._parts(piece.encode(), path))
+        assert b"".join(parts) == piece.encode() and all(parts)
+    # letters that no token holds side by side are cut to the layout
+    assert layout > 4000 or max(map(len, B._parts(pieces[2].encode(), path))) <= layout
+
+
 # ---- near duplicates
 
 
