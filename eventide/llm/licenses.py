@@ -3,7 +3,9 @@
 Every rolling k-gram of words of a document is joined to the places of the templates' k-grams.  A hit at document place p
 and template place t votes for the diagonal p - t: a copy of the template puts all its votes on one diagonal, an edited
 copy (a word more or less) on neighbouring ones.  Votes are summed by diagonal, neighbouring diagonals are merged into a
-span, and a span is verified by the share of the template's words that its hits cover.  DataFrame functions only.
+span, and a span is verified by the share of the template's words that its hits cover.  A licence whose sentences were
+moved, or between which other text was put, falls into spans on distant diagonals: spans near each other are chained, and
+a chain is verified by what its spans cover together.  DataFrame functions only.
 
 Words are compared by 64-bit hash of k of them; the templates are constants, so their k-grams are broadcast.
 """
@@ -58,10 +60,11 @@ def _grams(words: Column, gram: int) -> Column:
 
 
 def license_spans(docs: DataFrame, text: str = "text", gram: int = 3, drift: int = 2, least: float = 0.8) -> DataFrame:
-    """(doc_id, key, tid, label, first_at, last_at, votes, score, verified): a row per merged run of diagonals.
+    """(doc_id, key, tid, label, t_words, span, first_at, last_at, votes, covered, score, verified): a row per merged run of
+    diagonals.
 
-    Diagonals not more than ``drift`` apart are merged; score is the share of the template's words that hits cover, and
-    a span is verified from ``least`` on.
+    Diagonals not more than ``drift`` apart are merged; covered holds the places of the template's words that hits cover,
+    score is their share, and a span is verified from ``least`` on.
     """
     worded = docs.select("doc_id", C.text_key(C.whole(text)).alias("key"), F.explode(F.array(C.alnum_words(C.ascii_lower(C.whole(text))))).alias("w"))
     grams = worded.select("doc_id", "key", F.posexplode(_grams(F.col("w"), gram)).alias("p", "h"))
@@ -77,9 +80,30 @@ def license_spans(docs: DataFrame, text: str = "text", gram: int = 3, drift: int
         .groupBy("doc_id", "key", "tid", "label", "t_words", "span")
         .agg(F.min("first_at").alias("first_at"), (F.max("last_at") + gram - 1).alias("last_at"), F.sum("votes").alias("votes"), F.flatten(F.collect_list("ats")).alias("ats"))
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + gram - 1)))))
-    score = covered / F.col("t_words")
-    return spans.select("doc_id", "key", "tid", "label", "first_at", "last_at", "votes", score.alias("score"), (score >= least).alias("verified"))
+    covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + gram - 1))))
+    score = F.size("covered") / F.col("t_words")
+    return spans.withColumn("covered", covered).select("doc_id", "key", "tid", "label", "t_words", "span", "first_at", "last_at", "votes", "covered", score.alias("score"), (score >= least).alias("verified"))
+
+
+def license_chains(spans: DataFrame, block: int = 10, least: float = 0.8) -> DataFrame:
+    """(doc_id, key, tid, label, first_at, last_at, score, verified): a row per chain of spans of one template.
+
+    A span that starts within the template's length of the end of those before it joins their chain.  Score is the share of
+    the template's words that the chain's spans of ``block`` words or more cover together, in whatever order, or that its
+    best span covers; shorter spans are phrases that any text may hold, and count by themselves alone.
+    """
+    long = F.size("covered") >= block
+    along = Window.partitionBy("doc_id", "key", "tid").orderBy("first_at", "span")
+    reached = F.max(F.when(long, F.col("last_at"))).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(long & (F.col("first_at") - reached > F.col("t_words")), 1).otherwise(0)
+    chains = (
+        spans.withColumn("start", starts)
+        .withColumn("chain", F.sum("start").over(along))
+        .groupBy("doc_id", "key", "tid", "label", "t_words", "chain")
+        .agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("score").alias("best"), F.flatten(F.collect_list(F.when(long, F.col("covered")))).alias("covered"))
+    )
+    score = F.greatest("best", F.size(F.array_distinct("covered")) / F.col("t_words"))
+    return chains.select("doc_id", "key", "tid", "label", "first_at", "last_at", score.alias("score"), (score >= least).alias("verified"))
 
 
 def _places(words: Column, phrase: list[str]) -> Column:
@@ -88,17 +112,17 @@ def _places(words: Column, phrase: list[str]) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(w == phrase[0], i)), lambda i: i.isNotNull() & here(i))
 
 
-def license_scan(docs: DataFrame, text: str = "text", gram: int = 3, drift: int = 2, least: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", gram: int = 3, drift: int = 2, least: float = 0.8, block: int = 10) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     n_base counts every place of a base phrase, first_word and last_word are the smallest and largest of those (null
-    without any), labels adds those of verified spans, score is the best share of a template found (1 for a base phrase).
+    without any), labels adds those of verified chains, score is the best share of a template found (1 for a base phrase).
     Null and empty texts have no words and no labels; repeated rows get equal results; a null doc_id is a value like
     another; extra columns pass through, and those called like the new ones are replaced; an empty table stays empty.
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    spans = license_spans(docs, text, gram, drift, least)
-    best = spans.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.max("score").alias("best"), F.collect_set(F.when(F.col("verified"), F.col("label"))).alias("found"))
+    chains = license_chains(license_spans(docs, text, gram, drift, least), block, least)
+    best = chains.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.max("score").alias("best"), F.collect_set(F.when(F.col("verified"), F.col("label"))).alias("found"))
     best = C.written(best, "license-spans")
     kept = [c for c in docs.columns if c not in new]
     lowered = C.ascii_lower(C.whole(text))

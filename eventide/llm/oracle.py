@@ -53,20 +53,28 @@ doc_grams AS (
   SELECT doc_id, i AS p, array_to_string(w[i:i + 2], ' ') AS g
   FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 2)) AS i) WHERE len(w) >= 3
 ),
-hits AS (SELECT doc_id, tid, label, n, t, p - t AS diagonal FROM doc_grams JOIN template_grams USING (g)),
+hits AS (SELECT doc_id, tid, label, n, t, p, p - t AS diagonal FROM doc_grams JOIN template_grams USING (g)),
 diagonals AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER along > 2 THEN 1 ELSE 0 END AS start
   FROM (SELECT DISTINCT doc_id, tid, diagonal FROM hits) WINDOW along AS (PARTITION BY doc_id, tid ORDER BY diagonal)
 ),
 numbered AS (SELECT *, sum(start) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM diagonals),
 covered AS (
-  SELECT DISTINCT doc_id, tid, label, n, span, t + k AS at
+  SELECT DISTINCT doc_id, tid, label, n, span, t + k AS pos
   FROM hits JOIN numbered USING (doc_id, tid, diagonal), (VALUES (0), (1), (2)) AS v(k)
 ),
-scored AS (SELECT doc_id, tid, label, span, count(*) / any_value(n) AS score FROM covered GROUP BY doc_id, tid, label, span),
+scored AS (SELECT doc_id, tid, label, span, n, count(*) AS words, count(*) / n AS score FROM covered GROUP BY doc_id, tid, label, span, n),
+extents AS (SELECT doc_id, tid, span, min(p) AS first_at, max(p) + 2 AS last_at FROM hits JOIN numbered USING (doc_id, tid, diagonal) GROUP BY doc_id, tid, span),
+blocks AS (
+  SELECT *, CASE WHEN first_at - max(last_at) OVER before > n THEN 1 ELSE 0 END AS start
+  FROM scored JOIN extents USING (doc_id, tid, span) WHERE words >= 10
+  WINDOW before AS (PARTITION BY doc_id, tid ORDER BY first_at, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+chains AS (SELECT doc_id, tid, span, sum(start) OVER (PARTITION BY doc_id, tid ORDER BY first_at, span) AS chain FROM blocks),
+chained AS (SELECT doc_id, tid, label, count(DISTINCT pos) / n AS score FROM covered JOIN chains USING (doc_id, tid, span) GROUP BY doc_id, tid, label, chain, n),
 best AS (
   SELECT doc_id, max(score) AS score, coalesce(list(DISTINCT label) FILTER (WHERE score >= 0.8), []) AS ls
-  FROM scored GROUP BY doc_id
+  FROM (SELECT doc_id, label, score FROM scored UNION ALL SELECT doc_id, label, score FROM chained) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(b.ls, ','), '') AS base_labels,

@@ -152,8 +152,8 @@ def test_license_scan(spark):
     assert out[5][5] == "" and 0 < out[5][6] < 0.8  # an edited copy is scored, and verified only from 0.8 on
 
 
-def brute_license_score(words, template, gram=3, drift=2):
-    """The best share of the template's words that hits on neighbouring diagonals cover."""
+def brute_license_score(words, template, gram=3, drift=2, block=10):
+    """The best share of the template's words that hits on neighbouring diagonals, or long spans near each other, cover."""
     places = defaultdict(list)
     for t in range(len(template) - gram + 1):
         places[tuple(template[t : t + gram])].append(t)
@@ -161,12 +161,39 @@ def brute_license_score(words, template, gram=3, drift=2):
     for p in range(len(words) - gram + 1):
         for t in places.get(tuple(words[p : p + gram]), ()):
             hits[p - t].add(t)
-    best, run, last = 0.0, set(), None
+    spans, last = [], None
     for diagonal in sorted(hits):
-        run = run | hits[diagonal] if last is not None and diagonal - last <= drift else set(hits[diagonal])
+        if last is None or diagonal - last > drift:
+            spans.append((set(), set()))
         last = diagonal
-        best = max(best, len({t + k for t in run for k in range(gram)}) / len(template))
-    return best
+        spans[-1][0].update(t + k for t in hits[diagonal] for k in range(gram))
+        spans[-1][1].update(diagonal + t for t in hits[diagonal])
+    best = max((len(covered) for covered, _ in spans), default=0)
+    chain, reached = set(), None
+    for first, end, covered in sorted((min(at), max(at) + gram - 1, sorted(covered)) for covered, at in spans if len(covered) >= block):
+        chain = set(covered) if reached is None or first - reached > len(template) else chain | set(covered)
+        reached = end if reached is None else max(reached, end)
+        best = max(best, len(chain))
+    return best / len(template)
+
+
+def test_moved_and_parted_licenses(spark):
+    """Sentences in another order, and with other text between them, are still the licence; the same ones far apart, or
+    only some of them, are not."""
+    from eventide.llm.licenses import TEMPLATES, license_chains, license_spans
+
+    words = dict(reversed(TEMPLATES))["zlib"].split()
+    a, b, c = words[:40], words[40:80], words[80:]
+    other = lambda n: [f"w{i}" for i in range(n)]
+    n = len(words)
+    texts = [[*b, *c, *a], [*c, *b, *a], [*a, *other(60), *b, *other(90), *c], [*a, *other(3 * n), *b, *other(3 * n), *c], [*b, *a], [*a, *a, *a], other(n), [*c, *a, *b, *other(5 * n), *words]]
+    df = docs(spark, [" ".join(t) for t in texts])
+    out = by_id(license_scan(df), "labels", "score")
+    assert [out[i][0] for i in range(len(texts))] == ["zlib", "zlib", "zlib", "", "", "", "", "zlib"]
+    for i, t in enumerate(texts):
+        assert out[i][1] == pytest.approx(max(brute_license_score(t, w.split()) for _, w in TEMPLATES))
+    rows = license_chains(license_spans(df.where("doc_id = 7"))).where("label = 'zlib' AND verified").orderBy("first_at").collect()
+    assert [(r.first_at, r.last_at) for r in rows] == [(0, n - 1), (6 * n, 7 * n - 1)]
 
 
 def test_edited_licenses(spark):
