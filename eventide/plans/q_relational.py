@@ -479,7 +479,8 @@ def f14_linear_interpolation(spark, sf):
     from ..operators.asof import range_lookup
 
     points = spark.createDataFrame(list(zip(CURVE, CURVE[1:])), "a struct<x:double,y:double>, b struct<x:double,y:double>").select(F.col("a.x").alias("lo"), F.col("b.x").alias("hi"), F.struct("a.x", "a.y", (F.col("b.x") - F.col("a.x")).alias("dx"), (F.col("b.y") - F.col("a.y")).alias("dy")).alias("p"))
-    return range_lookup(trades(spark, sf), points, "price", "lo", "hi", ["p"]).select("event_id", S.rounded(F.col("p.y") + (F.col("price") - F.col("p.x")) / F.col("p.dx") * F.col("p.dy"), 6).alias("y"))
+    known = range_lookup(trades(spark, sf), points, "price", "lo", "hi", ["p"]).where("p IS NOT NULL")  # the curve ends at its last point
+    return known.select("event_id", S.rounded(F.col("p.y") + (F.col("price") - F.col("p.x")) / F.col("p.dx") * F.col("p.dy"), 6).alias("y"))
 
 
 @query("SELECT page_id, TRY_CAST(regexp_extract(url, '([^/?#]*)[?#]?[^/]*$', 1) AS INTEGER) AS n FROM pages")
