@@ -52,6 +52,8 @@ def split_metrics(trades: DataFrame, by: Sequence[str], pnl: str, day: str | Non
     )
 
 
+#: Thresholds of a feature up to which a value is compared with each of them in the JVM; more are searched in Python.
+FEW_CUTS = 64
 SUMS = ("n", "total", "squares", "gain", "loss", "wins")
 
 
@@ -95,14 +97,17 @@ def _scored(decisions: DataFrame, rules: pd.DataFrame, split: Sequence[str], pay
     edges = spark.createDataFrame(edges[["cid", "feature", "side", "place", "__above"]], T.StructType([schema["cid"], schema["feature"], schema["side"], T.StructField("place", T.IntegerType()), T.StructField("__above", T.BooleanType())]))
 
     def place(feature: str) -> Column:
-        at = cuts[feature]
+        at, x = cuts[feature], F.col(feature).cast("double")
+        if len(at) <= FEW_CUTS:
+            passed = sum(((x > F.lit(float(t))).cast("int") + (x >= F.lit(float(t))).cast("int") for t in at), F.lit(0))
+            return F.when(x.isNotNull() & ~F.isnan(x), passed)
 
         @F.pandas_udf("int")
         def among(x: pd.Series) -> pd.Series:
             found = pd.Series(np.searchsorted(at, x.to_numpy(), "left") + np.searchsorted(at, x.to_numpy(), "right"), index=x.index)
             return found.where(x.notna()).astype("Int32")
 
-        return among(F.col(feature).cast("double"))
+        return among(x)
 
     placed = decisions.select(*split, *(c.cast("double").alias(f"__pay_{s}") for s, c in pay.items()), F.array(*(F.struct(F.lit(f).alias("feature"), place(f).alias("place")) for f in cuts)).alias("__at"))
     long = placed.withColumn("__at", F.explode("__at")).select("*", "__at.feature", "__at.place").where("place IS NOT NULL")

@@ -1,8 +1,10 @@
 """What turns up on larger tables only: rare values, sums on a bound, keys by the thousand."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from eventide.operators import accounts as A
+from eventide.operators import grid as G
 from eventide.plans.all_queries import ORACLE, QUERIES
 
 
@@ -37,3 +39,23 @@ def test_sums_that_reach_a_bound_exactly(spark):
     status = lambda fall, loss: {(r.k, r.t): r.status for r in A.risk_path(df, "k", "day", ["t"], "pnl", fall, 99, loss, worst_t=-99.0).collect()}
     assert status(0.8, 99.0) == {("a", 1): "OK", ("a", 2): "HALTED", ("b", 1): "OK", ("b", 2): "OK"}
     assert status(99.0, 0.8) == {("a", 1): "OK", ("a", 2): "PAUSED", ("b", 1): "OK", ("b", 2): "OK"}
+
+
+def test_few_thresholds_need_no_python_worker(spark, monkeypatch):
+    values = [None, float("nan"), float("inf"), -0.0, 0.0, 0.5, 1.0, 1.5, 2.0, 9.0]
+    df = spark.createDataFrame([(v, float(i - 4), "all") for i, v in enumerate(values)], "a double, p double, split string")
+    rules = spark.createDataFrame([(f"{op}{t}", "a", op, t, "up") for op in (">", ">=", "<", "<=") for t in (0.0, 1.0, 1.5, 7.0)], "cid string, feature string, op string, thr double, side string")
+    asked = []
+    monkeypatch.setattr(F, "pandas_udf", lambda *a, **k: asked.append(a) or udf(*a, **k))
+    few = sorted(map(str, scored(df, rules)))
+    assert not asked
+    monkeypatch.setattr(G, "FEW_CUTS", 0)
+    many = sorted(map(str, scored(df, rules)))
+    assert asked and few == many and few
+
+
+udf = F.pandas_udf
+
+
+def scored(df, rules):
+    return G.score_configs(df, rules, ["split"], {"up": F.col("p")}).collect()
