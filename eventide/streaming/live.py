@@ -124,59 +124,16 @@ def changes_only(stream: DataFrame, key: str, ts: str, value: Column, keep_us: i
     return shaped.groupBy("key").transformWithStateInPandas(Levels(keep_us), "key long, t long, level double", "append", "EventTime")
 
 
-class Silence(StatefulProcessor):
-    """Tells when a key has been silent for longer than ``keep_us``, when the watermark says so, without any new row of it.
-
-    State is the key's runs of rows no further apart than that, of which the silence behind has not been told: rows that come
-    late, but before the watermark, lengthen or join runs, and so call a pending alert off."""
-
-    def __init__(self, keep_us: int):
-        self.keep = keep_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.runs = handle, handle.getListState("runs", "first long, last long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.runs.get()) if self.runs.exists() else []
-        runs: list[list[int]] = []
-        for first, last in sorted([*((int(a), int(b)) for a, b in held), *((int(t), int(t)) for t in in_time(rows)["t"])]):
-            if runs and first - runs[-1][1] <= self.keep:
-                runs[-1][1] = max(runs[-1][1], last)
-            else:
-                runs.append([first, last])
-        for _, last in held:
-            self.handle.deleteTimer(self._over(int(last)))
-        for _, last in runs:
-            self.handle.registerTimer(self._over(last))
-        self.runs.put([(a, b) for a, b in runs])
-        yield self._alerts([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = [(int(a), int(b)) for a, b in self.runs.get()] if self.runs.exists() else []
-        told, open_ = [r for r in held if self._over(r[1]) <= now], [r for r in held if self._over(r[1]) > now]
-        if open_:
-            self.runs.put(open_)
-        else:
-            self.runs.clear()
-        yield self._alerts([(key[0], last) for _, last in told])
-
-    def _alerts(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "silent_since"]).astype("int64")
-
-    def _over(self, t: int) -> int:
-        return (t + self.keep) // 1000 + 1
-
-    def close(self) -> None:
-        pass
-
-
 def silences(stream: DataFrame, key: str, ts: str, keep_us: int, late: str) -> DataFrame:
     """(key, silent_since): an alert, on the stream, for every row after which its key gives none for longer than ``keep_us``; it
-    comes once the watermark (``late`` behind the newest row of any key) has passed that time."""
+    comes once the watermark (``late`` and a millisecond behind the newest row of any key) has passed that time.
+
+    A key's rows no further apart than that are one session, which ends when its silence is told.  State is the open
+    sessions: rows that come late, but before that, lengthen or join them, and so call a pending alert off."""
     state_store(stream.sparkSession)
-    shaped = stream.withWatermark(ts, late).select(F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("t"), F.col(ts).alias("__ts"))
-    return shaped.groupBy("key").transformWithStateInPandas(Silence(keep_us), "key long, silent_since long", "append", "EventTime")
+    gap = keep_us + 1  # a session takes rows that are nearer than its gap
+    sessions = stream.withWatermark(ts, f"{late} 1 millisecond").groupBy(F.col(key).cast("long").alias("key"), F.session_window(ts, f"{gap} microseconds").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return sessions.select("key", (F.unix_micros("s.end") - gap).alias("silent_since"))
 
 
 def settle(decisions: DataFrame, results: DataFrame, key: str, ts: str, within: str, late: str) -> DataFrame:

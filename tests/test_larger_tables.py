@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from eventide.operators import accounts as A
 from eventide.operators import grid as G
 from eventide.plans.all_queries import ORACLE, QUERIES
+from eventide.streaming import live as R
 
 
 def written_events(folder, rows):
@@ -54,6 +55,16 @@ def test_few_thresholds_need_no_python_worker(spark, monkeypatch):
     assert asked and few == many and few
 
 
+def test_watchdog_calls_no_python_per_account(spark, tmp_path):
+    hour = 3_600_000_000
+    rows = [(u, (u % 7 + step * (u % 5 + 20)) * hour + u, "view", 1.0, 1) for u in range(60) for step in range(12) if (u + step) % 6]
+    folder = written_events(tmp_path, [*rows, (1, 24 * hour + 1, "view", 1.0, 1), (1, 48 * hour + 1, "view", 1.0, 1), (1, 72 * hour + 2, "view", 1.0, 1), (99, 400 * hour, "view", 1.0, 1)])
+    events = spark.read.parquet(f"{folder}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    plan = R.silences(R.replay(events), "user_id", "ts", 24 * hour, "1 hour")._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    agrees(spark, "r10_watchdog", folder)
+
+
 udf = F.pandas_udf
 
 
