@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -73,10 +72,6 @@ def state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def in_time(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values("t", kind="stable")
-
-
 class Levels(StatefulProcessor):
     """Gives the rows whose level differs from the one before of their key; a level is forgotten ``keep_us`` after it was last
     seen, by the row's own time if the next row comes later than that, and by a timer where none comes."""
@@ -87,26 +82,26 @@ class Levels(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "level double, t long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # a micro-batch's rows of one key: what a key brings between two triggers
-        new = in_time(rows)
-        level, t = self.last.get() if self.last.exists() else (None, None)
-        before, seen = new["level"].shift(), new["t"].shift()
-        if level is not None:
-            before.iloc[0], seen.iloc[0] = level, t
-        changed = before.isna() | (new["level"] != before) | (new["t"] - seen > self.keep)
-        last = int(new["t"].iloc[-1])
-        if t is None or last >= t:
-            if t is not None:
-                self.handle.deleteTimer(self._over(t))
-            self.last.update((float(new["level"].iloc[-1]), last))
-            self.handle.registerTimer(self._over(last))
-        yield new[changed][["key", "t", "level"]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self._over(self.last.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+        new = sorted(((r["t"], r["level"]) for r in rows), key=lambda r: r[0])
+        held = self.last.get()
+        level, seen = held or (None, None)
+        for t, now in new:
+            if level is None or now != level or t - seen > self.keep:
+                yield Row(key=key[0], t=t, level=now)
+            level, seen = now, t
+        if held is None or seen >= held[1]:
+            if held is not None:
+                self.handle.deleteTimer(self._over(held[1]))
+            self.last.update((level, seen))
+            self.handle.registerTimer(self._over(seen))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.last.get()
+        if held is not None and self._over(held[1]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
-        yield pd.DataFrame({"key": [], "t": [], "level": []}).astype({"key": "int64", "t": "int64", "level": "float64"})
+        return iter(())
 
     def _over(self, t: int) -> int:
         return (t + self.keep) // 1000 + 1
@@ -121,7 +116,7 @@ def changes_only(stream: DataFrame, key: str, ts: str, value: Column, keep_us: i
     that comes in a later batch than a newer one is compared with what its key held last."""
     state_store(stream.sparkSession)
     shaped = stream.withWatermark(ts, late).select(F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("t"), value.cast("double").alias("level"), F.col(ts).alias("__ts"))
-    return shaped.groupBy("key").transformWithStateInPandas(Levels(keep_us), "key long, t long, level double", "append", "EventTime")
+    return shaped.groupBy("key").transformWithState(Levels(keep_us), "key long, t long, level double", "append", "EventTime")
 
 
 def silences(stream: DataFrame, key: str, ts: str, keep_us: int, late: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """What turns up on larger tables only: rare values, sums on a bound, keys by the thousand."""
 
 import duckdb
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from eventide.operators import accounts as A
@@ -65,6 +66,40 @@ def test_watchdog_calls_no_python_per_account(spark, tmp_path):
     agrees(spark, "r10_watchdog", folder)
 
 
+class Held:
+    """A key's state and timers, with the calls that were made to them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_levels_make_few_state_calls_and_no_frames():
+    held, levels = Held(), R.Levels(10_000)
+    levels.init(held)
+    give = lambda *rows: [tuple(r) for r in levels.handleInputRows((7,), iter([Row(key=7, t=t, level=v) for t, v in rows]), None)]
+    assert give((3_000, 1.0), (1_000, 1.0), (2_000, 2.0)) == [(7, 1_000, 1.0), (7, 2_000, 2.0), (7, 3_000, 1.0)]
+    assert give((4_000, 1.0), (15_000, 1.0), (16_000, None), (17_000, None)) == [(7, 15_000, 1.0), (7, 16_000, None), (7, 17_000, None)]
+    assert held.calls == 7 and held.timers == {28} and held.value == (None, 17_000)
+
+
 udf = F.pandas_udf
 
 
