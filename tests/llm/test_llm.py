@@ -1,5 +1,6 @@
 """Operators against brute force, on edge cases: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import glob
 import hashlib
 import math
 import os
@@ -261,6 +262,28 @@ def test_substrings(spark, steps):
     assert out == brute_substrings(texts, 400)
 
 
+def test_substrings_free_their_disk(spark, monkeypatch):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    base = text(3000)
+    texts = [base, text(90) + base[300:1900], base[:1500] + text(80) + base[1500:], text(2000), None]
+    folder, real, live = C.shared_folder(spark).removeprefix("file://"), C.written, []
+    earlier = set(os.listdir(folder))
+    tables = lambda: sorted(x.rpartition("-")[0] for x in set(os.listdir(folder)) - earlier if not x.startswith("."))
+    monkeypatch.setattr(C, "written", lambda df, name: (real(df, name), live.append(tables()))[0])
+    shuffles = lambda: set(glob.glob(f"{spark.sparkContext.getConf().get('spark.local.dir')}/**/shuffle_*.data", recursive=True))
+    old = shuffles()
+    result = SS.substring_dedup(docs(spark, texts), keep_bytes=False)
+    assert tables() == ["removed-spans"]
+    assert live[-1] == ["anchors", "removed-spans", "told-anchors", "windows", "windows"] and max(map(len, live)) <= 7
+    until = time.time() + 20
+    while shuffles() - old and time.time() < until:  # files go a moment after the query
+        time.sleep(0.2)
+    assert not shuffles() - old
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert by_id(result, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_substrings(texts, 400)
+
+
 def test_anchor_chunks_agree(monkeypatch):
     data = "".join(random.Random(1).choice("abcde ") for _ in range(20_000)).encode() + b"z" * 3000
     whole = SS.anchors(data, 400)
