@@ -27,6 +27,6 @@ def agrees(spark, name, folder, *tables):
     assert got == sorted(map(str, rel.fetchall())) and got
 
 
-@pytest.mark.parametrize("name", ["m12_wallet_pnl", "m10_taker_maker_pnl", "b18_taker_fee", "m13_consistent_winners"])
+@pytest.mark.parametrize("name", ["m12_wallet_pnl", "m10_taker_maker_pnl", "b18_taker_fee", "m13_consistent_winners", "m14_sign_randomised_null"])
 def test_fills_with_gaps(spark, gaps, name):
     agrees(spark, name, gaps, "lineitem", "orders")
