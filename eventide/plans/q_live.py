@@ -13,9 +13,9 @@ from .q_measure import CALIBRATION, PNL, decisions, pnl
 from .registry import query
 
 
-def stream(spark, sf, kind: str | None = None):
+def stream(spark, sf, kind: str | None = None, untimed: bool = False):
     rows = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    replayed = R.replay(rows)
+    replayed = R.replay(rows, untimed=untimed)
     return replayed.where(F.col("event_type") == kind) if kind else replayed
 
 
@@ -87,8 +87,8 @@ s AS (SELECT *, max(drawdown >= 350 OR loss_run >= 6 OR coalesce(decay_t <= -1.5
 @query(sql(RISK + "SELECT account, count(*) AS n, round(sum(pnl), 4) AS equity, round(max(drawdown), 4) AS drawdown, max(loss_run) AS loss_run, round(min(decay_t), 5) AS worst_t, min(CASE WHEN halted THEN t END) AS halted_at, count(*) FILTER (WHERE paused AND NOT halted) AS paused FROM s GROUP BY 1"))
 def r8_account_risk_state(spark, sf):
     """The stream's trades are appended to a table; an account's state is windows over it, up to any trade."""
-    live = R.drain(accounts(stream(spark, sf).withColumn("t", F.unix_micros("ts"))))
-    path = A.risk_path(live, "account", "day", ["t", "event_id"], "pnl", 350.0, 6, 100.0, recent=40, least=25)
+    live = R.drain(accounts(stream(spark, sf, untimed=True).withColumn("t", F.unix_micros("ts"))))
+    path = A.risk_path(live, "account", "day", ["t", "event_id"], "pnl", 350.0, 6, 100.0, recent=40, least=25, missing=None)
     halted = F.col("status") == "HALTED"
     return path.groupBy("account").agg(
         F.count(F.lit(1)).alias("n"), S.rounded(F.sum("pnl"), 4).alias("equity"), S.rounded(F.max("drawdown"), 4).alias("drawdown"), F.max("loss_run").cast("long").alias("loss_run"), S.rounded(F.min("decay_t"), 5).alias("worst_t"),

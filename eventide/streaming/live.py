@@ -11,12 +11,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..sources.tape import scratch
 
 
-def replay(rows: DataFrame, batches: int = 4) -> DataFrame:
-    """A stream of a table's rows in micro-batches of equal spans of time, in time order, so that state is carried over."""
+def replay(rows: DataFrame, batches: int = 4, untimed: bool = False) -> DataFrame:
+    """A stream of a table's rows in micro-batches of equal spans of time, in time order, so that state is carried over.
+    Rows without a time are left out; if ``untimed``, they come with the last batch."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = rows.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()  # two numbers
     lo, hi = span.lo or 0, span.hi or 0
-    return arrivals(rows, F.floor((micros - lo) / (hi - lo + 1) * batches), batches)
+    batch = F.floor((micros - lo) / (hi - lo + 1) * batches)
+    return arrivals(rows, F.coalesce(batch, F.lit(batches - 1)) if untimed else batch, batches)
 
 
 def arrivals(rows: DataFrame, batch: Column, batches: int) -> DataFrame:

@@ -30,3 +30,9 @@ def agrees(spark, name, folder, *tables):
 @pytest.mark.parametrize("name", ["m12_wallet_pnl", "m10_taker_maker_pnl", "b18_taker_fee", "m13_consistent_winners", "m14_sign_randomised_null"])
 def test_fills_with_gaps(spark, gaps, name):
     agrees(spark, name, gaps, "lineitem", "orders")
+
+
+def test_risk_state_of_trades_without_result_or_time(spark, sf, tmp_path):
+    columns = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value, CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END AS ts"
+    duckdb.connect().sql(f"COPY (SELECT * REPLACE ({columns}) FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    agrees(spark, "r8_account_risk_state", str(tmp_path), "events")
